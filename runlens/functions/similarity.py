@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 
 def tokens(text: Column) -> Column:
@@ -65,7 +66,7 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - row.bit_count()
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
 

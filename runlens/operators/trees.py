@@ -79,34 +79,44 @@ def descendants(runs: DataFrame, starts: DataFrame | None = None, max_depth: int
     return runs.join(out, "id")
 
 
-def ancestors_first(runs: DataFrame, hit: Column, value: Column, name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, name): ``value`` of the nearest proper ancestor satisfying ``hit``, within ``max_depth`` steps.
+def fold_up(runs: DataFrame, value: Column, name: str, far: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, name): the first non-null ``value`` on the way up from each run, itself included;
+    with ``far`` the last one, i.e. the one nearest the root. At most ``max_depth`` steps up.
 
-    Doubling with early answers: a row that has found its answer stops asking.
+    Doubling: every state covers a stretch of ancestors and points at the next one.
     """
-    base = runs.select("id", F.col("parent_run_id").alias("anc"), hit.alias("_h"), F.when(hit, value).alias("_v"))
-    # f: answer found looking at the ancestors covered so far; anc: the next one to ask
-    own = base.select(F.col("id").alias("_i"), "_h", "_v")
-    state = base.where("anc is not null").select("id", "anc")
-    state = state.join(own, F.col("anc") == F.col("_i"), "left").join(
-        base.select(F.col("id").alias("_j"), F.col("anc").alias("_next")), F.col("anc") == F.col("_j"), "left"
-    ).select("id", F.when(~F.coalesce("_h", F.lit(False)), F.col("_next")).alias("anc"), F.coalesce("_h", F.lit(False)).alias("ok"), "_v", F.lit(1).alias("steps"))
-    state = cut_lineage(state)
-    for _ in range(math.ceil(math.log2(max_depth)) + 1):
-        asking = state.where("anc is not null and not ok")
-        if _empty(asking):
+    parents = runs.select(F.col("id").alias("_p"))
+    state = runs.select("id", F.col("parent_run_id").alias("nxt"), value.alias("v"), F.lit(0).alias("dist"), F.lit(1).alias("span"))
+    state = cut_lineage(
+        state.join(parents, F.col("nxt") == F.col("_p"), "left").select("id", F.col("_p").alias("nxt"), "v", "dist", "span")
+    )
+    for _ in range(math.ceil(math.log2(max_depth + 1)) + 1):
+        if _empty(state.where("nxt is not null")):
             break
-        help_ = state.select(F.col("id").alias("_i"), F.col("anc").alias("_a"), F.col("ok").alias("_ok"), F.col("_v").alias("_v2"), F.col("steps").alias("_s"))
+        ahead = state.select(
+            F.col("id").alias("_i"), F.col("nxt").alias("_n"), F.col("v").alias("_v"), F.col("dist").alias("_d"), F.col("span").alias("_s")
+        )
+        joined = state.join(ahead, F.col("nxt") == F.col("_i"), "left")
+        reach = F.col("span") + F.col("_d") <= max_depth
+        usable = F.when(reach, F.col("_v"))
+        take = usable.isNotNull() if far else (F.col("v").isNull() & usable.isNotNull())
         state = cut_lineage(
-            state.join(help_, F.col("anc") == F.col("_i"), "left").select(
+            joined.select(
                 "id",
-                F.when(F.col("_i").isNotNull(), F.col("_a")).alias("anc"),
-                (F.col("ok") | F.coalesce("_ok", F.lit(False))).alias("ok"),
-                F.coalesce("_v", "_v2").alias("_v"),
-                (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"),
+                F.col("_n").alias("nxt"),
+                F.when(take, usable).otherwise(F.col("v")).alias("v"),
+                F.when(take, F.col("span") + F.col("_d")).otherwise(F.col("dist")).alias("dist"),
+                (F.col("span") + F.coalesce("_s", F.lit(0))).alias("span"),
             )
         )
-    return state.where(F.col("ok") & (F.col("steps") <= max_depth)).select("id", F.col("_v").alias(name))
+    return state.select("id", F.col("v").alias(name))
+
+
+def ancestors_first(runs: DataFrame, hit: Column, value: Column, name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, name): ``value`` of the nearest proper ancestor satisfying ``hit``."""
+    found = fold_up(runs, F.when(hit, value), name, max_depth=max_depth).where(F.col(name).isNotNull())
+    above = found.select(F.col("id").alias("_a"), name)
+    return runs.select("id", "parent_run_id").join(above, F.col("parent_run_id") == F.col("_a")).select("id", name)
 
 
 def subtree_totals(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -135,8 +145,7 @@ def attributed_to_agents(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFra
 
 def inherited_feedback(runs: DataFrame, max_depth: int = 5) -> DataFrame:
     """(id, feedback): own feedback, else the nearest one at most ``max_depth`` levels up."""
-    above = ancestors_first(runs, F.col("feedback").isNotNull(), F.col("feedback"), "_up", max_depth)
-    return runs.join(above, "id", "left").select("id", F.coalesce("feedback", "_up").alias("feedback"))
+    return fold_up(runs, F.col("feedback"), "feedback", max_depth=max_depth)
 
 
 def node_paths(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -181,7 +181,7 @@ def d6(spark, d):
 
 
 def _tok(x):
-    return f"list_filter(regexp_split_to_array({x}, '\\s+'), t -> t <> '')"
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
 
 
 @query(

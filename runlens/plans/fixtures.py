@@ -14,8 +14,28 @@ TYPE_OF_EVENT = {"view": "llm", "click": "chat", "error": "llm", "purchase": "ag
 ROOTS = 64  # the first runs have no parent; later ones form a four-ary tree below them
 
 
+# fixed values: the columns of the given tables; a stated schema saves reading footers on the driver
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -214,3 +234,64 @@ SELECT template_version_id AS id, template_version_id // 3 AS template_id, min(c
  max(created_at) AS published_at, template_version_id % 3 = 1 AS is_draft FROM run GROUP BY template_version_id
 """
 SQL_VIEWS.update({"doc_run": DOC_SQL, "chat_msg": MSG_SQL, "tmpl": TEMPLATE_SQL})
+
+
+def trade_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Trace tree of five levels: region → nation → customer → order → line item."""
+    pick = lambda source, **cols: table(spark, d, source).select(*[F.expr(v).alias(k) for k, v in cols.items()])
+    common = {"status": "'success'", "input": "cast(null as string)", "output": "cast(null as string)"}
+    at = lambda n: f"timestamp_seconds(1704067200 + {n})"
+    parts = [
+        pick("region", id="concat('r', r_regionkey)", parent_run_id="cast(null as string)", type="'agent'", name="r_name",
+             created_at=at("r_regionkey"), cost="cast(null as double)", prompt_tokens="cast(null as int)", completion_tokens="cast(null as int)", **common),
+        pick("nation", id="concat('n', n_nationkey)", parent_run_id="concat('r', n_regionkey)", type="'chain'", name="n_name",
+             created_at=at("n_nationkey"), cost="cast(null as double)", prompt_tokens="cast(null as int)", completion_tokens="cast(null as int)", **common),
+        pick("customer", id="concat('c', c_custkey)", parent_run_id="concat('n', c_nationkey)", type="'chat'", name="c_mktsegment",
+             created_at=at("c_custkey"), cost="cast(null as double)", prompt_tokens="cast(null as int)", completion_tokens="cast(null as int)", **common),
+        pick("orders", id="concat('o', o_orderkey)", parent_run_id="concat('c', o_custkey)", type="'agent'", name="o_orderpriority",
+             created_at="cast(o_orderdate as timestamp)", cost="cast(null as double)", prompt_tokens="cast(null as int)", completion_tokens="cast(null as int)", **common),
+        pick("lineitem", id="concat('l', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)", parent_run_id="concat('o', l_orderkey)", type="'llm'", name="l_returnflag",
+             created_at="cast(l_shipdate as timestamp)", cost="l_extendedprice * (1 - l_discount)", prompt_tokens="cast(l_quantity as int)", completion_tokens="l_linenumber", **common),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+TRADE_SQL = """
+SELECT 'r' || r_regionkey AS id, NULL AS parent_run_id, 'agent' AS type, r_name AS name, NULL::DOUBLE AS cost, NULL::INT AS prompt_tokens, NULL::INT AS completion_tokens FROM region
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'chain', n_name, NULL, NULL, NULL FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'chat', c_mktsegment, NULL, NULL, NULL FROM customer
+UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'agent', o_orderpriority, NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'o' || l_orderkey, 'llm', l_returnflag,
+  l_extendedprice * (1 - l_discount), CAST(l_quantity AS INT), l_linenumber FROM lineitem
+"""
+
+
+def org_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of an organisation (region) with its projects (nations): one llm run per line item, model = brand."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    c, n, r = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
+    p = table(spark, d, "part")
+    return (
+        li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+        .join(r, n.n_regionkey == r.r_regionkey).join(p, li.l_partkey == p.p_partkey)
+        .select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+            F.col("r_name").alias("org_id"), F.col("n_name").alias("project_id"), F.lit("llm").alias("type"),
+            F.col("p_brand").alias("name"), F.col("l_shipdate").cast("timestamp").alias("created_at"),
+            F.col("l_quantity").cast("int").alias("prompt_tokens"), F.col("l_linenumber").alias("completion_tokens"),
+            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("cost"), F.lit("success").alias("status"),
+            F.lit(2.0).alias("duration_s"),
+        )
+    )
+
+
+ORG_SQL = """
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, r_name AS org_id, n_name AS project_id, p_brand AS name,
+ l_shipdate AS created_at, CAST(l_quantity AS INT) AS prompt_tokens, l_linenumber AS completion_tokens, l_extendedprice * (1 - l_discount) AS cost
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
+"""
+SQL_VIEWS.update({"trade_node": TRADE_SQL, "org_run": ORG_SQL})

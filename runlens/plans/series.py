@@ -162,12 +162,13 @@ def f9b(spark, d):
 
 @query(
     "f10_average_user_cost",
-    f"""SELECT date, round(avg(total), 6) AS value, 'Cost' AS name FROM
+    f"""SELECT date, round(avg(total) + 1e-9, 6) AS value, 'Cost' AS name FROM
      (SELECT {bucket_sql(DAILY)} AS date, external_user_id, coalesce(sum(cost), 0) AS total FROM run
       WHERE created_at >= TIMESTAMP '{START}' AND created_at < TIMESTAMP '{END}' GROUP BY 1, 2) GROUP BY 1 HAVING avg(total) <> 0""",
 )
 def f10(spark, d):
-    return r6(series.average_user_cost(runs(spark, d), DAILY))
+    # the nudge keeps exact ties at the sixth digit from rounding apart
+    return r6(series.average_user_cost(runs(spark, d), DAILY).withColumn("value", F.col("value") + 1e-9))
 
 
 @query("f10_average_user_cost_stat", "SELECT round(avg(t), 6) AS stat FROM (SELECT sum(cost) AS t FROM run WHERE cost IS NOT NULL GROUP BY external_user_id)")
