@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 
 def tokens(text: Column) -> Column:
@@ -17,26 +19,46 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
 
-def _hits(ref: Column, hyp: Column) -> Column:
-    """How many hypothesis tokens occur in the reference (a repeated token counts each time)."""
-    known = F.array_distinct(ref)
-    # one pass over the distinct overlap, weighted by the hypothesis counts
-    shared = F.array_intersect(hyp, known)
-    return F.size(F.filter(hyp, lambda t: F.array_contains(shared, t)))
+OVERLAP = StructType(
+    [StructField(n, LongType()) for n in ("hits", "ref_size", "hyp_size")]
+    + [StructField(n, DoubleType()) for n in ("dot", "ref_sq", "hyp_sq")]
+)
+
+
+@pandas_udf(OVERLAP)
+def _overlap(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    rows = []
+    for r, h in zip(ref, hyp):
+        a, b = Counter((r or "").split()), Counter((h or "").split())
+        shared = a.keys() & b.keys()
+        rows.append((
+            sum(b[t] for t in shared), a.total(), b.total(), float(sum(a[t] * b[t] for t in shared)),
+            float(sum(n * n for n in a.values())), float(sum(n * n for n in b.values())),
+        ))
+    return pd.DataFrame(rows, columns=["hits", "ref_size", "hyp_size", "dot", "ref_sq", "hyp_sq"])
+
+
+def overlap(ref: Column, hyp: Column) -> Column:
+    """struct of token counts of a text pair, linear in its length: hits (hypothesis tokens known to
+    the reference, with repeats), sizes, and the dot product and squares of the term counts."""
+    return _overlap(ref, hyp)
+
+
+def bleu_of(o: Column) -> Column:
+    return _ratio(o["hits"], o["hyp_size"])
 
 
-def bleu_like(ref: Column, hyp: Column) -> Column:
-    r, h = tokens(ref), tokens(hyp)
-    return _ratio(_hits(r, h), F.size(h))
+def rouge_of(o: Column) -> Column:
+    return _ratio(o["hits"], o["ref_size"])
 
 
-def rouge_like(ref: Column, hyp: Column) -> Column:
-    r, h = tokens(ref), tokens(hyp)
-    return _ratio(_hits(r, h), F.size(r))
+def gleu_of(o: Column) -> Column:
+    return F.sqrt(bleu_of(o) * rouge_of(o))
 
 
-def gleu_like(ref: Column, hyp: Column) -> Column:
-    return F.sqrt(bleu_like(ref, hyp) * rouge_like(ref, hyp))
+def cosine_of(o: Column) -> Column:
+    norm = F.sqrt(o["ref_sq"]) * F.sqrt(o["hyp_sq"])
+    return _ratio(o["dot"], norm)
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..functions import similarity as S
 
-METHODS = {
-    "cosine": None,  # term counts; see term_cosine
-    "bleu": S.bleu_like,
-    "rouge": S.rouge_like,
-    "gleu": S.gleu_like,
-    "fuzzy": S.fuzzy_ratio,
-}
+# score of each method; the token methods share one overlap struct per row
+TOKEN_METHODS = {"cosine": S.cosine_of, "bleu": S.bleu_of, "rouge": S.rouge_of, "gleu": S.gleu_of}
+METHODS = (*TOKEN_METHODS, "fuzzy")
 
 
 def with_reference(runs: DataFrame, references: DataFrame, items: int = 40) -> DataFrame:
@@ -23,31 +19,23 @@ def with_reference(runs: DataFrame, references: DataFrame, items: int = 40) -> D
     return runs.withColumn("_item", F.col("doc_id") % items).join(refs, "_item").drop("_item")
 
 
-def term_cosine(df: DataFrame, key: str, ref: Column, hyp: Column, name: str = "score") -> DataFrame:
-    """Cosine of term counts per row. Terms are exploded and counted, so long texts stay linear."""
-    side = lambda c, r, h: df.select(key, F.explode(S.tokens(c)).alias("term"), F.lit(r).alias("r"), F.lit(h).alias("h"))
-    counts = (
-        side(ref, 1, 0).unionAll(side(hyp, 0, 1)).groupBy(key, "term")
-        .agg(F.sum("r").cast("double").alias("r"), F.sum("h").cast("double").alias("h"))
-    )
-    sums = counts.groupBy(key).agg(
-        F.sum(F.col("r") * F.col("h")).alias("_dot"), F.sum(F.col("r") * F.col("r")).alias("_rr"), F.sum(F.col("h") * F.col("h")).alias("_hh")
-    )
-    norm = F.sqrt("_rr") * F.sqrt("_hh")
-    scored = sums.select(key, F.when(norm == 0, F.lit(0.0)).otherwise(F.col("_dot") / norm).alias(name))
-    return df.join(scored, key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+def with_overlap(df: DataFrame, ref: Column, hyp: Column) -> DataFrame:
+    """Adds the overlap struct once, for any number of token scores."""
+    return df.withColumn("overlap", S.overlap(ref, hyp))
 
 
-def evaluate(df: DataFrame, key: str, ref: Column, hyp: Column, method: str = "cosine", threshold: float | None = None) -> DataFrame:
-    """Adds score and passed; threshold is clamped to [0, 1], default 0.5."""
-    bound = min(max(0.5 if threshold is None else float(threshold), 0.0), 1.0)
+def score_pair(df: DataFrame, ref: Column, hyp: Column, method: str = "cosine") -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    if method == "cosine":
-        out = term_cosine(df, key, ref, hyp)
-    else:
-        out = df.withColumn("score", METHODS[method](ref, hyp))
-    return out.withColumn("passed", F.col("score") >= bound)
+    if method == "fuzzy":
+        return df.withColumn("score", S.fuzzy_ratio(ref, hyp))
+    return with_overlap(df, ref, hyp).withColumn("score", TOKEN_METHODS[method](F.col("overlap"))).drop("overlap")
+
+
+def evaluate(df: DataFrame, ref: Column, hyp: Column, method: str = "cosine", threshold: float | None = None) -> DataFrame:
+    """Adds score and passed; threshold is clamped to [0, 1], default 0.5."""
+    bound = min(max(0.5 if threshold is None else float(threshold), 0.0), 1.0)
+    return score_pair(df, ref, hyp, method).withColumn("passed", F.col("score") >= bound)
 
 
 def compare_text(text: Column, comparator: str, target: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters, relations, series  # noqa: F401
+from . import filters, ingest, pricing, relations, series, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
