@@ -22,10 +22,12 @@ def side_of(role: Column) -> Column:
     return F.when(role.isin(*OUTPUT_ROLES), "output").when(role.isin(*INPUT_ROLES), "input")
 
 
-def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600, carried: DataFrame | None = None) -> DataFrame:
     """Adds exchange (1, 2, … per thread), input_group, side and previous_id to every message.
 
     ``messages`` has thread_id, id, timestamp, role, content, is_retry and is_custom (both optional).
+    ``carried`` is the ``thread_state`` of earlier messages; with it a later batch goes on where the
+    last one stopped.
     """
     d = messages
     for c in ("is_retry", "is_custom"):
@@ -38,6 +40,15 @@ def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600) -> DataFra
         d, ["thread_id"], order, chunk,
         {"previous_id": F.col("id"), "_pside": F.coalesce("side", F.lit("other")), "_pcustom": F.col("is_custom")},
     )
+    if carried is not None:
+        before = carried.select(
+            "thread_id", F.col("last_id").alias("_lid"), F.col("last_side").alias("_lside"), F.col("last_custom").alias("_lcustom"),
+            F.col("exchange").alias("_e0"), F.col("input_group").alias("_g0"),
+        )
+        opening = F.col("previous_id").isNull()
+        d = d.join(before, "thread_id", "left")
+        for now, old in (("_pside", "_lside"), ("_pcustom", "_lcustom"), ("previous_id", "_lid")):
+            d = d.withColumn(now, F.when(opening, F.col(old)).otherwise(F.col(now)))
     first = F.col("previous_id").isNull()
     opens = (
         first | F.col("is_custom") | F.col("is_retry") | F.coalesce(F.col("_pcustom"), F.lit(False)) | F.col("side").isNull()
@@ -49,9 +60,25 @@ def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600) -> DataFra
         d, ["thread_id"], order, chunk,
         {"exchange": F.col("_open"), "input_group": F.when(F.col("inherits"), 0).otherwise(F.col("_open")).cast("long")},
     )
+    if carried is not None:
+        for c, start in (("exchange", "_e0"), ("input_group", "_g0")):
+            d = d.withColumn(c, F.col(c) + F.coalesce(start, F.lit(0)))
+        d = d.drop("_lid", "_lside", "_lcustom", "_e0", "_g0")
     return d.drop("_open", "_pside", "_pcustom")
 
 
+def thread_state(tagged: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """What a later batch needs of each thread: last message, its side, and the counters. One row per thread."""
+    seq = F.struct("timestamp", "id")
+    last = tagged.groupBy("thread_id").agg(
+        F.max_by(F.struct(F.col("id").alias("last_id"), F.coalesce("side", F.lit("other")).alias("last_side"), F.col("is_custom").alias("last_custom")), seq).alias("l"),
+        F.max("exchange").alias("exchange"), F.max("input_group").alias("input_group"),
+    ).select("thread_id", "l.*", "exchange", "input_group")
+    if carried is None:
+        return last
+    return carried.join(last.select("thread_id"), "thread_id", "left_anti").unionByName(last)
+
+
 def exchanges(tagged: DataFrame) -> DataFrame:
     """One row per exchange: id is the last message received, created_at the first, ended_at the last."""
     seq = F.struct("timestamp", "id")

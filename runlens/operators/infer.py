@@ -84,13 +84,17 @@ COMMON_WORDS = {
 }
 
 
+def _count_of(words: Column, wanted: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(wanted)))
+
+
 def detect_language(text: Column) -> Column:
     """struct(isoCode, confidence) or null: short texts and unsure answers give null.
 
     Confidence is the share of the winner among the recognised common words.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    hits = {lang: F.size(F.filter(words, lambda w, ws=ws: w.isin(ws))) for lang, ws in COMMON_WORDS.items()}
+    hits = {lang: _count_of(words, ws) for lang, ws in COMMON_WORDS.items()}
     ranked = F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("isoCode")) for lang, n in hits.items()])
     best = F.array_max(ranked)
     total = F.aggregate(ranked, F.lit(0), lambda s, x: s + x["n"])
@@ -113,12 +117,12 @@ def detect_pii(text: Column, types: list[str] | None = None, custom: dict[str, s
     """array<struct(type, entity)> over a text."""
     wanted = {k: v for k, v in PII_PATTERNS.items() if types is None or k in types}
     wanted.update(custom or {})
-    found = F.concat(
-        *[
-            F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda e, k=k: F.struct(F.lit(k).alias("type"), e.alias("entity")))
-            for k, p in wanted.items()
-        ]
-    )
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(hits, lambda e: F.struct(F.lit(kind).alias("type"), e.alias("entity")))
+
+    found = F.concat(*[of_kind(k, p) for k, p in wanted.items()])
     return F.filter(found, lambda e: ~e["entity"].isin(excluded)) if excluded else found
 
 
@@ -126,7 +130,7 @@ def tag_topics(text: Column, topics: list[str]) -> Column:
     """array<struct(topic, score)>: topics whose word occurs, with their share of the words."""
     words = tokens(F.lower(text))
     total = F.greatest(F.size(words), F.lit(1))
-    scored = F.array(*[F.struct(F.lit(t).alias("topic"), (F.size(F.filter(words, lambda w, t=t: w == t.lower())) / total).alias("score")) for t in topics])
+    scored = F.array(*[F.struct(F.lit(t).alias("topic"), (_count_of(words, [t.lower()]) / total).alias("score")) for t in topics])
     return F.filter(scored, lambda s: s["score"] > 0)
 
 
@@ -138,7 +142,7 @@ NEGATIVE = ["bad", "terrible", "hate", "awful", "angry", "worst", "wrong", "brok
 def score_sentiment(text: Column) -> Column:
     """struct(label, score): 0.5 when short or undecided, stars out of five otherwise."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    up, down = (F.size(F.filter(words, lambda w, ws=ws: w.isin(ws))) for ws in (POSITIVE, NEGATIVE))
+    up, down = (_count_of(words, ws) for ws in (POSITIVE, NEGATIVE))
     seen = up + down
     stars = F.when(seen == 0, F.lit(2.5)).otherwise(F.ceil(F.lit(1) + 4 * up / seen).cast("double"))
     score = F.when((F.length(text) < 10) | (seen == 0), F.lit(0.5)).otherwise(F.round(stars / 5, 2))

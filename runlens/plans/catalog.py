@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters, ingest, pricing, relations, series, text  # noqa: F401
+from . import datasets, filters, ingest, pricing, relations, series, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

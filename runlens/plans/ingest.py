@@ -26,9 +26,8 @@ SELECT event_id, ts, user_id, event_type, value, props, CAST(json_extract(props,
 """
 
 
-def log_lines(spark, d):
-    """One JSON text per run: an array of its start, its end or error, and its feedback."""
-    e = fx.table(spark, d, "events")
+def log_lines(e):
+    """One JSON text per row of events: an array of a run's start, its end or error, and its feedback."""
     k = F.get_json_object("props", "$.k")
     kind = F.when(F.col("event_type") == "click", "tool").when(F.col("event_type") == "purchase", "agent").when(F.col("event_type") == "signup", "chain").otherwise("llm")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -56,7 +55,7 @@ def log_lines(spark, d):
 
 
 def parsed(spark, d):
-    return ev.parse_events(log_lines(spark, d))
+    return ev.parse_events(log_lines(fx.table(spark, d, "events")))
 
 
 def log(spark, d):

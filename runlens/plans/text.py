@@ -83,7 +83,7 @@ def l12(spark, d):
 
 @query("l13_score_extraction", "SELECT id, cost AS score FROM run")
 def l13(spark, d):
-    return fx.runs(spark, d).select("id", T.extract_score(F.concat(L("Score: "), F.format_number("cost", "0.00"), L(" of 100"))).alias("score"))
+    return fx.runs(spark, d).select("id", T.extract_score(F.concat(L("Score: "), F.format_string("%.2f", "cost"), L(" of 100"))).alias("score"))
 
 
 # --- M
