@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .skew import bounded_lists, running_sum, time_chunk, with_neighbour
 
 OUTPUT_ROLES = ("assistant", "tool", "bot")
@@ -113,7 +114,7 @@ def chat_messages(tagged: DataFrame) -> DataFrame:
 def chat_runs(messages: DataFrame, limit: int = 10_000) -> DataFrame:
     """Exchanges with input and output arrays; an exchange with more than ``limit`` messages on one
     side keeps only its counts here, its messages are in ``chat_messages``."""
-    tagged = exchange_messages(messages)
+    tagged = cut_lineage(exchange_messages(messages))
     long = chat_messages(tagged).withColumnRenamed("thread_id", "parent_run_id")
     item, order = F.struct("role", "content"), F.struct("timestamp", "id")
     keys = ["parent_run_id", "exchange"]

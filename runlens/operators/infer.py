@@ -7,6 +7,7 @@ pandas batches, run by ``mapInPandas`` wherever the rows are.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -84,8 +85,14 @@ COMMON_WORDS = {
 }
 
 
-def _count_of(words: Column, wanted: list[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(wanted)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _count_of(text: Column, wanted: list[str]) -> Column:
+    """Whole words of a lower-case text among ``wanted``: one regex scan, no word array."""
+    return F.regexp_count(text, F.lit(r"(?<!\p{L})(?:" + "|".join(wanted) + r")(?!\p{L})"))
 
 
 def detect_language(text: Column) -> Column:
@@ -93,14 +100,15 @@ def detect_language(text: Column) -> Column:
 
     Confidence is the share of the winner among the recognised common words.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    hits = {lang: _count_of(words, ws) for lang, ws in COMMON_WORDS.items()}
-    ranked = F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("isoCode")) for lang, n in hits.items()])
-    best = F.array_max(ranked)
-    total = F.aggregate(ranked, F.lit(0), lambda s, x: s + x["n"])
-    confidence = F.when(total > 0, best["n"] / total)
-    answer = F.struct(best["isoCode"].alias("isoCode"), confidence.alias("confidence"))
-    return F.when((F.length(text) >= MIN_LANGUAGE_CHARS) & (confidence >= MIN_CONFIDENCE), answer)
+
+    def decide(hits: Column) -> Column:
+        best, total = F.array_max(hits), F.aggregate(hits, F.lit(0), lambda s, x: s + x["n"])
+        confidence = best["n"] / total
+        return F.when((total > 0) & (confidence >= MIN_CONFIDENCE), F.struct(best["isoCode"].alias("isoCode"), confidence.alias("confidence")))
+
+    low = F.lower(text)
+    hits = F.array(*[F.struct(_count_of(low, ws).alias("n"), F.lit(lang).alias("isoCode")) for lang, ws in COMMON_WORDS.items()])
+    return F.when(F.length(text) >= MIN_LANGUAGE_CHARS, let(hits, decide))
 
 
 # fixed values: entity patterns
@@ -128,10 +136,12 @@ def detect_pii(text: Column, types: list[str] | None = None, custom: dict[str, s
 
 def tag_topics(text: Column, topics: list[str]) -> Column:
     """array<struct(topic, score)>: topics whose word occurs, with their share of the words."""
-    words = tokens(F.lower(text))
-    total = F.greatest(F.size(words), F.lit(1))
-    scored = F.array(*[F.struct(F.lit(t).alias("topic"), (_count_of(words, [t.lower()]) / total).alias("score")) for t in topics])
-    return F.filter(scored, lambda s: s["score"] > 0)
+    low = F.lower(text)
+    total = F.greatest(F.regexp_count(low, F.lit(r"\S+")), F.lit(1))
+    count = lambda t: F.regexp_count(low, F.lit(r"(?<!\S)" + re.escape(t.lower()) + r"(?!\S)"))
+    scored = F.array(*[F.struct(F.lit(t).alias("topic"), count(t).alias("n")) for t in topics])
+    found = F.filter(scored, lambda s: s["n"] > 0)
+    return let(total, lambda all_words: F.transform(found, lambda s: F.struct(s["topic"].alias("topic"), (s["n"] / all_words).alias("score"))))
 
 
 # fixed values: small sentiment lexicon
@@ -141,13 +151,15 @@ NEGATIVE = ["bad", "terrible", "hate", "awful", "angry", "worst", "wrong", "brok
 
 def score_sentiment(text: Column) -> Column:
     """struct(label, score): 0.5 when short or undecided, stars out of five otherwise."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-    up, down = (_count_of(words, ws) for ws in (POSITIVE, NEGATIVE))
-    seen = up + down
-    stars = F.when(seen == 0, F.lit(2.5)).otherwise(F.ceil(F.lit(1) + 4 * up / seen).cast("double"))
-    score = F.when((F.length(text) < 10) | (seen == 0), F.lit(0.5)).otherwise(F.round(stars / 5, 2))
-    label = F.when(score >= 0.7, "positive").when(score <= 0.4, "negative").otherwise("neutral")
-    return F.struct(label.alias("label"), score.alias("score"))
+    low = F.lower(text)
+
+    def rate(n: Column) -> Column:
+        seen = n["up"] + n["down"]
+        stars = F.ceil(F.lit(1) + 4 * n["up"] / seen).cast("double")
+        score = F.when((F.length(text) < 10) | (seen == 0), F.lit(0.5)).otherwise(F.round(stars / 5, 2))
+        return let(score, lambda x: F.struct(F.when(x >= 0.7, "positive").when(x <= 0.4, "negative").otherwise("neutral").alias("label"), x.alias("score")))
+
+    return let(F.struct(_count_of(low, POSITIVE).alias("up"), _count_of(low, NEGATIVE).alias("down")), rate)
 
 
 def user_sentiments(input_: Column) -> Column:

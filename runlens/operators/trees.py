@@ -32,26 +32,35 @@ def roots(runs: DataFrame, max_depth: int = MAX_DEPTH, stop: Column | None = Non
     is_top = F.col("parent_run_id").isNull()
     if stop is not None:
         is_top = is_top | F.coalesce(stop, F.lit(False))
-    nodes = runs.select("id", F.when(~is_top, F.col("parent_run_id")).alias("anc"))
-    known = nodes.select(F.col("id").alias("_p"))
-    # a missing parent makes the run a root
-    nodes = (
-        nodes.join(known, F.col("anc") == F.col("_p"), "left")
-        .select("id", F.coalesce("_p", F.col("id")).alias("anc"), F.when(F.col("_p").isNotNull(), 1).otherwise(0).alias("depth"))
+    edges = cut_lineage(runs.select("id", F.when(~is_top, F.col("parent_run_id")).alias("anc")))
+    # a missing parent makes the run a root; a parent without a parent ends the search at once
+    parents = edges.select(F.col("id").alias("_p"), F.col("anc").alias("_up"))
+    state = cut_lineage(
+        edges.join(parents, F.col("anc") == F.col("_p"), "left").select(
+            "id", F.coalesce("_p", "id").alias("anc"), F.when(F.col("_p").isNotNull(), 1).otherwise(0).alias("depth"),
+            (F.col("_p").isNull() | F.col("_up").isNull()).alias("done"),
+        )
     )
-    ptr = cut_lineage(nodes)
-    for _ in range(max(1, math.ceil(math.log2(max_depth)))):
-        hop = ptr.where("anc != id").select(F.col("id").alias("_i"), F.col("anc").alias("_a"), F.col("depth").alias("_d"))
-        if _empty(hop.join(ptr.where("anc != id").select(F.col("anc").alias("_i")), "_i", "left_semi")):
+    finished = [state.where("done")]
+    for _ in range(math.ceil(math.log2(max_depth)) + 1):
+        asking = state.where("not done")
+        if _empty(asking):
             break
-        ptr = cut_lineage(
-            ptr.join(hop, F.col("anc") == F.col("_i"), "left").select(
-                "id", F.coalesce("_a", "anc").alias("anc"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")
+        # only unresolved rows ask; everything already known answers
+        known = finished[0]
+        for f in finished[1:]:
+            known = known.unionAll(f)
+        answers = known.unionAll(asking).select(F.col("id").alias("_i"), F.col("anc").alias("_a"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
+        state = cut_lineage(
+            asking.join(answers, F.col("anc") == F.col("_i"), "left").select(
+                "id", F.coalesce("_a", "anc").alias("anc"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done")
             )
         )
-    tops = ptr.where("anc = id").select(F.col("id").alias("root_id"))
-    resolved = ptr.join(tops, F.col("anc") == F.col("root_id"), "left_semi").where(F.col("depth") <= max_depth)
-    return resolved.select("id", F.col("anc").alias("root_id"), "depth")
+        finished.append(state.where("done"))
+    out = finished[0]
+    for f in finished[1:]:
+        out = out.unionAll(f)
+    return out.where(F.col("depth") <= max_depth).select("id", F.col("anc").alias("root_id"), "depth")
 
 
 def descendants(runs: DataFrame, starts: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -437,7 +437,7 @@ def b23(spark, d):
      UNION ALL SELECT run_id, 'feedback', true, NULL FROM logged WHERE event_type IN ('purchase','error')""",
 )
 def b24(spark, d):
-    e = log(spark, d).where(~((F.col("event") == "start") & (F.coalesce("name", L("")) == "view"))).withColumn("event_no", F.xxhash64("raw"))
+    e = log(spark, d).where(~((F.col("event") == "start") & (F.coalesce("name", L("")) == "view"))).withColumn("event_no", F.xxhash64("run_id", "event", "ts"))
     return clean.report(e).select("run_id", "event", "success", "error")
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import alerts, infer, retention
 
 from ..operators import clean
-from ..session import checkpoint_dir
+from ..session import shared_folder
 from ..sources import events as ev
 from ..streaming import sinks, stateful
 from ..streaming.chat import chat_job
@@ -132,7 +130,7 @@ def e12(spark, d):
 
 # --- streaming twins: run over the files with an availableNow trigger
 def _work(spark) -> str:
-    return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def stream(spark, d, name):
@@ -192,7 +190,7 @@ def stream_duplicates(spark, d):
     """Every start is sent twice; the second one inside the watermark is rejected."""
     work = _work(spark)
     e = stream(spark, d, "events")
-    rows = e.select(F.explode(F.array(F.col("event_id"), F.col("event_id"))).cast("string").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
+    rows = e.select(F.col("event_id").cast("string").alias("one"), F.col("ts").cast("timestamp").alias("created_at")).select(F.explode(F.array("one", "one")).alias("id"), "created_at")
     seen = rows.withWatermark("created_at", "10 minutes").dropDuplicatesWithinWatermark(["id"])
     q = seen.writeStream.format("parquet").outputMode("append").option("path", f"{work}/out").option("checkpointLocation", f"{work}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()

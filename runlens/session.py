@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +50,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared checkpoint directory."""
+    return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the data survives executor loss and the plan starts afresh."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and go on from there.
+
+    The data survives executor loss, the plan starts afresh, is computed once, and the
+    optimizer knows the size of what it reads next.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

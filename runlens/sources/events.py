@@ -4,43 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import EVENT, TOKENS
 
 
-def snake(key: Column) -> Column:
-    """camelCase, kebab-case and snake_case keys → snake_case."""
-    spaced = F.regexp_replace(key, "([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.regexp_replace(spaced, "-", "_"))
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(w.capitalize() for w in rest)
 
 
-def _items(value: Column) -> Column:
-    """A single event, an array, an ``events`` envelope, or one-element nested arrays → array of event texts."""
-    body = F.coalesce(F.get_json_object(value, "$.events"), value)
-    as_list = F.when(F.substring(F.ltrim(body), 1, 1) == "[", F.from_json(body, "array<string>")).otherwise(F.array(body))
-    flat = F.transform(
-        as_list, lambda e: F.when(F.substring(F.ltrim(e), 1, 1) == "[", F.get_json_object(e, "$[0]")).otherwise(e)
+def _spellings(name: str) -> list[str]:
+    """A field may come as snake_case, camelCase or kebab-case."""
+    return list(dict.fromkeys([name, _camel(name), name.replace("_", "-")]))
+
+
+def _wire_schema() -> T.StructType:
+    usage = T.StructType([T.StructField(n, T.IntegerType()) for f in TOKENS.fields for n in _spellings(f.name)])
+    return T.StructType(
+        [T.StructField(n, usage if f.name == "tokens_usage" else T.StringType()) for f in EVENT.fields for n in _spellings(f.name)]
     )
-    return flat
 
 
-def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Rows of JSON text → typed events with snake_case keys; ``raw`` keeps the text of each event."""
-    exploded = lines.select(F.explode(_items(F.col(value))).alias("raw"))
-    keyed = exploded.withColumn("_m", F.transform_keys(F.from_json("raw", "map<string,string>"), lambda k, v: snake(k)))
+WIRE = _wire_schema()
+
+
+def _pick(node: Column, name: str) -> Column:
+    return F.coalesce(*[node[n] for n in _spellings(name)])
+
+
+def _event(node: Column) -> list[Column]:
     cols = []
     for f in EVENT.fields:
+        value = _pick(node, f.name)
         if f.name == "tokens_usage":
-            text = F.col("_m")["tokens_usage"]
-            num = lambda k: F.get_json_object(text, f"$.{k}").cast("int")
-            usage = F.struct(
-                num("prompt").alias("prompt"), num("completion").alias("completion"),
-                F.coalesce(num("promptCached"), num("prompt_cached")).alias("prompt_cached"),
-            ).cast(TOKENS)
-            cols.append(F.when(text.isNotNull(), usage).alias("tokens_usage"))
-        else:
-            cols.append(F.col("_m")[f.name].alias(f.name))
-    return keyed.select("raw", *cols)
+            value = F.when(value.isNotNull(), F.struct(*[_pick(value, t.name).alias(t.name) for t in TOKENS.fields]))
+        cols.append(value.alias(f.name))
+    return cols
+
+
+def _nested_items(value: Column) -> Column:
+    """Envelopes and nested arrays → array of event texts."""
+    body = F.coalesce(F.get_json_object(value, "$.events"), value)
+    listed = F.when(F.substring(F.ltrim(body), 1, 1) == "[", F.from_json(body, "array<string>")).otherwise(F.array(body))
+    return F.transform(listed, lambda e: F.when(F.substring(F.ltrim(e), 1, 1) == "[", F.get_json_object(e, "$[0]")).otherwise(e))
+
+
+def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Rows of JSON text (one event, an array, an ``events`` envelope, one-element nested arrays) → typed
+    events with snake_case names. Plain events and arrays are parsed once, straight into their columns."""
+    text = F.col(value)
+    plain = F.from_json(text, T.ArrayType(WIRE))
+    lacks = lambda n: n.isNull() | (_pick(n, "type").isNull() & _pick(n, "event").isNull() & _pick(n, "run_id").isNull())
+    # whatever does not look like events on the first try is unwrapped the long way
+    items = lines.select(text.alias("_t"), plain.alias("_plain"))
+    odd = F.col("_plain").isNull() | F.exists("_plain", lacks)
+    unwrapped = F.transform(_nested_items(F.col("_t")), lambda t: F.from_json(t, WIRE))
+    nodes = items.select(F.explode(F.when(odd, unwrapped).otherwise(F.col("_plain"))).alias("_e"))
+    return nodes.select(*_event(F.col("_e")))
 
 
 def read_events(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:

@@ -56,6 +56,10 @@ class RunState:
                 if k not in self.d["fb"] or seq >= self.d["fb"][k][0]:
                     self.d["fb"][k] = [seq, v]
 
+    def latest_ms(self) -> int:
+        marks = [x[0][0] for x in (self.d["start"], self.d["end"], *self.d["fb"].values()) if x]
+        return max(marks, default=0) // 1000
+
     def row(self, run_id: str) -> dict | None:
         s, e = self.d["start"], self.d["end"]
         if s is None:
@@ -74,7 +78,7 @@ class RunState:
 
 
 class RunFold(StatefulProcessor):
-    """Emits the current row of a run whenever it changes; a run without a start is forgotten after ``wait_ms``."""
+    """Emits the current row of a run whenever it changes; state is dropped ``wait_ms`` after its last event."""
 
     def __init__(self, wait_ms: int = 3_600_000):
         self.wait_ms = wait_ms
@@ -84,14 +88,15 @@ class RunFold(StatefulProcessor):
         self.state = handle.getValueState("run", FOLD_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fold = RunState(json.loads(self.state.get()[0]) if self.state.exists() else None)
+        # every call on the handle is a round trip to the JVM: one read, one write, one timer per new run
+        stored = self.state.get()
+        fold = RunState(json.loads(stored[0]) if stored else None)
         for frame in rows:
             for e in frame.to_dict("records"):
                 fold.add({k: _none(v) for k, v in e.items()})
         self.state.update((json.dumps(fold.d),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + self.wait_ms)
+        if not stored:
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), fold.latest_ms()) + self.wait_ms)
         row = fold.row(key[0])
         if row is not None:
             out = pd.DataFrame([row])
@@ -100,7 +105,12 @@ class RunFold(StatefulProcessor):
             yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        stored = self.state.get()
+        due = RunState(json.loads(stored[0])).latest_ms() + self.wait_ms if stored else 0
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)  # events came since: wait on
+        else:
+            self.state.clear()
         yield pd.DataFrame()
 
     def close(self) -> None:
