@@ -39,7 +39,7 @@ def trailing(runs: DataFrame, keys: list[str], minutes: int, fill: bool = True)
     # a day's chunk keeps long histories of one key in separate tasks; each chunk brings the minutes before it
     day = F.floor(secs / 86400)
     spread = base.withColumn("_s", secs).withColumn(
-        "_chunk", F.explode(F.array_distinct(F.array(day, F.floor((secs + F.lit(60 * (minutes - 1))) / 86400))))
+        "_chunk", F.explode(F.sequence(day, F.floor((secs + F.lit(60 * (minutes - 1))) / 86400)))
     )
     w = W.partitionBy(*keys, "_chunk").orderBy("_s").rangeBetween(-60 * (minutes - 1), 0)
     total = lambda c, zero: F.coalesce(F.sum(c).over(w), F.lit(zero)).alias(c)

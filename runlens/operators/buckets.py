@@ -36,6 +36,14 @@ def bucket_spine(spark: SparkSession, start, end, tz: str = "UTC", granularity:
     )
 
 
+def spine_per_row(df: DataFrame, start, end, tz: str = "UTC", granularity: str = "daily") -> DataFrame:
+    """Repeats every row of a small table for every bucket of [start, end), as column ``date``."""
+    unit, step = unit_of(granularity), F.expr(step_of(granularity))
+    local = lambda c: F.date_trunc(unit, F.from_utc_timestamp(c, tz))
+    stop = _ts(end) - F.expr("interval 1 microsecond")
+    return df.withColumn("date", F.explode(F.sequence(local(_ts(start)), local(stop), step))).withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
 def spine_of(runs: DataFrame, tz: str = "UTC", granularity: str = "daily") -> DataFrame:
     """The spine that covers the whole of ``runs``."""
     bounds = runs.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).where("lo is not null")

@@ -21,17 +21,14 @@ EVENT_TYPES = ("llm", "chain", "agent", "tool", "log", "embed", "retriever", "ch
 def run_uuid(run_id: Column | str) -> Column:
     """Ids of 36 characters (or empty) stay; others become a UUID-shaped digest."""
     c = F.col(run_id) if isinstance(run_id, str) else run_id
-    h = F.sha2(c, 256)
-    part = lambda start, length: F.substring(h, start + 1, length)
-    made = F.concat(part(0, 8), F.lit("-"), part(8, 4), F.lit("-4"), part(13, 3), F.lit("-a"), part(17, 3), F.lit("-"), part(20, 12))
+    # one digest, cut by one pattern
+    made = F.regexp_replace(F.sha2(c, 256), "^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$", "$1-$2-4$3-a$4-$5")
     return F.when(F.length(c).isin(0, 36), c).otherwise(made)
 
 
 def sdk_run_uuid(run_id: Column, project_id: Column) -> Column:
     """UUID text from the first 32 hex digits of sha256(run_id ++ project_id)."""
-    h = F.sha2(F.concat(run_id, project_id), 256)
-    cut = lambda start, length: F.substring(h, start + 1, length)
-    return F.concat_ws("-", cut(0, 8), cut(8, 4), cut(12, 4), cut(16, 4), cut(20, 12))
+    return F.regexp_replace(F.sha2(F.concat(run_id, project_id), 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
 
 
 def _snake(key: str) -> str:
@@ -72,11 +69,11 @@ def normalize_keys(texts: pd.Series) -> pd.Series:
 def clean_metadata(col: Column | str) -> Column:
     """First-level scalars, arrays of scalars and the key ``enrichment``."""
     m = J.as_variant_map(col)
-    scalar = "^(STRING|BOOLEAN|BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"
-    listed = "^ARRAY<(STRING|BOOLEAN|BIGINT|DECIMAL.*|DOUBLE|VOID)>$"
-    mixed = lambda v: F.forall(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x).rlike(scalar))
+    flat = "STRING|BOOLEAN|BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT"
+    known = f"^({flat}|ARRAY<({flat}|VOID)>)$"
+    mixed = lambda v: F.forall(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x).rlike(f"^({flat})$"))
     shape = lambda v: F.schema_of_variant(v)
-    keep = lambda k, v: (k == "enrichment") | shape(v).rlike(scalar) | shape(v).rlike(listed) | (shape(v).startswith("ARRAY<VARIANT") & mixed(v))
+    keep = lambda k, v: (k == "enrichment") | shape(v).rlike(known) | (shape(v).startswith("ARRAY<VARIANT") & mixed(v))
     return F.to_json(F.map_filter(m, keep))
 
 

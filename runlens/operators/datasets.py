@@ -17,9 +17,7 @@ ITEM_COLUMNS = ("input", "ground_truth", "output")
 
 def new_id(*parts: Column) -> Column:
     """Deterministic id, so a recomputed task writes the same row."""
-    h = F.sha2(F.concat_ws("|", *parts), 256)
-    cut = lambda a, n: F.substring(h, a + 1, n)
-    return F.concat_ws("-", cut(0, 8), cut(8, 4), cut(12, 4), cut(16, 4), cut(20, 12))
+    return F.regexp_replace(F.sha2(F.concat_ws("|", *parts), 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
 
 
 def next_versions(datasets: DataFrame, versions: DataFrame) -> DataFrame:

@@ -141,14 +141,18 @@ def second_dimension_users(users: DataFrame, key: str) -> DataFrame:
     return values.join(holders, "sd", "left")
 
 
+MAX_PROVIDERS = 1000
+
+
 def evaluation_grid(prompts: DataFrame, variations: DataFrame, providers: DataFrame) -> DataFrame:
-    """prompt × its variations × provider. Providers are a handful of configured models; the join
-    condition is constant, so a plan with a large provider table is refused rather than run."""
+    """prompt × its variations × provider. Providers are configured by hand; they travel as one literal
+    array, and a table of more than MAX_PROVIDERS is refused."""
+    rows = providers.limit(MAX_PROVIDERS + 1).collect()
+    if len(rows) > MAX_PROVIDERS:
+        raise ValueError(f"more than {MAX_PROVIDERS} providers: not a provider list")
+    listed = F.array(*[F.struct(*[F.lit(row[c]).alias(c) for c in providers.columns]) for row in rows])
     pairs = prompts.join(variations, "prompt_id")
-    n = providers.limit(1001).count()
-    if n > 1000:
-        raise ValueError("more than 1000 providers: not a provider list")
-    return pairs.join(F.broadcast(providers), F.lit(True))
+    return pairs.select("*", F.explode(listed).alias("_p")).select(*pairs.columns, "_p.*")
 
 
 def run_detail(runs: DataFrame, results: DataFrame, scores: DataFrame) -> DataFrame:

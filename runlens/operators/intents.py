@@ -93,7 +93,7 @@ def with_overflow(groups: DataFrame, max_intents: int) -> DataFrame:
         F.count(F.when(F.col("cluster") != OTHER, 1)).alias("named"),
     ).select(((F.col("named") == 0) | (F.col("other") / F.col("all") > FALLBACK_SHARE)).alias("_fallback"))
     best = groups.orderBy(F.desc("occurrences"), "label").limit(n).select("label", title_case(F.col("label")).alias("_own"))
-    both = kept.join(best, "label", "left").join(shares, F.lit(True))
+    both = kept.join(best, "label", "left").withColumn("_fallback", shares.scalar())
     return both.select("label", "occurrences", F.when(F.col("_fallback"), F.coalesce("_own", F.lit(OTHER))).otherwise(F.col("cluster")).alias("cluster"))
 
 

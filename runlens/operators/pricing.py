@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.messages import plain_string
+from ..session import cut_lineage
 
 CACHED_BELOW_S = 0.01
 PATTERN_LIMIT = 100_000
@@ -78,7 +79,7 @@ def _billable(r_duration: Column) -> Column:
 
 def legacy_cost(runs: DataFrame) -> DataFrame:
     """Adds legacy_cost."""
-    priced = runs.join(legacy_names(runs), "name", "left")
+    priced = runs.join(cut_lineage(legacy_names(runs)), "name", "left")
     p = F.coalesce(F.col("prompt_tokens"), F.lit(0)) * F.col("legacy_in") / 1000
     c = F.coalesce(F.col("completion_tokens"), F.lit(0)) * F.col("legacy_out") / 1000
     not_cached = F.coalesce(F.col("duration_s") >= CACHED_BELOW_S, F.lit(True)) | (F.col("duration_s") == 0)
@@ -110,10 +111,11 @@ def match_names(runs: DataFrame, mappings: DataFrame, keep: list[str] | None = N
     Patterns are matched as distinct values, so a pattern shared by many mappings is tried once.
     """
     names = runs.where("name is not null").select("name").distinct()
-    patterns = mappings.select("pattern").distinct()
+    valid = valid_mappings(mappings)
+    patterns = F.broadcast(valid.select("pattern").distinct())  # at most PATTERN_LIMIT, checked just above
     pairs = names.join(patterns, F.rlike("name", F.col("pattern")))
     cols = ["pattern", *(keep or [c for c in mappings.columns if c not in ("name", "pattern")])]
-    return pairs.join(mappings.select(*cols), "pattern")
+    return pairs.join(valid.select(*cols), "pattern")
 
 
 def _char_units(col: str) -> Column:
@@ -139,7 +141,7 @@ PRICE_COLUMNS = ["unit", "input_cost", "output_cost", "input_caching_cost_reduct
 
 def best_mapping(runs: DataFrame, mappings: DataFrame) -> DataFrame:
     """(org_id, name, price columns): the newest matching mapping, an org's own before a global one."""
-    m = valid_mappings(mappings).withColumnRenamed("org_id", "_morg").withColumnRenamed("id", "_mid")
+    m = mappings.withColumnRenamed("org_id", "_morg").withColumnRenamed("id", "_mid")
     pairs = match_names(runs, m, ["_mid", "_morg", "start_date", *PRICE_COLUMNS])
     orgs = runs.where("name is not null").select("org_id", "name").distinct()
     cand = orgs.join(pairs, "name").where(F.col("_morg").isNull() | (F.col("_morg") == F.col("org_id")))
@@ -152,7 +154,8 @@ def best_mapping(runs: DataFrame, mappings: DataFrame) -> DataFrame:
 def price(runs: DataFrame, mappings: DataFrame, legacy_ms: bool = False) -> DataFrame:
     """Adds cost: mapping price, else the legacy list; null when cached, not llm or unnamed."""
     base = runs.drop("cost")
-    priced = base.join(best_mapping(base, mappings), ["org_id", "name"], "left")
+    # written first: with its size known, the optimizer broadcasts the list when it is small
+    priced = base.join(cut_lineage(best_mapping(base, mappings)), ["org_id", "name"], "left")
     priced = legacy_cost(priced)
     by_mapping = unit_cost(legacy_ms)
     cost = F.when(_billable(F.col("duration_s")), F.coalesce(F.when(by_mapping != 0, by_mapping), F.col("legacy_cost")))
@@ -165,7 +168,7 @@ def price_intervals(runs: DataFrame, mappings: DataFrame) -> DataFrame:
     Among mappings in force the longest name wins, then the latest start, an org's own before
     the default. Start dates cut time into intervals, so runs meet exactly one row.
     """
-    m = valid_mappings(mappings).select(
+    m = mappings.select(
         F.col("org_id").alias("_morg"), F.col("id").alias("_mid"), F.col("name").alias("_mname"), "pattern",
         F.coalesce("start_date", F.lit("1970-01-01").cast("timestamp")).alias("start_date"), *PRICE_COLUMNS,
     )
@@ -188,7 +191,7 @@ def recost(runs: DataFrame, mappings: DataFrame) -> DataFrame:
     handful of intervals, so the join fans out to one kept row.
     """
     todo = runs.where("type = 'llm' and status = 'success'").withColumnRenamed("cost", "_old")
-    iv = price_intervals(todo, mappings)
+    iv = cut_lineage(price_intervals(todo, mappings))
     inside = (F.col("created_at") >= F.col("from")) & (F.col("to").isNull() | (F.col("created_at") < F.col("to")))
     new = todo.join(iv, ["org_id", "name"]).where(inside).withColumn("unit", F.lit("TOKENS")).withColumn("cost", unit_cost())
     return new.where((F.col("cost") > 0) & ~F.col("cost").eqNullSafe(F.col("_old"))).select("id", "cost")
@@ -209,4 +212,4 @@ def quote(texts: DataFrame, model: str, mappings: DataFrame, tokens: Column) ->
     """Adds quote: tokens of a text at the input price of a model."""
     m = latest_prices(valid_mappings(mappings)).where(F.rlike(F.lit(model), F.col("pattern")))
     rate = m.agg(F.max_by("input_cost", F.struct("start_date", "id")).alias("_rate"))
-    return texts.join(rate, F.lit(True)).withColumn("quote", F.round(tokens * F.col("_rate") / 1e6, 10)).drop("_rate")
+    return texts.withColumn("quote", F.round(tokens * rate.scalar() / 1e6, 10))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import get_text
-from .buckets import bucket_spine, in_range, with_bucket
+from .buckets import bucket_spine, in_range, spine_per_row, with_bucket
 from .skew import exact_percentiles
 
 PERCENTILES = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -173,8 +173,8 @@ def run_volume(runs: DataFrame, r: Range) -> DataFrame:
     out = _single(runs, r, "Events", F.count(F.lit(1)), _zero())
     if r.granularity == "weekly":
         return out
-    any_run = in_range(runs, r.start, r.end).select(F.lit(1).alias("_one")).limit(1)
-    return out.join(any_run, F.lit(True), "left_semi")
+    any_run = in_range(runs, r.start, r.end).agg(F.count(F.lit(1)) > 0)
+    return out.where(any_run.scalar())
 
 
 def latency_percentiles(runs: DataFrame, r: Range) -> DataFrame:
@@ -256,13 +256,9 @@ def nonzero_names(series: DataFrame) -> DataFrame:
     return series.where("name is not null").groupBy("name").agg(F.sum(F.abs("value")).alias("_t")).where("_t > 0").select("name")
 
 
-def zero_filled(series: DataFrame) -> DataFrame:
-    """Every date with every name that has a non-zero value, missing = 0 (long form).
-
-    Dates and names are both bucket-sized, so the grid is small next to the runs.
-    """
-    dates = series.select("date").distinct()
-    grid = dates.join(nonzero_names(series), F.lit(True))
+def zero_filled(series: DataFrame, r: Range) -> DataFrame:
+    """Every bucket of the range with every name that has a non-zero value, missing = 0 (long form)."""
+    grid = spine_per_row(nonzero_names(series), r.start, r.end, r.tz, r.granularity)
     return grid.join(series, ["date", "name"], "left").select("date", "name", F.coalesce("value", F.lit(0)).alias("value"))
 
 

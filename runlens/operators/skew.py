@@ -19,34 +19,34 @@ def time_chunk(ts: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 
-def _per_chunk(df: DataFrame, keys: Sequence[str], chunk: str, aggs: Sequence[Column]) -> DataFrame:
-    return df.groupBy(*keys, chunk).agg(*aggs)
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Adds _k = (keys, chunk). A struct compares null fields as equal, and one column serves both the
+    window and the join, so the rows are shuffled once."""
+    return df.withColumn("_k", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("c")))
+
+
+def _across(keys: Sequence[str]):
+    """Window over the chunk totals of one key: as many rows as the key has chunks."""
+    return W.partitionBy(*[F.col(f"_k.k{i}") for i in range(len(keys))]).orderBy("_k.c")
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column]
 ) -> DataFrame:
     """Inclusive running sums per key in ``order`` (ascending, chunk must agree with it)."""
-    d = df.withColumn("_chunk", chunk)
+    d = _chunked(df, keys, chunk)
     for name, col in values.items():
         d = d.withColumn(f"_v_{name}", col)
-    totals = _per_chunk(d, keys, "_chunk", [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_chunk").alias("_kc"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in values],
-    )
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [
-        F.col("_chunk").eqNullSafe(F.col("_kc"))
-    ]
-    joined = d.join(totals, cond, "left")
-    local = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    totals = d.groupBy("_k").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    before = _across(keys).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_k", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in values])
+    local = W.partitionBy("_k").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     for name in values:
-        joined = joined.withColumn(name, F.sum(f"_v_{name}").over(local) + F.col(f"_p_{name}"))
-    drop = ["_chunk", "_kc"] + [f"_k{i}" for i in range(len(keys))]
-    drop += [f"_{x}_{n}" for x in ("v", "p") for n in values]
-    return joined.drop(*drop)
+        d = d.withColumn(f"_v_{name}", F.sum(f"_v_{name}").over(local))
+    joined = d.join(totals, "_k", "left")
+    for name in values:
+        joined = joined.withColumn(name, F.col(f"_v_{name}") + F.col(f"_p_{name}"))
+    return joined.drop("_k", *[f"_{x}_{n}" for x in ("v", "p") for n in values])
 
 
 def numbered(
@@ -65,25 +65,17 @@ def with_neighbour(
     following: bool = False,
 ) -> DataFrame:
     """Values of the previous (or next) row per key, looking across chunk borders."""
-    d = df.withColumn("_chunk", chunk).withColumn("_nb", F.struct(*[c.alias(n) for n, c in cols.items()]))
+    d = _chunked(df, keys, chunk).withColumn("_nb", F.struct(*[c.alias(n) for n, c in cols.items()]))
     edge = F.min_by if following else F.max_by
-    edges = _per_chunk(d, keys, "_chunk", [edge("_nb", F.struct(*order)).alias("_edge")])
-    across = W.partitionBy(*keys).orderBy("_chunk")
     step = F.lead if following else F.lag
-    edges = edges.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_chunk").alias("_kc"),
-        step("_edge").over(across).alias("_across"),
-    )
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [
-        F.col("_chunk").eqNullSafe(F.col("_kc"))
-    ]
-    local = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    joined = d.join(edges, cond, "left").withColumn("_in", step("_nb").over(local))
-    pick = F.coalesce(F.col("_in"), F.col("_across"))
+    edges = d.groupBy("_k").agg(edge("_nb", F.struct(*order)).alias("_edge"))
+    edges = edges.select("_k", step("_edge").over(_across(keys)).alias("_far"))
+    local = W.partitionBy("_k").orderBy(*order)
+    joined = d.withColumn("_near", step("_nb").over(local)).join(edges, "_k", "left")
+    pick = F.coalesce(F.col("_near"), F.col("_far"))
     for n in cols:
         joined = joined.withColumn(n, pick[n])
-    return joined.drop("_chunk", "_nb", "_kc", "_across", "_in", *[f"_k{i}" for i in range(len(keys))])
+    return joined.drop("_k", "_nb", "_near", "_far")
 
 
 def salted_join(

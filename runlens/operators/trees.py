@@ -46,7 +46,7 @@ def roots(runs: DataFrame, max_depth: int = MAX_DEPTH, stop: Column | None = Non
         asking = state.where("not done")
         if _empty(asking):
             break
-        # only unresolved rows ask; everything already known answers
+        # only unresolved rows ask; whatever is known answers
         known = finished[0]
         for f in finished[1:]:
             known = known.unionAll(f)
@@ -189,7 +189,7 @@ def nested_traces(runs: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int =
                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "tree"))), lambda x: x["tree"]), ",").alias("kids")
             ).select(F.col("parent_run_id").alias("_p"), "kids")
             built = level.join(kids, F.col("id") == F.col("_p"), "left").withColumn("tree", pack(F.coalesce("kids", F.lit(""))))
-        below = built.select("id", "parent_run_id", "root_id", "created_at", "tree")
+        below = cut_lineage(built.select("id", "parent_run_id", "root_id", "created_at", "tree"))
     trees = below.select("root_id", "tree") if below is not None else None
     return sizes.select("root_id", "nodes").join(trees, "root_id", "left")
 

@@ -204,3 +204,15 @@ def d37(spark, d):
 def d38(spark, d):
     r = with_reference(fx.doc_runs(spark, d), fx.table(spark, d, "benchmark"))
     return filter_runs(r, [ALL, leaf("similarity", algorithm="jaccard", percent=10)]).select("id")
+
+
+@query("d39_judged_check", "SELECT id FROM doc_run WHERE quality = 1")
+def d39(spark, d):
+    """Factualness verdicts as an enricher stores them; the leaf accepts the choices A and B."""
+    t = doc_tables(spark, d)
+    verdict = F.when(F.col("quality") == 1, "A").otherwise("D")
+    judged = t.runs.where("quality is not null").select(
+        F.col("id").alias("run_id"), F.lit("ev-fact").alias("evaluator_id"), F.lit("factualness").alias("type"), F.concat(F.lit('{"result":"'), verdict, F.lit('"}')).alias("result")
+    )
+    t.results = t.results.unionByName(judged)
+    return filter_runs(t.runs, [ALL, leaf("factualness", choices=["A", "B"])], t).select("id")

@@ -267,7 +267,7 @@ def f21(spark, d):
      CROSS JOIN (SELECT DISTINCT name FROM run) n LEFT JOIN s ON s.date = d.date AND s.name = n.name""",
 )
 def f22(spark, d):
-    return r6(series.zero_filled(series.cost_by_model(runs(spark, d), HOURLY)))
+    return r6(series.zero_filled(series.cost_by_model(runs(spark, d), HOURLY), HOURLY))
 
 
 @query(

@@ -38,8 +38,10 @@ def json_string(text: Column) -> Column:
 def any_value(v: Column) -> Column:
     """Any-value struct → JSON text; strings that are JSON themselves are taken as JSON."""
     s = v["string_value"]
+    # parsing plain words would raise and recover once per attribute, so only candidates are tried
+    candidate = s.rlike(r'^\s*([\[{"0-9-]|true|false|null)')
     return F.coalesce(
-        F.when(s.isNotNull(), F.when(F.try_parse_json(s).isNotNull(), s).otherwise(json_string(s))),
+        F.when(s.isNotNull(), F.when(candidate & F.try_parse_json(s).isNotNull(), s).otherwise(json_string(s))),
         v["bool_value"].cast("string"),
         v["int_value"].cast("string"),
         v["double_value"].cast("string"),
