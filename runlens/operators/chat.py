@@ -88,7 +88,7 @@ def exchanges(tagged: DataFrame) -> DataFrame:
         F.max_by("id", seq).alias("id"), F.min("timestamp").alias("created_at"), F.max("timestamp").alias("ended_at"),
         F.max(F.when(F.col("is_custom"), F.lit("custom-event")).otherwise(F.lit("chat"))).alias("type"),
         F.max("input_group").alias("input_group"), F.max("inherits").alias("inherits"),
-        F.min_by(F.when(F.col("is_retry"), F.col("previous_id")), seq).alias("sibling_run_id"),
+        F.min_by(F.when(F.col("is_retry") & ~F.col("is_custom"), F.col("previous_id")), seq).alias("sibling_run_id"),
         F.sum(F.when(F.col("side") == "input", 1).otherwise(0)).alias("own_inputs"),
         F.sum(F.when(F.col("side") == "output", 1).otherwise(0)).alias("outputs"),
         *optional,

@@ -9,8 +9,9 @@ from ..operators import alerts, infer, retention
 from ..operators import clean
 from ..session import shared_folder
 from ..sources import events as ev
-from ..streaming import sinks, stateful
+from ..streaming import sinks
 from ..streaming.chat import chat_job
+from ..streaming.fold import fold_job, latest_rows
 from . import fixtures as fx
 from . import ingest
 from .ingest import CHAT, FOLDED, ntz
@@ -140,14 +141,10 @@ def stream(spark, d, name):
 @query("stream_b13_run_fold", FOLDED)
 def stream_fold(spark, d):
     """Events arrive as a stream; the last row written per run is the run."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
     work = _work(spark)
     events = clean.clean(ev.parse_events(ingest.log_lines(stream(spark, d, "events"))), "p0")
-    q = stateful.fold_stream(events, late="365 days").writeStream.outputMode("update").option("checkpointLocation", f"{work}/ckpt").trigger(availableNow=True)
-    q = q.foreachBatch(lambda df, i: sinks.versioned_write(df, f"{work}/out", i)).start()
-    q.awaitTermination()
-    rows = spark.read.parquet(f"{work}/out")
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "batch")]), "batch").alias("r")).select("id", "r.*")
+    fold_job(events, f"{work}/out", f"{work}/state", f"{work}/ckpt").awaitTermination()
+    last = latest_rows(spark.read.parquet(f"{work}/out"))
     last = last.withColumn("metadata", F.to_json(F.parse_json("metadata")))
     return ntz(last, "created_at", "ended_at").select("id", "type", "name", "status", "created_at", "ended_at", "parent_run_id", "user_id", "prompt_tokens", "completion_tokens", "metadata", "feedback")
 

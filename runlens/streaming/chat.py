@@ -15,7 +15,8 @@ from ..operators.chat import exchange_messages, thread_state
 from .sinks import per_batch, versioned_write
 
 
-def _state_before(spark, path: str, batch_id: int) -> DataFrame | None:
+def state_before(spark, path: str, batch_id: int) -> DataFrame | None:
+    """The state table the previous batch wrote; None before the first batch."""
     if batch_id == 0:
         return None
     try:
@@ -30,7 +31,7 @@ def chat_job(messages: DataFrame, out_path: str, state_path: str, checkpoint: st
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _state_before(spark, state_path, batch_id)
+        before = state_before(spark, state_path, batch_id)
         versioned_write(exchange_messages(batch, carried=before), out_path, batch_id)
         written = spark.read.parquet(f"{out_path}/batch={batch_id}")
         versioned_write(thread_state(written, before), state_path, batch_id)

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,13 +22,10 @@ FOLD_SCHEMA = (
     "input string, output string, error string, metadata string, feedback string, prompt_tokens int, completion_tokens int"
 )
 FOLD_STATE = "body string"
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 START_KEYS = ("type", "name", "parent_run_id", "user_id", "input")
 
 
-def _none(v):
-    return None if v is None or (isinstance(v, float) and v != v) or v is pd.NaT else v
-
-
 def _merge(a: str | None, b: str | None) -> str | None:
     if a is None or b is None:
         return b if a is None else a
@@ -65,7 +62,7 @@ class RunState:
         if s is None:
             return None
         end = e[1] if e else {}
-        ts = lambda us: pd.Timestamp(us, unit="us") if us is not None else pd.NaT
+        ts = lambda us: EPOCH + timedelta(microseconds=us) if us is not None else None
         return {
             "id": run_id, "type": s[1]["type"], "name": s[1]["name"],
             "status": "started" if not e else ("error" if end["event"] == "error" else "success"),
@@ -87,31 +84,27 @@ class RunFold(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("run", FOLD_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # every call on the handle is a round trip to the JVM: one read, one write, one timer per new run
         stored = self.state.get()
         fold = RunState(json.loads(stored[0]) if stored else None)
-        for frame in rows:
-            for e in frame.to_dict("records"):
-                fold.add({k: _none(v) for k, v in e.items()})
+        for e in rows:
+            fold.add(e.asDict())
         self.state.update((json.dumps(fold.d),))
         if not stored:
             self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), fold.latest_ms()) + self.wait_ms)
         row = fold.row(key[0])
         if row is not None:
-            out = pd.DataFrame([row])
-            for c in ("prompt_tokens", "completion_tokens"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            yield Row(**row)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         stored = self.state.get()
         due = RunState(json.loads(stored[0])).latest_ms() + self.wait_ms if stored else 0
         if due > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(due)  # events came since: wait on
         else:
             self.state.clear()
-        yield pd.DataFrame()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -123,7 +116,7 @@ def fold_stream(events: DataFrame, late: str = "1 hour", wait_ms: int = 3_600_00
         "run_id", "event", "type", "name", "parent_run_id", "user_id", "input", "output", "error", "metadata", "feedback", "extra",
         F.col("tokens_usage.prompt").alias("prompt"), F.col("tokens_usage.completion").alias("completion"), "ts", F.unix_micros("ts").alias("us"),
     ).withWatermark("ts", late)
-    return rows.groupBy("run_id").transformWithStateInPandas(
+    return rows.groupBy("run_id").transformWithState(
         statefulProcessor=RunFold(wait_ms), outputStructType=FOLD_SCHEMA, outputMode="Update", timeMode="EventTime"
     )
 
@@ -137,16 +130,16 @@ class AlertState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("alert", "hot boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        hot = bool(self.state.get()[0]) if self.state.exists() else False
-        out = []
-        for v in pd.concat(list(rows)).sort_values("window_end").itertuples():
-            now = bool(v.value > v.threshold)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        stored = self.state.get()
+        hot = bool(stored[0]) if stored else False
+        # a rule has one value per minute, so a batch of one rule is short
+        for at, value, threshold in sorted((r.window_end, r.value, r.threshold) for r in rows):
+            now = value > threshold
             if now != hot:
-                out.append((key[0], v.window_end, "triggered" if now else "resolved", float(v.value)))
+                yield Row(rule_id=key[0], at=at, kind="triggered" if now else "resolved", value=float(value))
             hot = now
         self.state.update((hot,))
-        yield pd.DataFrame(out, columns=["rule_id", "at", "kind", "value"])
 
     def close(self) -> None:
         pass
@@ -155,6 +148,6 @@ class AlertState(StatefulProcessor):
 def alert_stream(values: DataFrame, rules: DataFrame) -> DataFrame:
     """values: rule_id, window_end, value (stream); rules: rule_id, threshold (table)."""
     with_rule = values.join(rules.select("rule_id", "threshold"), "rule_id").select("rule_id", "window_end", "value", "threshold")
-    return with_rule.groupBy("rule_id").transformWithStateInPandas(
+    return with_rule.groupBy("rule_id").transformWithState(
         statefulProcessor=AlertState(), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="None"
     )
