@@ -92,8 +92,8 @@ def transitions(values: DataFrame, rules: DataFrame) -> DataFrame:
     """
     on = values.join(rules.select("rule_id", "threshold"), "rule_id").withColumn("hot", F.col("value") > F.col("threshold"))
     chunk = time_chunk(F.col("window_end"), 86_400)
-    before = with_neighbour(on, ["rule_id"], ["window_end"], chunk, {"was": F.col("hot")})
-    edges = before.where(F.col("hot") != F.coalesce("was", F.lit(False))).select("rule_id", "window_end", "value", "hot")
+    before = with_neighbour(on, ["rule_id"], ["window_end"], chunk, {"was": F.col("hot")}, keep=True)
+    edges = before.where(F.col("hot") != F.coalesce("was", F.lit(False))).select("_k", "rule_id", "window_end", "value", "hot")
     paired = with_neighbour(edges, ["rule_id"], ["window_end"], chunk, {"resolved_at": F.col("window_end")}, following=True)
     return paired.where("hot").select(
         "rule_id", F.col("window_end").alias("triggered_at"), "resolved_at", "value",

@@ -39,7 +39,7 @@ def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600, carried: D
     order = ["timestamp", "id"]
     d = with_neighbour(
         d, ["thread_id"], order, chunk,
-        {"previous_id": F.col("id"), "_pside": F.coalesce("side", F.lit("other")), "_pcustom": F.col("is_custom")},
+        {"previous_id": F.col("id"), "_pside": F.coalesce("side", F.lit("other")), "_pcustom": F.col("is_custom")}, keep=True,
     )
     if carried is not None:
         before = carried.select(

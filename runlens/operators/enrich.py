@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json as J
@@ -29,17 +29,18 @@ def with_parent_chat(runs: DataFrame, every_run: DataFrame | None = None) -> Dat
     return runs.join(chats, "parent_run_id", "left")
 
 
-def with_results(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """results: array of (type, evaluator_id, result) per run, ordered by type; one item per evaluator."""
-    item = F.struct("type", "evaluator_id", "result")
-    lists = results.groupBy(F.col("run_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("results"))
+def with_results(runs: DataFrame, results: DataFrame, limit: int = 10_000) -> DataFrame:
+    """results: array of (type, evaluator_id, result) per run, ordered by type, one item per evaluator.
+    A run with more than ``limit`` keeps its size only; its results stay in ``results``."""
+    long = results.withColumnRenamed("run_id", "id")
+    lists = bounded_lists(long, ["id"], F.struct("type", "evaluator_id", "result"), F.struct("type", "evaluator_id"), "results", limit)
     return runs.join(lists, "id", "left")
 
 
-def with_scores(runs: DataFrame, scores: DataFrame) -> DataFrame:
+def with_scores(runs: DataFrame, scores: DataFrame, limit: int = 10_000) -> DataFrame:
     """scores: array of (label, value, comment) per run; (run, label) is unique."""
-    item = F.struct("label", "value", "comment")
-    lists = scores.groupBy(F.col("run_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("scores"))
+    long = scores.withColumnRenamed("run_id", "id")
+    lists = bounded_lists(long, ["id"], F.struct("label", "value", "comment"), F.col("label"), "scores", limit)
     return runs.join(lists, "id", "left")
 
 
@@ -67,10 +68,6 @@ def with_child_feedbacks(runs: DataFrame, limit: int = 10_000) -> DataFrame:
     return runs.join(lists, "id", "left")
 
 
-def thread_messages(chats: DataFrame, message: Column, side: Column) -> DataFrame:
-    return chats.withColumn("_side", side).withColumn("_msg", message)
-
-
 def message_stats(messages: DataFrame) -> DataFrame:
     """(thread_id, messages_count, first_message) from a message log."""
     return messages.groupBy("thread_id").agg(

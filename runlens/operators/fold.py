@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..sources.events import sequence_key
+from .skew import bounded_lists
 from .trees import fold_up
 
 FOLDED = ("start", "end", "error", "update", "feedback")
@@ -25,11 +26,8 @@ def _last(value: Column, when: Column, seq: Column) -> Column:
     return F.max_by(value, F.when(when, seq))
 
 
-def fold_feedback(events: DataFrame, stored: DataFrame | None = None, arrival: Column | None = None) -> DataFrame:
-    """(run_id, feedback): shallow merge in time order, later keys win.
-
-    The latest value per (run, key) is an aggregate; only the keys of a run meet, never its events.
-    """
+def feedback_values(events: DataFrame, stored: DataFrame | None = None, arrival: Column | None = None) -> DataFrame:
+    """Long form (run_id, k, v): the latest value of every feedback key of a run, v as JSON text."""
     rows = events.where("event = 'feedback'").select(
         "run_id", sequence_key("ts", arrival).alias("seq"), F.explode(J.as_variant_map(J.merge(F.col("feedback"), F.col("extra")))).alias("k", "v")
     ).select("run_id", "seq", "k", F.to_json("v").alias("v"))
@@ -38,10 +36,19 @@ def fold_feedback(events: DataFrame, stored: DataFrame | None = None, arrival: C
             F.col("id").alias("run_id"), F.lit(None).cast(rows.schema["seq"].dataType).alias("seq"), F.explode(J.as_variant_map("feedback")).alias("k", "v")
         ).select("run_id", "seq", "k", F.to_json("v").alias("v"))
         rows = rows.unionByName(old)
-    latest = rows.groupBy("run_id", "k").agg(F.max(F.struct(F.col("seq"), "v")).alias("m"))
-    item = F.struct("k", F.col("m.v").alias("v"))
-    text = F.transform(F.array_sort(F.collect_list(item)), lambda e: F.concat(F.to_json(F.array(e["k"])).substr(F.lit(2), F.length(F.to_json(F.array(e["k"]))) - 2), F.lit(":"), F.coalesce(e["v"], F.lit("null"))))
-    return latest.groupBy("run_id").agg(F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("feedback"))
+    return rows.groupBy("run_id", "k").agg(F.max(F.struct("seq", "v")).alias("m")).select("run_id", "k", "m.v")
+
+
+def fold_feedback(events: DataFrame, stored: DataFrame | None = None, arrival: Column | None = None, limit: int = 10_000) -> DataFrame:
+    """(run_id, feedback): shallow merge in time order, later keys win.
+
+    Only the distinct keys of a run meet, never its events; a run with more than ``limit`` keys has a
+    null object here and is read from ``feedback_values``.
+    """
+    quoted = F.to_json(F.array("k"))
+    item = F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":"), F.coalesce("v", F.lit("null")))
+    lists = bounded_lists(feedback_values(events, stored, arrival), ["run_id"], item, F.col("k"), "items", limit)
+    return lists.select("run_id", F.concat(F.lit("{"), F.array_join("items", ","), F.lit("}")).alias("feedback"))
 
 
 def fold_runs(events: DataFrame, arrival: Column | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import numbered, time_chunk, with_neighbour
+from .skew import numbered, time_chunk, value_chunk, with_neighbours
 
 # fixed values: list columns one may sort by
 SORT_COLUMNS = {
@@ -16,9 +16,10 @@ SORT_COLUMNS = {
 def neighbours(runs: DataFrame, keys: list[str] | None = None, sort: str = "created_at", chunk: Column | None = None) -> DataFrame:
     """previous_id and next_id of every run in (sort, id) order, without one big sort per project."""
     keys = keys or ["project_id"]
-    c = chunk if chunk is not None else time_chunk(F.col(sort))
-    before = with_neighbour(runs, keys, [sort, "id"], c, {"previous_id": F.col("id")})
-    return with_neighbour(before, keys, [sort, "id"], c, {"next_id": F.col("id")}, following=True)
+    if chunk is None:
+        chunk = time_chunk(F.col(sort)) if sort == "created_at" else value_chunk(F.col(sort))
+    own = F.col("id")
+    return with_neighbours(runs, keys, [sort, "id"], chunk, {"previous_id": own}, {"next_id": own})
 
 
 def item_numbers(items: DataFrame, key: str = "dataset_id", chunk: Column | None = None) -> DataFrame:

@@ -77,9 +77,14 @@ def _billable(r_duration: Column) -> Column:
     return (F.col("type") == "llm") & F.coalesce(F.col("name") != "", F.lit(False)) & (r_duration >= CACHED_BELOW_S)
 
 
-def legacy_cost(runs: DataFrame) -> DataFrame:
-    """Adds legacy_cost."""
-    priced = runs.join(cut_lineage(legacy_names(runs)), "name", "left")
+def seen_names(runs: DataFrame) -> DataFrame:
+    """Distinct (org_id, name)."""
+    return runs.where("name is not null").select("org_id", "name").distinct()
+
+
+def legacy_cost(runs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Adds legacy_cost. ``seen`` may bring the distinct names."""
+    priced = runs.join(cut_lineage(legacy_names(runs if seen is None else seen)), "name", "left")
     p = F.coalesce(F.col("prompt_tokens"), F.lit(0)) * F.col("legacy_in") / 1000
     c = F.coalesce(F.col("completion_tokens"), F.lit(0)) * F.col("legacy_out") / 1000
     not_cached = F.coalesce(F.col("duration_s") >= CACHED_BELOW_S, F.lit(True)) | (F.col("duration_s") == 0)
@@ -154,9 +159,10 @@ def best_mapping(runs: DataFrame, mappings: DataFrame) -> DataFrame:
 def price(runs: DataFrame, mappings: DataFrame, legacy_ms: bool = False) -> DataFrame:
     """Adds cost: mapping price, else the legacy list; null when cached, not llm or unnamed."""
     base = runs.drop("cost")
-    # written first: with its size known, the optimizer broadcasts the list when it is small
-    priced = base.join(cut_lineage(best_mapping(base, mappings)), ["org_id", "name"], "left")
-    priced = legacy_cost(priced)
+    # the runs are scanned once for their names; with its size known, the price list is broadcast when small
+    seen = cut_lineage(seen_names(base))
+    priced = base.join(cut_lineage(best_mapping(seen, mappings)), ["org_id", "name"], "left")
+    priced = legacy_cost(priced, seen)
     by_mapping = unit_cost(legacy_ms)
     cost = F.when(_billable(F.col("duration_s")), F.coalesce(F.when(by_mapping != 0, by_mapping), F.col("legacy_cost")))
     return priced.withColumn("cost", cost).drop(*PRICE_COLUMNS, "legacy_cost")
@@ -191,7 +197,7 @@ def recost(runs: DataFrame, mappings: DataFrame) -> DataFrame:
     handful of intervals, so the join fans out to one kept row.
     """
     todo = runs.where("type = 'llm' and status = 'success'").withColumnRenamed("cost", "_old")
-    iv = cut_lineage(price_intervals(todo, mappings))
+    iv = cut_lineage(price_intervals(cut_lineage(seen_names(todo)), mappings))
     inside = (F.col("created_at") >= F.col("from")) & (F.col("to").isNull() | (F.col("created_at") < F.col("to")))
     new = todo.join(iv, ["org_id", "name"]).where(inside).withColumn("unit", F.lit("TOKENS")).withColumn("cost", unit_cost())
     return new.where((F.col("cost") > 0) & ~F.col("cost").eqNullSafe(F.col("_old"))).select("id", "cost")

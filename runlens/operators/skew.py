@@ -1,8 +1,9 @@
-"""Skew-safe building blocks: ordered scans over hot keys, salted joins, bounded collection, exact percentiles.
+"""Skew-safe building blocks: ordered scans over hot keys, bounded collection, exact percentiles.
 
 A key may hold a large share of all rows. None of these functions puts such a key
-into one task: ordered work is cut into chunks whose totals are scanned first,
-joins salt hot keys, and collection into arrays happens only below a stated size.
+into one task: ordered work is cut into chunks whose totals are scanned first, and
+collection into arrays happens only below a stated size. (Skewed joins are split by
+adaptive execution, which ``session.configure`` switches on.)
 """
 
 from __future__ import annotations
@@ -19,9 +20,17 @@ def time_chunk(ts: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 
+def value_chunk(value: Column, per_octave: int = 256) -> Column:
+    """Slices of a number by magnitude, in ascending order; each spans about 0.3 % of its values."""
+    bin_ = F.signum(value) * (F.floor(F.log2(F.abs(value)) * per_octave) + F.lit(1_200 * per_octave))
+    return F.when(value == 0, F.lit(0)).otherwise(bin_).cast("long")
+
+
 def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """Adds _k = (keys, chunk). A struct compares null fields as equal, and one column serves both the
-    window and the join, so the rows are shuffled once."""
+    """Adds _k = (keys, chunk), unless an earlier scan left it. A struct compares null fields as equal, and
+    one column serves windows and joins, so the rows are shuffled once."""
+    if "_k" in df.columns:
+        return df
     return df.withColumn("_k", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("c")))
 
 
@@ -30,10 +39,18 @@ def _across(keys: Sequence[str]):
     return W.partitionBy(*[F.col(f"_k.k{i}") for i in range(len(keys))]).orderBy("_k.c")
 
 
+def _done(df: DataFrame, keep: bool, *scratch: str) -> DataFrame:
+    return df.drop(*scratch) if keep else df.drop("_k", *scratch)
+
+
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column], keep: bool = False
 ) -> DataFrame:
-    """Inclusive running sums per key in ``order`` (ascending, chunk must agree with it)."""
+    """Inclusive running sums per key in ``order`` (ascending, chunk must agree with it).
+
+    With ``keep`` the chunk column stays for a following scan over the same keys and chunks, which then
+    needs no shuffle of its own.
+    """
     d = _chunked(df, keys, chunk)
     for name, col in values.items():
         d = d.withColumn(f"_v_{name}", col)
@@ -46,54 +63,49 @@ def running_sum(
     joined = d.join(totals, "_k", "left")
     for name in values:
         joined = joined.withColumn(name, F.col(f"_v_{name}") + F.col(f"_p_{name}"))
-    return joined.drop("_k", *[f"_{x}_{n}" for x in ("v", "p") for n in values])
+    return _done(joined, keep, *[f"_{x}_{n}" for x in ("v", "p") for n in values])
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn", keep: bool = False
 ) -> DataFrame:
     """Row number per key, without sorting a whole key in one task."""
-    return running_sum(df, keys, order, chunk, {name: F.lit(1).cast("long")})
+    return running_sum(df, keys, order, chunk, {name: F.lit(1).cast("long")}, keep)
 
 
-def with_neighbour(
+def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     chunk: Column,
-    cols: dict[str, Column],
-    following: bool = False,
-) -> DataFrame:
-    """Values of the previous (or next) row per key, looking across chunk borders."""
-    d = _chunked(df, keys, chunk).withColumn("_nb", F.struct(*[c.alias(n) for n, c in cols.items()]))
-    edge = F.min_by if following else F.max_by
-    step = F.lead if following else F.lag
-    edges = d.groupBy("_k").agg(edge("_nb", F.struct(*order)).alias("_edge"))
-    edges = edges.select("_k", step("_edge").over(_across(keys)).alias("_far"))
-    local = W.partitionBy("_k").orderBy(*order)
-    joined = d.withColumn("_near", step("_nb").over(local)).join(edges, "_k", "left")
-    pick = F.coalesce(F.col("_near"), F.col("_far"))
-    for n in cols:
-        joined = joined.withColumn(n, pick[n])
-    return joined.drop("_k", "_nb", "_near", "_far")
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", salts: int = 64, hot_rows: int = 1_000_000
+    before: dict[str, Column] | None = None,
+    after: dict[str, Column] | None = None,
+    keep: bool = False,
 ) -> DataFrame:
-    """Equi join with a right side unique on ``keys``; hot left keys are spread over ``salts`` copies.
+    """Values of the previous and of the next row per key, looking across chunk borders; one shuffle for both."""
+    d = _chunked(df, keys, chunk)
+    seq, local = F.struct(*order), W.partitionBy("_k").orderBy(*order)
+    sides = [("b", before, F.max_by, F.lag), ("a", after, F.min_by, F.lead)]
+    sides = [(tag, cols, edge, step) for tag, cols, edge, step in sides if cols]
+    for tag, cols, _, _ in sides:
+        d = d.withColumn(f"_nb_{tag}", F.struct(*[c.alias(n) for n, c in cols.items()]))
+    edges = d.groupBy("_k").agg(*[edge(f"_nb_{tag}", seq).alias(f"_edge_{tag}") for tag, _, edge, _ in sides])
+    edges = edges.select("_k", *[step(f"_edge_{tag}").over(_across(keys)).alias(f"_far_{tag}") for tag, _, _, step in sides])
+    for tag, _, _, step in sides:
+        d = d.withColumn(f"_near_{tag}", step(f"_nb_{tag}").over(local))
+    joined = d.join(edges, "_k", "left")
+    for tag, cols, _, _ in sides:
+        pick = F.coalesce(F.col(f"_near_{tag}"), F.col(f"_far_{tag}"))
+        for n in cols:
+            joined = joined.withColumn(n, pick[n])
+    return _done(joined, keep, *[f"_{x}_{tag}" for tag, *_ in sides for x in ("nb", "near", "far")])
 
-    At most total_rows / hot_rows keys can be hot, so the hot list stays small.
-    """
-    hot = left.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(salts).alias("_n"))
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    l_side = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_n").isNotNull(), spread).otherwise(F.lit(0))
-    )
-    r_side = right.join(hot, list(keys), "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1))
-    )
-    return l_side.drop("_n").join(r_side.drop("_n"), [*keys, "_salt"], how).drop("_salt")
+
+def with_neighbour(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, cols: dict[str, Column], following: bool = False, keep: bool = False
+) -> DataFrame:
+    """``with_neighbours`` in one direction."""
+    return with_neighbours(df, keys, order, chunk, None if following else cols, cols if following else None, keep)
 
 
 def bounded_lists(
@@ -123,12 +135,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Se
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    scale = F.when(v == 0, F.lit(0)).otherwise(
-        F.signum(v) * (F.floor(F.log2(F.abs(v)) * 32) + F.lit(40_000))
-    )
     counted = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, v.alias("_v"), scale.cast("long").alias("_raw"))
+        .select(*keys, v.alias("_v"), value_chunk(v).alias("_raw"))
         .groupBy(*keys, "_v", "_raw")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

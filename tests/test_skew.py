@@ -63,12 +63,15 @@ def test_exact_percentiles_with_zero_and_negative_values(spark):
         assert got[("y", p)] == 2.5
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = spark.range(2000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"), "id")
-    right = spark.createDataFrame([(1, "hot"), (3, "x"), (9, "y")], "k long, name string")
-    a = skew.salted_join(left, right, ["k"], salts=8, hot_rows=500).select("id", "k", "name")
-    b = left.join(right, "k", "left").select("id", "k", "name")
-    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+def test_neighbours_by_value_and_both_ways(spark):
+    from runlens.operators.ordering import neighbours
+
+    rng = random.Random(9)
+    data = [(str(i), "p", rng.choice([0.0, 1.0, rng.uniform(0, 1000)])) for i in range(120)] + [("n", "p", None)]
+    got = {r.id: (r.previous_id, r.next_id) for r in neighbours(spark.createDataFrame(data, "id string, project_id string, cost double"), sort="cost").collect()}
+    ids = [x[0] for x in sorted(data, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))]
+    want = {x: (ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None) for i, x in enumerate(ids)}
+    assert got == want
 
 
 def test_bounded_lists_keep_order_and_report_overflow(spark):
