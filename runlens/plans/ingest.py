@@ -143,7 +143,7 @@ def a4(spark, d):
 @query(
     "a5_attribute_mapping",
     """SELECT event_id, 'm-' || event_type AS name, k AS prompt, CAST(k AS VARCHAR) AS max_tokens, '["x"]' AS stop, 'r' || k AS response_id, 'sys' AS system,
-      'hi' AS logfire_msg_kind, NULL AS logfire_blob, CASE WHEN failed THEN 'bad' END AS message, CASE WHEN event_type='click' THEN 'search' END AS tool_name FROM logged""",
+      'hi' AS logfire_msg_kind, NULL::VARCHAR AS logfire_blob, CASE WHEN failed THEN 'bad' END AS message, CASE WHEN event_type='click' THEN 'search' END AS tool_name FROM logged""",
 )
 def a5(spark, d):
     s = otlp.with_attributes(spans(spark, d))

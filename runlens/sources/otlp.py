@@ -62,8 +62,10 @@ def _after(key: Column, prefix: str) -> Column:
 
 
 def _json_of(m: Column) -> Column:
-    """Map of JSON texts → JSON object text, null when empty."""
-    return F.when(F.size(m) > 0, F.to_json(F.transform_values(m, lambda k, v: F.parse_json(v))))
+    """Map of JSON texts → JSON object text, null when empty. The values are JSON already and are only joined."""
+    escaped = lambda k: F.replace(F.replace(k, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    pairs = F.transform(F.map_entries(m), lambda e: F.concat(F.lit('"'), escaped(e["key"]), F.lit('":'), e["value"]))
+    return F.when(F.size(m) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
 
 
 def params_of(attrs: Column) -> Column:
@@ -73,8 +75,9 @@ def params_of(attrs: Column) -> Column:
 
 
 def _is_binary(v: Column) -> Column:
-    quoted = v.startswith('"')
-    return quoted & (plain_string(v).startswith("data:") | (F.length(plain_string(v)) > MAX_FIELD_CHARS))
+    """A data URL or an over-long text; the text is decoded only when its length leaves a doubt."""
+    too_long = (F.length(v) > MAX_FIELD_CHARS) & (F.length(plain_string(v)) > MAX_FIELD_CHARS)
+    return v.startswith('"') & (v.startswith('"data:') | too_long)
 
 
 def _shortened(v: Column) -> Column:
