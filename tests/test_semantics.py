@@ -261,3 +261,14 @@ def test_otlp_size_guard_and_errors(spark):
     d = spark.createDataFrame([("x" * 300, None, None), ("y" * 10, None, None)], "input string, output string, metadata string")
     got = [tuple(r) for r in otlp.guard_size(d, 200, 50).select("input", "metadata").collect()]
     assert got[0][0] == "x" * 50 + "... [truncated 250 chars]" and got[1][0] == "y" * 10
+
+
+def test_toxicity_classifier(spark):
+    rows = [(str(i), "you awful fool" if i % 2 else "what a lovely day", i % 2) for i in range(40)]
+    d = spark.createDataFrame(rows, "id string, text string, toxic int")
+    scored = infer.TextClassifier(1 << 10).fit(d, "text", "toxic").transform(d.drop("toxic"), "text", "p")
+    got = {r.run_id: (r.toxic_input, r.input_labels) for r in infer.toxicity_rows(scored, "p", "p").collect()}
+    assert got["1"] == (True, ["toxicity"]) and got["0"] == (False, []) and len(got) == 40
+    stored = spark.createDataFrame([("1", "old"), ("x", "kept")], "run_id string, v string")
+    new = spark.createDataFrame([("1", "new")], "run_id string, v string")
+    assert {tuple(r) for r in infer.upsert(stored, new, ["run_id"]).collect()} == {("1", "new"), ("x", "kept")}
