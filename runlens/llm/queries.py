@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import decontam
+from . import decontam, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +51,21 @@ FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents contain ten-word windows of benchmark items, and how many of their words are inside one."""
     return decontam.contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@query("op9_near_duplicates", f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_VISIBLE.format("text")} AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+      FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+o AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT r.x AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY r.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85 over five-word shingles."""
+    found = neardup.near_duplicates(C.table(spark, sf_dir, "documents"), similarity=0.85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
