@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import decontam, neardup
+from . import chat, decontam, license, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85 over five-word shingles."""
     found = neardup.near_duplicates(C.table(spark, sf_dir, "documents"), similarity=0.85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query("op3_chat_format", """
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM c),
+k AS (SELECT *, len(regexp_extract_all(t, '[\\[<]\\\\*(?:/?(?:INST|ROLE)\\]|/?s>)')) AS marks FROM t),
+f AS (SELECT *, length(t) + marks + CASE r WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(url_encode(r)) END AS n FROM k)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, rendered and read back."""
+    rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"  # control strings as contents
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return back.select(F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), "formatted").select(
+        "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars")
+    )
+
+
+@query("op5_license_scan", f"""
+WITH t(id, label, base, size, place, a, b) AS (VALUES {", ".join(str(x).replace("True", "true").replace("False", "false") for x in license.pairs())}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_LETTERS.format("text")} AS w FROM documents),
+g AS (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
+h AS (SELECT rid, id, label, base, size, place, pos - place AS diag, pos FROM g JOIN t USING (a, b)),
+l AS (SELECT *, sum(far) OVER (PARTITION BY rid, id ORDER BY diag ROWS UNBOUNDED PRECEDING) AS island
+      FROM (SELECT *, CASE WHEN base OR diag - lag(diag) OVER (PARTITION BY rid, id ORDER BY diag) > {license.DRIFT} THEN 1 ELSE 0 END AS far
+            FROM (SELECT DISTINCT rid, id, label, base, size, diag FROM h))),
+s AS (SELECT rid, id, label, base, size, island, count(DISTINCT place) / size AS share, min(pos) AS first FROM h JOIN l USING (rid, id, label, base, size, diag) GROUP BY rid, id, label, base, size, island),
+v AS (SELECT *, base AND share = 1 AS here FROM s WHERE (base AND share = 1) OR (NOT base AND share >= {license.SHARE})),
+r AS (SELECT rid, count(*) FILTER (here) AS n_base, min(first) FILTER (here) AS first_word, max(first) FILTER (here) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (here) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM v GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN r USING (rid)""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and sentences of all documents."""
+    return license.licenses(C.table(spark, sf_dir, "documents"))
