@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import chat, decontam, license, neardup
+from . import chat, decontam, license, mixing, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and sentences of all documents."""
     return license.licenses(C.table(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing", r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, count(*) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+f AS (SELECT *, (sum(size) OVER () * 1.5::DOUBLE - coalesce(sum(size) OVER fill, 0) * 2) / (sum(weight) OVER () - coalesce(sum(weight) OVER fill, 0)) AS level
+      FROM s WINDOW fill AS (ORDER BY size * 2 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, size AS source_size, least(CAST(size * 2 AS DOUBLE), max(level) OVER () * weight) AS target, CAST(greatest(1, ceil(size / 1048576), ceil(n / 16384)) AS BIGINT) AS shards FROM f),
+m AS (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS blocks, sum(target) AS total FROM t),
+q AS (SELECT source, row_number() OVER (ORDER BY target / (2 * j - 1) DESC, source NULLS LAST) AS r
+      FROM (SELECT source, target, unnest(range(1, CAST(ceil(target * blocks / greatest(total, 1)) AS BIGINT) + 30)) AS j FROM t, m)),
+w AS (SELECT source, count(*) AS seats FROM q, m WHERE r <= blocks GROUP BY source),
+p AS (SELECT d.*, source_size, target, coalesce(seats, 0) AS seats, CAST('0x' || substr(m, 1, 8) AS BIGINT) % shards AS shard
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN w ON d.source IS NOT DISTINCT FROM w.source),
+u AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, any_value(seats) AS seats, CAST(greatest(1, ceil(sum(size) / 16)) AS BIGINT) AS n FROM p GROUP BY source, shard),
+uq AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY words / (2 * j - 1) DESC, shard) AS r, seats
+       FROM (SELECT source, shard, words, seats, unnest(range(1, CAST(ceil(words * seats / greatest(sum(words) OVER (PARTITION BY source), 1)) AS BIGINT) + 30)) AS j FROM u)),
+uw AS (SELECT source, shard, count(*) FILTER (r <= seats) AS won FROM uq GROUP BY source, shard),
+x AS (SELECT p.*, u.n, least(won, 2 * u.n) AS won, CAST('0x' || substr(md5('mix|' || coalesce(p.source, '') || '|' || p.shard), 1, 8) AS BIGINT) % u.n AS start,
+             CAST(sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY m, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e
+      FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source AND p.shard = u.shard JOIN uw ON p.source IS NOT DISTINCT FROM uw.source AND p.shard = uw.shard),
+y AS (SELECT *, list_transform([e, e - size], lambda v: (won // n) * v + (((v // 16) * (won % n) + start) // n) * 16
+               + (v % 16) * ((((v // 16) + 1) * (won % n) + start) // n - ((v // 16) * (won % n) + start) // n)) AS upto FROM x)
+SELECT doc_id, source, size, source_size, target, CAST(shard AS BIGINT) AS shard, CAST(upto[1] - upto[2] AS BIGINT) AS taken FROM y""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix by weight takes of every document."""
+    return mixing.mix(C.table(spark, sf_dir, "documents"))
