@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import chat, decontam, license, mixing, neardup
+from . import chat, decontam, learning, license, mixing, neardup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,24 @@ SELECT doc_id, source, size, source_size, target, CAST(shard AS BIGINT) AS shard
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix by weight takes of every document."""
     return mixing.mix(C.table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is good, learned from the labels that are not held out."""
+    docs = C.table(spark, sf_dir, "documents")
+    field = quality.train(docs, C.table(spark, sf_dir, "labels"), modulus=3)
+    scored = quality.quality(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each toxicity category and of being toxic, learned from the labels that are not held out."""
+    docs = C.table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, C.table(spark, sf_dir, "labels"), modulus=3)
+    scored = toxicity.toxicity(docs.select("doc_id", "text"), chain)
+    return scored.select(
+        "doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), *[F.col(f"toxicity.{c}").alias(c) for c, _ in toxicity.CATEGORIES],
+        F.col("toxicity.toxic").alias("score"), (F.col("toxicity.toxic") >= 0.5).cast("int").alias("predicted"),
+    )
