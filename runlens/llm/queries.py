@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import chat, decontam, learning, license, mixing, neardup, quality, toxicity
+from . import chat, decontam, learning, license, mixing, neardup, omh, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), *[F.col(f"toxicity.{c}").alias(c) for c, _ in toxicity.CATEGORIES],
         F.col("toxicity.toxic").alias("score"), (F.col("toxicity.toxic") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op8_order_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next one."""
+    return omh.with_next(C.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
