@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import chat, decontam, learning, license, mixing, neardup, omh, quality, toxicity
+from . import chat, decontam, learning, license, lm, mixing, neardup, omh, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +165,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edit with the next one."""
     return omh.with_next(C.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the corpus model over the subword lattice."""
+    return lm.scores(C.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
