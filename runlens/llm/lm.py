@@ -9,8 +9,10 @@ that frees to the lattice:
     P(word) = (1 - e) * (max(c - d, 0) + d * kinds * lattice(word)) / words        P(end) = e
 
 Piece weights are the vocabulary's scores. A BPE vocabulary has merge ranks for scores; they become 1 / (rank + 2.7).
+``rounds`` of expectation maximisation over the distinct training words fit the weights to the corpus; the vocabulary's own
+weights stay in as ``PRIOR`` further counts.
 
-Every distinct word goes through the lattice once. The ``HOT`` most frequent words, a table of fixed size, go to all tasks,
+Every distinct word goes through the lattice once a round and once for its score. The ``HOT`` most frequent words, a table of fixed size, go to all tasks,
 the other words of each document are joined by a 64-bit code.
 
 Nulls: a null text is empty (its end is one token); a null id is not held out. Repeated documents count each time. Ties
@@ -33,6 +35,8 @@ from . import learning as L
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose numbers every task holds (24 bytes each).
 HOT = 1 << 17
+#: Rounds of fitting the piece weights; counts that the vocabulary's own weights stand for.
+ROUNDS, PRIOR = 3, 500.0
 #: Longer words are taken one by one.
 _LONG = 192
 _MARK = "▁"
@@ -47,6 +51,7 @@ class Lattice:
         codes = np.array([_code(k) for k in keys], np.uint64)
         order = np.argsort(codes)
         self.codes, self.scores = codes[order], np.array([pieces[k] for k in keys])[order]
+        self.prior = self.scores
 
     @classmethod
     def load(cls, path: str = VOCABULARY) -> Lattice:
@@ -70,49 +75,74 @@ class Lattice:
         total = math.log(sum(map(math.exp, kept.values())))
         return cls({p: s - total for p, s in kept.items()})
 
-    def one(self, word: bytes) -> float:
+    def one(self, word: bytes, expected: np.ndarray | None = None) -> float:
         said = b" " + word
-        ahead = [0.0] + [-math.inf] * len(said)
-        for j in range(1, len(said) + 1):
-            terms = [ahead[i] + s for i in range(max(0, j - self.longest), j) if (s := self.pieces.get(said[i:j])) is not None]
+        n = len(said)
+        arcs = [[(i, s, said[i:j]) for i in range(max(0, j - self.longest), j) if (s := self.pieces.get(said[i:j])) is not None] for j in range(n + 1)]
+        ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        for j in range(1, n + 1):
+            terms = [ahead[i] + s for i, s, _ in arcs[j]]
             top = max(terms)
             ahead[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return ahead[-1]
+        if expected is not None:
+            for j in range(n, 0, -1):
+                for i, s, piece in arcs[j]:
+                    back[i] = float(np.logaddexp(back[i], back[j] + s))
+                    expected[np.searchsorted(self.codes, np.uint64(_code(piece)))] += math.exp(ahead[i] + s + back[j] - ahead[n])
+        return ahead[n]
 
-    def many(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Natural log of each word's sum; words of one length are taken together."""
+    def many(self, data: np.ndarray, offsets: np.ndarray, expected: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of each word's sum; words of one length are taken together. ``expected`` gains the pieces' counts."""
         sizes, out = np.diff(offsets), np.empty(len(offsets) - 1)
         for n in np.unique(sizes):
             rows = np.flatnonzero(sizes == n)
             if n > _LONG:
-                out[rows] = [self.one(data[offsets[r] : offsets[r + 1]].tobytes()) for r in rows]
+                out[rows] = [self.one(data[offsets[r] : offsets[r + 1]].tobytes(), expected) for r in rows]
                 continue
-            for part in np.array_split(rows, -(-len(rows) // 50_000)):
-                out[part] = self._same(data[offsets[part][:, None] + np.arange(n)[None, :]])
+            for part in np.array_split(rows, -(-len(rows) // 10_000)):
+                out[part] = self._same(data[offsets[part][:, None] + np.arange(n)[None, :]], expected)
         return out
 
-    def _same(self, words: np.ndarray) -> np.ndarray:
+    def _same(self, words: np.ndarray, expected: np.ndarray | None) -> np.ndarray:
         count, n = words.shape[0], words.shape[1] + 1
         said = np.hstack([np.full((count, 1), 0x20, np.uint8), words])
-        ahead = np.full((n + 1, count), -np.inf)
-        ahead[0] = 0
+        bytes_ = [C._BYTE_CODES[said[:, i]] for i in range(n)]
+        arcs: list[list[tuple]] = [[] for _ in range(n + 1)]  # by end: start, rows, pieces
         with np.errstate(over="ignore"):
-            codes = [C._BYTE_CODES[said[:, i]] for i in range(n)]  # of the piece that starts at i, growing
+            codes = list(bytes_)  # of the piece that starts at i, growing
             for size in range(1, min(n, self.longest) + 1):
                 if size > 1:
-                    codes = [codes[i] * C._BASE + C._BYTE_CODES[said[:, i + size - 1]] for i in range(n - size + 1)]
-                at = [np.minimum(np.searchsorted(self.codes, c), len(self.codes) - 1) for c in codes]
-                hit = [self.codes[a] == c for a, c in zip(at, codes, strict=True)]
-                if size == 1:
-                    arcs: list[list] = [[] for _ in range(n + 1)]
-                for i, (a, h) in enumerate(zip(at, hit, strict=True)):
-                    if h.any():
-                        arcs[i + size].append((i, np.flatnonzero(h), self.scores[a[h]]))
+                    codes = [codes[i] * C._BASE + bytes_[i + size - 1] for i in range(n - size + 1)]
+                for i, code in enumerate(codes):
+                    at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                    rows = np.flatnonzero(self.codes[at] == code)
+                    if len(rows):
+                        arcs[i + size].append((i, rows, at[rows]))
+        ahead = np.full((n + 1, count), -np.inf)
+        ahead[0] = 0
         for j in range(1, n + 1):
-            for i, rows, score in arcs[j]:
-                ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + score)
+            for i, rows, pieces in arcs[j]:
+                ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + self.scores[pieces])
+        if expected is not None:
+            back = np.full((n + 1, count), -np.inf)
+            back[n] = 0
+            for j in range(n, 0, -1):
+                for i, rows, pieces in arcs[j]:
+                    on = back[j, rows] + self.scores[pieces]
+                    back[i, rows] = np.logaddexp(back[i, rows], on)
+                    expected += np.bincount(pieces, weights=np.exp(ahead[i, rows] + on - ahead[n, rows]), minlength=len(expected))
         return ahead[n]
 
+    def reweighted(self, expected: np.ndarray) -> Lattice:
+        """The same pieces by their expected counts and the prior."""
+        new = Lattice.__new__(Lattice)
+        new.codes, new.longest, new.prior = self.codes, self.longest, self.prior
+        counts = expected + PRIOR * np.exp(self.prior)
+        new.scores = np.log(counts / counts.sum())
+        by_code = dict(zip(self.codes.tolist(), new.scores.tolist(), strict=True))
+        new.pieces = {p: by_code[_code(p)] for p in self.pieces}
+        return new
+
 
 def _code(piece: bytes) -> int:
     code = 0
@@ -129,9 +159,14 @@ def _gather(words: C.Words, index: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def word_table(docs: DataFrame, text: str, train: str, lattice: Lattice) -> DataFrame:
-    """Rows (code, seen, c, lattice): every distinct word, its tokens in all and in training texts, and its natural log
-    probability in the lattice."""
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+
+
+def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
+    """Rows (word, code, seen, c): every distinct word, its tokens in all and in training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,24 +177,45 @@ def word_table(docs: DataFrame, text: str, train: str, lattice: Lattice) -> Data
                 learned = np.bincount(place, weights=train[first + words.row], minlength=len(code)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([_gather(words, index), pa.array(C.signed(code)), pa.array(seen), pa.array(learned)], ["word", "code", "seen", "c"])
 
+    counted = docs.select(train, text).mapInArrow(count, "word binary, code long, seen long, c long")
+    return counted.groupBy("word").agg(F.first("code").alias("code"), F.sum("seen").alias("seen"), F.sum("c").alias("c"))
+
+
+def fitted(lattice: Lattice, words: DataFrame, rounds: int) -> Lattice:
+    """Piece weights after some rounds over the distinct words; each round brings one number for each piece to the driver."""
+    for _ in range(rounds):
+        now = words.sparkSession.sparkContext.broadcast(lattice)  # as large as the vocabulary
+
+        def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(now.value.codes))
+            for batch in batches:
+                now.value.many(*_binary(batch.column(0)), total)
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
+
+        found = words.select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        expected = np.zeros(len(lattice.codes))
+        expected[found.column("piece").to_numpy()] = found.column("n").to_numpy()
+        lattice = lattice.reweighted(expected)
+    return lattice
+
+
+def weighed(words: DataFrame, lattice: Lattice) -> DataFrame:
+    """Rows (code, seen, c, lattice): ``words`` with their natural log probability in the lattice."""
+    now = words.sparkSession.sparkContext.broadcast(lattice)
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0).cast(pa.large_binary())
-            _, offsets, data = column.buffers()
-            off = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
-            logs = lattice.many(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), off)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logs)], ["code", "seen", "c", "lattice"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(now.value.many(*_binary(batch.column(0))))], ["code", "seen", "c", "lattice"])
 
-    counted = docs.select(train, text).mapInArrow(count, "word binary, code long, seen long, c long")
-    words = counted.groupBy("word").agg(F.first("code").alias("code"), F.sum("seen").alias("seen"), F.sum("c").alias("c"))
     return words.mapInArrow(weigh, "code long, seen long, c long, lattice double")
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 5, vocabulary: str = VOCABULARY, hot: int = HOT) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 5, vocabulary: str = VOCABULARY, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     held = L.held_out(F.col(doc_id), modulus)
-    lattice = Lattice.load(vocabulary)
-    table = C.cut(word_table(docs.select((~held).alias("train"), F.col(text).alias("text")), "text", "train", lattice))
+    counted = C.cut(word_counts(docs.select((~held).alias("train"), F.col(text).alias("text")), "text", "train"))
+    table = C.cut(weighed(counted, fitted(Lattice.load(vocabulary), counted.where("c > 0"), rounds)))
     words, kinds, once, twice = table.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = docs.where(~held).count()
     tokens, distinct = words + ends, kinds + (ends > 0)
