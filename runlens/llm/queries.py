@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import chat, decontam, learning, license, lm, mixing, neardup, omh, quality, toxicity
+from . import chat, decontam, html, learning, license, lm, mixing, neardup, omh, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under the corpus model over the subword lattice."""
     return lm.scores(C.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(C.table(spark, sf_dir, "pages")).drop("declared")
