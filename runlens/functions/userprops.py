@@ -1,30 +1,26 @@
-"""Typing of user-property filter values."""
+"""Values that a filter on user properties compares with."""
 
 from __future__ import annotations
 
 import json
 
 
-def _typed(value) -> bool:
-    return (
-        isinstance(value, dict)
-        and isinstance(value.get("type"), str)
-        and ("value" in value or value["type"] == "null")
-    )
+def _as_object(given) -> dict:
+    """The object that was given, itself or as JSON text; {} for anything else."""
+    if isinstance(given, str):
+        try:
+            given = json.loads(given)
+        except ValueError:
+            return {}
+    return given if isinstance(given, dict) else {}
 
 
 def normalize_value(value):
-    """Text is trimmed and stays text; {"type", "value"} (object or JSON text) gives its value."""
-    if _typed(value):
-        return None if value["type"] == "null" else value["value"]
-    if not isinstance(value, str) or not value.strip():
-        return value
-    text = value.strip()
-    if text.startswith("{"):
-        try:
-            parsed = json.loads(text)
-        except ValueError:
-            return text
-        if _typed(parsed):
-            return normalize_value(parsed)
-    return text
+    """Plain text is trimmed and stays text, whatever it looks like. A wrapped value {"type": …, "value": …}, as an object or as
+    JSON text, gives its value, and {"type": "null"} gives None. Everything else passes unchanged."""
+    given = value.strip() if isinstance(value, str) else value
+    wrapped = _as_object(given)
+    kind = wrapped.get("type")
+    if kind == "null":
+        return None
+    return wrapped["value"] if isinstance(kind, str) and "value" in wrapped else given

@@ -1,173 +1,169 @@
-"""A typed clause list → filter tree → filtered runs, with everything unusable reported."""
+"""A typed clause list → filter tree → filtered runs.
+
+Clauses have one of three shapes, listed in ``SHAPES``: a comparison of one quantity, a choice among listed values, or a
+key with its value. Whatever a clause lacks is reported as {"clause": id, "code": reason, …} and restricts nothing.
+"""
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from .filters import Tables, filter_runs
+from .filters import COMPARE_ZERO, Tables, filter_runs
 
-# fixed values: seconds per unit, and the accepted choices of enumerated parameters
+# fixed values: seconds per unit
 UNIT_SECONDS = {"milliseconds": 0.001, "ms": 0.001, "seconds": 1, "minutes": 60, "hours": 3600}
-OPERATORS = ("gt", "gte", "lt", "lte", "eq", "neq")
-
-
-def _number(v) -> float | None:
-    try:
-        n = float(v)
-    except (TypeError, ValueError):
-        return None
-    return n if math.isfinite(n) else None
-
-
-def _tidy(n: float):
-    return int(n) if float(n).is_integer() else n
 
 
-def _values(clause: dict) -> list[str]:
-    if clause.get("values"):
-        return [str(v) for v in clause["values"]]
-    return [] if clause.get("value") is None else [str(clause["value"])]
-
-
-class PlanCompiler:
-    def __init__(self, allowed: dict[str, list[str]] | None = None, unmatched: list[str] | None = None):
-        self.allowed = allowed or {}
-        self.unmatched = list(unmatched or [])
-
-    def miss(self, why: str) -> list:
-        self.unmatched.append(why)
-        return []
-
-    def _measure(self, c: dict, name: str, scale: float = 1) -> list:
-        op = c.get("op", "gt")
-        if op == "between":
-            bounds = [_number(x) for x in c.get("range") or []]
-            if len(bounds) != 2 or None in bounds:
-                return self.miss(f"{name} range requires two numbers")
-            pair = [{"id": name, "params": {"operator": o, name: _tidy(b * scale)}} for o, b in zip(("gt", "lt"), bounds)]
-            return [["AND", *pair]]
-        n = _number(c.get("value"))
-        if n is None:
-            return self.miss(f"{name} requires numeric value")
-        if op not in OPERATORS:
-            return self.miss(f"{name} has no operator {op}")
-        return [{"id": name, "params": {"operator": op, name: _tidy(n * scale)}}]
-
-    def duration(self, c):
-        return self._measure(c, "duration", UNIT_SECONDS.get(c.get("unit") or "seconds", 1))
-
-    def cost(self, c):
-        return self._measure(c, "cost")
-
-    def tokens(self, c):
-        n = _number(c.get("value"))
-        if n is None:
-            return self.miss("tokens requires numeric value")
-        return [{"id": "tokens", "params": {"field": c.get("field", "total"), "operator": c.get("op", "gt"), "tokens": _tidy(n)}}]
-
-    def date(self, c):
-        iso = c.get("iso")
-        if c.get("op") == "between":
-            if not isinstance(iso, (list, tuple)) or len(iso) != 2 or not all(iso):
-                return self.miss("date between requires two ISO datetimes")
-            return [["AND", *[{"id": "date", "params": {"operator": o, "date": v}} for o, v in zip(("gt", "lt"), iso)]]]
-        return [{"id": "date", "params": {"operator": c.get("op", "gt"), "date": iso or c.get("value")}}]
-
-    def feedback(self, c):
-        types = [json.dumps({"thumb": None if t in (None, "null") else t}, separators=(",", ":")) for t in c.get("thumbs") or []]
-        return [{"id": "feedback", "params": {"types": types}}] if types else self.miss("feedback requires at least one of up/down/null")
-
-    def status(self, c):
-        v = _values(c)
-        return [{"id": "status", "params": {"status": v[0]}}] if v else self.miss("status requires a value")
-
-    def type(self, c):
-        v = _values(c)
-        return [{"id": "type", "params": {"type": v[0]}}] if v else []
-
-    def _choice(self, c, name):
-        wanted = _values(c)
-        if not wanted:
-            return self.miss(f"{name} requires at least one value")
-        known = self.allowed.get(name) or []
-        kept = [k for k in known if any(k == w or (name == "models" and k.startswith(w)) for w in wanted)] if known else wanted
-        ignored = [w for w in wanted if known and not any(k == w or (name == "models" and k.startswith(w)) for k in known)]
-        if ignored:
-            self.unmatched.append(f"ignored {name[:-1]} values: {', '.join(ignored)}")
-        return [{"id": name, "params": {name: kept}}] if kept else []
+class Unusable(Exception):
+    """A clause that gives no leaf: its code and what to say with it."""
 
-    def models(self, c):
-        return self._choice(c, "models")
+    def __init__(self, code: str, **more):
+        super().__init__(code)
+        self.report = {"code": code, **more}
 
-    def tags(self, c):
-        return self._choice(c, "tags")
 
-    def templates(self, c):
-        return self._choice(c, "templates")
+def _listed(clause: dict) -> list:
+    many = clause.get("values") or [clause.get("value")]
+    return [v for v in many if v is not None]
 
-    def tools(self, c):
-        v = _values(c)
-        return [{"id": "tools", "params": {"toolName": v[0]}}] if v else self.miss("tools requires a name")
 
-    def retrievers(self, c):
-        v = _values(c)
-        return [{"id": "retrievers", "params": {"retrieverName": v[0]}}] if v else self.miss("retrievers requires a name")
+def _quantity(clause: dict, given) -> int | float:
+    try:
+        n = float(given) * (UNIT_SECONDS.get(clause["unit"], 1) if clause.get("unit") else 1)
+    except (TypeError, ValueError):
+        raise Unusable("not_a_number", value=given) from None
+    if not math.isfinite(n):
+        raise Unusable("not_a_number", value=given)
+    return int(n) if n.is_integer() else n
 
-    def languages(self, c):
-        v = _values(c)
-        return [{"id": "languages", "params": {"field": c.get("field", "any"), "codes": v}}] if v else self.miss("languages requires at least one code")
 
-    def topics(self, c):
-        return [{"id": "topics", "params": {"field": c.get("field", "any"), "topics": _values(c)}}]
+def _instant(clause: dict, given) -> str:
+    if not given:
+        raise Unusable("no_instant")
+    return given
 
-    def toxicity(self, c):
-        return [{"id": "toxicity", "params": {"field": c.get("field", "any"), "type": (_values(c) or ["toxic"])[0]}}]
 
-    def intents(self, c):
-        v = _values(c)
-        return [{"id": "intents", "params": {"intents": v}}] if v else self.miss("intents requires at least one value")
+@dataclass(frozen=True)
+class Compared:
+    """``operand`` reads one bound; a ``between`` becomes the two strict comparisons around it."""
 
-    def pii(self, c):
-        return [{"id": "pii", "params": {"containsPii": str(c.get("flag") or (_values(c) or ["true"])[0])}}]
+    operand: Callable = _quantity
+    source: tuple[str, str] = ("value", "range")
+    extra: dict = field(default_factory=dict)
 
-    def metadata(self, c):
-        v = c.get("values") or []
-        key = c.get("key") or (str(v[0]) if v else None)
-        value = c.get("value") if c.get("value") is not None else (v[1] if len(v) > 1 else None)
+    def leaves(self, name: str, clause: dict, allowed: Iterable[str]) -> list:
+        op, (single, pair) = clause.get("op", "gt"), self.source
+        if op == "between":
+            bounds = clause.get(pair)
+            if not isinstance(bounds, (list, tuple)) or len(bounds) != 2:
+                raise Unusable("two_bounds_needed")
+            asked = list(zip(("gt", "lt"), bounds, strict=True))
+        elif op in COMPARE_ZERO:
+            asked = [(op, clause.get(single) if clause.get(single) is not None else clause.get("value"))]
+        else:
+            raise Unusable("unknown_operator", operator=op)
+        further = {k: clause.get(k, v) for k, v in self.extra.items()}
+        nodes = [{"id": name, "params": {**further, "operator": o, name: self.operand(clause, x)}} for o, x in asked]
+        return nodes if len(nodes) == 1 else [["AND", *nodes]]
+
+
+@dataclass(frozen=True)
+class Chosen:
+    """The listed values go to ``param``, all or the first; ``matches`` says which allowed value a listed one stands for."""
+
+    param: str
+    first: bool = False
+    default: tuple = ()
+    extra: dict = field(default_factory=dict)
+    source: Callable = _listed
+    matches: Callable[[str, str], bool] = str.__eq__
+
+    def leaves(self, name: str, clause: dict, allowed: Iterable[str]) -> list:
+        wanted = [v if isinstance(v, str) else str(v) for v in self.source(clause)] or list(self.default)
+        if not wanted:
+            raise Unusable("no_value")
+        if allowed:
+            strange = [w for w in wanted if not any(self.matches(a, w) for a in allowed)]
+            wanted = [a for a in allowed if any(self.matches(a, w) for w in wanted)]
+            if strange:
+                clause.setdefault("_reports", []).append({"code": "not_allowed", "values": strange})
+            if not wanted:
+                return []
+        return [{"id": name, "params": {**{k: clause.get(k, v) for k, v in self.extra.items()}, self.param: wanted[0] if self.first else wanted}}]
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """A key and its value, named or as the two listed values."""
+
+    def leaves(self, name: str, clause: dict, allowed: Iterable[str]) -> list:
+        rest = list(clause.get("values") or [])
+        key = clause.get("key") or (rest.pop(0) if rest else None)
+        value = clause.get("value") if clause.get("value") is not None else (rest[-1] if rest else None)
         if not key or value is None:
-            return self.miss("metadata requires key and value")
-        return [{"id": "metadata", "params": {"key": key, "value": value}}]
-
-    def users(self, c):
-        v = _values(c)
-        return [{"id": "users", "params": {"users": v}}] if v else self.miss("users requires at least one identifier")
-
-    KNOWN = frozenset(
-        "duration cost tokens date feedback status type models tags templates tools retrievers languages topics toxicity intents pii metadata users".split()
-    )
-
-    def clause(self, c: dict) -> list:
-        if c.get("id") not in self.KNOWN:
-            return self.miss(f"Unsupported filter id: {c.get('id')}")
-        return getattr(self, c["id"])(c)
-
-    def compile(self, plan: dict):
-        top = [x for c in plan.get("clauses", []) for x in self.clause(c)]
-        for g in plan.get("groups") or []:
-            parts = [x for c in g["clauses"] for x in self.clause(c)]
-            if parts:
-                top.append([g["op"], *parts])
-        return ["OR" if plan.get("op") == "OR" and len(top) > 1 else "AND", *top]
-
-
-def compile_plan(plan: dict, allowed: dict[str, list[str]] | None = None):
-    c = PlanCompiler(allowed, plan.get("unmatched"))
-    return c.compile(plan), c.unmatched
-
-
-def filter_by_plan(runs: DataFrame, plan: dict, allowed=None, tables: Tables | None = None) -> tuple[DataFrame, list[str]]:
-    logic, unmatched = compile_plan(plan, allowed)
-    return filter_runs(runs, logic, tables), unmatched
+            raise Unusable("key_and_value_needed")
+        return [{"id": name, "params": {"key": str(key), "value": value}}]
+
+
+def _thumbs(clause: dict) -> list[str]:
+    return [json.dumps({"thumb": None if t == "null" else t}, separators=(",", ":")) for t in clause.get("thumbs") or []]
+
+
+def _flag(clause: dict) -> list:
+    return [clause["flag"]] if clause.get("flag") else _listed(clause)
+
+
+_ANY = {"field": "any"}
+SHAPES = {
+    "cost": Compared(),
+    "date": Compared(_instant, ("iso", "iso")),
+    "duration": Compared(),
+    "tokens": Compared(extra={"field": "total"}),
+    "metadata": Keyed(),
+    "feedback": Chosen("types", source=_thumbs),
+    "intents": Chosen("intents"),
+    "languages": Chosen("codes", extra=_ANY),
+    "models": Chosen("models", matches=str.startswith),
+    "pii": Chosen("containsPii", first=True, default=("true",), source=_flag),
+    "retrievers": Chosen("retrieverName", first=True),
+    "status": Chosen("status", first=True),
+    "tags": Chosen("tags"),
+    "templates": Chosen("templates"),
+    "tools": Chosen("toolName", first=True),
+    "topics": Chosen("topics", extra=_ANY),
+    "toxicity": Chosen("type", first=True, default=("toxic",), extra=_ANY),
+    "type": Chosen("type", first=True),
+    "users": Chosen("users"),
+}
+
+
+def compile_plan(plan: dict, allowed: dict[str, list[str]] | None = None) -> tuple[list, list]:
+    """(filter tree, reports)."""
+    reports = list(plan.get("unmatched") or [])
+
+    def nodes(clauses: Iterable[dict]) -> list:
+        out = []
+        for given in clauses:
+            clause, name = dict(given), given.get("id")
+            try:
+                if name not in SHAPES:
+                    raise Unusable("unknown_filter")
+                out += SHAPES[name].leaves(name, clause, (allowed or {}).get(name) or ())
+            except Unusable as missing:
+                clause.setdefault("_reports", []).append(missing.report)
+            reports.extend({"clause": name, **r} for r in clause.get("_reports", ()))
+        return out
+
+    tree = nodes(plan.get("clauses") or [])
+    tree += [[g["op"], *inner] for g in plan.get("groups") or [] if (inner := nodes(g["clauses"]))]
+    return ["OR" if plan.get("op") == "OR" and len(tree) > 1 else "AND", *tree], reports
+
+
+def filter_by_plan(runs: DataFrame, plan: dict, allowed=None, tables: Tables | None = None) -> tuple[DataFrame, list]:
+    logic, reports = compile_plan(plan, allowed)
+    return filter_runs(runs, logic, tables), reports

@@ -45,12 +45,18 @@ def test_plans():
     logic, missed = compile_plan({"op": "AND", "clauses": [{"id": "languages", "values": ["en", "fr"]}]})
     assert leaf(logic, "languages") == {"field": "any", "codes": ["en", "fr"]}
     logic, missed = compile_plan({"op": "AND", "clauses": [{"id": "not-a-real-filter", "value": "noop"}]})
-    assert logic == ["AND"] and "Unsupported filter id" in missed[0]
+    assert logic == ["AND"] and missed == [{"clause": "not-a-real-filter", "code": "unknown_filter"}]
     allowed = {"models": ["gpt-4o", "gpt-4o-mini"]}
     logic, missed = compile_plan({"op": "AND", "clauses": [{"id": "models", "values": ["openai"]}]}, allowed)
-    assert logic == ["AND"] and "ignored model values" in missed[0]
+    assert logic == ["AND"] and missed == [{"clause": "models", "code": "not_allowed", "values": ["openai"]}]
     logic, missed = compile_plan({"op": "AND", "clauses": [{"id": "models", "values": ["gpt"]}]}, allowed)
     assert not missed and leaf(logic, "models") == {"models": ["gpt-4o", "gpt-4o-mini"]}
+    bad = [{"id": "cost", "value": "x"}, {"id": "duration", "op": "between", "range": [1]}, {"id": "cost", "op": "like", "value": 1}, {"id": "tags"}, {"id": "metadata", "key": "k"}, {"id": "date"}]
+    logic, missed = compile_plan({"clauses": bad})
+    assert logic == ["AND"] and [m["code"] for m in missed] == ["not_a_number", "two_bounds_needed", "unknown_operator", "no_value", "key_and_value_needed", "no_instant"]
+    logic, missed = compile_plan({"op": "OR", "clauses": [{"id": "duration", "value": 1500, "unit": "ms"}, {"id": "metadata", "values": ["k", "v"]}, {"id": "pii"}, {"id": "date", "op": "between", "iso": ["a", "b"]}]})
+    assert not missed and logic[0] == "OR" and leaf(logic, "duration")["duration"] == 1.5 and leaf(logic, "metadata") == {"key": "k", "value": "v"}
+    assert leaf(logic, "pii") == {"containsPii": "true"} and logic[4][0] == "AND"
 
 
 def test_filter_tree_keeps_precedence(spark):
