@@ -44,14 +44,14 @@ def with_scores(runs: DataFrame, scores: DataFrame, limit: int = 10_000) -> Data
     return runs.join(lists, "id", "left")
 
 
-def parent_feedback(runs: DataFrame, max_depth: int = 50) -> DataFrame:
+def parent_feedback(runs: DataFrame) -> DataFrame:
     """(id, parent_feedback): feedback of the nearest chat ancestor."""
     chats = (F.col("type") == "chat") & F.col("feedback").isNotNull()
-    return ancestors_first(runs, chats, F.col("feedback"), "parent_feedback", max_depth)
+    return ancestors_first(runs, chats, F.col("feedback"), "parent_feedback")
 
 
-def with_parent_feedback(runs: DataFrame, max_depth: int = 50) -> DataFrame:
-    return runs.join(parent_feedback(runs, max_depth), "id", "left")
+def with_parent_feedback(runs: DataFrame) -> DataFrame:
+    return runs.join(parent_feedback(runs), "id", "left")
 
 
 def child_feedbacks(runs: DataFrame) -> DataFrame:

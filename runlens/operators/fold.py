@@ -116,9 +116,9 @@ def fold_users(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return out.select(F.xxhash64("project_id", "external_id").alias("id"), "*")
 
 
-def cascade_users(runs: DataFrame, max_depth: int = 50) -> DataFrame:
+def cascade_users(runs: DataFrame) -> DataFrame:
     """A run takes its parent's user when the parent has one, all the way down from the root."""
-    top = fold_up(runs.select("id", "parent_run_id", "user_id"), F.col("user_id"), "_user", far=True, max_depth=max_depth)
+    top = fold_up(runs.select("id", "parent_run_id", "user_id"), F.col("user_id"), "_user", far=True)
     return runs.drop("user_id").join(top, "id", "left").withColumnRenamed("_user", "user_id")
 
 

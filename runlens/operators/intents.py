@@ -36,7 +36,7 @@ def _shortenings(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.when(F.length(text) > 3, cut).otherwise(F.array().cast("array<string>"))))
 
 
-def grouped_labels(stats: DataFrame, max_rounds: int = 30) -> DataFrame:
+def grouped_labels(stats: DataFrame) -> DataFrame:
     """(label, occurrences, cluster): labels with one fingerprint, or fingerprints one edit apart, form a
     cluster named after its most frequent label.
 
@@ -46,7 +46,8 @@ def grouped_labels(stats: DataFrame, max_rounds: int = 30) -> DataFrame:
     prints = stats.withColumn("fp", fingerprint(F.col("label")))
     nodes = cut_lineage(prints.select("fp").distinct().withColumn("comp", F.col("fp")))
     links = cut_lineage(nodes.select("fp", F.explode(_shortenings(F.col("fp"))).alias("k")))
-    for _ in range(max_rounds):
+    changed = True
+    while changed:
         least = links.join(nodes, "fp").groupBy("k").agg(F.min("comp").alias("low"))
         best = links.join(least, "k").groupBy("fp").agg(F.min("low").alias("low"))
         moved = nodes.join(best, "fp").select("fp", F.least("comp", "low").alias("next"), "comp")
@@ -57,8 +58,6 @@ def grouped_labels(stats: DataFrame, max_rounds: int = 30) -> DataFrame:
         )
         changed = not after.where("next != comp").isEmpty()
         nodes = after.select("fp", F.col("next").alias("comp"))
-        if not changed:
-            break
     named = prints.join(nodes, "fp")
     names = named.groupBy("comp").agg(F.max_by("label", F.struct("occurrences", "label")).alias("cluster"))
     return named.join(names, "comp").select("label", "occurrences", "cluster")

@@ -2,29 +2,22 @@
 
 Roots are found by pointer doubling: each round joins the unresolved pointers with the
 table of pointers itself, halving the distance, so a tree of depth n needs log2(n)
-rounds. Rows that reached a root leave the loop. Cycles never resolve and are dropped
-when the depth cap is reached. Lineage is cut with reliable checkpoints.
+rounds, whatever n is. Rows that reached a root leave the loop. A round that resolves no
+row leaves only rows on or below a cycle: they have no root, and ``cycles`` reports them.
 """
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .skew import numbered, time_chunk
 
-MAX_DEPTH = 50
-
-
-def _empty(df: DataFrame) -> bool:
-    return df.isEmpty()
 
-
-def roots(runs: DataFrame, max_depth: int = MAX_DEPTH, stop: Column | None = None) -> DataFrame:
-    """(id, root_id, depth) for every run whose chain ends within ``max_depth`` steps.
+def roots(runs: DataFrame, stop: Column | None = None) -> DataFrame:
+    """(id, root_id, depth) for every run whose chain ends.
 
     ``stop`` marks runs that act as roots even when they have a parent. A parent that is
     not in the table ends the chain as well.
@@ -41,56 +34,55 @@ def roots(runs: DataFrame, max_depth: int = MAX_DEPTH, stop: Column | None = Non
             (F.col("_p").isNull() | F.col("_up").isNull()).alias("done"),
         )
     )
-    finished = [state.where("done")]
-    for _ in range(math.ceil(math.log2(max_depth)) + 1):
-        asking = state.where("not done")
-        if _empty(asking):
-            break
+    known, before = state.where("done"), None
+    while (open_ := state.where("not done").count()) and open_ != before:
+        before = open_
         # only unresolved rows ask; whatever is known answers
-        known = finished[0]
-        for f in finished[1:]:
-            known = known.unionAll(f)
+        asking = state.where("not done")
         answers = known.unionAll(asking).select(F.col("id").alias("_i"), F.col("anc").alias("_a"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
         state = cut_lineage(
             asking.join(answers, F.col("anc") == F.col("_i"), "left").select(
                 "id", F.coalesce("_a", "anc").alias("anc"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done")
             )
         )
-        finished.append(state.where("done"))
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionAll(f)
-    return out.where(F.col("depth") <= max_depth).select("id", F.col("anc").alias("root_id"), "depth")
+        known = known.unionAll(state.where("done"))
+    return known.select("id", F.col("anc").alias("root_id"), "depth")
 
 
-def descendants(runs: DataFrame, starts: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def cycles(runs: DataFrame) -> DataFrame:
+    """Runs on or below a cycle: those without a root."""
+    return runs.join(roots(runs).select("id"), "id", "left_anti")
+
+
+def descendants(runs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """All runs below the given runs (or below every root), themselves included, with root_id and depth.
 
-    For whole-table roots one pass of ``roots`` answers; for chosen starts the frontier
-    moves down one level per round and only frontier rows are joined.
+    For chosen starts, every run finds the nearest start above it by doubling; starts that lie
+    below other starts pass their runs on, one round for each level of such nesting.
     """
     if starts is None:
-        return runs.join(roots(runs, max_depth), "id")
-    edges = runs.where("parent_run_id is not null").select(F.col("id").alias("_c"), F.col("parent_run_id").alias("_p"))
-    level = cut_lineage(starts.select(F.col("id"), F.col("id").alias("root_id"), F.lit(0).alias("depth")))
-    found = [level]
-    for depth in range(1, max_depth + 1):
-        nxt = level.join(edges, F.col("id") == F.col("_p")).select(F.col("_c").alias("id"), "root_id", F.lit(depth).alias("depth"))
-        level = cut_lineage(nxt.where(F.col("id") != F.col("root_id")))
-        if _empty(level):
-            break
-        found.append(level)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
-    # a cycle that avoids its start meets a row twice: keep the first visit
-    out = out.groupBy("root_id", "id").agg(F.min("depth").alias("depth"))
-    return runs.join(out, "id")
-
-
-def fold_up(runs: DataFrame, value: Column, name: str, far: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+        return runs.join(roots(runs), "id")
+    chosen = cut_lineage(starts.select(F.col("id").alias("_s")).distinct())
+    marked = runs.select("id", "parent_run_id").join(chosen, F.col("id") == F.col("_s"), "left").withColumn("_start", F.col("_s").isNotNull())
+    near = roots(marked, stop=F.col("_start")).join(chosen, F.col("root_id") == F.col("_s"), "left_semi")
+    near = cut_lineage(near)
+    above = cut_lineage(
+        runs.join(chosen, F.col("id") == F.col("_s"), "left_semi").select(F.col("id").alias("_low"), "parent_run_id")
+        .join(near.select(F.col("id").alias("_p"), F.col("root_id").alias("_high"), (F.col("depth") + 1).alias("_d")), F.col("parent_run_id") == F.col("_p"))
+        .select("_low", "_high", "_d")
+    )
+    found = level = near
+    while not level.isEmpty():
+        passed = level.join(above, F.col("root_id") == F.col("_low")).select("id", F.col("_high").alias("root_id"), (F.col("depth") + F.col("_d")).alias("depth"))
+        # starts on one cycle pass a run round and back: only new pairs go on
+        level = cut_lineage(passed.join(found.select("id", "root_id"), ["id", "root_id"], "left_anti").groupBy("id", "root_id").agg(F.min("depth").alias("depth")))
+        found = found.unionByName(level)
+    return runs.join(found, "id")
+
+
+def fold_up(runs: DataFrame, value: Column, name: str, far: bool = False, within: int | None = None) -> DataFrame:
     """(id, name): the first non-null ``value`` on the way up from each run, itself included;
-    with ``far`` the last one, i.e. the one nearest the root. At most ``max_depth`` steps up.
+    with ``far`` the last one, i.e. the one nearest the root. With ``within`` at most so many steps up.
 
     Doubling: every state covers a stretch of ancestors and points at the next one.
     """
@@ -99,15 +91,14 @@ def fold_up(runs: DataFrame, value: Column, name: str, far: bool = False, max_de
     state = cut_lineage(
         state.join(parents, F.col("nxt") == F.col("_p"), "left").select("id", F.col("_p").alias("nxt"), "v", "dist", "span")
     )
-    for _ in range(math.ceil(math.log2(max_depth + 1)) + 1):
-        if _empty(state.where("nxt is not null")):
-            break
+    before, reached = None, 1
+    while (open_ := state.where("nxt is not null").count()) and open_ != before and (within is None or reached <= within):
+        before, reached = open_, 2 * reached
         ahead = state.select(
             F.col("id").alias("_i"), F.col("nxt").alias("_n"), F.col("v").alias("_v"), F.col("dist").alias("_d"), F.col("span").alias("_s")
         )
         joined = state.join(ahead, F.col("nxt") == F.col("_i"), "left")
-        reach = F.col("span") + F.col("_d") <= max_depth
-        usable = F.when(reach, F.col("_v"))
+        usable = F.col("_v") if within is None else F.when(F.col("span") + F.col("_d") <= within, F.col("_v"))
         take = usable.isNotNull() if far else (F.col("v").isNull() & usable.isNotNull())
         state = cut_lineage(
             joined.select(
@@ -121,16 +112,16 @@ def fold_up(runs: DataFrame, value: Column, name: str, far: bool = False, max_de
     return state.select("id", F.col("v").alias(name))
 
 
-def ancestors_first(runs: DataFrame, hit: Column, value: Column, name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors_first(runs: DataFrame, hit: Column, value: Column, name: str) -> DataFrame:
     """(id, name): ``value`` of the nearest proper ancestor satisfying ``hit``."""
-    found = fold_up(runs, F.when(hit, value), name, max_depth=max_depth).where(F.col(name).isNotNull())
+    found = fold_up(runs, F.when(hit, value), name).where(F.col(name).isNotNull())
     above = found.select(F.col("id").alias("_a"), name)
     return runs.select("id", "parent_run_id").join(above, F.col("parent_run_id") == F.col("_a")).select("id", name)
 
 
-def subtree_totals(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def subtree_totals(runs: DataFrame) -> DataFrame:
     """Tokens and cost summed over each trace."""
-    return runs.join(roots(runs, max_depth), "id").groupBy("root_id").agg(
+    return runs.join(roots(runs), "id").groupBy("root_id").agg(
         F.sum(F.col("prompt_tokens").cast("long")).alias("prompt_tokens"),
         F.sum(F.col("completion_tokens").cast("long")).alias("completion_tokens"),
         F.sum("cost").alias("cost"),
@@ -138,7 +129,7 @@ def subtree_totals(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def attributed_to_agents(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def attributed_to_agents(runs: DataFrame) -> DataFrame:
     """Runs with the name of the agent or chain whose subtree they belong to.
 
     A subtree starts at an agent or chain that has no parent or whose parent is a chat.
@@ -147,59 +138,67 @@ def attributed_to_agents(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFra
     marked = runs.join(chats, F.col("parent_run_id") == F.col("_chat"), "left").withColumn(
         "_seed", F.col("type").isin("agent", "chain") & (F.col("parent_run_id").isNull() | F.col("_chat").isNotNull())
     )
-    tops = roots(marked, max_depth, stop=F.col("_seed"))
+    tops = roots(marked, stop=F.col("_seed"))
     seeds = marked.where("_seed").select(F.col("id").alias("root_id"), F.col("name").alias("agent_name"))
     return runs.join(tops, "id").join(seeds, "root_id")
 
 
 def inherited_feedback(runs: DataFrame, max_depth: int = 5) -> DataFrame:
     """(id, feedback): own feedback, else the nearest one at most ``max_depth`` levels up."""
-    return fold_up(runs, F.col("feedback"), "feedback", max_depth=max_depth)
+    return fold_up(runs, F.col("feedback"), "feedback", within=max_depth)
 
 
-def node_paths(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def node_paths(runs: DataFrame) -> DataFrame:
     """Every node with its root, depth and status (redacted runs become ``filtered``)."""
-    hidden = F.coalesce(F.col("input").contains("__NOT_INGESTED__") | F.col("output").contains("__NOT_INGESTED__"), F.lit(False))
-    return runs.join(roots(runs, max_depth), "id").withColumn("status", F.when(hidden, "filtered").otherwise(F.col("status")))
+    hidden = F.coalesce(F.col("input") == "__NOT_INGESTED__", F.lit(False)) | F.coalesce(F.col("output") == "__NOT_INGESTED__", F.lit(False))
+    return runs.join(roots(runs), "id").withColumn("status", F.when(hidden, "filtered").otherwise(F.col("status")))
 
 
-def nested_traces(runs: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int = 10_000) -> DataFrame:
-    """(root_id, nodes, tree): one nested JSON per trace, children by creation time.
+def nested_traces(runs: DataFrame, fields: tuple[str, ...] = ("type", "name", "status")) -> DataFrame:
+    """(root_id, nodes, tree): one nested JSON per trace, children by creation time, then id.
 
-    Built bottom up, one level per round. A trace with more than ``max_nodes`` runs keeps a
-    null tree: it is read from ``node_paths``, which holds every node of every trace.
+    A node is its id, the named fields (null ones as null) and its children. Every node's own text is written where it
+    lies; one pass over a trace's nodes in preorder then puts the brackets between them, so neither depth nor breadth
+    needs a round of its own. A trace is one value by its nature; ``node_paths`` has the same nodes as rows.
     """
-    nodes = cut_lineage(node_paths(runs, max_depth).select("id", "parent_run_id", "root_id", "depth", "type", "name", "status", "created_at"))
-    sizes = nodes.groupBy("root_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("deepest"))
-    small = sizes.where(F.col("nodes") <= max_nodes).select("root_id")
-    todo = nodes.join(small, "root_id", "left_semi")
-    deepest = todo.agg(F.max("depth")).first()[0]
-    pack = lambda kids: F.concat(
-        F.lit('{"id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2),
-        F.lit(',"type":"'), "type", F.lit('","name":"'), F.regexp_replace("name", '(["\\\\])', "\\\\$1"), F.lit('","status":"'), "status",
-        F.lit('","children":['), kids, F.lit("]}"),
-    )
-    below: DataFrame | None = None
-    for depth in range(deepest or 0, -1, -1):
-        level = todo.where(F.col("depth") == depth)
-        if below is None:
-            built = level.withColumn("tree", pack(F.lit("")))
-        else:
-            kids = below.groupBy("parent_run_id").agg(
-                F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "tree"))), lambda x: x["tree"]), ",").alias("kids")
-            ).select(F.col("parent_run_id").alias("_p"), "kids")
-            built = level.join(kids, F.col("id") == F.col("_p"), "left").withColumn("tree", pack(F.coalesce("kids", F.lit(""))))
-        below = cut_lineage(built.select("id", "parent_run_id", "root_id", "created_at", "tree"))
-    trees = below.select("root_id", "tree") if below is not None else None
-    return sizes.select("root_id", "nodes").join(trees, "root_id", "left")
-
-
-def transcript(runs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    nodes = cut_lineage(node_paths(runs).select("id", "parent_run_id", "root_id", "depth", "created_at", *fields))
+    own = F.to_json(F.struct("id", *fields), {"ignoreNullFields": "false"})
+    named = nodes.select("root_id", "id", F.when(F.col("depth") > 0, F.col("parent_run_id")).alias("up"), F.date_format("created_at", "yyyyMMddHHmmssSSSSSS").alias("at"), own.alias("own"))
+
+    @F.pandas_udf("string")
+    def nest(listed: pd.Series) -> pd.Series:
+        return listed.map(_nest)
+
+    packed = named.groupBy("root_id").agg(F.count(F.lit(1)).alias("nodes"), F.collect_list(F.struct("id", "up", "at", "own")).alias("_all"))
+    return packed.select("root_id", "nodes", nest("_all").alias("tree"))
+
+
+def _nest(rows) -> str:
+    """The nested JSON of the nodes of one trace."""
+    below: dict = {}
+    for r in sorted(rows, key=lambda r: (r["at"] or "", str(r["id"]))):
+        below.setdefault(r["up"], []).append(r)
+    out: list[str] = []
+    stack = [(iter(below.get(None, ())), True)]
+    while stack:
+        kids, first = stack.pop()
+        r = next(kids, None)
+        if r is None:
+            if stack:
+                out.append("]}")
+            continue
+        stack.append((kids, False))
+        out.append(("" if first else ",") + r["own"][:-1] + ',"children":[')
+        stack.append((iter(below.get(r["id"], ())), True))
+    return "".join(out)
+
+
+def transcript(runs: DataFrame) -> DataFrame:
     """Long form (thread_id, position, role, content): messages of all runs below a thread,
     in run order, input before output. Positions come from a chunked scan."""
     from ..functions.messages import parse
 
-    below = runs.where("type != 'thread'").join(roots(runs, max_depth), "id")
+    below = runs.where("type != 'thread'").join(roots(runs), "id")
     msgs = below.select(F.col("root_id").alias("thread_id"), "created_at", "id", F.lit(0).alias("side"), F.posexplode(parse("input")).alias("pos", "m")).unionAll(
         below.select(F.col("root_id").alias("thread_id"), "created_at", "id", F.lit(1).alias("side"), F.posexplode(parse("output")).alias("pos", "m"))
     )

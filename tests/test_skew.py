@@ -81,29 +81,39 @@ def test_bounded_lists_keep_order_and_report_overflow(spark):
 
 
 def test_trees_survive_depth_missing_parents_and_cycles(spark):
-    chain = [(str(i), str(i - 1) if i else None) for i in range(40)]
+    chain = [(str(i), str(i - 1) if i else None) for i in range(140)]
     odd = [("orphan", "gone"), ("c1", "c2"), ("c2", "c1")]
     runs = spark.createDataFrame(chain + odd, "id string, parent_run_id string")
     got = {r.id: (r.root_id, r.depth) for r in trees.roots(runs).collect()}
-    want = {str(i): ("0", i) for i in range(40)} | {"orphan": ("orphan", 0)}
+    want = {str(i): ("0", i) for i in range(140)} | {"orphan": ("orphan", 0)}
     assert got == want
-    assert "39" not in {r.id for r in trees.roots(runs, max_depth=10).collect()}
+    assert {r.id for r in trees.cycles(runs).collect()} == {"c1", "c2"}
+    deep = {r.id: r.v for r in trees.fold_up(runs, F.when(F.col("id") == "0", "top"), "v").collect()}
+    assert all(deep[str(i)] == "top" for i in range(140)) and deep["orphan"] is None
+    near = {r.id: r.v for r in trees.fold_up(runs, F.when(F.col("id") == "0", "top"), "v", within=5).collect()}
+    assert {i for i in near if near[i]} == {str(i) for i in range(6)}
 
 
 def test_descendants_of_chosen_runs(spark):
     runs = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", None), ("p", "q"), ("q", "p")], "id string, parent_run_id string")
-    starts = runs.where("id in ('b', 'p')").select("id")
+    starts = runs.where("id in ('a', 'b', 'p')").select("id")
     got = {(r.root_id, r.id, r.depth) for r in trees.descendants(runs, starts).collect()}
-    assert got == {("b", "b", 0), ("b", "c", 1), ("p", "p", 0), ("p", "q", 1)}
+    assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("b", "b", 0), ("b", "c", 1), ("p", "p", 0), ("p", "q", 1)}
 
 
-def test_large_trace_falls_back_to_flat_nodes(spark):
+def test_nested_traces_keep_unnamed_runs_and_escape(spark):
     runs = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a"), ("z", None)], "id string, parent_run_id string")
     runs = runs.selectExpr("*", "'llm' as type", "'n\"q' as name", "'success' as status", "timestamp_seconds(1) as created_at", "cast(null as string) as input", "cast(null as string) as output")
-    out = {r.root_id: (r.nodes, r.tree) for r in trees.nested_traces(runs, max_nodes=2).collect()}
-    assert out["a"] == (3, None) and out["z"][0] == 1
     import json
 
     full = {r.root_id: json.loads(r.tree) for r in trees.nested_traces(runs).collect()}
     assert [c["id"] for c in full["a"]["children"]] == ["b", "c"] and full["z"]["name"] == 'n"q'
     assert trees.node_paths(runs).count() == 4
+    odd = runs.union(spark.createDataFrame([("d", "c")], "id string, parent_run_id string").selectExpr("*", "'llm'", "'line\\nbreak'", "'success'", "timestamp_seconds(1)", "'__NOT_INGESTED__'", "null"))
+    odd = odd.withColumn("name", F.when(F.col("id") != "c", F.col("name")))
+    whole = {r.root_id: (r.nodes, json.loads(r.tree)) for r in trees.nested_traces(odd).collect()}
+    c = whole["a"][1]["children"][1]
+    assert whole["a"][0] == 4 and c["name"] is None and c["children"][0]["name"] == "line\nbreak" and c["children"][0]["status"] == "filtered"
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(1500)], "id string, parent_run_id string")
+    chain = chain.selectExpr("*", "'llm' as type", "'n' as name", "'s' as status", "timestamp_seconds(1) as created_at", "'' as input", "'' as output")
+    assert [r.tree.count('"id"') for r in trees.nested_traces(chain).collect()] == [1500]
