@@ -138,18 +138,13 @@ def second_dimension_users(users: DataFrame, key: str) -> DataFrame:
     return values.join(holders, "sd", "left")
 
 
-MAX_PROVIDERS = 1000
-
-
-def evaluation_grid(prompts: DataFrame, variations: DataFrame, providers: DataFrame) -> DataFrame:
-    """prompt × its variations × provider. Providers are configured by hand; they travel as one literal
-    array, and a table of more than MAX_PROVIDERS is refused."""
-    rows = providers.limit(MAX_PROVIDERS + 1).collect()
-    if len(rows) > MAX_PROVIDERS:
-        raise ValueError(f"more than {MAX_PROVIDERS} providers: not a provider list")
-    listed = F.array(*[F.struct(*[F.lit(row[c]).alias(c) for c in providers.columns]) for row in rows])
-    pairs = prompts.join(variations, "prompt_id")
-    return pairs.select("*", F.explode(listed).alias("_p")).select(*pairs.columns, "_p.*")
+def evaluation_grid(prompts: DataFrame, variations: DataFrame, providers: DataFrame, block: int = 1000) -> DataFrame:
+    """prompt × its variations × provider. Providers are dealt into blocks; every pair asks each block, so no
+    provider list passes the driver."""
+    blocks = max(1, -(-providers.count() // block))
+    dealt = providers.withColumn("_block", F.pmod(F.xxhash64(*providers.columns), F.lit(blocks)))
+    pairs = prompts.join(variations, "prompt_id").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return pairs.join(dealt, "_block").drop("_block")
 
 
 def run_detail(runs: DataFrame, results: DataFrame, scores: DataFrame) -> DataFrame:

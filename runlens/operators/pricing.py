@@ -6,8 +6,6 @@ joined back to their priced name by equality.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +14,6 @@ from ..functions.messages import plain_string
 from ..session import cut_lineage
 
 CACHED_BELOW_S = 0.01
-PATTERN_LIMIT = 100_000
 
 # fixed values: price per 1000 tokens (input, output) of older model names, first match wins
 LEGACY_PRICES = [
@@ -78,8 +75,8 @@ def _billable(r_duration: Column) -> Column:
 
 
 def seen_names(runs: DataFrame) -> DataFrame:
-    """Distinct (org_id, name)."""
-    return runs.where("name is not null").select("org_id", "name").distinct()
+    """Distinct (org_id, name) of what can have a price."""
+    return runs.where("name is not null and type = 'llm'").select("org_id", "name").distinct()
 
 
 def legacy_cost(runs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -93,21 +90,9 @@ def legacy_cost(runs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
 
 
 def valid_mappings(mappings: DataFrame) -> DataFrame:
-    """Mappings whose pattern compiles. Distinct patterns are a hand-made list: more than
-    PATTERN_LIMIT of them is refused rather than read."""
-    rows = mappings.select("pattern").distinct().limit(PATTERN_LIMIT + 1).collect()
-    if len(rows) > PATTERN_LIMIT:
-        raise ValueError(f"more than {PATTERN_LIMIT} price patterns")
-    bad = [r.pattern for r in rows if not _compiles(r.pattern)]
-    return mappings.where(~F.col("pattern").isin(bad)) if bad else mappings
-
-
-def _compiles(pattern: str | None) -> bool:
-    try:
-        re.compile(pattern or "(")
-        return True
-    except re.error:
-        return False
+    """Mappings whose pattern compiles, judged on the executors by the engine that will run it."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern"))
+    return mappings.where(F.col("pattern").isNotNull() & compiled.isNotNull())
 
 
 def match_names(runs: DataFrame, mappings: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -117,7 +102,7 @@ def match_names(runs: DataFrame, mappings: DataFrame, keep: list[str] | None = N
     """
     names = runs.where("name is not null").select("name").distinct()
     valid = valid_mappings(mappings)
-    patterns = F.broadcast(valid.select("pattern").distinct())  # at most PATTERN_LIMIT, checked just above
+    patterns = cut_lineage(valid.select("pattern").distinct())  # its size is known from here on
     pairs = names.join(patterns, F.rlike("name", F.col("pattern")))
     cols = ["pattern", *(keep or [c for c in mappings.columns if c not in ("name", "pattern")])]
     return pairs.join(valid.select(*cols), "pattern")

@@ -13,8 +13,9 @@ TOKEN_METHODS = {"cosine": S.cosine_of, "bleu": S.bleu_of, "rouge": S.rouge_of,
 METHODS = (*TOKEN_METHODS, "fuzzy")
 
 
-def with_reference(runs: DataFrame, references: DataFrame, items: int = 40) -> DataFrame:
-    """Pair every run with a ground-truth text by run number."""
+def with_reference(runs: DataFrame, references: DataFrame) -> DataFrame:
+    """Pair every run with one of all ground-truth texts (ids from 0), by run number."""
+    items = max(references.count(), 1)
     refs = references.select(F.col("item_id").alias("_item"), F.col("text").alias("ideal_output"))
     return runs.withColumn("_item", F.col("doc_id") % items).join(refs, "_item").drop("_item")
 

@@ -187,7 +187,7 @@ def _tok(x):
 @query(
     "d37_rouge_threshold",
     f"""SELECT id FROM (SELECT id, {_tok('text')} AS h, {_tok('ref')} AS r FROM
-     (SELECT r.id, r.text, b.text AS ref FROM doc_run r JOIN benchmark b ON b.item_id = r.doc_id % 40))
+     (SELECT r.id, r.text, b.text AS ref FROM doc_run r JOIN benchmark b ON b.item_id = r.doc_id % (SELECT count(*) FROM benchmark)))
      WHERE len(list_distinct(list_intersect(h, r)))::DOUBLE / len(r) * 100 >= 30""",
 )
 def d37(spark, d):
@@ -198,7 +198,7 @@ def d37(spark, d):
 @query(
     "d38_similarity_threshold",
     f"""SELECT id FROM (SELECT id, {_tok('text')} AS h, {_tok('ref')} AS r FROM
-     (SELECT r.id, r.text, b.text AS ref FROM doc_run r JOIN benchmark b ON b.item_id = r.doc_id % 40))
+     (SELECT r.id, r.text, b.text AS ref FROM doc_run r JOIN benchmark b ON b.item_id = r.doc_id % (SELECT count(*) FROM benchmark)))
      WHERE 1 + 99 * len(list_intersect(list_distinct(h), list_distinct(r)))::DOUBLE / len(list_distinct(list_concat(h, r))) >= 10""",
 )
 def d38(spark, d):

@@ -88,7 +88,7 @@ def l13(spark, d):
 
 # --- M
 PAIR = """pair AS (SELECT id, text, ref, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS h, list_filter(regexp_split_to_array(ref, '\\s+'), lambda t: t <> '') AS r
-  FROM (SELECT r.id, r.text, b.text AS ref FROM doc_run r JOIN benchmark b ON b.item_id = r.doc_id % 40)),
+  FROM (SELECT r.id, r.text, b.text AS ref FROM doc_run r JOIN benchmark b ON b.item_id = r.doc_id % (SELECT count(*) FROM benchmark))),
  term AS (SELECT id, t, sum(h) AS h, sum(r) AS r FROM (SELECT id, unnest(h) AS t, 1 AS h, 0 AS r FROM pair UNION ALL SELECT id, unnest(r), 0, 1 FROM pair) GROUP BY 1, 2),
  stat AS (SELECT p.id, coalesce(sum(CASE WHEN t.r > 0 THEN t.h END), 0) AS hits, sum(t.h) AS nh, sum(t.r) AS nr, sum(t.h * t.r) AS dot, sum(t.h * t.h) AS hh, sum(t.r * t.r) AS rr FROM pair p LEFT JOIN term t ON t.id = p.id GROUP BY 1)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,8 +35,13 @@ def build(app: str = "runlens", master: str | None = None, **conf: str) -> Spark
     return configure(builder.getOrCreate())
 
 
+#: Folders below the shared one that this process made and has not released.
+_MADE: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only when none is named (tests)."""
+    """The cluster's shared checkpoint folder. Without a named one, a temporary folder that goes with the process, and only
+    where driver and executors are one process: on a cluster each machine would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -44,15 +51,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="runlens-ckpt-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(local)
         return local
     return current
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared checkpoint directory."""
-    return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint directory; ``release`` deletes it."""
+    _MADE.append(f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders made so far; call it when the results that read them are no longer needed."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

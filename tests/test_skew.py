@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runlens import session
 from runlens.operators import skew, trees
 
 
@@ -117,3 +119,27 @@ def test_nested_traces_keep_unnamed_runs_and_escape(spark):
     chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(1500)], "id string, parent_run_id string")
     chain = chain.selectExpr("*", "'llm' as type", "'n' as name", "'s' as status", "timestamp_seconds(1) as created_at", "'' as input", "'' as output")
     assert [r.tree.count('"id"') for r in trees.nested_traces(chain).collect()] == [1500]
+
+
+class _Cluster:
+    """A session on a master that is no local one."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master = "local-cluster[2,1,1024]"
+        getConf = staticmethod(lambda: _Cluster.conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(_Cluster)
+
+
+def test_released_folders_are_gone(spark):
+    session.cut_lineage(spark.range(3))
+    path = session._MADE[-1]
+    assert os.path.isdir(path.removeprefix("file:"))
+    assert session.release(spark) >= 1 and not os.path.exists(path.removeprefix("file:")) and not session._MADE
