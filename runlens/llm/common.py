@@ -6,6 +6,7 @@ splitting bytes gives the same words as splitting code points. Batches are taken
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,9 @@ from ..session import cut_lineage
 #: Bytes of text worked on at once; a longer text is taken alone.
 SLICE_BYTES = 2_000_000
 
+#: Size of the filter that tasks hold, whatever the size of what went in; a fuller filter lets more through to the join.
+FILTER_BITS = 1 << 23
+
 _ALL = np.arange(256)
 #: Lower case for A-Z only.
 LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uint8)
@@ -144,3 +148,35 @@ def lists(values: pa.Array | np.ndarray, sizes: Sequence[int] | np.ndarray) -> p
     ends = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def code_filter(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """A Bloom filter with two probes over a column of 64-bit codes, of fixed size (a power of two), packed."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(bits, bool)
+        for batch in batches:
+            for probe in _probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                found[probe] = True
+        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(found).tobytes(), 1)]})
+
+    total = np.zeros(bits // 8, np.uint8)
+    for row in codes.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():  # one row a task
+        total |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
+    return zlib.compress(total.tobytes(), 1)
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+
+
+def may_hold(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(code), bool)
+    for probe in _probes(code, len(bits)):
+        keep &= bits[probe]
+    return keep
+
+
+def _probes(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
+    return code & mask, (code >> np.uint64(32)) & mask

@@ -11,7 +11,6 @@ Ties in rarity are broken by the gram's code. Repeated documents get a row each;
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,9 +21,6 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Size of the filter that tasks hold, whatever the benchmark's size; a fuller filter lets more through to the join.
-FILTER_BITS = 1 << 23
-
 
 def windows(items: DataFrame, item_id: str, text: str, window: int, gram: int) -> DataFrame:
     """Rows (item, words, n, offset, size, code): every gram of every window of every item."""
@@ -53,36 +49,12 @@ def windows(items: DataFrame, item_id: str, text: str, window: int, gram: int) -
     return items.select(F.col(item_id).cast("string"), F.col(text)).mapInArrow(split, schema)
 
 
-def code_filter(codes: DataFrame) -> bytes:
-    """A Bloom filter with two probes over a column of codes, of fixed size."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            code = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for probe in _probes(code):
-                found[probe] = True
-        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(found).tobytes(), 1)]})
-
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in codes.coalesce(8).mapInArrow(bits, "bits binary").toLocalIterator():
-        total |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
-    return zlib.compress(total.tobytes(), 1)
-
-
-def _probes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(FILTER_BITS - 1)
-    return code & mask, (code >> np.uint64(32)) & mask
-
-
 def _candidates(words: C.Words, sizes: Sequence[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(size, first word, code) of the grams that the filter lets through."""
     found = []
     for k in sizes:
         at, code = words.runs(k)
-        keep = np.ones(len(code), bool)
-        for probe in _probes(code):
-            keep &= bits[probe]
+        keep = C.may_hold(bits, code)
         found.append((np.full(int(keep.sum()), k), at[keep], code[keep]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2 + (np.zeros(0, np.uint64),)
 
@@ -91,7 +63,7 @@ def gram_counts(docs: DataFrame, text: str, sizes: Sequence[int], packed: bytes)
     """Rows (code, n): occurrences over all documents of the grams in the filter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        bits = C.unpacked(packed)
         for batch in batches:
             parts = [_candidates(C.Words(d, o, C.LETTERS), sizes, bits)[2] for _, d, o in C.slices(batch.column(0))]
             if parts:
@@ -108,7 +80,7 @@ def _marked(docs: DataFrame, keep: Sequence[str], text: str, sizes: Sequence[int
     source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
+        bits = C.unpacked(packed)
         for batch in batches:
             for first, data, offsets in C.slices(batch.column(len(keep) + 1)):
                 words = C.Words(data, offsets, C.LETTERS)
@@ -140,7 +112,7 @@ def contamination(
     (start and length in words of every occurrence of a window). See the module for nulls, ties and empty tables."""
     grams = C.cut(windows(items, item_id, item_text, window, gram))
     sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most `gram` of them
-    counts = gram_counts(docs, text, sizes, code_filter(grams.select("code")))
+    counts = gram_counts(docs, text, sizes, C.code_filter(grams.select("code")))
     each = grams.groupBy("words", "n", "offset", "code").agg(F.lit(1).alias("one")).drop("one")
     # A window with a gram that no document has can't occur: its rarest gram has no count.
     prefix = C.cut(
@@ -148,7 +120,7 @@ def contamination(
         .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "code", "offset")).alias("p")).where("p.seen > 0")
         .select(F.col("p.code").alias("code"), F.col("p.offset").alias("offset"), "words", "n")
     )
-    marked = C.cut(_marked(docs, keep, text, sizes, code_filter(prefix.select("code")), window))
+    marked = C.cut(_marked(docs, keep, text, sizes, C.code_filter(prefix.select("code")), window))
     start = F.col("h.at") - F.col("offset")
     there = F.slice(F.split("h.around", " "), (start - F.col("h.from") + 1).cast("int"), F.col("n"))
     found = (

@@ -2,11 +2,14 @@
 components by alternating large-star and small-star.
 
 * Rows with the same shingle set form one class; only classes are compared, so copies are never paired.
-* Every class meets the smallest class of each of its buckets. Where a bucket still holds several components afterwards,
-  every class outside the bucket's largest component meets all classes of other components. So each pair that shares a
-  bucket is either tested or already connected; no bucket is capped.
-* A pair passes when two bits of each minimum disagree seldom enough (six standard deviations of slack), its set sizes
-  allow the similarity, and the full sets confirm it.
+* A class whose shingles are mostly its own (no other class in any of its buckets has them) can reach no similarity with
+  anything and is set aside.
+* Every other class meets the most central class of each of its buckets, the one with the smallest share of own shingles.
+  Where a bucket still holds several components afterwards, every class outside the bucket's largest component meets all
+  classes of other components. So each pair that shares a bucket is either tested or already connected; none is capped.
+* A pair passes when two bits of each minimum disagree seldom enough (five standard deviations of slack; a longer
+  signature where a bucket is still mixed), the shingles that it can share at most allow the similarity, and the full
+  sets confirm it.
 
 A pair at the threshold shares no band with a probability below 1e-6 (``bands``).
 
@@ -30,6 +33,8 @@ from . import common as C
 #: Stand-ins for null ids start here.
 NAMELESS = 1 << 62
 _PLANES = 2
+#: Minima of the longer signature that classes get whose buckets hold several components.
+LONG = 1024
 
 
 def bands(similarity: float, rows: int = 5, missed: float = 1e-6) -> int:
@@ -102,26 +107,58 @@ def _words(minima: int) -> int:
     return -(-minima // 64)
 
 
+def _long_signatures(sets: DataFrame) -> DataFrame:
+    """Rows (c, planes of ``LONG`` minima) from full sets."""
+    names = ["c", *[f"{p}{i}" for p in "ab"[:_PLANES] for i in range(_words(LONG))]]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(101).integers(1, 2**64, (2, LONG), dtype=np.uint64)
+        draw[0] |= np.uint64(1)
+        for batch in batches:
+            off = batch.column(1).offsets.to_numpy()
+            values = batch.column(1).values.to_numpy().view(np.uint64)
+            planes = np.zeros((_PLANES, _words(LONG), len(batch)), np.uint64)
+            for r in range(len(batch)):
+                least = np.full(LONG, 0xFFFFFFFFFFFFFFFF, np.uint64)
+                for at in range(off[r], off[r + 1], 512):
+                    some = values[at : min(at + 512, off[r + 1])]
+                    np.minimum(least, (some[None, :] * draw[0][:, None] + draw[1][:, None]).min(axis=1), out=least)
+                mixed = C.mix(least)
+                for p in range(_PLANES):
+                    bits = ((mixed >> np.uint64(p)) & np.uint64(1)).reshape(-1, 64)
+                    planes[p, :, r] = (bits << np.arange(64, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(C.signed(np.ascontiguousarray(x))) for x in planes.reshape(-1, len(batch))]], names)
+
+    return sets.mapInArrow(sign, ", ".join(f"{n} long" for n in names))
+
+
 def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (c, codes) for the wanted classes (c, h), from the whole texts."""
+    """Rows (c, codes) for the wanted classes (c, h), from the whole texts. A filter of fixed size lets the wanted texts and
+    a few others through, so no text is shuffled."""
     h = F.xxhash64(text)
     identity = F.coalesce(F.col(doc_id).cast("long"), F.lit(NAMELESS) + F.abs(h % (1 << 61)))
-    source = docs.select(identity.alias("c"), h.alias("h"), F.col(text).alias("text")).join(wanted, ["c", "h"], "left_semi").select("c", "text")
+    both = F.xxhash64("c", "h")
+    packed = C.code_filter(wanted.select(both), 1 << 25)
+    source = docs.select(identity.alias("c"), h.alias("h"), F.col(text).alias("text")).select("c", "h", both.alias("p"), "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = C.unpacked(packed)
         for batch in batches:
-            for first, data, offsets in C.slices(batch.column(1)):
+            batch = batch.filter(pa.array(C.may_hold(bits, batch.column(2).to_numpy().view(np.uint64))))
+            for first, data, offsets in C.slices(batch.column(3)):
                 codes, n = _sets(C.Words(data, offsets, C.VISIBLE), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), C.lists(C.signed(codes), n)], ["c", "codes"])
+                held = [c.slice(first, len(n)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*held, C.lists(C.signed(codes), n)], ["c", "h", "codes"])
 
-    return source.mapInArrow(build, "c long, codes array<long>").dropDuplicates(["c"])
+    built = source.mapInArrow(build, "c long, h long, codes array<long>")
+    return built.join(wanted, ["c", "h"], "left_semi").dropDuplicates(["c"]).select("c", "codes")
 
 
 def _alike(percent: int, minima: int):
-    """Condition on x and y: sizes allow the similarity, and few enough minima disagree."""
+    """Condition on x and y: what they can share at most allows the similarity, and few enough minima disagree."""
     j = percent / 100
     off = (1 - j) * (1 - 0.5**_PLANES)
-    slack = math.ceil(minima * off + 6 * math.sqrt(minima * off * (1 - off)))
+    slack = math.ceil(minima * off + 5 * math.sqrt(minima * off * (1 - off)))
     parts = []
     for i in range(_words(minima)):
         differ = F.lit(0).cast("long")
@@ -131,8 +168,8 @@ def _alike(percent: int, minima: int):
     apart = parts[0]
     for p in parts[1:]:
         apart = apart + p
-    low, high = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    return (low * 100 >= high * percent) & (apart <= slack)
+    most = F.least("x.r", "y.r")
+    return (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent) & (apart <= slack)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,36 +209,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         each.where("n > 0").groupBy(*of_class).agg(F.min(F.struct("id", "h")).alias("r"), *[F.first(x).alias(x) for x in ("bands", *planes)])
         .select(F.col("r.id").alias("c"), F.col("r.h").alias("h"), *of_class, "bands", *planes)
     )
-    signs = classes.select("c", "h", "n", *planes)
     members = classes.select("c", F.explode("bands").alias("key"))
-    pivots = members.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").select("key", "p")
-    shared = C.cut(members.join(pivots, "key"))
+    several = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    shared = C.cut(members.join(several, "key"))
+    wanted = classes.select("c", "h").join(shared.select("c").distinct(), "c")
+    sets = C.cut(_full_sets(docs, doc_id, text, wanted, shingle))
+    # r: shingles that some other class in question has too. What has too few of them can't be linked with anything.
+    alone = sets.select("c", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c")).where("m = 1")
+    alone = alone.groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
+    signs = C.cut(
+        classes.join(sets.select("c"), "c", "left_semi").join(alone, "c", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0)))
+        .where(F.col("r") * 100 >= F.col("n") * percent).select("c", "n", "r", *planes)
+    )
+    shared = C.cut(shared.join(signs.select("c", (1 - F.col("r") / F.col("n")).alias("own")), "c"))
+    pivots = shared.groupBy("key").agg(F.min(F.struct("own", "c")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("p.c").alias("p"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = C.cut(
-            pairs.join(signs.alias("x"), F.col("u") == F.col("x.c")).join(signs.alias("y"), F.col("v") == F.col("y.c"))
-            .where(_alike(percent, n_bands * rows)).select("u", F.col("x.h").alias("uh"), "v", F.col("y.h").alias("vh"))
-        )
-        wanted = near.select(F.col("u").alias("c"), F.col("uh").alias("h")).unionByName(near.select(F.col("v").alias("c"), F.col("vh").alias("h"))).distinct()
-        sets = C.cut(_full_sets(docs, doc_id, text, wanted, shingle))
         both = F.size(F.array_intersect("x.codes", "y.codes"))
         return C.cut(
-            near.join(sets.alias("x"), F.col("u") == F.col("x.c")).join(sets.alias("y"), F.col("v") == F.col("y.c"))
+            pairs.join(sets.alias("x"), F.col("u") == F.col("x.c")).join(sets.alias("y"), F.col("v") == F.col("y.c"))
             .where(both * 100 >= (F.size("x.codes") + F.size("y.codes") - both) * percent).select("u", "v")
         )
 
-    first = confirmed(shared.where("c <> p").select(F.col("p").alias("u"), F.col("c").alias("v")).distinct())
+    asked = shared.join(pivots, "key").where("c <> p")
+    asked = asked.select(F.least("p", "c").alias("u"), F.greatest("p", "c").alias("v")).distinct()
+    asked = asked.join(signs.alias("x"), F.col("u") == F.col("x.c")).join(signs.alias("y"), F.col("v") == F.col("y.c"))
+    first = confirmed(asked.where(_alike(percent, n_bands * rows)).select("u", "v"))
     named = components(first)
     placed = C.cut(shared.join(named, "c", "left").select("key", "c", F.coalesce("component", "c").alias("g")))
     mixed = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
     open_ = C.cut(placed.join(mixed, "key"))
     largest = open_.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main"))
-    signed = open_.join(signs.drop("h"), "c")
+    longer = C.cut(_long_signatures(sets.join(open_.select("c").distinct(), "c", "left_semi")))
+    signed = open_.join(signs.select("c", "n", "r"), "c").join(longer, "c")
     x, y = signed.join(largest, "key").where("g <> main").alias("x"), signed.alias("y")
     # Of a pair of two such classes one order is enough: outside the main component the smaller one asks.
     once = (F.col("y.g") == F.col("x.main")) | (F.col("x.c") < F.col("y.c"))
     more = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & once & _alike(percent, n_bands * rows))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & once & _alike(percent, LONG))
         .select(F.least("x.c", "y.c").alias("u"), F.greatest("x.c", "y.c").alias("v")).distinct()
     )
     links = C.cut(first.unionByName(confirmed(more)).distinct())
