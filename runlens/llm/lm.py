@@ -15,8 +15,7 @@ weights stay in as ``PRIOR`` further counts.
 Every distinct word goes through the lattice once a round and once for its score. The ``HOT`` most frequent words, a table of fixed size, go to all tasks,
 the other words of each document are joined by a 64-bit code.
 
-Nulls: a null text is empty (its end is one token); a null id is not held out. Repeated documents count each time. Ties
-among the most frequent words do not matter to results. Empty tables give no rows.
+Nulls: a null text is empty (its end is one token); a null id is not held out. Repeated documents count each time. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -231,7 +230,15 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
         unseen = math.log(discount * kinds / words) + logs
         return (math.log1p(-end) + np.where(c > 0, np.logaddexp(seen, unseen), unseen)) / math.log(10)
 
-    top = table.orderBy(F.desc("seen")).limit(hot).select("code", "c", "lattice").toArrow()  # `hot` rows at most
+    # The most frequent words, down to a frequency that at most `hot` of them reach.
+    octave = F.floor(F.log2("seen") * 8)
+    reached, least = 0, 0
+    for r in table.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen")).orderBy(F.desc("o")).collect():  # a few hundred rows
+        reached += r["n"]
+        if reached > hot:
+            break
+        least = r["seen"]
+    top = table.where((F.col("seen") >= least) & F.lit(least > 0)).select("code", "c", "lattice").toArrow()
     code = top.column("code").to_numpy().view(np.uint64)
     order = np.argsort(code)
     own = (code[order], top.column("c").to_numpy()[order], top.column("lattice").to_numpy()[order])
