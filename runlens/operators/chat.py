@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import bounded_lists, running_sum, time_chunk, with_neighbour
+from .skew import ordered_lists, running_sum, time_chunk, with_neighbour
 
 OUTPUT_ROLES = ("assistant", "tool", "bot")
 INPUT_ROLES = ("user", "system")
@@ -111,15 +111,14 @@ def chat_messages(tagged: DataFrame) -> DataFrame:
     return own.unionByName(taken)
 
 
-def chat_runs(messages: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Exchanges with input and output arrays; an exchange with more than ``limit`` messages on one
-    side keeps only its counts here, its messages are in ``chat_messages``."""
+def chat_runs(messages: DataFrame) -> DataFrame:
+    """Exchanges with input and output arrays; ``chat_messages`` has the same messages as rows."""
     tagged = cut_lineage(exchange_messages(messages))
     long = chat_messages(tagged).withColumnRenamed("thread_id", "parent_run_id")
     item, order = F.struct("role", "content"), F.struct("timestamp", "id")
     keys = ["parent_run_id", "exchange"]
-    ins = bounded_lists(long.where("side = 'input'"), keys, item, order, "input", limit)
-    outs = bounded_lists(long.where("side = 'output'"), keys, item, order, "output", limit)
+    ins = ordered_lists(long.where("side = 'input'"), keys, item, order, "input")
+    outs = ordered_lists(long.where("side = 'output'"), keys, item, order, "output")
     return exchanges(tagged).join(ins, keys, "left").join(outs, keys, "left").drop("input_group", "own_inputs")
 
 

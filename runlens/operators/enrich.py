@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from .buckets import in_range
-from .skew import bounded_lists
+from .skew import ordered_lists
 from .trees import ancestors_first
 
 
@@ -29,18 +29,17 @@ def with_parent_chat(runs: DataFrame, every_run: DataFrame | None = None) -> Dat
     return runs.join(chats, "parent_run_id", "left")
 
 
-def with_results(runs: DataFrame, results: DataFrame, limit: int = 10_000) -> DataFrame:
-    """results: array of (type, evaluator_id, result) per run, ordered by type, one item per evaluator.
-    A run with more than ``limit`` keeps its size only; its results stay in ``results``."""
+def with_results(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """results: array of (type, evaluator_id, result) per run, ordered by type, one item per evaluator."""
     long = results.withColumnRenamed("run_id", "id")
-    lists = bounded_lists(long, ["id"], F.struct("type", "evaluator_id", "result"), F.struct("type", "evaluator_id"), "results", limit)
+    lists = ordered_lists(long, ["id"], F.struct("type", "evaluator_id", "result"), F.struct("type", "evaluator_id"), "results")
     return runs.join(lists, "id", "left")
 
 
-def with_scores(runs: DataFrame, scores: DataFrame, limit: int = 10_000) -> DataFrame:
+def with_scores(runs: DataFrame, scores: DataFrame) -> DataFrame:
     """scores: array of (label, value, comment) per run; (run, label) is unique."""
     long = scores.withColumnRenamed("run_id", "id")
-    lists = bounded_lists(long, ["id"], F.struct("label", "value", "comment"), F.col("label"), "scores", limit)
+    lists = ordered_lists(long, ["id"], F.struct("label", "value", "comment"), F.col("label"), "scores")
     return runs.join(lists, "id", "left")
 
 
@@ -61,10 +60,10 @@ def child_feedbacks(runs: DataFrame) -> DataFrame:
     )
 
 
-def with_child_feedbacks(runs: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Array form; a parent with more children than ``limit`` keeps only its size and the long form."""
+def with_child_feedbacks(runs: DataFrame) -> DataFrame:
+    """Array form of ``child_feedbacks``."""
     long = child_feedbacks(runs).withColumnRenamed("parent_id", "id")
-    lists = bounded_lists(long, ["id"], F.col("feedback"), F.struct("created_at", "child_id"), "child_feedbacks", limit)
+    lists = ordered_lists(long, ["id"], F.col("feedback"), F.struct("created_at", "child_id"), "child_feedbacks")
     return runs.join(lists, "id", "left")
 
 
@@ -109,7 +108,7 @@ def enriched(
         out = out.join(parent_feedback(r), "id", "left")
     if "child_feedbacks" in include:
         long = child_feedbacks(r).withColumnRenamed("parent_id", "id")
-        out = out.join(bounded_lists(long, ["id"], F.col("feedback"), F.struct("created_at", "child_id"), "child_feedbacks"), "id", "left")
+        out = out.join(ordered_lists(long, ["id"], F.col("feedback"), F.struct("created_at", "child_id"), "child_feedbacks"), "id", "left")
     return out
 
 

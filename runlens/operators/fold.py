@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..sources.events import sequence_key
-from .skew import bounded_lists
+from .skew import ordered_lists
 from .trees import fold_up
 
 FOLDED = ("start", "end", "error", "update", "feedback")
@@ -39,15 +39,14 @@ def feedback_values(events: DataFrame, stored: DataFrame | None = None, arrival:
     return rows.groupBy("run_id", "k").agg(F.max(F.struct("seq", "v")).alias("m")).select("run_id", "k", "m.v")
 
 
-def fold_feedback(events: DataFrame, stored: DataFrame | None = None, arrival: Column | None = None, limit: int = 10_000) -> DataFrame:
+def fold_feedback(events: DataFrame, stored: DataFrame | None = None, arrival: Column | None = None) -> DataFrame:
     """(run_id, feedback): shallow merge in time order, later keys win.
 
-    Only the distinct keys of a run meet, never its events; a run with more than ``limit`` keys has a
-    null object here and is read from ``feedback_values``.
+    Only the distinct keys of a run meet, never its events; ``feedback_values`` has them as rows.
     """
     quoted = F.to_json(F.array("k"))
     item = F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":"), F.coalesce("v", F.lit("null")))
-    lists = bounded_lists(feedback_values(events, stored, arrival), ["run_id"], item, F.col("k"), "items", limit)
+    lists = ordered_lists(feedback_values(events, stored, arrival), ["run_id"], item, F.col("k"), "items")
     return lists.select("run_id", F.concat(F.lit("{"), F.array_join("items", ","), F.lit("}")).alias("feedback"))
 
 

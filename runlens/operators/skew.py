@@ -1,8 +1,8 @@
 """Skew-safe building blocks: ordered scans over hot keys, bounded collection, exact percentiles.
 
 A key may hold a large share of all rows. None of these functions puts such a key
-into one task: ordered work is cut into chunks whose totals are scanned first, and
-collection into arrays happens only below a stated size. (Skewed joins are split by
+into one task: ordered work is cut into chunks whose totals are scanned first. Only an
+array or object that a result asks for is collected, whole. (Skewed joins are split by
 adaptive execution, which ``session.configure`` switches on.)
 """
 
@@ -108,23 +108,14 @@ def with_neighbour(
     return with_neighbours(df, keys, order, chunk, None if following else cols, cols if following else None, keep)
 
 
-def bounded_lists(
-    df: DataFrame, keys: Sequence[str], value: Column, order: Column, name: str, limit: int = 10_000
-) -> DataFrame:
-    """One ordered array per key where the key has at most ``limit`` rows.
+def ordered_lists(df: DataFrame, keys: Sequence[str], value: Column, order: Column, name: str) -> DataFrame:
+    """One ordered array per key and its ``<name>_size``, in one pass.
 
-    Larger keys get a null array and their size in ``<name>_size``; read them from the
-    long table ``df`` itself, which holds every row.
+    The array is what is asked for, so it holds every item whatever its length; where a key may have more items
+    than a row should carry, read the long table ``df`` itself.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_size"))
-    fits = sizes.where(F.col(f"{name}_size") <= limit).select(*keys)
-    lists = (
-        df.withColumn("_item", F.struct(order.alias("o"), value.alias("v")))
-        .join(fits, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list("_item")), lambda x: x["v"]).alias(name))
-    )
-    return sizes.join(lists, list(keys), "left")
+    items = df.withColumn("_item", F.struct(order.alias("o"), value.alias("v"))).groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    return items.select(*keys, F.size("_items").cast("long").alias(f"{name}_size"), F.transform("_items", lambda x: x["v"]).alias(name))
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:

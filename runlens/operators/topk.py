@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import json as J
-from .skew import bounded_lists
+from .skew import ordered_lists
 from .trees import attributed_to_agents
 
 
@@ -127,7 +127,7 @@ def item_counts(parents: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return parents.join(items.groupBy(key).agg(F.count(F.lit(1)).alias("items")), key, "left").na.fill(0, ["items"])
 
 
-def templates_with_versions(versions: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Array of versions per template, oldest first; past ``limit`` versions only their number."""
+def templates_with_versions(versions: DataFrame) -> DataFrame:
+    """Array of versions per template, oldest first, and their number."""
     item = F.struct("id", "is_draft", "published_at")
-    return bounded_lists(versions.where("id is not null"), ["template_id"], item, F.col("id"), "versions", limit)
+    return ordered_lists(versions.where("id is not null"), ["template_id"], item, F.col("id"), "versions")

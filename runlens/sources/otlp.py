@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import plain_string
 from ..operators.clean import run_uuid
-from ..operators.skew import bounded_lists
+from ..operators.skew import ordered_lists
 
 MAX_EVENT_CHARS = 1_000_000
 MAX_FIELD_CHARS = 100_000
@@ -257,11 +257,11 @@ def tool_calls(events: DataFrame) -> DataFrame:
     ).where("call_id is not null and tool is not null")
 
 
-def roll_up_tool_calls(events: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Put tool calls into output.tool_calls of the parent's end event; past ``limit`` read ``tool_calls``."""
+def roll_up_tool_calls(events: DataFrame) -> DataFrame:
+    """Put tool calls into output.tool_calls of the parent's end event; ``tool_calls`` has them as rows."""
     calls = tool_calls(events).withColumnRenamed("parent_run_id", "run_id")
     item = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("tool").alias("name"), "arguments", "result"))
-    lists = bounded_lists(calls, ["run_id"], item, F.struct("ts", "call_id"), "tool_calls", limit)
+    lists = ordered_lists(calls, ["run_id"], item, F.struct("ts", "call_id"), "tool_calls")
     joined = events.join(lists, "run_id", "left")
     fits = (F.col("event") == "end") & F.col("tool_calls").isNotNull() & (F.col("output").isNull() | F.col("output").startswith("{"))
     body = F.concat(F.lit('{"tool_calls":['), F.array_join("tool_calls", ","), F.lit("]"))

@@ -1,10 +1,11 @@
 """Streaming run fold by micro-batches.
 
-Each batch is folded by the batch operator together with the events of runs still open,
-kept as a versioned table in the shared folder. Work stays inside the JVM and a busy run
-is pre-aggregated like any other. A run is settled, and leaves the table, once its last
-event is older than ``wait`` behind the newest event seen; an end that waited that long
-without a start is dropped then. (``streaming.stateful`` holds the per-key state variant.)
+Every batch is added to an event log in the shared folder, and the runs it touches are folded again by the
+batch operator from all their events so far. So a late start does not replace a finished run, a late end or
+feedback finds its run however long it took, and the first of several starts wins, as in the batch fold. An
+end without a start stays in the log and gives no row until its start comes. Work stays inside the JVM;
+earlier batches are only read, never rewritten, and a retried batch overwrites its own folders.
+(``streaming.stateful`` holds the per-key state variant.)
 """
 
 from __future__ import annotations
@@ -14,32 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.fold import fold_feedback, fold_runs, with_feedback
-from .chat import state_before
 from .sinks import per_batch, versioned_write
 
 
-def open_events(events: DataFrame, wait: str) -> DataFrame:
-    """Events of runs that may still change: last event within ``wait`` of the newest event."""
-    newest = events.agg(F.max("ts")).scalar()
-    last = events.groupBy("run_id").agg(F.max("ts").alias("_last"))
-    return events.join(last.where(F.col("_last") >= newest - F.expr(f"interval {wait}")), "run_id", "left_semi")
-
-
-def fold_job(
-    events: DataFrame, out_path: str, state_path: str, checkpoint: str, wait: str = "1 hour", every: str | None = None
-) -> StreamingQuery:
+def fold_job(events: DataFrame, out_path: str, log_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Writes the current row of every run a batch touches below ``out_path``; the latest batch wins."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = state_before(spark, state_path, batch_id)
-        touched = batch
-        if before is not None:
-            earlier = before.join(batch.select("run_id").distinct(), "run_id", "left_semi")
-            touched = batch.unionByName(earlier)
+        versioned_write(batch, log_path, batch_id)
+        log = spark.read.schema(batch.schema.add("batch", "long")).parquet(log_path).where(F.col("batch") <= batch_id)
+        ids = log.where(F.col("batch") == batch_id).select("run_id").distinct()
+        touched = log.drop("batch").join(ids, "run_id", "left_semi")
         versioned_write(with_feedback(fold_runs(touched), fold_feedback(touched)), out_path, batch_id)
-        everything = batch if before is None else batch.unionByName(before)
-        versioned_write(open_events(everything, wait), state_path, batch_id)
 
     return per_batch(events, checkpoint, work, every)
 

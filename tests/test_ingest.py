@@ -172,8 +172,8 @@ def test_chat_examples(spark):
     d = spark.createDataFrame([("t", str(i), i, r, r) for i, r in enumerate(roles)], "thread_id string, id string, t long, role string, content string").withColumn("timestamp", F.timestamp_seconds("t"))
     got = [([m.content for m in r.input], [m.content for m in r.output], r.id) for r in chat.chat_runs(d).orderBy("exchange").collect()]
     assert got == [(["system", "user"], ["assistant", "assistant"], "3"), (["user"], ["tool"], "5")]
-    long = chat.chat_runs(d, limit=1).orderBy("exchange").collect()[0]
-    assert long.input is None and long.input_size == 2
+    first = chat.chat_runs(d).orderBy("exchange").collect()[0]
+    assert (first.input_size, first.output_size) == (2, 2)
 
 
 def test_token_completion_and_custom_encoder(spark):

@@ -278,3 +278,10 @@ def test_toxicity_classifier(spark):
     stored = spark.createDataFrame([("1", "old"), ("x", "kept")], "run_id string, v string")
     new = spark.createDataFrame([("1", "new")], "run_id string, v string")
     assert {tuple(r) for r in infer.upsert(stored, new, ["run_id"]).collect()} == {("1", "new"), ("x", "kept")}
+
+
+def test_length_is_that_of_the_field_text(spark):
+    two = json.dumps([{"role": "user", "content": "a long first message, longer than the last"}, {"role": "user", "content": "x"}])
+    d = spark.createDataFrame([(1, two), (2, "short"), (3, '"' + "q" * 31 + '"'), (4, None)], "id int, input string")
+    kept = filters.filter_runs(d, ["AND", {"id": "length", "params": {"field": "input", "operator": "gt", "length": 30}}])
+    assert {r.id for r in kept.collect()} == {1, 3}

@@ -76,10 +76,10 @@ def test_neighbours_by_value_and_both_ways(spark):
     assert got == want
 
 
-def test_bounded_lists_keep_order_and_report_overflow(spark):
-    d = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "p"), ("b", 2, "q"), ("b", 3, "r")], "k string, o int, v string")
-    got = {r.k: (r.l, r.l_size) for r in skew.bounded_lists(d, ["k"], F.col("v"), F.col("o"), "l", limit=2).collect()}
-    assert got == {"a": (["x", "y"], 2), "b": (None, 3)}
+def test_ordered_lists_keep_order_and_every_item(spark):
+    d = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), *[("b", i, str(i)) for i in range(12_000)]], "k string, o int, v string").repartition(3)
+    got = {r.k: (r.l, r.l_size) for r in skew.ordered_lists(d, ["k"], F.col("v"), F.col("o"), "l").collect()}
+    assert got == {"a": (["x", "y"], 2), "b": ([str(i) for i in range(12_000)], 12_000)}
 
 
 def test_trees_survive_depth_missing_parents_and_cycles(spark):
