@@ -283,7 +283,7 @@ def custom_events_leaf(t, customEvents=None, **_):
 
 @register_check("length")
 def length_leaf(t, field, operator, length, **_):
-    return COMPARE[operator](F.length(M.plain_string(field)), F.lit(int(length)))
+    return COMPARE[operator](F.length(field), F.lit(int(length)))
 
 
 @register_check("date")

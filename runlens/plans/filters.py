@@ -82,7 +82,7 @@ on_runs("d30_cost", [ALL, leaf("cost", operator="lte", cost=12.5)], "cost <= 12.
 on_runs("d31_tokens", [ALL, leaf("tokens", field="total", operator="gt", tokens=100)], "prompt_tokens + completion_tokens > 100")
 on_runs("d33_search", [ALL, leaf("search", query="USER 1")], "input ILIKE '%USER 1%' OR output ILIKE '%USER 1%'")
 on_runs("d34_string_starts", [ALL, leaf("string", fields="output", type="starts", text="USER 1", sensitive="false")], "starts_with(lower('user ' || external_user_id), 'user 1') AND status <> 'error'")
-on_docs("d27_length", [ALL, leaf("length", field="input", operator="gt", length=1500)], "length(text) > 1500")
+on_docs("d27_length", [ALL, leaf("length", field="input", operator="gt", length=1500)], "length(CAST(to_json([{'role': 'user', 'content': text}]) AS VARCHAR)) > 1500")
 on_docs("d33_search_text", [ALL, leaf("search", query="THE")], "text ILIKE '%THE%'")
 on_docs("d34_string", [ALL, leaf("string", fields="any", type="contains", text="und", sensitive="true")], "contains(text, 'und')")
 on_docs("d34_string_not", [ALL, leaf("string", fields="input", type="notcontains", text="The", sensitive="false")], "NOT contains(lower(text), 'the')")
