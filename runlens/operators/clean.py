@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import json as J
 from ..functions.messages import REDACTED
-from .filters import Member, Tables, filter_runs
+from .filters import Tables, filter_runs
 
 # fixed values: accepted event types
 EVENT_TYPES = ("llm", "chain", "agent", "tool", "log", "embed", "retriever", "chat", "convo", "message", "thread", "custom-event")
@@ -123,8 +123,8 @@ def remap_project(events: DataFrame, api_keys: DataFrame) -> DataFrame:
     return events.join(owners, "app_id", "left").withColumn("project_id", F.coalesce("_owner", "project_id")).drop("_owner")
 
 
-def _ingest_leaf(node: dict, users: DataFrame | None) -> Column | Member | None:
-    """Ingestion forms of a leaf; None for leaves that have none."""
+def _ingest_leaf(node: dict) -> Column | None:
+    """Ingestion forms of a leaf on the event; None for leaves that have none."""
     p = node.get("params", {})
     return {
         "models": lambda: F.col("name").isin(list(p["models"])),
@@ -132,31 +132,40 @@ def _ingest_leaf(node: dict, users: DataFrame | None) -> Column | Member | None:
         "retrievers": lambda: (F.col("type") == "retriever") & (F.col("name") == p.get("retrieverName")),
         "tags": lambda: F.arrays_overlap("tags", F.array(*[F.lit(str(t)) for t in p["tags"]])),
         "metadata": lambda: J.contains_value("metadata", p.get("key"), p.get("value")),
-        "users": lambda: Member(users.where(F.col("id").isin([int(u) for u in p["users"]])).select(F.col("external_id").alias("_key")).distinct(), on="user_id"),
     }.get(node["id"], lambda: None)()
 
 
 def redact(events: DataFrame, rules: dict[str, list], users: DataFrame | None = None) -> DataFrame:
     """Input and output of matching runs become the redaction mark; an end follows its start.
 
-    Under a rule's top level any matching leaf redacts. ``rules`` maps a project to its tree.
+    Under a rule's top level any matching leaf redacts. ``rules`` maps a project to its tree. All leaves on the
+    event itself, and all leaves on users, are one condition and one join whatever the number of projects;
+    only a nested tree is a scan of its own.
     """
     starts = events.where("event = 'start'")
-    hits = None
+    on_event, named, trees = F.lit(False), [], []
     for project, logic in rules.items():
-        mine = starts.where(F.col("project_id") == project)
+        mine = F.col("project_id") == project
+        own = F.lit(False)
         for node in logic[1:]:
-            leaf = _ingest_leaf(node, users) if isinstance(node, dict) else None
-            if isinstance(leaf, Member):
-                found = mine.join(leaf.ids, F.col(leaf.on) == F.col("_key"), "left_semi")
-            elif leaf is not None:
-                found = mine.where(leaf)
+            if isinstance(node, dict) and node["id"] == "users":
+                named += [(project, int(u)) for u in node["params"]["users"]]
+                continue
+            leaf = _ingest_leaf(node) if isinstance(node, dict) else None
+            if leaf is None:
+                trees.append(filter_runs(starts.where(mine), ["AND", node], Tables(users=users)).select("run_id"))
             else:
-                found = filter_runs(mine, ["AND", node], Tables(users=users))
-            found = found.select(F.col("run_id"))
-            hits = found if hits is None else hits.unionAll(found)
-    if hits is None:
+                own = own | F.coalesce(leaf, F.lit(False))
+        on_event = on_event | (mine & own)
+    if not any(logic[1:] for logic in rules.values()):
         return events
+    hits = starts.where(on_event).select("run_id")
+    if named:
+        asked = events.sparkSession.createDataFrame(named, "_project string, id long")
+        known = users.join(asked, "id").select("_project", F.col("external_id").alias("_user")).distinct()
+        hits = hits.unionAll(starts.join(known, (F.col("project_id") == F.col("_project")) & (F.col("user_id") == F.col("_user")), "left_semi").select("run_id"))
+    for found in trees:
+        hits = hits.unionAll(found)
     flagged = hits.distinct().withColumn("_hit", F.lit(True))
     out = events.join(flagged, "run_id", "left")
     mask = lambda c: F.when(F.col("_hit") & F.col(c).isNotNull(), F.lit(f'"{REDACTED}"')).otherwise(F.col(c)).alias(c)

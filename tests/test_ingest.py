@@ -188,3 +188,17 @@ def test_metadata_and_names(spark):
     d = spark.createDataFrame([('{"a":1,"b":"x","c":{"d":1},"e":[1,"y",true],"f":[{"g":1}],"h":null,"enrichment":{"k":[]}}',)], "m string")
     kept = json.loads(d.select(clean.clean_metadata("m").alias("o")).collect()[0].o)
     assert kept == {"a": 1, "b": "x", "e": [1, "y", True], "enrichment": {"k": []}}
+
+
+def test_redaction_by_user_and_by_leaf(spark):
+    e = spark.createDataFrame(
+        [("start", "p", f"r{i}", u, n, "in", None, "llm") for i, (u, n) in enumerate([("anna", "m1"), ("bob", "m1"), ("anna", None), (None, "m2")])]
+        + [("start", "q", "other", "anna", "m1", "in", None, "llm"), ("end", "p", "r0", None, None, None, "out", "llm")],
+        "event string, project_id string, run_id string, user_id string, name string, input string, output string, type string",
+    )
+    users = spark.createDataFrame([(1, "anna"), (2, "carl")], "id long, external_id string")
+    rules = {"p": ["AND", {"id": "users", "params": {"users": ["1", "2"]}}, {"id": "models", "params": {"models": ["m2"]}}], "q": ["AND", {"id": "models", "params": {"models": ["m9"]}}]}
+    got = clean.redact(e, rules, users).collect()
+    hidden = {(r.run_id, r.event) for r in got if clean.REDACTED in (r.input or r.output)}
+    assert hidden == {("r0", "start"), ("r0", "end"), ("r2", "start"), ("r3", "start")} and len(got) == 6
+    assert clean.redact(e, {}, users).count() == 6
