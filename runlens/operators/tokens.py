@@ -58,6 +58,22 @@ def python_counter(encode: Callable[[str], list]) -> Callable[[Column], Column]:
     return count
 
 
+def by_encoding(counters: dict[str, Callable[[Column], Column]], model: Column) -> Callable[[Column], Column]:
+    """The counter of each model's encoding; encodings without one use the default encoding's. A counter sees
+    only the texts of its own models, the others as null."""
+    own = {e: c for e, c in counters.items() if e != DEFAULT_ENCODING}
+    encoding, rest = encoding_of(model), counters.get(DEFAULT_ENCODING, word_count)
+
+    def count(text: Column) -> Column:
+        counts = [rest(F.when(~encoding.isin(*own), text) if own else text), *[c(F.when(encoding == e, text)) for e, c in own.items()]]
+        total = F.coalesce(counts[0], F.lit(0))
+        for c in counts[1:]:
+            total = total + F.coalesce(c, F.lit(0))
+        return total
+
+    return count
+
+
 def prompt_tokens(input_: Column, params: Column, count: Callable[[Column], Column]) -> Column:
     """Message arrays pay per message, per value and per role; other input pays for its JSON.
 
@@ -73,8 +89,11 @@ def prompt_tokens(input_: Column, params: Column, count: Callable[[Column], Colu
     return F.when(F.substring(F.ltrim(input_), 1, 1) == "[", listed).otherwise(count(input_))
 
 
-def complete_tokens(runs: DataFrame, count: Callable[[Column], Column] = word_count) -> DataFrame:
-    """Fill prompt_tokens and completion_tokens of llm runs where the reported ones are missing or 0."""
+def complete_tokens(runs: DataFrame, count: Callable[[Column], Column] | dict[str, Callable[[Column], Column]] = word_count) -> DataFrame:
+    """Fill prompt_tokens and completion_tokens of llm runs where the reported ones are missing or 0. ``count`` is one
+    counter, or one for each encoding that ``encoding_of`` may give a run's model."""
+    if isinstance(count, dict):
+        count = by_encoding(count, F.col("name"))
     lacking = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     out_text = F.coalesce(F.get_json_object("output", "$.text"), F.col("output"))
     llm = F.col("type") == "llm"

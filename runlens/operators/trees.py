@@ -161,7 +161,8 @@ def nested_traces(runs: DataFrame, fields: tuple[str, ...] = ("type", "name", "s
     lies; one pass over a trace's nodes in preorder then puts the brackets between them, so neither depth nor breadth
     needs a round of its own. A trace is one value by its nature; ``node_paths`` has the same nodes as rows.
     """
-    nodes = cut_lineage(node_paths(runs).select("id", "parent_run_id", "root_id", "depth", "created_at", *fields))
+    kept = dict.fromkeys(["id", "parent_run_id", "root_id", "depth", "created_at", *fields])
+    nodes = cut_lineage(node_paths(runs).select(*kept))
     own = F.to_json(F.struct("id", *fields), {"ignoreNullFields": "false"})
     named = nodes.select("root_id", "id", F.when(F.col("depth") > 0, F.col("parent_run_id")).alias("up"), F.date_format("created_at", "yyyyMMddHHmmssSSSSSS").alias("at"), own.alias("own"))
 

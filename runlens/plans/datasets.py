@@ -8,10 +8,12 @@ from ..operators import datasets as ds
 from ..operators import enrich, similarity as sim, trees
 from ..operators.filters import run_checks
 from ..sources import datasets as imports
+from ..session import shared_folder
 from ..sources import export
 from . import fixtures as fx
 from .ingest import ntz
 from .registry import query
+from .relations import tree_sql
 from .text import PAIR
 
 L = F.lit
@@ -25,31 +27,44 @@ def sheet(spark, d):
 
 @query("a9_csv_dataset_import", "SELECT nullif(trim(text, chr(32)), '') AS input, CASE WHEN lang <> 'en' THEN lang END AS ground_truth, source AS output FROM documents")
 def a9(spark, d):
-    return imports.items_from_rows(sheet(spark, d))
+    """Written as CSV and read back."""
+    path = shared_folder(spark, "csv")
+    quoting = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    sheet(spark, d).write.csv(path, header=True, **quoting)
+    return imports.read_csv_items(spark, path)
 
 
 @query("a10_jsonl_dataset_import", "SELECT text AS input, CAST(n_chars AS VARCHAR) AS ground_truth, CASE WHEN lang <> 'en' THEN lang END AS output FROM documents")
 def a10(spark, d):
     t = fx.table(spark, d, "documents")
     line = F.to_json(F.struct(F.col("text").alias("input"), F.col("n_chars").alias("groundtruth"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("prediction")))
-    return imports.items_from_json(t.select(line.alias("value")))
+    path = shared_folder(spark, "jsonl")
+    t.select(line.alias("value")).write.text(path)
+    return imports.read_jsonl_items(spark, path)
 
 
 @query("a11_run_export_csv", """SELECT id, name, '["' || tags[1] || '","' || tags[2] || '"]' AS tags FROM run""")
 def a11(spark, d):
-    return export.flat(fx.runs(spark, d).select("id", "name", "tags"))
+    path = shared_folder(spark, "export")
+    export.export_runs(fx.runs(spark, d).select("id", "name", "tags"), path)
+    return spark.read.csv(path, header=True, escape='"', schema="id string, name string, tags string")
 
 
 @query("a12_run_export_jsonl", """SELECT '{"id":"' || id || '","name":"' || name || '","prompt_tokens":' || prompt_tokens || '}' AS value FROM run""")
 def a12(spark, d):
-    return export.run_lines(fx.runs(spark, d).select("id", "name", "prompt_tokens"))
+    path = shared_folder(spark, "export")
+    export.export_runs(fx.runs(spark, d).select("id", "name", "prompt_tokens"), path, "jsonl")
+    return spark.read.text(path)
 
 
-@query("a12_trace_export_jsonl", "SELECT id, true AS nested FROM run WHERE parent_run_id IS NULL")
+NODE = "'id': id, 'type': type, 'name': name, 'status': status, 'cost': cost, 'prompt_tokens': prompt_tokens"
+
+
+@query("a12_trace_export_jsonl", f"WITH RECURSIVE {tree_sql('run', NODE)} SELECT tree AS value FROM trees")
 def a12t(spark, d):
-    r = fx.runs(spark, d)
-    out = export.run_lines(r.select("id", "name"), "trace", trees=trees.nested_traces(r))
-    return out.select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.children").startswith('{"id":').alias("nested"))
+    path = shared_folder(spark, "export")
+    export.export_runs(fx.runs(spark, d), path, "jsonl", "trace", fields=("type", "name", "status", "cost", "prompt_tokens"))
+    return spark.read.text(path)
 
 
 @query("a13_fine_tuning_export", """SELECT id, event AS asked, said FROM (SELECT id, name || ' ' || prompt_tokens AS event, 'user ' || external_user_id AS said, status FROM run) WHERE status = 'success'""")

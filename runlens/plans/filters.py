@@ -199,11 +199,11 @@ def d37(spark, d):
     "d38_similarity_threshold",
     f"""SELECT id FROM (SELECT id, {_tok('text')} AS h, {_tok('ref')} AS r FROM
      (SELECT r.id, r.text, b.text AS ref FROM doc_run r JOIN benchmark b ON b.item_id = r.doc_id % (SELECT count(*) FROM benchmark)))
-     WHERE 1 + 99 * len(list_intersect(list_distinct(h), list_distinct(r)))::DOUBLE / len(list_distinct(list_concat(h, r))) >= 10""",
+     WHERE 1 + 99 * len(list_intersect(list_distinct(h), list_distinct(r)))::DOUBLE / len(list_distinct(list_concat(h, r))) >= 4""",
 )
 def d38(spark, d):
     r = with_reference(fx.doc_runs(spark, d), fx.table(spark, d, "benchmark"))
-    return filter_runs(r, [ALL, leaf("similarity", algorithm="jaccard", percent=10)]).select("id")
+    return filter_runs(r, [ALL, leaf("similarity", algorithm="jaccard", percent=4)]).select("id")
 
 
 @query("d39_judged_check", "SELECT id FROM doc_run WHERE quality = 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import messages as M
 from ..operators import chat, clean, fold, runs as runview, tokens
+from ..session import shared_folder
 from ..sources import events as ev
 from ..sources import otlp
 from . import fixtures as fx
@@ -75,7 +76,10 @@ def ntz(df, *cols):
      UNION ALL SELECT 'run-' || event_id, 'feedback', 'llm', NULL, NULL FROM logged WHERE event_type IN ('purchase', 'error')""",
 )
 def a1(spark, d):
-    return parsed(spark, d).select("run_id", "event", "type", "name", "user_id")
+    """Log files below the shared folder, read by the event source."""
+    path = shared_folder(spark, "log")
+    log_lines(fx.table(spark, d, "events")).write.text(path)
+    return ev.read_events(spark, path).select("run_id", "event", "type", "name", "user_id")
 
 
 @query(
@@ -273,6 +277,23 @@ def b9(spark, d):
     return tokens.complete_tokens(r, count).select("id", F.col("prompt_tokens").cast("long").alias("prompt_tokens"), F.col("completion_tokens").cast("long").alias("completion_tokens"))
 
 
+@query(
+    "b9_encoder_per_model",
+    f"""WITH m AS (SELECT id, text, text || chr(10) || 'user' AS asked, doc_id % 3 AS k FROM doc_run)
+     SELECT id, CAST(7 + CASE k WHEN 0 THEN length(asked) WHEN 1 THEN 1 ELSE {COUNT_SQL.format(x="asked")} END AS BIGINT) AS prompt_tokens,
+      CAST(CASE k WHEN 0 THEN length(text) WHEN 1 THEN 1 ELSE {COUNT_SQL.format(x="text")} END AS BIGINT) AS completion_tokens FROM m""",
+)
+def b9e(spark, d):
+    """Characters for one encoding, 1 for another, words and marks for the rest."""
+    k = F.col("doc_id") % 3
+    r = fx.doc_runs(spark, d).withColumn("prompt_tokens", L(None).cast("int")).withColumn("completion_tokens", L(0)).withColumn("params", L(None).cast("string"))
+    r = r.withColumn("output", F.to_json(F.struct("text"))).withColumn("name", F.when(k == 0, "gpt-4o-mini").when(k == 1, "curie").otherwise("unheard-of"))
+    counters = {
+        "o200k_base": F.length, "r50k_base": lambda t: F.when(F.length(t) > 0, 1), "cl100k_base": lambda t: F.regexp_count(t, L("[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]")),
+    }
+    return tokens.complete_tokens(r, counters).select("id", F.col("prompt_tokens").cast("long").alias("prompt_tokens"), F.col("completion_tokens").cast("long").alias("completion_tokens"))
+
+
 @query("b10_encoding_selection", "SELECT event_id, CASE event_type WHEN 'view' THEN 'o200k_base' WHEN 'click' THEN 'p50k_base' WHEN 'error' THEN 'r50k_base' ELSE 'cl100k_base' END AS encoding FROM events")
 def b10(spark, d):
     kind = F.col("event_type")

@@ -338,6 +338,19 @@ def j7(spark, d):
     return facets.intents(fx.doc_results(spark, d))
 
 
+@query(
+    "j7_intents_canonical",
+    """SELECT DISTINCT CASE WHEN n_nationkey // 5 > 2 OR n_nationkey % 7 = 0 THEN 'other' ELSE n_name END AS value
+     FROM nation WHERE n_regionkey = (SELECT max(r_regionkey) FROM region)""",
+)
+def j7c(spark, d):
+    """A taxonomy version per region, its clusters are nations; the tail and the cluster named Other become one."""
+    versions = fx.table(spark, d, "region").select(L("intent").alias("evaluator_id"), F.col("r_regionkey").alias("id"), F.timestamp_seconds("r_regionkey").alias("created_at"))
+    key = F.col("n_nationkey")
+    clusters = fx.table(spark, d, "nation").select(F.col("n_regionkey").alias("version_id"), F.when(key % 7 == 0, "Other").otherwise(F.col("n_name")).alias("label"), F.floor(key / 5).alias("sort_order"))
+    return facets.intents(fx.doc_results(spark, d), versions, clusters, max_intents=2)
+
+
 @query("a15_metadata_key_cache", "SELECT DISTINCT project_id, type, 'k' AS key FROM run")
 def a15(spark, d):
     return facets.metadata_keys(fx.runs(spark, d))
@@ -374,6 +387,16 @@ def j10c(spark, d):
 
 
 # --- K
+def tree_sql(runs: str, node: str) -> str:
+    """CTEs up to ``trees`` (root_id, nodes, tree): nodes in preorder, each followed by the brackets that end there."""
+    step = "strftime(created_at, '%Y%m%d%H%M%S%f') || id"
+    return f"""walk AS (SELECT *, id AS root_id, 0 AS lvl, [{step}] AS path FROM {runs} WHERE parent_run_id IS NULL
+      UNION ALL SELECT r.*, w.root_id, w.lvl + 1, list_append(w.path, strftime(r.created_at, '%Y%m%d%H%M%S%f') || r.id) FROM walk w JOIN {runs} r ON r.parent_run_id = w.id),
+    onward AS (SELECT *, lead(lvl) OVER (PARTITION BY root_id ORDER BY path) AS nxt, CAST(to_json({{{node}}}) AS VARCHAR) AS own FROM walk),
+    trees AS (SELECT root_id, count(*) AS nodes, string_agg(left(own, length(own) - 1) || ',"children":[' ||
+       CASE WHEN nxt IS NULL THEN repeat(']}}', lvl + 1) WHEN nxt > lvl THEN '' ELSE repeat(']}}', lvl - nxt + 1) || ',' END, '' ORDER BY path) AS tree FROM onward GROUP BY 1)"""
+
+
 UP = """up AS (SELECT id, id AS root_id, 0 AS depth FROM {t} WHERE parent_run_id IS NULL
   UNION ALL SELECT r.id, up.root_id, up.depth + 1 FROM up JOIN {t} r ON r.parent_run_id = up.id)"""
 
@@ -398,10 +421,19 @@ def k2(spark, d):
     return trees.roots(fx.trade_nodes(spark, d)).select("id", "root_id")
 
 
-@query("k3_nested_tree", f"WITH RECURSIVE {UP.format(t='run')} SELECT root_id, count(*) AS nodes, count(*) AS named FROM up GROUP BY 1")
+ODD_NAME = "CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN NULL WHEN CAST(id AS BIGINT) % 11 = 0 THEN name || chr(10) || '\"x\"' ELSE name END"
+
+
+@query(
+    "k3_nested_tree",
+    f"""WITH RECURSIVE odd AS (SELECT * REPLACE ({ODD_NAME} AS name) FROM run), {tree_sql('odd', "'id': id, 'type': type, 'name': name, 'status': status")}
+     SELECT root_id, nodes, tree FROM trees""",
+)
 def k3(spark, d):
-    t = trees.nested_traces(fx.runs(spark, d))
-    return t.select("root_id", "nodes", F.regexp_count("tree", F.lit('"children":')).cast("long").alias("named"))
+    """Some runs are unnamed, some names hold a line break and quotes."""
+    number = F.col("id").cast("long")
+    odd = F.when(number % 7 == 0, None).when(number % 11 == 0, F.concat("name", F.lit('\n"x"'))).otherwise(F.col("name"))
+    return trees.nested_traces(fx.runs(spark, d).withColumn("name", odd))
 
 
 @query("k4_subtree_attribution", f"WITH RECURSIVE {ATTRIBUTED.format(t='trade_node')} SELECT id, agent_name FROM sub")

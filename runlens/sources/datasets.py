@@ -27,9 +27,10 @@ def items_from_rows(df: DataFrame) -> DataFrame:
     return df.select(*[_aliased(df, c).alias(c) for c in ALIASES])
 
 
-def read_csv_items(spark: SparkSession, path: str) -> DataFrame:
-    """Quotes are doubled inside quoted fields; fields may span lines."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST")
+def read_csv_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Quotes are doubled inside quoted fields. Fields that span lines need ``multi_line``, which makes a file one task;
+    without it a large file is split."""
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST")
     return items_from_rows(raw)
 
 

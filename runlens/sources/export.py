@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.messages import valid_messages
 from ..operators.datasets import results_matrix
+from ..operators.trees import nested_traces
 
 # fixed values: columns a thread export leaves out
 THREAD_DROPS = ("input", "feedback", "params", "sibling_run_id", "parent_feedback", "trace_id")
@@ -19,11 +20,13 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema.fields])
 
 
-def run_lines(runs: DataFrame, kind: str = "llm", trees: DataFrame | None = None, messages: DataFrame | None = None) -> DataFrame:
-    """One JSON text per run. A trace gets its nested tree, a thread its messages."""
+def run_lines(runs: DataFrame, kind: str = "llm", messages: DataFrame | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One JSON text per run, or per trace: the root with the named fields (all by default) and its children nested
+    the same way. A thread gets its messages."""
     d = runs
-    if kind == "trace" and trees is not None:
-        d = d.join(trees.select(F.col("root_id").alias("id"), F.col("tree").alias("children")), "id")
+    if kind == "trace":
+        chosen = fields or tuple(c for c in runs.columns if c not in ("id", "parent_run_id"))
+        return nested_traces(runs, chosen).select(F.col("tree").alias("value"))
     if kind == "thread":
         d = d.drop(*THREAD_DROPS)
         if messages is not None:
@@ -46,7 +49,7 @@ def training_lines(runs: DataFrame) -> DataFrame:
     return both.select("id", F.to_json(F.struct(F.transform(F.concat("i", "o"), _clean).alias("messages"))).alias("value"))
 
 
-def export_runs(runs: DataFrame, path: str, kind: str = "csv", run_type: str = "llm", **related: DataFrame) -> None:
+def export_runs(runs: DataFrame, path: str, kind: str = "csv", run_type: str = "llm", **related) -> None:
     """kind: csv, jsonl or ojsonl. One file per task; no row passes the driver."""
     if kind == "csv":
         flat(runs).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
