@@ -157,7 +157,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(docs.select("doc_id", "text"), chain)
     return scored.select(
         "doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), *[F.col(f"toxicity.{c}").alias(c) for c, _ in toxicity.CATEGORIES],
-        F.col("toxicity.toxic").alias("score"), (F.col("toxicity.toxic") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxicity.toxic").alias("score"), (F.col("toxicity.toxic") >= 0.5).cast("int").alias("predicted"), (F.col("toxicity.toxic") >= 0.5).alias("toxic"),
     )
 
 
