@@ -8,6 +8,8 @@ Rows are told apart by id and text, so null and repeated ids and extra columns p
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,18 @@ ORACLE_SQL = None
 
 
 def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose (doc_id, text) is (left_semi) or isn't (left_anti) among keys (_id, _hash)."""
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), how)
+    """The rows of docs whose (doc_id, text) is (left_semi) or isn't (left_anti) among keys (_id, _hash).
+
+    A filter of fixed size tells which rows may be; only those meet the keys, so no other text is shuffled."""
+    packed = C.code_filter(keys.select(F.xxhash64("_id", "_hash")), 1 << 25)
+
+    @F.arrow_udf("boolean")
+    def maybe(code: pa.Array) -> pa.Array:
+        return pa.array(C.may_hold(C.unpacked(packed), code.to_numpy().view(np.uint64)))
+
+    asked = maybe(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    met = docs.where(asked).join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), how)
+    return met if how == "left_semi" else met.unionByName(docs.where(~asked))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

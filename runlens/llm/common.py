@@ -6,6 +6,7 @@ splitting bytes gives the same words as splitting code points. Batches are taken
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -166,6 +167,7 @@ def code_filter(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return zlib.compress(total.tobytes(), 1)
 
 
+@functools.lru_cache(maxsize=2)
 def unpacked(packed: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8)).astype(bool)
 

@@ -5,8 +5,9 @@ components by alternating large-star and small-star.
 * A class whose shingles are mostly its own (no other class in any of its buckets has them) can reach no similarity with
   anything and is set aside.
 * Every other class meets the most central class of each of its buckets, the one with the smallest share of own shingles.
-  Where a bucket still holds several components afterwards, every class outside the bucket's largest component meets all
-  classes of other components. So each pair that shares a bucket is either tested or already connected; none is capped.
+  Classes of buckets that still hold several components afterwards are joined by their rarest common shingles (an exact
+  prefix filter); there, every class outside a shingle's largest component meets those of other components. So each
+  pair that shares a bucket is tested, connected or ruled out; no bucket is capped.
 * A pair passes when two bits of each minimum disagree seldom enough (five standard deviations of slack; a longer
   signature where a bucket is still mixed), the shingles that it can share at most allow the similarity, and the full
   sets confirm it.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -238,15 +240,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = components(first)
     placed = C.cut(shared.join(named, "c", "left").select("key", "c", F.coalesce("component", "c").alias("g")))
     mixed = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
-    open_ = C.cut(placed.join(mixed, "key"))
+    unsure = C.cut(placed.join(mixed, "key").select("c", "g").distinct())
+    # What such a class can share with another one are the shingles that several of them have, and of those it must share
+    # ceil(n * similarity). So two of them can only be alike if they share one of their first few in order of rarity.
+    told = C.cut(sets.join(unsure, "c").join(signs.select("c", "n"), "c").select("c", "g", "n", F.explode("codes").alias("key")))
+    common = told.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    by_rarity, whole = W.partitionBy("c").orderBy("f", "key"), W.partitionBy("c")
+    first_few = F.row_number().over(by_rarity) <= F.count(F.lit(1)).over(whole) - F.ceil(F.col("n") * percent / 100) + 1
+    # A pair may share many of them; where both have few, it meets at the least one only.
+    few = F.collect_list("key").over(whole)
+    open_ = told.join(common, "key").withColumn("first", first_few).where("first").withColumn("few", few)
+    open_ = C.cut(open_.select("key", "c", "g", F.when(F.size("few") <= 64, F.col("few")).alias("few")))
     largest = open_.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main"))
     longer = C.cut(_long_signatures(sets.join(open_.select("c").distinct(), "c", "left_semi")))
     signed = open_.join(signs.select("c", "n", "r"), "c").join(longer, "c")
     x, y = signed.join(largest, "key").where("g <> main").alias("x"), signed.alias("y")
     # Of a pair of two such classes one order is enough: outside the main component the smaller one asks.
     once = (F.col("y.g") == F.col("x.main")) | (F.col("x.c") < F.col("y.c"))
+    here = F.coalesce(F.array_min(F.array_intersect("x.few", "y.few")) == F.col("x.key"), F.lit(True))
     more = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & once & _alike(percent, LONG))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & once & _alike(percent, LONG) & here)
         .select(F.least("x.c", "y.c").alias("u"), F.greatest("x.c", "y.c").alias("v")).distinct()
     )
     links = C.cut(first.unionByName(confirmed(more)).distinct())
