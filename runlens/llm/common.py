@@ -95,8 +95,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
 class Words:
     """Words of a slice: byte ``start`` and ``end``, ``row``, 64-bit ``code``; words of a row are consecutive."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, codes: bool = True):
-        self.data, self.offsets = LOWER[data], offsets
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, codes: bool = True, lower: bool = True):
+        self.data, self.offsets = LOWER[data] if lower else data, offsets
         inside = kind[data]
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         if len(data):
