@@ -41,5 +41,22 @@ def test_sentences_survive_small_edits(spark):
     assert got["whole"]["score"] == 1 and 0.8 <= got["one word put in"]["score"] < 1 and got["half"]["score"] == 0 == got["none"]["score"]
 
 
+def test_versions_exclude_each_other(spark):
+    docs = {
+        "gpl-2": "the GNU General Public License, version 2", "gpl-3": "the GNU General Public License, version 3", "gpl-2,gpl-3": "GNU General Public License version 2. Or the GNU General Public License version 3",
+        "lgpl": "GNU Lesser General Public License version 3", "": "GNU General Public License version 1",
+    }
+    got = lic.licenses(spark.createDataFrame(list(docs.items()), "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {k: ",".join(x for x in ("gpl", k) if x) for k in docs}
+
+
+def test_whole_license_texts(spark):
+    words = [f"w{i}" for i in range(300)]
+    docs = {"whole": words, "edited": [*words[:70], "new", *words[70:200], *words[201:]], "part": words[:200], "later": words[180:]}
+    got = lic.licenses(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id string, text string"), sentences=[("all", " ".join(words)), ("end", " ".join(words[180:]))]).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {"whole": "all,end", "edited": "all,end", "part": "", "later": "end"}
+    assert {r["doc_id"]: r["score"] for r in got if r["doc_id"] in ("whole", "later")} == {"whole": 1, "later": 1}
+
+
 def test_empty(spark):
     assert lic.licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
