@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_order_minhash": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op9_near_duplicates": {"doc_id", "n_shingles", "component_id", "kept"},
     "op10_html_extraction": {"page_id", "url", "text", "n_chars"},
+    "op13_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
 }
 
 
