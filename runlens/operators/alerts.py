@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.json import get_text
-from .skew import exact_percentiles, time_chunk, with_neighbour
+from .skew import exact_percentiles, with_neighbour
 
 PERCENTILES = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -91,10 +91,9 @@ def transitions(values: DataFrame, rules: DataFrame) -> DataFrame:
     chunked look-back; what is left alternates, and the next row resolves.
     """
     on = values.join(rules.select("rule_id", "threshold"), "rule_id").withColumn("hot", F.col("value") > F.col("threshold"))
-    chunk = time_chunk(F.col("window_end"), 86_400)
-    before = with_neighbour(on, ["rule_id"], ["window_end"], chunk, {"was": F.col("hot")}, keep=True)
+    before = with_neighbour(on, ["rule_id"], ["window_end"], {"was": F.col("hot")}, keep=True)
     edges = before.where(F.col("hot") != F.coalesce("was", F.lit(False))).select("_k", "rule_id", "window_end", "value", "hot")
-    paired = with_neighbour(edges, ["rule_id"], ["window_end"], chunk, {"resolved_at": F.col("window_end")}, following=True)
+    paired = with_neighbour(edges, ["rule_id"], ["window_end"], {"resolved_at": F.col("window_end")}, following=True)
     return paired.where("hot").select(
         "rule_id", F.col("window_end").alias("triggered_at"), "resolved_at", "value",
         F.when(F.col("resolved_at").isNull(), "ongoing").otherwise("resolved").alias("status"),

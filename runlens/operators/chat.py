@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import ordered_lists, running_sum, time_chunk, with_neighbour
+from .skew import ordered_lists, running_sum, with_neighbour
 
 OUTPUT_ROLES = ("assistant", "tool", "bot")
 INPUT_ROLES = ("user", "system")
@@ -23,7 +23,7 @@ def side_of(role: Column) -> Column:
     return F.when(role.isin(*OUTPUT_ROLES), "output").when(role.isin(*INPUT_ROLES), "input")
 
 
-def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600, carried: DataFrame | None = None) -> DataFrame:
+def exchange_messages(messages: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Adds exchange (1, 2, … per thread), input_group, side and previous_id to every message.
 
     ``messages`` has thread_id, id, timestamp, role, content, is_retry and is_custom (both optional).
@@ -35,10 +35,9 @@ def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600, carried: D
         if c not in d.columns:
             d = d.withColumn(c, F.lit(False))
     d = d.withColumn("side", F.when(~F.col("is_custom"), side_of(F.col("role"))))
-    chunk = time_chunk(F.col("timestamp"), chunk_seconds)
     order = ["timestamp", "id"]
     d = with_neighbour(
-        d, ["thread_id"], order, chunk,
+        d, ["thread_id"], order,
         {"previous_id": F.col("id"), "_pside": F.coalesce("side", F.lit("other")), "_pcustom": F.col("is_custom")}, keep=True,
     )
     if carried is not None:
@@ -58,7 +57,7 @@ def exchange_messages(messages: DataFrame, chunk_seconds: int = 3600, carried: D
     inherits = F.col("is_retry") & ~F.col("is_custom") & (F.coalesce("side", F.lit("other")) != "input") & ~first
     d = d.withColumn("_open", opens.cast("long")).withColumn("inherits", inherits)
     d = running_sum(
-        d, ["thread_id"], order, chunk,
+        d, ["thread_id"], order,
         {"exchange": F.col("_open"), "input_group": F.when(F.col("inherits"), 0).otherwise(F.col("_open")).cast("long")},
     )
     if carried is not None:

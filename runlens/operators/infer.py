@@ -18,7 +18,7 @@ from ..functions import messages as M
 from ..functions.similarity import tokens
 from ..schemas import EVALUATION_RESULT
 from .filters import Tables, filter_runs
-from .skew import numbered, running_sum, time_chunk, with_neighbour
+from .skew import numbered, running_sum, with_neighbour
 
 EVALUATORS: dict[str, Callable[[pd.DataFrame], list]] = {}
 
@@ -217,8 +217,7 @@ def deduplicated(messages: DataFrame) -> DataFrame:
     """Thread messages without blank texts and without repeats of the message just before; the chunk
     column stays for the scans that follow."""
     clean = messages.withColumn("content", F.trim("content")).where("content != ''")
-    chunk = time_chunk(F.col("timestamp"))
-    seen = with_neighbour(clean, ["thread_id"], ["timestamp", "id"], chunk, {"_pr": F.col("role"), "_pc": F.col("content")}, keep=True)
+    seen = with_neighbour(clean, ["thread_id"], ["timestamp", "id"], {"_pr": F.col("role"), "_pc": F.col("content")}, keep=True)
     return seen.where(~(F.col("role").eqNullSafe(F.col("_pr")) & F.col("content").eqNullSafe(F.col("_pc")))).drop("_pr", "_pc")
 
 
@@ -228,11 +227,11 @@ def transcripts(messages: DataFrame, limit: int = TRANSCRIPT_CHARS) -> DataFrame
     Lengths are summed by chunked scans; only lines inside the limit are ever collected.
     """
     keys, order = ["thread_id"], ["timestamp", "id"]
-    lines = numbered(deduplicated(messages), keys, order, time_chunk(F.col("timestamp")), "n", keep=True).withColumn(
+    lines = numbered(deduplicated(messages), keys, order, "n", keep=True).withColumn(
         "line", F.concat(F.col("n").cast("string"), F.lit(". "), F.upper("role"), F.lit(": "), "content")
     )
     size = (F.length("line") + 2).cast("long")
-    lines = running_sum(lines.select("_k", "thread_id", "timestamp", "id", "n", "line"), keys, order, time_chunk(F.col("timestamp")), {"upto": size})
+    lines = running_sum(lines.select("_k", "thread_id", "timestamp", "id", "n", "line"), keys, order, {"upto": size})
     totals = lines.groupBy("thread_id").agg(F.max("upto").alias("total"), F.max("n").alias("last"))
     tail = lines.join(totals, "thread_id").withColumn("from_end", F.col("total") - F.col("upto") + size)
     kept = tail.where((F.col("total") - 2 <= limit) | (F.col("from_end") <= limit) | (F.col("n") == F.col("last")))

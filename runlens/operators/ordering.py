@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import numbered, time_chunk, value_chunk, with_neighbours
+from .skew import numbered, with_neighbours
 
 # fixed values: list columns one may sort by
 SORT_COLUMNS = {
@@ -13,19 +13,16 @@ SORT_COLUMNS = {
 }
 
 
-def neighbours(runs: DataFrame, keys: list[str] | None = None, sort: str = "created_at", chunk: Column | None = None) -> DataFrame:
+def neighbours(runs: DataFrame, keys: list[str] | None = None, sort: str = "created_at", chunk: Column | int | None = None) -> DataFrame:
     """previous_id and next_id of every run in (sort, id) order, without one big sort per project."""
     keys = keys or ["project_id"]
-    if chunk is None:
-        chunk = time_chunk(F.col(sort)) if sort == "created_at" else value_chunk(F.col(sort))
     own = F.col("id")
-    return with_neighbours(runs, keys, [sort, "id"], chunk, {"previous_id": own}, {"next_id": own})
+    return with_neighbours(runs, keys, [sort, "id"], {"previous_id": own}, {"next_id": own}, chunk)
 
 
-def item_numbers(items: DataFrame, key: str = "dataset_id", chunk: Column | None = None) -> DataFrame:
+def item_numbers(items: DataFrame, key: str = "dataset_id", chunk: Column | int | None = None) -> DataFrame:
     """item_index by created_at, id in each dataset."""
-    c = chunk if chunk is not None else time_chunk(F.col("created_at"))
-    return numbered(items, [key], ["created_at", "id"], c, "item_index")
+    return numbered(items, [key], ["created_at", "id"], "item_index", chunk)
 
 
 def one_per_user_and_bucket(runs: DataFrame) -> DataFrame:

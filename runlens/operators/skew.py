@@ -1,9 +1,9 @@
 """Skew-safe building blocks: ordered scans over hot keys, bounded collection, exact percentiles.
 
-A key may hold a large share of all rows. None of these functions puts such a key
-into one task: ordered work is cut into chunks whose totals are scanned first. Only an
-array or object that a result asks for is collected, whole. (Skewed joins are split by
-adaptive execution, which ``session.configure`` switches on.)
+A key may hold a large share of all rows, and all of them may carry one timestamp. None of
+these functions puts such a key into one task: ordered work is cut into ranges of the order
+columns with about equally many rows, and the ranges' totals are scanned first. (Skewed joins
+are split by adaptive execution, which ``session.configure`` switches on.)
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def time_chunk(ts: Column, seconds: int = 3600) -> Column:
-    """Fixed-width slices of time; deterministic, so recomputed tasks agree."""
-    return F.floor(F.unix_seconds(ts) / F.lit(seconds))
+#: Rows of a key that one task takes in an ordered scan; a larger key is cut into ranges of about that many.
+RANGE_ROWS = 250_000
 
 
 def value_chunk(value: Column, per_octave: int = 256) -> Column:
@@ -26,11 +26,33 @@ def value_chunk(value: Column, per_octave: int = 256) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(bin_).cast("long")
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+def cut_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Adds _k = (keys, c): keys with more than ``rows`` rows are cut into ranges c = 0, 1, … of about ``rows`` rows.
+
+    The cuts are equi-depth: Spark samples (keys, order) of the large keys' rows and deals them by range, so the cuts
+    follow the data, whichever values are frequent; rows part wherever any order column differs, so ``order`` should
+    end with an id. They are written once, since a second sampling could cut elsewhere. Without a large key no row moves.
+    """
+    rows = rows or RANGE_ROWS
+    own = lambda c: F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], c.cast("int").alias("c"))
+    key = lambda: F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    large = df.groupBy(key().alias("_large")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    large = cut_lineage(large)  # total / rows keys at most
+    total = large.agg(F.sum("_n")).first()[0]
+    if not total:
+        return df.withColumn("_k", own(F.lit(0)))
+    large, on = large.select("_large"), key() == F.col("_large")
+    dealt = df.join(large, on, "left_semi").repartitionByRange(max(2, -(-total // rows)), *keys, *order).withColumn("_k", own(F.spark_partition_id()))
+    return df.join(large, on, "left_anti").withColumn("_k", own(F.lit(0))).unionByName(cut_lineage(dealt))
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | int | None) -> DataFrame:
     """Adds _k = (keys, chunk), unless an earlier scan left it. A struct compares null fields as equal, and
     one column serves windows and joins, so the rows are shuffled once."""
     if "_k" in df.columns:
         return df
+    if not isinstance(chunk, Column):
+        return cut_ranges(df, keys, order, chunk)
     return df.withColumn("_k", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("c")))
 
 
@@ -44,14 +66,15 @@ def _done(df: DataFrame, keep: bool, *scratch: str) -> DataFrame:
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column], keep: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], chunk: Column | int | None = None, keep: bool = False
 ) -> DataFrame:
-    """Inclusive running sums per key in ``order`` (ascending, chunk must agree with it).
+    """Inclusive running sums per key in ``order`` (ascending). ``chunk`` is the rows of a range (``cut_ranges``), or a
+    column that cuts keys and agrees with the order.
 
     With ``keep`` the chunk column stays for a following scan over the same keys and chunks, which then
     needs no shuffle of its own.
     """
-    d = _chunked(df, keys, chunk)
+    d = _chunked(df, keys, order, chunk)
     for name, col in values.items():
         d = d.withColumn(f"_v_{name}", col)
     totals = d.groupBy("_k").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
@@ -67,23 +90,23 @@ def running_sum(
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rn", keep: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", chunk: Column | int | None = None, keep: bool = False
 ) -> DataFrame:
     """Row number per key, without sorting a whole key in one task."""
-    return running_sum(df, keys, order, chunk, {name: F.lit(1).cast("long")}, keep)
+    return running_sum(df, keys, order, {name: F.lit(1).cast("long")}, chunk, keep)
 
 
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
     before: dict[str, Column] | None = None,
     after: dict[str, Column] | None = None,
+    chunk: Column | int | None = None,
     keep: bool = False,
 ) -> DataFrame:
     """Values of the previous and of the next row per key, looking across chunk borders; one shuffle for both."""
-    d = _chunked(df, keys, chunk)
+    d = _chunked(df, keys, order, chunk)
     seq, local = F.struct(*order), W.partitionBy("_k").orderBy(*order)
     sides = [("b", before, F.max_by, F.lag), ("a", after, F.min_by, F.lead)]
     sides = [(tag, cols, edge, step) for tag, cols, edge, step in sides if cols]
@@ -102,10 +125,10 @@ def with_neighbours(
 
 
 def with_neighbour(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, cols: dict[str, Column], following: bool = False, keep: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, Column], following: bool = False, chunk: Column | int | None = None, keep: bool = False
 ) -> DataFrame:
     """``with_neighbours`` in one direction."""
-    return with_neighbours(df, keys, order, chunk, None if following else cols, cols if following else None, keep)
+    return with_neighbours(df, keys, order, None if following else cols, cols if following else None, chunk, keep)
 
 
 def ordered_lists(df: DataFrame, keys: Sequence[str], value: Column, order: Column, name: str) -> DataFrame:

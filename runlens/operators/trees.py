@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import numbered, time_chunk
+from .skew import numbered
 
 
 def roots(runs: DataFrame, stop: Column | None = None) -> DataFrame:
@@ -203,5 +203,5 @@ def transcript(runs: DataFrame) -> DataFrame:
     msgs = below.select(F.col("root_id").alias("thread_id"), "created_at", "id", F.lit(0).alias("side"), F.posexplode(parse("input")).alias("pos", "m")).unionAll(
         below.select(F.col("root_id").alias("thread_id"), "created_at", "id", F.lit(1).alias("side"), F.posexplode(parse("output")).alias("pos", "m"))
     )
-    out = numbered(msgs, ["thread_id"], ["created_at", "id", "side", "pos"], time_chunk(F.col("created_at")), "position")
+    out = numbered(msgs, ["thread_id"], ["created_at", "id", "side", "pos"], "position")
     return out.select("thread_id", "position", F.col("m.role").alias("role"), F.col("m.content").alias("content"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..operators import buckets, enrich, facets, ordering, topk, trees
-from ..operators.skew import time_chunk
 from . import fixtures as fx
 from .registry import query
 from .series import DAILY, NY, USER_RUN, WEEKLY, bucket_sql, r6, spine_sql

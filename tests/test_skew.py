@@ -26,10 +26,11 @@ def chunk():
     return F.floor(F.col("t") / 7)
 
 
-def test_running_sum_and_numbers(spark):
+@pytest.mark.parametrize("cut", [chunk, lambda: None, lambda: 30])
+def test_running_sum_and_numbers(spark, cut):
     data = rows()
-    out = skew.running_sum(frame(spark, data), ["k"], ["t", "id"], chunk(), {"s": F.col("v")})
-    out = skew.numbered(out, ["k"], ["t", "id"], chunk(), "rn")
+    out = skew.running_sum(frame(spark, data), ["k"], ["t", "id"], {"s": F.col("v")}, cut())
+    out = skew.numbered(out, ["k"], ["t", "id"], "rn", cut())
     got = {r.id: (round(r.s, 6), r.rn) for r in out.collect()}
     want = {}
     for key in ("a", "b", None):
@@ -41,9 +42,10 @@ def test_running_sum_and_numbers(spark):
 
 
 @pytest.mark.parametrize("following", [False, True])
-def test_neighbours(spark, following):
+@pytest.mark.parametrize("cut", [chunk, lambda: None, lambda: 30])
+def test_neighbours(spark, following, cut):
     data = rows()
-    out = skew.with_neighbour(frame(spark, data), ["k"], ["t", "id"], chunk(), {"other": F.col("id")}, following=following)
+    out = skew.with_neighbour(frame(spark, data), ["k"], ["t", "id"], {"other": F.col("id")}, following=following, chunk=cut())
     got = {r.id: r.other for r in out.collect()}
     want = {}
     for key in ("a", "b", None):
@@ -54,6 +56,17 @@ def test_neighbours(spark, following):
     assert got == want
 
 
+def test_one_key_at_one_instant_is_cut_evenly(spark):
+    """30 % of all rows with one key and one timestamp: no range has more than twice the median range's rows."""
+    data = [("hot" if i % 10 < 3 else str(i % 700), 5 if i % 10 < 3 else i % 90, i, 1.0) for i in range(40_000)]
+    cut = skew.cut_ranges(frame(spark, data), ["k"], ["t", "id"], 1_000)
+    sizes = sorted(r["count"] for r in cut.where("k = 'hot'").groupBy("_k").count().collect())
+    assert len(sizes) == 12 and sum(sizes) == 12_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert cut.where("k <> 'hot'").select("_k.c").distinct().count() == 1
+    got = {r.id: r.rn for r in skew.numbered(frame(spark, data), ["k"], ["t", "id"], "rn", 1_000).where("k = 'hot'").collect()}
+    assert got == {x: n for n, x in enumerate(sorted(got), 1)}
+
+
 def test_exact_percentiles_with_zero_and_negative_values(spark):
     rng = random.Random(3)
     values = [("x", rng.choice([0.0, rng.uniform(-100, 100), rng.uniform(-0.01, 0.01), 5.0])) for _ in range(501)] + [("y", 2.5)]
