@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import chat, decontam, html, learning, license, lm, mixing, neardup, omh, quality, token_counts, toxicity
+from . import chat, decontam, html, learning, license, lm, mixing, neardup, omh, prefix_trie, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,12 @@ def query(name: str, sql: str | None = None):
 SQL_LETTERS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL_VISIBLE = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+#: A one-row table crc(t) with the remainders of all bytes, and the checksum of a list of bytes by it.
+SQL_CRC_TABLE = """(SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+SQL_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], {0}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+#: The UTF-8 bytes of a text of code points below U+0800.
+SQL_BYTES = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]::BIGINT[] END))"
+
 
 @query("op1_decontamination", f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_LETTERS.format("text")} AS w FROM documents),
@@ -185,3 +191,27 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     counted = token_counts.token_counts(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op12_prefix_trie", f"""
+WITH crc AS {SQL_CRC_TABLE},
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, {SQL_CRC.format(SQL_BYTES.format("CAST(c AS VARCHAR)"))} % 4 AS h, c - c % 20 AS base FROM (SELECT DISTINCT c FROM o), crc),
+b AS (SELECT h.c, o.i, role, text FROM h JOIN o ON o.c = base AND i <= h UNION ALL SELECT o.c, i, role, text FROM o JOIN h ON o.c = h.c AND i > h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, role, text FROM b),
+p AS (SELECT c, d, md5(string_agg(md5(role) || md5(text), '' ) OVER (PARTITION BY c ORDER BY d)) AS k, text FROM r
+      UNION ALL SELECT c, 0, '', NULL FROM h),
+n AS (SELECT d, k, min(c) AS m, count(*) AS n, len(regexp_extract_all(coalesce(any_value(text), ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM p GROUP BY d, k),
+q AS (SELECT p.c, p.d, n.m, n.k FROM p JOIN n USING (d, k)),
+u AS (SELECT n.*, q.m AS pm FROM n LEFT JOIN q ON q.c = n.m AND q.d = n.d - 1),
+f AS (SELECT pm AS m, d - 1 AS d, count(*) AS kids FROM u WHERE pm IS NOT NULL GROUP BY ALL),
+s AS (SELECT q.d, q.k, sum(CASE WHEN kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.w) AS saved FROM u LEFT JOIN f USING (m, d) JOIN q ON q.c = u.m AND q.d <= u.d GROUP BY q.d, q.k),
+e AS (SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM p JOIN (SELECT c, max(d) AS d FROM p GROUP BY c) USING (c, d) GROUP BY d, k)
+SELECT u.m AS conv_id, CAST(d AS BIGINT) AS depth, pm AS parent_conv_id, n AS n_convs, CAST(coalesce(kids, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ends, '')) AS ends_sha256
+FROM u JOIN s USING (d, k) LEFT JOIN f USING (m, d) LEFT JOIN e USING (d, k)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations that open like the first of their block."""
+    turns = prefix_trie.ordered_turns(C.table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.shared_openings(turns))
