@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import common as C
-from . import chat, decontam, html, learning, license, lm, mixing, neardup, omh, prefix_trie, quality, token_counts, toxicity
+from . import chat, decontam, html, learning, license, lm, mixing, neardup, omh, prefix_trie, quality, spelling, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +215,22 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all conversations that open like the first of their block."""
     turns = prefix_trie.ordered_turns(C.table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(*prefix_trie.shared_openings(turns))
+
+
+@query("op11_spelling", f"""
+WITH RECURSIVE crc AS {SQL_CRC_TABLE},
+r AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, c, {SQL_CRC.format(SQL_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM r, crc),
+t AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM t WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+v AS (SELECT word, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+s AS (SELECT v.word AS a, w.word AS b FROM v JOIN w ON v.less = w.word),
+p AS (SELECT a.word AS a, b.word AS b FROM v a JOIN v b USING (i, less) WHERE a.word <> b.word UNION SELECT a, b FROM s UNION SELECT b, a FROM s),
+f AS (SELECT a AS word, count(*) AS n_near, arg_min(b, struct_pack(o := -w.n, b := encode(b))) AS best, max(w.n) AS best_n FROM p JOIN w ON w.word = b GROUP BY a),
+g AS (SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM w LEFT JOIN f USING (word)),
+c(word, tip) AS (SELECT word, word FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON g.word = c.tip WHERE g.form IS NOT NULL)
+SELECT g.word, form, tip AS root, n, n_near, form_n FROM g JOIN c USING (word) WHERE tip IN (SELECT word FROM g WHERE form IS NULL)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with the more frequent words that they are variants of."""
+    words = spelling.typed_words(C.table(spark, sf_dir, "documents"))
+    return spelling.spelling_groups(words.where((F.char_length("word") >= 6) & (F.col("n") >= 5)))
