@@ -25,14 +25,14 @@ def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """The rows of docs whose (doc_id, text) is (left_semi) or isn't (left_anti) among keys (_id, _hash).
 
     A filter of fixed size tells which rows may be; only those meet the keys, so no other text is shuffled."""
-    packed = C.code_filter(keys.select(F.xxhash64("_id", "_hash")), 1 << 25)
+    packed = C.code_filter(keys.select(F.xxhash64(F.col("_id").cast("long"), "_hash")))
 
     @F.arrow_udf("boolean")
     def maybe(code: pa.Array) -> pa.Array:
         return pa.array(C.may_hold(C.unpacked(packed), code.to_numpy().view(np.uint64)))
 
     asked = maybe(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    met = docs.where(asked).join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), how)
+    met = docs.where(asked).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id").cast("long")) & (F.xxhash64("text") == F.col("_hash")), how)
     return met if how == "left_semi" else met.unionByName(docs.where(~asked))
 
 
@@ -65,7 +65,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item, or a whole shorter item, go."""
-    known = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
     found = decontam.contamination(known, C.table(configure(spark), sf_dir, "benchmark"), keep=("_id", "_hash"))
     return _rows(docs, C.cut(found.where("contaminated").select("_id", "_hash").distinct()), "left_anti")
 
