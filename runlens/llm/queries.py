@@ -105,12 +105,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t(id, label, base, size, place, a, b) AS (VALUES {", ".join(str(x).replace("True", "true").replace("False", "false") for x in license.pairs())}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {SQL_LETTERS.format("text")} AS w FROM documents),
 g AS (SELECT rid, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
-h AS (SELECT rid, id, label, base, size, place, pos - place AS diag, pos FROM g JOIN t USING (a, b)),
-l AS (SELECT *, sum(far) OVER (PARTITION BY rid, id ORDER BY diag ROWS UNBOUNDED PRECEDING) AS island
-      FROM (SELECT *, CASE WHEN base OR diag - lag(diag) OVER (PARTITION BY rid, id ORDER BY diag) > {license.DRIFT} THEN 1 ELSE 0 END AS far
-            FROM (SELECT DISTINCT rid, id, label, base, size, diag FROM h))),
-s AS (SELECT rid, id, label, base, size, island, count(DISTINCT place) / size AS share, min(pos) AS first FROM h JOIN l USING (rid, id, label, base, size, diag) GROUP BY rid, id, label, base, size, island),
-v AS (SELECT *, base AND share = 1 AS here FROM s WHERE (base AND share = 1) OR (NOT base AND share >= {license.SHARE})),
+h AS (SELECT rid, id, label, base, size, base OR size < {license.FULL} AS exact, ceil(size * {license.DRIFT}::DOUBLE) AS width, place, pos FROM g JOIN t USING (a, b)),
+m AS (SELECT *, unnest(CASE WHEN exact THEN [pos - place] ELSE [CAST(floor((pos - place) / width) AS BIGINT) - 1, CAST(floor((pos - place) / width) AS BIGINT)] END) AS band FROM h),
+k AS (SELECT rid, id, label, base, size, exact, band, min(pos) AS first, count(DISTINCT place) AS places, list([place]::BIGINT[] ORDER BY pos, place DESC) AS chain FROM m GROUP BY ALL),
+l AS (SELECT *, CASE WHEN exact OR places < size * {license.SHARE}::DOUBLE THEN places
+             ELSE len(list_reduce(chain, lambda e, p: list_concat(list_filter(e, lambda x: x < p[1]), p, list_filter(e, lambda x: x >= p[1])[2:]))) END / size AS share FROM k),
+s AS (SELECT *, exact OR (share > coalesce(CASE WHEN lag(band) OVER o = band - 1 THEN lag(share) OVER o END, 0) AND share >= coalesce(CASE WHEN lead(band) OVER o = band + 1 THEN lead(share) OVER o END, 0)) AS best
+      FROM l WINDOW o AS (PARTITION BY rid, id ORDER BY band)),
+v AS (SELECT *, base AND share = 1 AS here FROM s WHERE best AND share >= CASE WHEN exact THEN 1 ELSE {license.SHARE}::DOUBLE END),
 r AS (SELECT rid, count(*) FILTER (here) AS n_base, min(first) FILTER (here) AS first_word, max(first) FILTER (here) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (here) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM v GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -58,5 +58,35 @@ def test_whole_license_texts(spark):
     assert {r["doc_id"]: r["score"] for r in got if r["doc_id"] in ("whole", "later")} == {"whole": 1, "later": 1}
 
 
+def test_spans_don_t_drift_on(spark):
+    """A sentence's pairs in order but far apart, each written twice, or shuffled, are not the sentence."""
+    said = dict(reversed(x) for x in lic.SENTENCES)
+    mit = next(s for s in said if said[s] == "mit-text").split()
+    pairs = list(zip(mit, mit[1:], strict=False))
+    docs = {
+        "filler": " ".join(f"{a} {b} filler" for a, b in pairs), "twice": " ".join(f"{a} {b} {a} {b}" for a, b in pairs), "backwards": " ".join(f"{a} {b}" for a, b in reversed(pairs)),
+        "shuffled": " ".join(f"{a} {b}" for i in range(0, len(pairs), 6) for a, b in pairs[i : i + 6][::-1]), "whole": "x y " + " ".join(mit) + " z",
+    }
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in lic.licenses(spark.createDataFrame(list(docs.items()), "doc_id string, text string")).collect()}
+    assert got == {"whole": ("mit-text", 1.0)} | dict.fromkeys(("filler", "twice", "backwards", "shuffled"), ("", 0.0))
+
+
+def test_longest_chain(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [([rng.randrange(12) for _ in range(rng.randrange(20))],) for _ in range(60)]
+    got = [r[0] for r in spark.createDataFrame(rows, "p array<int>").select(lic._longest_chain(lic.F.col("p"))).collect()]
+    for (p,), ends in zip(rows, got, strict=True):
+        assert len(ends) == max(_best(p), default=0)
+
+
+def _best(p):
+    out = []
+    for i, x in enumerate(p):
+        out.append(1 + max((out[j] for j in range(i) if p[j] < x), default=0))
+    return out
+
+
 def test_empty(spark):
     assert lic.licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
