@@ -21,7 +21,8 @@ from ..session import cut_lineage
 SLICE_BYTES = 2_000_000
 
 #: Size of the filter that tasks hold, whatever the size of what went in; a fuller filter lets more through to the join.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 25
+MOST_FILTER_BITS, FILTER_SLICES = 1 << 28, 64
 
 _ALL = np.arange(256)
 #: Lower case for A-Z only.
@@ -152,18 +153,36 @@ def lists(values: pa.Array | np.ndarray, sizes: Sequence[int] | np.ndarray) -> p
 
 
 def code_filter(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A Bloom filter with two probes over a column of 64-bit codes, of fixed size (a power of two), packed."""
+    """A Bloom filter with two probes over a column of 64-bit codes, packed. It has about 16 bits a code, a power of two, and at
+    most ``bits`` and ``MOST_FILTER_BITS`` whatever the data; a fuller one lets more through to the join that follows.
+
+    Every task marks its own codes; what it marked travels in slices, which are merged side by side."""
+    codes = cut(codes)
+    bits = min(bits, MOST_FILTER_BITS, max(1 << 16, 1 << (16 * codes.count()).bit_length()))
+    width = max(bits // 8 // FILTER_SLICES, 1)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(bits, bool)
         for batch in batches:
             for probe in _probes(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
                 found[probe] = True
-        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(found).tobytes(), 1)]})
+        packed = np.packbits(found).reshape(-1, width)
+        some = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([zlib.compress(packed[i].tobytes(), 1) for i in some], pa.binary())], ["slice", "bits"])
 
-    total = np.zeros(bits // 8, np.uint8)
-    for row in codes.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():  # one row a task
-        total |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(part), np.uint8)
+                merged[i] = merged[i] | part if i in merged else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in merged.values()], pa.binary())], ["slice", "bits"])
+
+    cores = codes.sparkSession.sparkContext.defaultParallelism
+    marked = codes.coalesce(max(cores, 8)).mapInArrow(mark, "slice long, bits binary")
+    total = np.zeros((bits // 8 // width, width), np.uint8)
+    for i, part in marked.repartition("slice").mapInArrow(merge, "slice long, bits binary").toLocalIterator():  # FILTER_SLICES rows
+        total[i] = np.frombuffer(zlib.decompress(part), np.uint8)
     return zlib.compress(total.tobytes(), 1)
 
 

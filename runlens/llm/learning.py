@@ -4,23 +4,32 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes of text that a labelled sample holds at most, all rows together.
+SAMPLE_BYTES = 64_000_000
+
 
 def held_out(doc_id: Column, modulus: int = 3) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, target: str, bound: int, modulus: int | None) -> DataFrame:
-    """Rows (id, text, y) of at most ``bound`` labelled ids, those with the least hash; with a modulus, none that is held out.
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, target: str, bound: int, modulus: int | None, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Rows (id, text, y) of at most ``bound`` labelled ids, those with the least hash, one row each, of at most ``most_bytes``
+    bytes together; with a modulus, none that is held out.
 
-    A repeated label counts as 1 only if all of its rows say so; null labels and ids are left out.
+    Of rows that share an id the one with the least text hash is taken, so a repeated id is no larger than another. A repeated
+    label counts as 1 only if all of its rows say so; null labels and ids are left out. Ties in the hash of ids: the lesser id.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(target).isNotNull())
     if modulus:
         known = known.where(~held_out(F.col(doc_id), modulus))
     chosen = known.groupBy(F.col(doc_id).alias("id")).agg(F.min(target).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound)
-    return docs.select(F.col(doc_id).alias("own"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("own") == F.col("id")).select("id", "text", "y")
+    found = docs.select(F.col(doc_id).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    found = found.join(F.broadcast(chosen), F.col("own") == F.col("id")).groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    upto = F.sum(F.octet_length("text")).over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, 0))  # over at most `bound` rows
+    return found.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("id", "text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -140,7 +140,7 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: in
     h = F.xxhash64(text)
     identity = F.coalesce(F.col(doc_id).cast("long"), F.lit(NAMELESS) + F.abs(h % (1 << 61)))
     both = F.xxhash64("c", "h")
-    packed = C.code_filter(wanted.select(both), 1 << 25)
+    packed = C.code_filter(wanted.select(both))
     source = docs.select(identity.alias("c"), h.alias("h"), F.col(text).alias("text")).select("c", "h", both.alias("p"), "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

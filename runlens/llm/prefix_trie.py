@@ -118,8 +118,9 @@ def _rolled_up(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     owners = nodes.select(F.col("m").alias("conv")).distinct()
     paths = rows.select("conv", "d", "k", "g").join(owners, "conv", "left_semi").join(nodes.drop("d", "n"), ["k", "g"])
     top = nodes.where("d = 0").select(F.col("m").alias("conv"), "d", "k", "g", "m", "R", "pm", "leaf", "save")
-    whole = F.broadcast(nodes.where("d = 0").select(F.col("m").alias("cm"), F.col("R").alias("W")))  # one row
-    state = C.cut(paths.select(*top.columns).unionByName(top).crossJoin(whole).select("cm", F.lit(0).cast("long").alias("cd"), "W", "conv", "d", "m", "pm", "R", "leaf", "save"))
+    least, whole = top.select("m", "R").first() or (None, None)  # the root, of which everything is a part
+    root = [F.lit(v).cast("long").alias(n) for n, v in (("cm", least), ("cd", 0), ("W", whole))]
+    state = C.cut(paths.select(*top.columns).unionByName(top).select(*root, "conv", "d", "m", "pm", "R", "leaf", "save"))
     of, added = ["cm", "cd"], []
     while True:
         own = state.where("conv = m")

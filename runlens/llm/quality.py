@@ -4,15 +4,21 @@ Every line is good or bad. Its features are counts of its characters and words,
 its place. Forward-backward gives each line's marginal; the marginals, weighted by the bytes of their lines, are the
 document's share of good text, which a one-dimensional logistic curve turns into a probability.
 
-The field is fitted on the driver on at most ``sample`` labelled documents (a parameter), where every line carries its
-document's label; scoring reads every text whole and runs on Arrow batches.
+The field is fitted on the driver on at most ``sample`` labelled documents (a parameter) of ``learning.SAMPLE_BYTES``
+bytes together, where every line carries its document's label; scoring reads every text whole and runs on Arrow batches.
+Documents of like line counts are scored together, so few long ones beside many short ones cost no memory; a chain of
+more than ``CHAIN`` lines is cut into blocks that are scored side by side and joined by their transfer matrices.
 
 Nulls: a null text is empty, one empty line. Without any usable label, or with only one kind, all documents score by that
-prior (0.5 without labels). Repeated documents score alike. Empty tables give no rows.
+prior (0.5 without labels). Ties do not arise: a document's score depends on its text alone, so repeated documents score alike.
+Very long texts are scored whole. Extra columns stay; one named like the score is refused. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +35,10 @@ _BYTES = np.zeros((len(_CLASSES), 256), bool)
 for _i, _members in enumerate(_CLASSES.values()):
     _BYTES[_i, list(_members)] = True
 _OWN = 18
+#: Lines of a chain that is scored step by step.
+CHAIN = 1024
+#: Bytes and lines of a long text whose features are held at once.
+PART, LINES = 1_000_000, 100_000
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +103,76 @@ def _padded(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def marginals(emission: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(probability of good per line, expected counts of the four moves, log partition). ``emission``: log odds of good per
     line; ``move``: scores from state to state."""
+    sizes = np.diff(first)
+    flat, expected, total = np.empty(len(emission)), np.zeros((2, 2)), 0.0
+    octave = np.log2(np.maximum(sizes, 1)).astype(int)
+    for o in np.unique(octave):
+        docs = np.flatnonzero(octave == o)
+        if sizes[docs[0]] > CHAIN or sizes[docs].max() > CHAIN:
+            parts = [(np.arange(first[d], first[d + 1]), _long_chain(emission[first[d] : first[d + 1]], move)) for d in docs]
+        else:
+            at = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
+            parts = [(at, _side_by_side(emission[at], np.concatenate([[0], np.cumsum(sizes[docs])]), move))]
+        for at, (p, n, z) in parts:
+            flat[at] = p
+            expected += n
+            total += z
+    return flat, expected, total
+
+
+def _long_chain(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """``marginals`` of one long chain, in about 2 sqrt(lines) steps: blocks side by side, then from block to block."""
+    n = len(e)
+    width = math.isqrt(n - 1) + 1
+    blocks = -(-(n - 1) // width)
+    # step[t] leads from line t to line t + 1; steps past the end change nothing.
+    step = np.full((blocks * width, 2, 2), -np.inf)
+    step[:, 0, 0] = step[:, 1, 1] = 0
+    step[: n - 1] = move[None]
+    step[: n - 1, :, 1] += e[1:, None]
+    step = step.reshape(blocks, width, 2, 2)
+    over = np.full((blocks, 2, 2), -np.inf)
+    over[:, 0, 0] = over[:, 1, 1] = 0
+    for t in range(width):
+        over = np.logaddexp(over[:, :, :1] + step[:, t, None, 0], over[:, :, 1:] + step[:, t, None, 1])
+    enter, leave = np.empty((blocks, 2)), np.zeros((blocks, 2))
+    enter[0] = 0, e[0]
+    for b in range(1, blocks):
+        enter[b] = np.logaddexp(enter[b - 1, 0] + over[b - 1, 0], enter[b - 1, 1] + over[b - 1, 1])
+    for b in range(blocks - 2, -1, -1):
+        leave[b] = np.logaddexp(over[b + 1, :, 0] + leave[b + 1, 0], over[b + 1, :, 1] + leave[b + 1, 1])
+    ahead, back = np.empty((blocks, width + 1, 2)), np.empty((blocks, width + 1, 2))
+    ahead[:, 0], back[:, width] = enter, leave
+    for t in range(width):
+        ahead[:, t + 1] = np.logaddexp(ahead[:, t, :1] + step[:, t, 0], ahead[:, t, 1:] + step[:, t, 1])
+    for t in range(width - 1, -1, -1):
+        back[:, t] = np.logaddexp(step[:, t, :, 0] + back[:, t + 1, :1], step[:, t, :, 1] + back[:, t + 1, 1:])
+    first, last = ahead[:, :width].reshape(-1, 2)[: n - 1], ahead[:, 1:].reshape(-1, 2)[: n - 1]
+    after = back[:, 1:].reshape(-1, 2)[: n - 1]
+    forward, backward = np.vstack([first[:1], last]), np.vstack([back[0, :1], after])
+    total = float(np.logaddexp(*forward[-1]))
+    flat = step.reshape(-1, 2, 2)[: n - 1]
+    expected = np.exp(np.minimum(first[:, :, None] + flat + after[:, None, :] - total, 0)).sum(axis=0)
+    odds = forward[:, 1] + backward[:, 1] - forward[:, 0] - backward[:, 0]
+    return L.sigmoid(odds), expected, total
+
+
+def _in_parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, bytes) of the lines of one long text, some lines at a time, each part seeing the lines beside it."""
+    starts = np.concatenate([[0], np.flatnonzero(data == 0x0A) + 1])
+    starts = np.concatenate([starts[starts < len(data)], [len(data)]])
+    at, end = 0, len(starts) - 1
+    while at < end:
+        to = min(max(int(np.searchsorted(starts, starts[at] + PART, "right")) - 1, at + 1), at + LINES, end)
+        a, b = max(at - 1, 0), min(to + 1, end)
+        x, n, _ = line_features(data[starts[a] : starts[b]], np.array([0, starts[b] - starts[a]]))
+        x, n = x[at - a : len(x) - (b - to)], n[at - a : len(n) - (b - to)]
+        yield x, n
+        at = to
+
+
+def _side_by_side(emission: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """``marginals`` of chains of like length, all of them a line further in each step."""
     grid, order = _padded(emission, first)
     sizes = np.diff(first)[order]
     docs, steps = grid.shape
@@ -141,8 +221,14 @@ class Field:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.w is None:
             return np.full(len(offsets) - 1, self.curve[0])
-        x, n, first = line_features(data, offsets)
-        p, _, _ = marginals(x @ self.w, first, self.move)
+        if len(offsets) == 2 and len(data) > 2 * PART:
+            parts = [(x @ self.w, n) for x, n in _in_parts(data)]
+            e, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            first = np.array([0, len(e)])
+        else:
+            x, n, first = line_features(data, offsets)
+            e = x @ self.w
+        p, _, _ = marginals(e, first, self.move)
         return L.sigmoid(self.curve[0] * _share(p, n, first) + self.curve[1])
 
 
@@ -181,6 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def quality(docs: DataFrame, field: Field, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the probability of being good."""
+    if score.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {score} already")
 
     @F.arrow_udf("double")
     def judged(column: pa.Array) -> pa.Array:

@@ -146,6 +146,8 @@ def train(
 
 def toxicity(docs: DataFrame, chain: Chain, text: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a struct of the probability of each category and the verdict."""
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {out} already")
 
     @F.arrow_udf("struct<" + ", ".join(f"{c}: double" for c in chain.names) + ">")
     def judged(column: pa.Array) -> pa.Array:
