@@ -1,8 +1,10 @@
 """Main text of web pages: a host suffix array over all its pages, with page structure to mark and to protect.
 
 1. Structure. A tokenizer walks the tags once. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-   and styles are marked, by element, role, or a word of class or id. Of the rest, text inside ``article`` is declared; without
-   one, inside ``main``; without that, inside an element named like content. A page that declares nothing is open.
+   and styles are marked, by element, role, or a word of class or id; inside declared text a name counts only if all of
+   its words say so (``ad-box``, not ``ad-hoc`` or ``legal-notice``). Of the rest, text inside ``article``, ``main`` or an element
+   named like content is declared. Of these the innermost kind stays that holds at least a share of ``LEAST`` of what is
+   declared, so one card in ``main`` does not stand for its text. A page that declares nothing is open.
 2. Suffix array. The streams of a host's pages, marked parts included, are concatenated, their suffixes are sorted by their
    first ``RUN`` tokens (prefix doubling), and runs are counted in pages with different contents. Declared text is not dealt
    out: its runs are looked up among those of the suffix arrays and add to their counts.
@@ -13,7 +15,9 @@ A host is worked on in shards of bounded size; the shards' page counts of each r
 shards is found as well, and a host with a third of all pages is no single task.
 
 Nulls: a null html is empty, a null url is a host of its own. Empty pages have empty text. Repeated pages get a row each and
-count as one page of a host. Empty tables give no rows. Broken markup never fails: what is no tag is text.
+count as one page of a host. Ties do not arise: blocks keep their order. A very long page is read whole, in time that grows with
+its length. Extra columns go unless kept, whatever their names. Empty tables give no rows. Broken markup never fails: what is no
+tag is text.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,6 +37,8 @@ from . import common as C
 
 #: Tokens of a boilerplate run; distinct pages it must stand in; tokens of a shard.
 RUN, PAGES, SHARD = 8, 3, 200_000
+#: The share of the declared text that a kind must hold to stand for all of it.
+LEAST = 0.25
 #: Kinds of a stream's tokens; a break stands for declared text.
 MARKED, OPEN, BREAK = 0, 1, 2
 #: Bits of the filter of run codes that declared text is probed with.
@@ -41,7 +48,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"'
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Elements and words of the web's vocabulary.
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_RAW = set("script style noscript template textarea iframe svg math title select button object canvas audio video".split())
+_RAW = set("script style template textarea iframe title select button".split())
 _BREAKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -56,6 +63,10 @@ _NAMES = set(
 )
 _PAGE_NAMES = set("header topbar".split())
 _HOLDING = set("has with no without".split())
+_GENERIC = set(
+    "area bar block body box button buttons container content group inner item items left link links list main outer panel post posts right row section slot small text "
+    "top unit widget wrap wrapper".split()
+)
 _CONTENT = set("article articlebody content entry main post story".split())
 
 
@@ -74,10 +85,25 @@ class _Element:
         self.name, self.out, self.level = name, out, level
 
 
+def _hinted(words: list[str], name: str, level: int) -> bool:
+    """Whether one class or id says that its element is no main text."""
+    if words[0] in _HOLDING or (len(words) > 1 and words[-2] in _HOLDING):
+        return False
+    ends = {words[0], words[-1]}
+    if name == "article":
+        return bool(ends & {"comment", "comments"})
+    if level:  # inside declared text
+        said = [w for w in words if w and not w.isdigit()]
+        return bool(ends & _NAMES) and all(w in _NAMES or w in _GENERIC for w in said)
+    return bool(ends & (_NAMES | _PAGE_NAMES))
+
+
 def blocks(page: str, hints: bool = True) -> list[tuple[int, str]]:
     """(level, text) of every block: 3 in an article, 2 in main, 1 in content, 0 elsewhere, -1 for what structure excludes."""
     found: list[tuple[int, str]] = []
     stack = [_Element("", 0, 0)]  # out: 1 under a form only, 3 in an article's header but its headings, 2 under anything else excluded
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     said: list[str] = []
     marked: list[str] = []
 
@@ -107,22 +133,26 @@ def blocks(page: str, hints: bool = True) -> list[tuple[int, str]]:
         if name in _BREAKS:
             end_block()
         if m[1] or m[4]:  # an end tag closes up to its element, if that is open
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
+            while opened[name]:
+                closed = stack.pop().name
+                opened[closed] -= 1
+                if closed == name:
                     break
             continue
         if name in _RAW:
-            closing = re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at)
+            closing = None if name in unclosed else re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at)
             if closing:
                 at = closing.end()
             elif name in ("script", "style", "textarea", "title"):
                 at = n
+            else:
+                unclosed.add(name)
             continue
         if name in _VOID:
             continue
         if name == "p" and stack[-1].name == "p":
             stack.pop()
+            opened["p"] -= 1
         top = stack[-1]
         attributes = _attributes(m[3] or m[6] or "")
         out, level = top.out, top.level
@@ -143,29 +173,31 @@ def blocks(page: str, hints: bool = True) -> list[tuple[int, str]]:
         if role in _ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
             out = 2
         if hints and name not in ("html", "body", "main") and names:
-            for words in names:
-                if words[0] not in _HOLDING and not (len(words) > 1 and words[-2] in _HOLDING):
-                    ends = {words[0], words[-1]}
-                    if (ends & _NAMES or (level < 3 and ends & _PAGE_NAMES)) and not (name == "article" and not ends & {"comment", "comments"}):
-                        out = 2
+            if any(_hinted(words, name, level) for words in names):
+                out = 2
         stack.append(_Element(name, out, max(level, declared)))
-        if len(stack) > 10_000:  # never closed elements: fold the innermost ones into one
-            del stack[-2]
+        opened[name] += 1
     end_block()
     return found
 
 
+def _main_level(found: list[tuple[int, str]]) -> int:
+    """The innermost level whose text and that of the levels inside it are a fair share of the declared text; 0 without any."""
+    size = [sum(len(t) for x, t in found if x >= level) for level in (1, 2, 3)]
+    return next((level for level in (3, 2, 1) if size[level - 1] and size[level - 1] >= LEAST * size[0]), 0)
+
+
 def parts(page: str | None) -> tuple[str | None, list[str], list[tuple[int, str]], int]:
     """(declared text or None, open blocks, the stream as (kind, text), a code of the whole contents)."""
     found = blocks(page or "")
     if page and all(x < 0 for x, _ in found):
         found = [*blocks(page, hints=False)]
-    level = max((x for x, _ in found if x >= 0), default=0)
-    text = [t for x, t in found if x == level]
+    level = _main_level(found)
+    text = [t for x, t in found if x >= level]
     open_ = bool(text) and not level
     stream: list[tuple[int, str]] = []
     for x, t in found:
-        if open_ or x != level:
+        if open_ or x < level:
             stream.append((OPEN if open_ and x == 0 else MARKED, t))
         elif stream and stream[-1][0] != BREAK:
             stream.append((BREAK, "\0"))

@@ -15,8 +15,10 @@ components by alternating large-star and small-star.
 A pair at the threshold shares no band with a probability below 1e-6 (``bands``).
 
 Nulls: null or wordless texts have an empty set and are linked with nothing. Rows with a null id take part and get the
-smallest id of their component, or null where it has none. Rows that share an id count as one document. Ids are integers
-below 2**62. Ties: the smallest id stands for a class and names a component. Empty tables give no rows.
+smallest id of their component, or null where it has none. Rows that share an id are linked, whatever their texts. Ids are
+integers from 0 to 2**62. Ties: the smallest id names a component; of several rows with that id the one with the least text hash
+is chosen. Very long texts are hashed whole, a slice of shingles at a time. Extra columns go, whatever their names. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -135,13 +137,13 @@ def _long_signatures(sets: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (c, codes) for the wanted classes (c, h), from the whole texts. A filter of fixed size lets the wanted texts and
+    """Rows (c, codes) for the wanted classes (c, and id and hash of a row of theirs), from the whole texts. A filter of fixed size lets the wanted texts and
     a few others through, so no text is shuffled."""
     h = F.xxhash64(text)
     identity = F.coalesce(F.col(doc_id).cast("long"), F.lit(NAMELESS) + F.abs(h % (1 << 61)))
-    both = F.xxhash64("c", "h")
+    both = F.xxhash64("rep", "h")
     packed = C.code_filter(wanted.select(both))
-    source = docs.select(identity.alias("c"), h.alias("h"), F.col(text).alias("text")).select("c", "h", both.alias("p"), "text")
+    source = docs.select(identity.alias("rep"), h.alias("h"), F.col(text).alias("text")).select("rep", "h", both.alias("p"), "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = C.unpacked(packed)
@@ -150,10 +152,10 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, k: in
             for first, data, offsets in C.slices(batch.column(3)):
                 codes, n = _sets(C.Words(data, offsets, C.VISIBLE), k)
                 held = [c.slice(first, len(n)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*held, C.lists(C.signed(codes), n)], ["c", "h", "codes"])
+                yield pa.RecordBatch.from_arrays([*held, C.lists(C.signed(codes), n)], ["rep", "h", "codes"])
 
-    built = source.mapInArrow(build, "c long, h long, codes array<long>")
-    return built.join(wanted, ["c", "h"], "left_semi").dropDuplicates(["c"]).select("c", "codes")
+    built = source.mapInArrow(build, "rep long, h long, codes array<long>")
+    return built.join(wanted, ["rep", "h"]).dropDuplicates(["c"]).select("c", "codes")
 
 
 def _alike(percent: int, minima: int):
@@ -209,12 +211,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_class = ["k1", "k2", "n"]
     classes = C.cut(
         each.where("n > 0").groupBy(*of_class).agg(F.min(F.struct("id", "h")).alias("r"), *[F.first(x).alias(x) for x in ("bands", *planes)])
-        .select(F.col("r.id").alias("c"), F.col("r.h").alias("h"), *of_class, "bands", *planes)
+        .select(F.col("r.id").alias("c"), F.col("r.id").alias("rep"), F.col("r.h").alias("h"), *of_class, "bands", *planes)
     )
+    # A class is named by its least id. Where one id has several texts, several classes may claim it: those get names of their
+    # own, below zero. Classes that share an id are linked.
+    claimed = C.cut(classes.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c"))
+    if not claimed.isEmpty():
+        again = classes.join(claimed, "c", "left_semi").withColumn("c", -F.abs(F.xxhash64("k1", "k2", "n") % NAMELESS) - 1)
+        classes = C.cut(classes.join(claimed, "c", "left_anti").unionByName(again))
+    one = F.struct(*of_class)
+    apart = each.where("n > 0").groupBy("id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("id")
+    named = each.where("n > 0").join(C.cut(apart), "id").select("id", *of_class).distinct().join(classes.select("c", *of_class), of_class).select("id", "c")
+    named = C.cut(named)
+    same_id = named.join(named.groupBy("id").agg(F.min("c").alias("v")), "id").select(F.col("c").alias("u"), "v").where("u <> v").distinct()
     members = classes.select("c", F.explode("bands").alias("key"))
-    several = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    # Sides of joins on a bucket or a shingle are tables: two plain shuffles, which skew handling can split.
+    several = C.cut(members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
     shared = C.cut(members.join(several, "key"))
-    wanted = classes.select("c", "h").join(shared.select("c").distinct(), "c")
+    wanted = classes.select("c", "rep", "h").join(shared.select("c").distinct(), "c")
     sets = C.cut(_full_sets(docs, doc_id, text, wanted, shingle))
     # r: shingles that some other class in question has too. What has too few of them can't be linked with anything.
     alone = sets.select("c", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c")).where("m = 1")
@@ -224,7 +238,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(F.col("r") * 100 >= F.col("n") * percent).select("c", "n", "r", *planes)
     )
     shared = C.cut(shared.join(signs.select("c", (1 - F.col("r") / F.col("n")).alias("own")), "c"))
-    pivots = shared.groupBy("key").agg(F.min(F.struct("own", "c")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("p.c").alias("p"))
+    pivots = C.cut(shared.groupBy("key").agg(F.min(F.struct("own", "c")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("p.c").alias("p")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("x.codes", "y.codes"))
@@ -239,19 +253,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = confirmed(asked.where(_alike(percent, n_bands * rows)).select("u", "v"))
     named = components(first)
     placed = C.cut(shared.join(named, "c", "left").select("key", "c", F.coalesce("component", "c").alias("g")))
-    mixed = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
+    mixed = C.cut(placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key"))
     unsure = C.cut(placed.join(mixed, "key").select("c", "g").distinct())
     # What such a class can share with another one are the shingles that several of them have, and of those it must share
     # ceil(n * similarity). So two of them can only be alike if they share one of their first few in order of rarity.
     told = C.cut(sets.join(unsure, "c").join(signs.select("c", "n"), "c").select("c", "g", "n", F.explode("codes").alias("key")))
-    common = told.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    common = C.cut(told.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     by_rarity, whole = W.partitionBy("c").orderBy("f", "key"), W.partitionBy("c")
     first_few = F.row_number().over(by_rarity) <= F.count(F.lit(1)).over(whole) - F.ceil(F.col("n") * percent / 100) + 1
     # A pair may share many of them; where both have few, it meets at the least one only.
     few = F.collect_list("key").over(whole)
     open_ = told.join(common, "key").withColumn("first", first_few).where("first").withColumn("few", few)
     open_ = C.cut(open_.select("key", "c", "g", F.when(F.size("few") <= 64, F.col("few")).alias("few")))
-    largest = open_.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main"))
+    largest = C.cut(open_.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main")))
     longer = C.cut(_long_signatures(sets.join(open_.select("c").distinct(), "c", "left_semi")))
     signed = open_.join(signs.select("c", "n", "r"), "c").join(longer, "c")
     x, y = signed.join(largest, "key").where("g <> main").alias("x"), signed.alias("y")
@@ -263,11 +277,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select(F.least("x.c", "y.c").alias("u"), F.greatest("x.c", "y.c").alias("v")).distinct()
     )
     links = C.cut(first.unionByName(confirmed(more)).distinct())
-    named = components(links)
+    named = components(links.unionByName(same_id))
+    of = classes.select("c", "rep", "h", *of_class).join(named, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    # The least id of a component whose name is none.
+    least = of.where("component < 0").groupBy("component").agg(F.min("rep").alias("least"))
+    of = of.join(least, "component", "left").withColumn("component", F.coalesce("least", "component")).drop("least")
     ends = links.select(F.col("u").alias("c")).unionByName(links.select(F.col("v").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("links"))
-    chosen = classes.select("c", "h", *of_class).join(named, "c", "left").join(ends, "c", "left").select(
-        *of_class, F.coalesce("component", "c").alias("component"), F.coalesce("links", F.lit(0).cast("long")).alias("links"),
-        F.when(F.coalesce("component", "c") == F.col("c"), F.struct("c", "h")).alias("r"),
+    # The row that stands for a component: of its id's rows that with the least hash.
+    stands = of.where("component = rep").groupBy("component").agg(F.min("h").alias("_h"))
+    chosen = of.join(ends, "c", "left").join(stands, "component", "left").select(
+        *of_class, "component", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.when((F.col("component") == F.col("rep")) & (F.col("h") == F.col("_h")), F.struct(F.col("rep").alias("c"), "h")).alias("r"),
     )
     component = F.coalesce("component", "id")
     real = lambda x: F.when(x < NAMELESS, x)

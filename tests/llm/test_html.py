@@ -23,6 +23,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
         ("<article><p title='a > b' data-x=\"<p>\">q</p><script>alert('<p>')</script><p>r</p></article>", "q\nr"),
         ("<form id=all><nav>n</nav><article><p>inside a form</p></article></form>", "inside a form"), ("<p>&#233;&eacute;&#x1F600; &unknown; &amp</p>", "éé😀 &unknown; &"),
         ("<div hidden>h</div><div style='display: none'>s</div><div aria-hidden=true>a</div><p>seen</p>", "seen"), ("<table><tr><td>a</td><td>b</td></tr></table>", "a\nb"),
+        ("<main><h1>Title</h1><p>" + "a long body of text " * 20 + "</p><article class=card><p>A card</p></article></main>", "Title\n" + ("a long body of text " * 20).strip() + "\nA card"),
+        ("<main><h2>More</h2><article><p>" + "the article " * 20 + "</p></article></main>", ("the article " * 20).strip()),
+        ("<article><p>a</p><p class='legal-notice'>b</p><section class=social-history>c</section><div class=ad-hoc>d</div><div class='ad-slot-3'>e</div><p class='share links'>f</p></article>", "a\nb\nc\nd"),
+        ("<article><p>x <math><mi>y</mi></math> <noscript>n</noscript><object>o</object><svg><text>s</text></svg></p></article>", "x y nos"),
+        ("<article><i>a<b>b</i>c</b>d</i></article>", "abcd"), ("</div></article><p>t</p></p></x>", "t"),
         ("<div class=menu>all of it is a menu</div>", "all of it is a menu"),
         ("<article><header><h1>Head</h1><p>by <b>N</b></p><nav><h2>menu</h2></nav></header><p>t</p></article>", "Head\nt"),
     ],
@@ -32,6 +37,19 @@ def test_structure(spark, html, want):
     assert (declared if declared is not None else "\n".join(open_)) == want
 
 
+@pytest.mark.parametrize("piece", ["<svg>", "<select>", "<i>", "<div><b>", "</x>", "<i></b>", "<a x='", "<!-", "<p class=ad>"])
+def test_time_grows_with_length(piece):
+    import time
+
+    times = []
+    for n in (20_000, 160_000):
+        page = "<article>body</article><q>" + piece * n + "</q>"
+        start = time.perf_counter()
+        assert H.structure(page)[0] is None or "body" in H.structure(page)[0]
+        times.append(time.perf_counter() - start)
+    assert times[1] < 30 * times[0] + 1
+
+
 def test_host_and_runs(spark):
     urls = {"http://A.example.com/x": "a.example.com", "https://u:p@b.example:8080?q": "b.example", "nonsense": "", None: ""}
     got = spark.createDataFrame([(u,) for u in urls], "url string").select("url", H.host("url").alias("h")).collect()

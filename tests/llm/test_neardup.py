@@ -54,6 +54,18 @@ def test_against_brute_force(spark, similarity):
     assert {r["component_id"] for r in got if r["chosen"] and r["n_shingles"]} == groups
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows (1, A), (1, B), (2, A'), (3, B'): all are one component; so are chains of such ids."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(900)]
+    base = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(6)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, base[0]), (1, base[1]), (2, near(base[0])), (3, near(base[1])), (7, base[2]), (9, base[2]), (9, base[3]), (12, near(base[3])), (20, base[4]), (21, base[5]), (20, None), (None, near(base[5]))]
+    got = neardup.near_duplicates(spark.createDataFrame([(i, t) for i, t in rows], "doc_id int, text string").repartition(3)).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 80)
+    assert sorted(r["id"] for r in got if r["chosen"] and r["n_shingles"]) == [1, 7, 20, 21]
+
+
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
