@@ -8,12 +8,11 @@ row leaves only rows on or below a cycle: they have no root, and ``cycles`` repo
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import numbered
+from .skew import numbered, with_neighbour
 
 
 def roots(runs: DataFrame, stop: Column | None = None) -> DataFrame:
@@ -154,44 +153,50 @@ def node_paths(runs: DataFrame) -> DataFrame:
     return runs.join(roots(runs), "id").withColumn("status", F.when(hidden, "filtered").otherwise(F.col("status")))
 
 
-def nested_traces(runs: DataFrame, fields: tuple[str, ...] = ("type", "name", "status")) -> DataFrame:
-    """(root_id, nodes, tree): one nested JSON per trace, children by creation time, then id.
+def preorder(runs: DataFrame) -> DataFrame:
+    """(id, root_id, depth, place, next_depth) of every run that has a root: its place from 0 in the walk over its trace,
+    children by creation time, then id, and the depth of the run after it (null for the last one).
 
-    A node is its id, the named fields (null ones as null) and its children. Every node's own text is written where it
-    lies; one pass over a trace's nodes in preorder then puts the brackets between them, so neither depth nor breadth
-    needs a round of its own. A trace is one value by its nature; ``node_paths`` has the same nodes as rows.
+    An Euler tour with list ranking: the run after a run is its first child, or else the next sibling of the nearest run
+    on the way up that has one. Of that list each run knows the next one; doubling the jumps gives the distance to the
+    end in log2(runs of a trace) rounds. No task holds a trace, and siblings are compared in ranges, so neither a hot trace nor a
+    hub of children is one task.
+    """
+    own = cut_lineage(runs.select("id", "parent_run_id", "created_at").join(roots(runs), "id"))
+    up = F.when(F.col("depth") > 0, F.col("parent_run_id"))
+    kids = own.withColumn("up", up).where("up IS NOT NULL")
+    first = kids.groupBy("up").agg(F.min(F.struct("created_at", "id"))["id"].alias("child")).select(F.col("up").alias("id"), "child")
+    beside = with_neighbour(kids.select("id", "up", "created_at"), ["up"], ["created_at", "id"], {"beside": F.col("id")}, following=True).select("id", "beside")
+    walked = own.select("id", up.alias("parent_run_id"), "root_id", "depth").join(beside, "id", "left").join(first, "id", "left")
+    walked = cut_lineage(walked)
+    onward = fold_up(walked, F.col("beside"), "onward").join(walked.select("id", "child"), "id").select("id", F.coalesce("child", "onward").alias("nxt"))
+    state = cut_lineage(onward.select("id", "nxt", F.when(F.col("nxt").isNotNull(), 1).otherwise(0).cast("long").alias("far")))
+    following = state.select("id", F.col("nxt").alias("after"))
+    ranked, going = state.where("nxt IS NULL").select("id", "far"), state.where("nxt IS NOT NULL")
+    while not going.isEmpty():
+        ahead = going.select("id", "nxt", "far").unionByName(ranked.select("id", F.lit(None).cast(going.schema["nxt"].dataType).alias("nxt"), "far"))
+        ahead = ahead.select(F.col("id").alias("_i"), F.col("nxt").alias("_n"), F.col("far").alias("_f"))
+        state = cut_lineage(going.join(ahead, F.col("nxt") == F.col("_i")).select("id", F.col("_n").alias("nxt"), (F.col("far") + F.col("_f")).alias("far")))
+        ranked, going = ranked.unionByName(state.where("nxt IS NULL").select("id", "far")), state.where("nxt IS NOT NULL")
+    placed = walked.select("id", "root_id", "depth").join(ranked, "id").join(following, "id")
+    tops = placed.where("depth = 0").select("root_id", F.col("far").alias("whole"))
+    depths = walked.select(F.col("id").alias("after"), F.col("depth").alias("next_depth"))
+    return placed.join(tops, "root_id").join(depths, "after", "left").select("id", "root_id", "depth", (F.col("whole") - F.col("far")).alias("place"), "next_depth")
+
+
+def trace_lines(runs: DataFrame, fields: tuple[str, ...] = ("type", "name", "status")) -> DataFrame:
+    """(root_id, place, depth, id, line): the nested JSON of every trace, a piece for each run.
+
+    A run is its id, the named fields (null ones as null) and its children. Its line opens it and closes all that ends
+    there, which the depth of the next line tells; so the lines of a trace, in the order of their places, are its JSON text,
+    whatever its size.
     """
-    kept = dict.fromkeys(["id", "parent_run_id", "root_id", "depth", "created_at", *fields])
-    nodes = cut_lineage(node_paths(runs).select(*kept))
     own = F.to_json(F.struct("id", *fields), {"ignoreNullFields": "false"})
-    named = nodes.select("root_id", "id", F.when(F.col("depth") > 0, F.col("parent_run_id")).alias("up"), F.date_format("created_at", "yyyyMMddHHmmssSSSSSS").alias("at"), own.alias("own"))
-
-    @F.pandas_udf("string")
-    def nest(listed: pd.Series) -> pd.Series:
-        return listed.map(_nest)
-
-    packed = named.groupBy("root_id").agg(F.count(F.lit(1)).alias("nodes"), F.collect_list(F.struct("id", "up", "at", "own")).alias("_all"))
-    return packed.select("root_id", "nodes", nest("_all").alias("tree"))
-
-
-def _nest(rows) -> str:
-    """The nested JSON of the nodes of one trace."""
-    below: dict = {}
-    for r in sorted(rows, key=lambda r: (r["at"] or "", str(r["id"]))):
-        below.setdefault(r["up"], []).append(r)
-    out: list[str] = []
-    stack = [(iter(below.get(None, ())), True)]
-    while stack:
-        kids, first = stack.pop()
-        r = next(kids, None)
-        if r is None:
-            if stack:
-                out.append("]}")
-            continue
-        stack.append((kids, False))
-        out.append(("" if first else ",") + r["own"][:-1] + ',"children":[')
-        stack.append((iter(below.get(r["id"], ())), True))
-    return "".join(out)
+    closed = F.when(F.col("next_depth").isNull(), F.col("depth") + 1).otherwise(F.col("depth") + 1 - F.col("next_depth")).cast("int")
+    after = F.when(F.col("next_depth").isNotNull() & (closed > 0), ",").otherwise("")
+    line = F.concat(F.expr("left(own, length(own) - 1)"), F.lit(',"children":['), F.repeat(F.lit("]}"), F.greatest(closed, F.lit(0))), after)
+    said = node_paths(runs).select("id", own.alias("own"))
+    return preorder(runs).join(said, "id").select("root_id", "place", F.col("depth").cast("long").alias("depth"), "id", line.alias("line"))
 
 
 def transcript(runs: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def d5(spark, d):
 
 @query(
     "d6_checklist",
-    """SELECT id, (contains(text, 'the') OR length(text) > 300) AS passed,
+    """SELECT id, (contains(text, 'the') OR length(CAST(to_json([{'role': 'assistant', 'content': text}]) AS VARCHAR)) > 300) AS passed,
      CAST(CASE WHEN contains(text, 'the') THEN 1 ELSE 2 END AS BIGINT) AS n_results FROM doc_run""",
 )
 def d6(spark, d):

@@ -387,13 +387,13 @@ def j10c(spark, d):
 
 # --- K
 def tree_sql(runs: str, node: str) -> str:
-    """CTEs up to ``trees`` (root_id, nodes, tree): nodes in preorder, each followed by the brackets that end there."""
+    """CTEs up to ``lines`` (root_id, place, depth, id, line): nodes in preorder, each followed by the brackets that end there."""
     step = "strftime(created_at, '%Y%m%d%H%M%S%f') || id"
     return f"""walk AS (SELECT *, id AS root_id, 0 AS lvl, [{step}] AS path FROM {runs} WHERE parent_run_id IS NULL
       UNION ALL SELECT r.*, w.root_id, w.lvl + 1, list_append(w.path, strftime(r.created_at, '%Y%m%d%H%M%S%f') || r.id) FROM walk w JOIN {runs} r ON r.parent_run_id = w.id),
-    onward AS (SELECT *, lead(lvl) OVER (PARTITION BY root_id ORDER BY path) AS nxt, CAST(to_json({{{node}}}) AS VARCHAR) AS own FROM walk),
-    trees AS (SELECT root_id, count(*) AS nodes, string_agg(left(own, length(own) - 1) || ',"children":[' ||
-       CASE WHEN nxt IS NULL THEN repeat(']}}', lvl + 1) WHEN nxt > lvl THEN '' ELSE repeat(']}}', lvl - nxt + 1) || ',' END, '' ORDER BY path) AS tree FROM onward GROUP BY 1)"""
+    onward AS (SELECT *, lead(lvl) OVER (PARTITION BY root_id ORDER BY path) AS nxt, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS place, CAST(to_json({{{node}}}) AS VARCHAR) AS own FROM walk),
+    lines AS (SELECT root_id, place, CAST(lvl AS BIGINT) AS depth, id, left(own, length(own) - 1) || ',"children":[' ||
+       CASE WHEN nxt IS NULL THEN repeat(']}}', lvl + 1) WHEN nxt > lvl THEN '' ELSE repeat(']}}', lvl - nxt + 1) || ',' END AS line FROM onward)"""
 
 
 UP = """up AS (SELECT id, id AS root_id, 0 AS depth FROM {t} WHERE parent_run_id IS NULL
@@ -426,13 +426,13 @@ ODD_NAME = "CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN NULL WHEN CAST(id AS BIGIN
 @query(
     "k3_nested_tree",
     f"""WITH RECURSIVE odd AS (SELECT * REPLACE ({ODD_NAME} AS name) FROM run), {tree_sql('odd', "'id': id, 'type': type, 'name': name, 'status': status")}
-     SELECT root_id, nodes, tree FROM trees""",
+     SELECT root_id, place, depth, id, line FROM lines""",
 )
 def k3(spark, d):
     """Some runs are unnamed, some names hold a line break and quotes."""
     number = F.col("id").cast("long")
     odd = F.when(number % 7 == 0, None).when(number % 11 == 0, F.concat("name", F.lit('\n"x"'))).otherwise(F.col("name"))
-    return trees.nested_traces(fx.runs(spark, d).withColumn("name", odd))
+    return trees.trace_lines(fx.runs(spark, d).withColumn("name", odd))
 
 
 @query("k4_subtree_attribution", f"WITH RECURSIVE {ATTRIBUTED.format(t='trade_node')} SELECT id, agent_name FROM sub")

@@ -282,7 +282,7 @@ def n10(spark, d):
     return infer.judge(fx.doc_runs(spark, d), "assertion", says_the).select("run_id", "result")
 
 
-@query("n11_backlog", "SELECT id FROM doc_run WHERE quality IS NULL AND length(text) > 100")
+@query("n11_backlog", "SELECT id FROM doc_run WHERE quality IS NULL AND length(CAST(to_json([{'role': 'user', 'content': text}]) AS VARCHAR)) > 100")
 def n11(spark, d):
     logic = ["AND", {"id": "length", "params": {"field": "input", "operator": "gt", "length": 100}}]
     return infer.backlog(fx.doc_runs(spark, d), fx.doc_results(spark, d), "ev-sentiment", "sentiment", logic).select("id")

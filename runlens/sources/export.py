@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.messages import valid_messages
 from ..operators.datasets import results_matrix
-from ..operators.trees import nested_traces
+from ..operators.trees import trace_lines
 
 # fixed values: columns a thread export leaves out
 THREAD_DROPS = ("input", "feedback", "params", "sibling_run_id", "parent_feedback", "trace_id")
@@ -21,12 +21,12 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def run_lines(runs: DataFrame, kind: str = "llm", messages: DataFrame | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
-    """One JSON text per run, or per trace: the root with the named fields (all by default) and its children nested
-    the same way. A thread gets its messages."""
+    """One JSON text per run. A thread gets its messages. Of a trace, one line for each of its runs with the named fields (all
+    by default): the lines of a trace joined are one JSON text with the children nested, and its first line begins at depth 0."""
     d = runs
     if kind == "trace":
         chosen = fields or tuple(c for c in runs.columns if c not in ("id", "parent_run_id"))
-        return nested_traces(runs, chosen).select(F.col("tree").alias("value"))
+        return trace_lines(runs, chosen).repartitionByRange("root_id", "place").sortWithinPartitions("root_id", "place").select(F.col("line").alias("value"))
     if kind == "thread":
         d = d.drop(*THREAD_DROPS)
         if messages is not None:

@@ -116,22 +116,44 @@ def test_descendants_of_chosen_runs(spark):
     assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("b", "b", 0), ("b", "c", 1), ("p", "p", 0), ("p", "q", 1)}
 
 
-def test_nested_traces_keep_unnamed_runs_and_escape(spark):
+def test_trace_lines_keep_unnamed_runs_and_escape(spark):
     runs = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a"), ("z", None)], "id string, parent_run_id string")
     runs = runs.selectExpr("*", "'llm' as type", "'n\"q' as name", "'success' as status", "timestamp_seconds(1) as created_at", "cast(null as string) as input", "cast(null as string) as output")
-    import json
-
-    full = {r.root_id: json.loads(r.tree) for r in trees.nested_traces(runs).collect()}
+    full = traces(trees.trace_lines(runs))
     assert [c["id"] for c in full["a"]["children"]] == ["b", "c"] and full["z"]["name"] == 'n"q'
     assert trees.node_paths(runs).count() == 4
     odd = runs.union(spark.createDataFrame([("d", "c")], "id string, parent_run_id string").selectExpr("*", "'llm'", "'line\\nbreak'", "'success'", "timestamp_seconds(1)", "'__NOT_INGESTED__'", "null"))
     odd = odd.withColumn("name", F.when(F.col("id") != "c", F.col("name")))
-    whole = {r.root_id: (r.nodes, json.loads(r.tree)) for r in trees.nested_traces(odd).collect()}
-    c = whole["a"][1]["children"][1]
-    assert whole["a"][0] == 4 and c["name"] is None and c["children"][0]["name"] == "line\nbreak" and c["children"][0]["status"] == "filtered"
-    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(1500)], "id string, parent_run_id string")
-    chain = chain.selectExpr("*", "'llm' as type", "'n' as name", "'s' as status", "timestamp_seconds(1) as created_at", "'' as input", "'' as output")
-    assert [r.tree.count('"id"') for r in trees.nested_traces(chain).collect()] == [1500]
+    c = traces(trees.trace_lines(odd))["a"]["children"][1]
+    assert c["name"] is None and c["children"][0]["name"] == "line\nbreak" and c["children"][0]["status"] == "filtered"
+
+
+def traces(lines):
+    import json
+    from itertools import groupby
+
+    rows = sorted(lines.collect(), key=lambda r: (r.root_id, r.place))
+    assert [r.place for _, g in groupby(rows, lambda r: r.root_id) for r in g] == [i for _, g in groupby(rows, lambda r: r.root_id) for i, _ in enumerate(g)]
+    return {root: json.loads("".join(r.line for r in g)) for root, g in groupby(rows, lambda r: r.root_id)}
+
+
+def test_a_trace_of_a_third_of_all_runs(spark, monkeypatch):
+    """One trace of 500 runs among 1 000 others: a chain with a hub below it, cut into ranges of 50; and a missing parent."""
+    monkeypatch.setattr(skew, "RANGE_ROWS", 50)
+    rng = random.Random(4)
+    data = [("t0", None, 0)] + [(f"t{i}", f"t{i - 1}" if i < 200 else "t150" if i < 400 else f"t{rng.randrange(i)}", rng.randrange(5)) for i in range(1, 500)]
+    data += [(f"o{i}", None if i % 4 == 0 else f"o{i - i % 4}" if i % 3 else "gone", i % 7) for i in range(1000)]
+    runs = spark.createDataFrame(data, "id string, parent_run_id string, at int").repartition(5)
+    runs = runs.selectExpr("id", "parent_run_id", "'llm' as type", "'n' as name", "'s' as status", "timestamp_seconds(at) as created_at", "'' as input", "'' as output")
+    known, kids = {r[0] for r in data}, {}
+    for r in data:
+        kids.setdefault(r[1] if r[1] in known else None, []).append(r)
+
+    def nest(r):
+        return {"id": r[0], "type": "llm", "name": "n", "status": "s", "children": [nest(k) for k in sorted(kids.get(r[0], []), key=lambda k: (k[2], k[0]))]}
+
+    assert traces(trees.trace_lines(runs)) == {r[0]: nest(r) for r in kids[None]}
+    assert trees.trace_lines(runs.where("false")).count() == 0
 
 
 class _Cluster:
