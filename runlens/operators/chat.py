@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import ordered_lists, running_sum, with_neighbour
+from .skew import beside_parts, ordered_parts, running_sum, with_neighbour
 
 OUTPUT_ROLES = ("assistant", "tool", "bot")
 INPUT_ROLES = ("user", "system")
@@ -111,14 +111,15 @@ def chat_messages(tagged: DataFrame) -> DataFrame:
 
 
 def chat_runs(messages: DataFrame) -> DataFrame:
-    """Exchanges with input and output arrays; ``chat_messages`` has the same messages as rows."""
+    """Exchanges with their input and output messages in parts: an exchange with more messages on a side than a part
+    holds has a row per part. ``chat_messages`` has the same messages as rows."""
     tagged = cut_lineage(exchange_messages(messages))
     long = chat_messages(tagged).withColumnRenamed("thread_id", "parent_run_id")
-    item, order = F.struct("role", "content"), F.struct("timestamp", "id")
+    item, order = F.struct("role", "content"), ["timestamp", "id"]
     keys = ["parent_run_id", "exchange"]
-    ins = ordered_lists(long.where("side = 'input'"), keys, item, order, "input")
-    outs = ordered_lists(long.where("side = 'output'"), keys, item, order, "output")
-    return exchanges(tagged).join(ins, keys, "left").join(outs, keys, "left").drop("input_group", "own_inputs")
+    ins = ordered_parts(long.where("side = 'input'"), keys, item, order, "input")
+    outs = ordered_parts(long.where("side = 'output'"), keys, item, order, "output")
+    return beside_parts(exchanges(tagged), keys, ins, outs).drop("input_group", "own_inputs")
 
 
 def thread_runs(messages: DataFrame) -> DataFrame:

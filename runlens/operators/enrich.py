@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from .buckets import in_range
-from .skew import ordered_lists
+from .skew import beside_parts, ordered_parts
 from .trees import ancestors_first
 
 
@@ -29,18 +29,26 @@ def with_parent_chat(runs: DataFrame, every_run: DataFrame | None = None) -> Dat
     return runs.join(chats, "parent_run_id", "left")
 
 
-def with_results(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """results: array of (type, evaluator_id, result) per run, ordered by type, one item per evaluator."""
+def result_parts(results: DataFrame, items: int | None = None) -> DataFrame:
+    """(id, part, results_size, results): (type, evaluator_id, result) in that order, in parts of a bounded length."""
     long = results.withColumnRenamed("run_id", "id")
-    lists = ordered_lists(long, ["id"], F.struct("type", "evaluator_id", "result"), F.struct("type", "evaluator_id"), "results")
-    return runs.join(lists, "id", "left")
+    return ordered_parts(long, ["id"], F.struct("type", "evaluator_id", "result"), ["type", "evaluator_id"], "results", items)
 
 
-def with_scores(runs: DataFrame, scores: DataFrame) -> DataFrame:
-    """scores: array of (label, value, comment) per run; (run, label) is unique."""
+def score_parts(scores: DataFrame, items: int | None = None) -> DataFrame:
+    """(id, part, scores_size, scores): (label, value, comment) by label, in parts; (run, label) is unique."""
     long = scores.withColumnRenamed("run_id", "id")
-    lists = ordered_lists(long, ["id"], F.struct("label", "value", "comment"), F.col("label"), "scores")
-    return runs.join(lists, "id", "left")
+    return ordered_parts(long, ["id"], F.struct("label", "value", "comment"), ["label"], "scores", items)
+
+
+def with_results(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Runs with their results; a run with more than a part's items has a row per part."""
+    return beside_parts(runs, ["id"], result_parts(results))
+
+
+def with_scores(runs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Runs with their scores; as ``with_results``."""
+    return beside_parts(runs, ["id"], score_parts(scores))
 
 
 def parent_feedback(runs: DataFrame) -> DataFrame:
@@ -60,11 +68,15 @@ def child_feedbacks(runs: DataFrame) -> DataFrame:
     )
 
 
-def with_child_feedbacks(runs: DataFrame) -> DataFrame:
-    """Array form of ``child_feedbacks``."""
+def child_feedback_parts(runs: DataFrame, items: int | None = None) -> DataFrame:
+    """(id, part, child_feedbacks_size, child_feedbacks): feedbacks of a run's chat children in time order, in parts."""
     long = child_feedbacks(runs).withColumnRenamed("parent_id", "id")
-    lists = ordered_lists(long, ["id"], F.col("feedback"), F.struct("created_at", "child_id"), "child_feedbacks")
-    return runs.join(lists, "id", "left")
+    return ordered_parts(long, ["id"], F.col("feedback"), ["created_at", "child_id"], "child_feedbacks", items)
+
+
+def with_child_feedbacks(runs: DataFrame, items: int | None = None) -> DataFrame:
+    """Runs with ``child_feedback_parts``; a run with more than a part's items has a row per part."""
+    return beside_parts(runs, ["id"], child_feedback_parts(runs, items))
 
 
 def message_stats(messages: DataFrame) -> DataFrame:
@@ -87,7 +99,8 @@ def enriched(
 ) -> DataFrame:
     """The enriched run view: live runs of a project in [start, end) plus only the pieces named.
 
-    ``include`` may hold users, templates, parent_chat, results, scores, parent_feedback, child_feedbacks.
+    ``include`` may hold users, templates, parent_chat, results, scores, parent_feedback, child_feedbacks. Lists come in
+    parts: a run whose lists need several has a row for each, numbered by ``part``.
     """
     r = runs.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
     if project is not None:
@@ -100,16 +113,11 @@ def enriched(
         out = with_templates(out, versions)
     if "parent_chat" in include:
         out = with_parent_chat(out, r)
-    if "results" in include:
-        out = with_results(out, results)
-    if "scores" in include:
-        out = with_scores(out, scores)
     if "parent_feedback" in include:
         out = out.join(parent_feedback(r), "id", "left")
-    if "child_feedbacks" in include:
-        long = child_feedbacks(r).withColumnRenamed("parent_id", "id")
-        out = out.join(ordered_lists(long, ["id"], F.col("feedback"), F.struct("created_at", "child_id"), "child_feedbacks"), "id", "left")
-    return out
+    lists = {"results": lambda: result_parts(results), "scores": lambda: score_parts(scores), "child_feedbacks": lambda: child_feedback_parts(r)}
+    wanted = [make() for name, make in lists.items() if name in include]
+    return beside_parts(out, ["id"], *wanted) if wanted else out
 
 
 def keep_matching(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,5 +155,5 @@ def evaluation_grid(prompts: DataFrame, variations: DataFrame, providers: DataFr
 
 
 def run_detail(runs: DataFrame, results: DataFrame, scores: DataFrame) -> DataFrame:
-    """Results and scores per run, each aggregated before the join, so there is no fan-out."""
-    return with_scores(with_results(runs, results), scores)
+    """Results and scores per run, each put in parts before the join, so there is no fan-out."""
+    return beside_parts(runs, ["id"], result_parts(results), score_parts(scores))

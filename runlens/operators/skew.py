@@ -18,6 +18,8 @@ from ..session import cut_lineage
 
 #: Rows of a key that one task takes in an ordered scan; a larger key is cut into ranges of about that many.
 RANGE_ROWS = 250_000
+#: Items of a list that one row carries.
+PART_ITEMS = 1_000
 
 
 def value_chunk(value: Column, per_octave: int = 256) -> Column:
@@ -131,11 +133,28 @@ def with_neighbour(
     return with_neighbours(df, keys, order, None if following else cols, cols if following else None, chunk, keep)
 
 
-def ordered_lists(df: DataFrame, keys: Sequence[str], value: Column, order: Column, name: str) -> DataFrame:
-    """One ordered array per key and its ``<name>_size``, in one pass.
+def ordered_parts(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str], name: str, items: int | None = None, chunk: int | None = None) -> DataFrame:
+    """Rows (keys, part, <name>_size, <name>): the ordered values of a key in parts 0, 1, … of ``items`` each.
+
+    No row holds more, however many values a key has, and a large key is numbered in ranges; parts in order, one after
+    the other, are the whole list. ``<name>_size`` is the number of items in the part.
+    """
+    placed = numbered(df, keys, order, "_n", chunk).withColumn("part", F.floor((F.col("_n") - 1) / (items or PART_ITEMS)).cast("long"))
+    packed = placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("_n", value.alias("v")))).alias("_items"))
+    return packed.select(*keys, "part", F.size("_items").cast("long").alias(f"{name}_size"), F.transform("_items", lambda x: x["v"]).alias(name))
+
 
-    The array is what is asked for, so it holds every item whatever its length; where a key may have more items
-    than a row should carry, read the long table ``df`` itself.
+def beside_parts(df: DataFrame, keys: Sequence[str], *parts: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``ordered_parts`` tables, matched by part: a row per part, at least one (part 0)."""
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.join(more, [*keys, "part"], "full")
+    return df.join(both, list(keys), "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+
+
+def ordered_lists(df: DataFrame, keys: Sequence[str], value: Column, order: Column, name: str) -> DataFrame:
+    """One ordered array per key and its ``<name>_size``, in one pass: for what is one JSON value by its format (an
+    object of feedback keys, the tool calls of one event). Lists that may be long are ``ordered_parts``.
     """
     items = df.withColumn("_item", F.struct(order.alias("o"), value.alias("v"))).groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
     return items.select(*keys, F.size("_items").cast("long").alias(f"{name}_size"), F.transform("_items", lambda x: x["v"]).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import json as J
-from .skew import ordered_lists
+from .skew import ordered_parts
 from .trees import attributed_to_agents
 
 
@@ -128,6 +128,6 @@ def item_counts(parents: DataFrame, items: DataFrame, key: str) -> DataFrame:
 
 
 def templates_with_versions(versions: DataFrame) -> DataFrame:
-    """Array of versions per template, oldest first, and their number."""
+    """Versions per template, oldest first, in parts (``skew.ordered_parts``)."""
     item = F.struct("id", "is_draft", "published_at")
-    return ordered_lists(versions.where("id is not null"), ["template_id"], item, F.col("id"), "versions")
+    return ordered_parts(versions.where("id is not null"), ["template_id"], item, ["id"], "versions")

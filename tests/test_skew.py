@@ -95,6 +95,21 @@ def test_ordered_lists_keep_order_and_every_item(spark):
     assert got == {"a": (["x", "y"], 2), "b": ([str(i) for i in range(12_000)], 12_000)}
 
 
+def test_parts_hold_every_item_in_order(spark):
+    """A key with most rows, at one instant: no part holds more than its items, and parts in order are the list."""
+    data = [("hot", 1, i, f"v{i}") for i in range(5_000)] + [(f"k{i % 40}", i % 3, i, f"v{i}") for i in range(200)] + [(None, 1, 7, "n")]
+    d = spark.createDataFrame(data, "k string, t int, id int, v string").repartition(6)
+    rows = skew.ordered_parts(d, ["k"], F.col("v"), ["t", "id"], "l", items=300, chunk=800).collect()
+    assert max(len(r.l) for r in rows) == 300 and all(r.l_size == len(r.l) for r in rows)
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: (str(r.k), r.part)):
+        got.setdefault(r.k, []).extend(r.l)
+    assert got == {k: [v for *_, v in sorted((x for x in data if x[0] == k), key=lambda x: x[1:3])] for k in {x[0] for x in data}}
+    base = spark.createDataFrame([("hot",), ("k1",), ("none",)], "k string")
+    joined = skew.beside_parts(base, ["k"], skew.ordered_parts(d, ["k"], F.col("v"), ["t", "id"], "l", items=2_500), skew.ordered_parts(d.where("id < 3"), ["k"], F.col("id"), ["id"], "m")).collect()
+    assert sorted((r.k, r.part, r.l_size, r.m_size) for r in joined) == [("hot", 0, 2500, 3), ("hot", 1, 2500, None), ("k1", 0, 5, 1), ("none", 0, None, None)]
+
+
 def test_trees_survive_depth_missing_parents_and_cycles(spark):
     chain = [(str(i), str(i - 1) if i else None) for i in range(140)]
     odd = [("orphan", "gone"), ("c1", "c2"), ("c2", "c1")]
