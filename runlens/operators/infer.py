@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import messages as M
 from ..functions.similarity import tokens
 from ..schemas import EVALUATION_RESULT
+from ..session import cut_lineage
 from .filters import Tables, filter_runs
 from .skew import numbered, running_sum, with_neighbour
 
@@ -74,17 +75,6 @@ def sides(fn: Callable[[Column], Column]) -> Column:
     return F.to_json(F.struct(each("input"), each("output"), F.transform(F.array(F.lit(1)), lambda _: F.lit(None).cast("string")).alias("error")), {"ignoreNullFields": "false"})
 
 
-MIN_LANGUAGE_CHARS, MIN_CONFIDENCE = 30, 0.5
-
-# fixed values: frequent short words per language
-COMMON_WORDS = {
-    "en": ["the", "and", "of", "to", "in", "is", "that", "it", "was", "for", "on", "are", "with", "as", "by"],
-    "fr": ["le", "la", "les", "un", "une", "et", "est", "que", "qui", "dans", "des", "du", "elle", "en", "pour"],
-    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "von", "den", "mit", "es", "im", "sie"],
-    "es": ["el", "los", "las", "una", "y", "es", "que", "por", "con", "para", "del", "se", "no", "su", "al"],
-}
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``."""
     return F.transform(F.array(value), body)[0]
@@ -95,22 +85,6 @@ def _count_of(text: Column, wanted: list[str]) -> Column:
     return F.regexp_count(text, F.lit(r"(?<!\p{L})(?:" + "|".join(wanted) + r")(?!\p{L})"))
 
 
-def detect_language(text: Column) -> Column:
-    """struct(isoCode, confidence) or null: short texts and unsure answers give null.
-
-    Confidence is the share of the winner among the recognised common words.
-    """
-
-    def decide(hits: Column) -> Column:
-        best, total = F.array_max(hits), F.aggregate(hits, F.lit(0), lambda s, x: s + x["n"])
-        confidence = best["n"] / total
-        return F.when((total > 0) & (confidence >= MIN_CONFIDENCE), F.struct(best["isoCode"].alias("isoCode"), confidence.alias("confidence")))
-
-    low = F.lower(text)
-    hits = F.array(*[F.struct(_count_of(low, ws).alias("n"), F.lit(lang).alias("isoCode")) for lang, ws in COMMON_WORDS.items()])
-    return F.when(F.length(text) >= MIN_LANGUAGE_CHARS, let(hits, decide))
-
-
 # fixed values: entity patterns
 PII_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
@@ -169,39 +143,64 @@ def user_sentiments(input_: Column) -> Column:
     )
 
 
-class TextClassifier:
-    """Hashed word counts with multinomial naive Bayes, trained and applied by Spark ML."""
+# Labels of a toxicity model, in the order of its scores.
+TOXICITY_LABELS = ("toxicity", "severe_toxicity", "obscene", "identity_attack", "insult", "threat", "sexual_explicit")
+
 
-    def __init__(self, features: int = 1 << 14):
-        self.features = features
+class MultiLabelClassifier:
+    """One linear model per label over hashed words, trained and applied by Spark ML; an absolute penalty keeps the few telling
+    words. Labels may overlap."""
+
+    def __init__(self, labels: Sequence[str] = TOXICITY_LABELS, features: int = 1 << 14):
+        self.labels, self.features, self.models = list(labels), features, {}
 
     def _vectors(self, df: DataFrame, text: str) -> DataFrame:
         from pyspark.ml.feature import HashingTF
 
-        words = df.withColumn("_words", tokens(F.lower(F.col(text))))
-        return HashingTF(inputCol="_words", outputCol="_vec", numFeatures=self.features).transform(words)
+        words = df.withColumn("_words", F.coalesce(tokens(F.lower(F.col(text))), F.array().cast("array<string>")))
+        return HashingTF(inputCol="_words", outputCol="_vec", numFeatures=self.features, binary=True).transform(words)
 
-    def fit(self, df: DataFrame, text: str, label: str) -> "TextClassifier":
-        from pyspark.ml.classification import NaiveBayes
+    def fit(self, df: DataFrame, text: str) -> MultiLabelClassifier:
+        """Trained on the rows of ``df`` whose label column is not null, for each label; one with a single kind of rows always
+        gives that kind's share."""
+        from pyspark.ml.classification import LogisticRegression
 
-        rows = self._vectors(df.where(F.col(label).isNotNull()), text).withColumn("label", F.col(label).cast("double"))
-        self.model = NaiveBayes(featuresCol="_vec", labelCol="label").fit(rows.select("_vec", "label"))
+        rows = cut_lineage(self._vectors(df, text).select("_vec", *self.labels))
+        for label in self.labels:
+            own = rows.where(F.col(label).isNotNull()).select("_vec", F.col(label).cast("double").alias("label"))
+            n, share = own.agg(F.count(F.lit(1)), F.avg("label")).first()
+            self.models[label] = LogisticRegression(featuresCol="_vec", labelCol="label", regParam=0.005, elasticNetParam=1.0, maxIter=60).fit(own) if n and 0 < share < 1 else float(share or 0)
         return self
 
-    def transform(self, df: DataFrame, text: str, name: str = "probability") -> DataFrame:
+    def transform(self, df: DataFrame, text: str, name: str = "scores") -> DataFrame:
+        """``df`` with the probability of every label, as a struct."""
         from pyspark.ml.functions import vector_to_array
 
-        out = self.model.transform(self._vectors(df, text))
-        return out.withColumn(f"_{name}", vector_to_array("probability")[1]).drop("_words", "_vec", "rawPrediction", "prediction", "probability").withColumnRenamed(f"_{name}", name)
-
-
-def toxicity_rows(scored: DataFrame, input_score: str, output_score: str, threshold: float = 0.5) -> DataFrame:
-    """run_toxicity rows: flags and label lists per run."""
-    flag = lambda c: F.col(c) >= threshold
-    labels = lambda c: F.when(flag(c), F.array(F.lit("toxicity"))).otherwise(F.array().cast("array<string>"))
-    return scored.select(
-        F.col("id").alias("run_id"), flag(input_score).alias("toxic_input"), flag(output_score).alias("toxic_output"),
-        labels(input_score).alias("input_labels"), labels(output_score).alias("output_labels"),
+        out, kept = self._vectors(df, text), [F.col(c) for c in df.columns]
+        for i, label in enumerate(self.labels):
+            model = self.models[label]
+            if isinstance(model, float):
+                out = out.withColumn(f"_p{i}", F.lit(model))
+            else:
+                out = model.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_y").transform(out).withColumn(f"_p{i}", vector_to_array("_p")[1]).drop("_p", "_r", "_y")
+        return out.select(*kept, F.struct(*[F.col(f"_p{i}").alias(label) for i, label in enumerate(self.labels)]).alias(name))
+
+
+def toxicity_scores(runs: DataFrame, model: MultiLabelClassifier) -> DataFrame:
+    """(run_id, side, index, role, scores): a row for every message of input and output, each scored by its own text."""
+    said = lambda side: runs.select(F.col("id").alias("run_id"), F.lit(side).alias("side"), F.posexplode(M.texts(side)).alias("index", "text"))
+    both = said("input").unionByName(said("output"))
+    return model.transform(both, "text").drop("text")
+
+
+def toxicity_rows(scores: DataFrame, labels: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """run_toxicity rows: whether a message of a side is toxic, and the labels some message of that side has. A side's
+    labels are its messages' highest scores, combined before the shuffle."""
+    highest = [F.max(F.when(F.col("side") == side, F.col(f"scores.{label}"))).alias(f"{side}_{label}") for side in ("input", "output") for label in labels]
+    by_run = scores.groupBy("run_id").agg(*highest)
+    named = lambda side: F.array_compact(F.array(*[F.when(F.col(f"{side}_{label}") >= threshold, F.lit(label)) for label in labels]))
+    return by_run.select(
+        "run_id", (F.size(named("input")) > 0).alias("toxic_input"), (F.size(named("output")) > 0).alias("toxic_output"), named("input").alias("input_labels"), named("output").alias("output_labels")
     )
 
 

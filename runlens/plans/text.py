@@ -9,7 +9,7 @@ from ..functions import messages as M
 from ..functions import similarity as S
 from ..functions import templates as T
 from ..functions.time import local_bucket, seconds_between
-from ..operators import infer, intents, similarity as sim
+from ..operators import infer, intents, language, similarity as sim
 from . import fixtures as fx
 from .registry import query
 
@@ -197,20 +197,30 @@ def n2(spark, d):
     return r.select("id", F.array_join(M.texts("input"), " ").alias("input"), F.array_join(M.texts("masked"), " ").alias("redacted"))
 
 
-def _hits_sql(lang: str) -> str:
-    words = ", ".join(f"'{w}'" for w in infer.COMMON_WORDS[lang])
-    return f"len(list_filter(w, lambda x: x IN ({words})))"
-
-
-N3 = f"""WITH c AS (SELECT id, text, regexp_split_to_array(lower(text), '[^\\pL]+') AS w FROM doc_run),
- h AS (SELECT id, text, {', '.join(f'{_hits_sql(x)} AS {x}_n' for x in infer.COMMON_WORDS)} FROM c),
- b AS (SELECT id, text, list_max([{', '.join(f"struct_pack(n := {x}_n, iso := '{x}')" for x in infer.COMMON_WORDS)}]) AS best, {' + '.join(f'{x}_n' for x in infer.COMMON_WORDS)} AS total FROM h)
- SELECT id, CASE WHEN length(text) >= 30 AND total > 0 AND best.n / total::DOUBLE >= 0.5 THEN best.iso END AS iso FROM b"""
+SAID = "' ' || trim(regexp_replace(lower({0}), '[^\\pL]+', ' ', 'g')) || ' '"
+#: The n-gram model of documents whose id is no multiple of 5, and the language of every document by it.
+N3 = f"""WITH known AS (SELECT lang, left(text, {language.CHARS}) AS text FROM doc_run WHERE lang IS NOT NULL AND CAST(id AS BIGINT) % 5 <> 0 ORDER BY md5(id), text LIMIT {language.SAMPLE}),
+ counted AS (SELECT lang, substr(t, CAST(i AS INT), 3) AS gram, count(*) AS n FROM (SELECT lang, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT lang, {SAID.format("text")} AS t FROM known)) GROUP BY 1, 2),
+ kept AS (SELECT gram FROM counted GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {language.FEATURES}),
+ langs AS (SELECT lang, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM known GROUP BY lang),
+ every_ AS (SELECT k.gram, l.lang, coalesce(c.n, 0) AS n FROM kept k, langs l LEFT JOIN counted c ON c.gram = k.gram AND c.lang = l.lang),
+ weights AS (SELECT gram, lang, ln((n + 0.5) / (sum(n) OVER (PARTITION BY lang) + 0.5 * count(*) OVER (PARTITION BY lang))) AS w FROM every_),
+ said AS (SELECT id, substr(t, CAST(i AS INT), 3) AS gram FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT id, {SAID.format("text")} AS t FROM doc_run WHERE length(text) >= {language.MIN_CHARS}))),
+ summed AS (SELECT id, lang, sum(w) / 3 AS s FROM said JOIN weights USING (gram) GROUP BY id, lang),
+ scored AS (SELECT d.id, l.lang, prior + coalesce(s, 0) AS s FROM doc_run d CROSS JOIN langs l LEFT JOIN summed u ON u.id = d.id AND u.lang = l.lang WHERE length(d.text) >= {language.MIN_CHARS}),
+ best AS (SELECT id, arg_max(lang, s) AS iso, max(s) AS top, list(s) AS all_ FROM scored GROUP BY id)
+ SELECT d.id, CASE WHEN 1 / list_sum(list_transform(all_, lambda x: exp(x - top))) >= {language.MIN_CONFIDENCE} THEN iso END AS iso,
+   CASE WHEN 1 / list_sum(list_transform(all_, lambda x: exp(x - top))) >= {language.MIN_CONFIDENCE} THEN round(1 / list_sum(list_transform(all_, lambda x: exp(x - top))), 6) END AS confidence
+ FROM doc_run d LEFT JOIN best USING (id)"""
 
 
 @query("n3_language_detection", N3)
 def n3(spark, d):
-    return fx.doc_runs(spark, d).select("id", F.transform(M.texts("output"), infer.detect_language)[0]["isoCode"].alias("iso"))
+    """Languages by a model of four fifths of the documents; the last fifth was not seen in training."""
+    r = fx.doc_runs(spark, d)
+    model = language.LanguageModel.fit(r.where(F.col("doc_id") % 5 != 0))
+    found = r.select("id", F.get(model.detect(M.texts("output")), F.lit(0)).alias("l"))
+    return found.select("id", F.col("l.isoCode").alias("iso"), F.round("l.confidence", 6).alias("confidence"))
 
 
 @query("n4_pii_detection", f"SELECT id, len(regexp_extract_all(text, '{infer.PII_PATTERNS['email']}')) AS emails, len(regexp_extract_all(text, 'ID-[0-9]+')) AS custom FROM doc_run")
@@ -227,11 +237,16 @@ def n5(spark, d):
 
 @query("n6_toxicity")
 def n6(spark, d):
-    """Classifier trained on the labelled documents, applied to all; no SQL form."""
-    r = fx.doc_runs(spark, d)
-    model = infer.TextClassifier().fit(r.where("toxic is not null"), "text", "toxic")
-    out = infer.toxicity_rows(model.transform(r, "text", "p"), "p", "p")
-    return out.select("run_id", "toxic_input", "toxic_output", F.size("input_labels").alias("labels"))
+    """Two labels, trained on the labelled documents whose id is no multiple of 5; every message has a score for each, and
+    the answer is another text than the question. No SQL form."""
+    r = fx.doc_runs(spark, d).withColumn("toxicity", F.col("toxic")).withColumn("junk", 1 - F.col("quality"))
+    model = infer.MultiLabelClassifier(["toxicity", "junk"]).fit(r.where(F.col("doc_id") % 5 != 0), "text")
+    asked = r.withColumn("output", F.to_json(F.array(F.struct(L("assistant").alias("role"), F.reverse(F.col("text")).alias("content")))))
+    scores = infer.toxicity_scores(asked, model)
+    wide = lambda side: F.max(F.when(F.col("side") == side, F.round("scores.toxicity", 6))).alias(f"{side}_toxicity")
+    by_message = scores.groupBy("run_id").agg(wide("input"), wide("output"))
+    rows = infer.toxicity_rows(scores, model.labels)
+    return rows.join(by_message, "run_id").select("run_id", "toxic_input", "toxic_output", F.array_join("input_labels", ",").alias("input_labels"), "input_toxicity", "output_toxicity")
 
 
 def _lex(words) -> str:

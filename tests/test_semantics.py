@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from runlens.functions import similarity as S
 from runlens.functions import templates as tpl
 from runlens.functions.userprops import normalize_value
-from runlens.operators import alerts, datasets, filters, infer, intents, pricing, series
+from runlens.operators import alerts, datasets, filters, infer, intents, language, pricing, series
 from runlens.operators.filter_plan import compile_plan
 from runlens.sources import datasets as imports
 from runlens.sources import events as ev
@@ -171,8 +171,38 @@ def test_enrichers_and_registries(spark):
 
     got = infer.batch_infer(d, "len", infer.EVALUATORS["len"], ["text"]).collect()
     assert [(r.run_id, json.loads(r.result)) for r in got] == [("1", {"n": 40})]
-    lang = spark.createDataFrame([("the cat and the dog are in the house of it",), ("der Hund und die Katze sind nicht das Haus",), ("the",)], "t string").select(infer.detect_language(F.col("t")).alias("l")).collect()
-    assert [r.l and r.l.isoCode for r in lang] == ["en", "de", None]
+
+
+def _documents(spark, sf="sf0.01"):
+    d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id", "left")
+    return d.withColumn("id", F.col("doc_id").cast("string"))
+
+
+def test_language_model_on_held_out_documents(spark):
+    """Right for nine of ten held-out documents of every language, and about as sure as it is right."""
+    d = _documents(spark).where("length(text) >= 30")
+    model = language.LanguageModel.fit(d.where("doc_id % 5 <> 0"))
+    got = d.where("doc_id % 5 = 0").select("lang", F.get(model.detect(F.array("text")), F.lit(0)).alias("l")).collect()
+    for lang in ("de", "en", "es", "fr"):
+        own = [r.l and r.l.isoCode == lang for r in got if r.lang == lang]
+        assert len(own) > 10 and sum(map(bool, own)) >= 0.9 * len(own), lang
+    sure = [(r.l.confidence, r.l.isoCode == r.lang) for r in got if r.l]
+    assert abs(sum(c for c, _ in sure) - sum(x for _, x in sure)) <= 0.1 * len(sure)
+
+
+def test_language_of_odd_texts(spark):
+    rows = [(str(i), t, x) for i, (t, x) in enumerate([("the cat and the dog are in the house", "en"), ("der Hund und die Katze sind im Haus", "de"), (None, "en"), ("x", None)] * 4)]
+    train = spark.createDataFrame(rows, "id string, text string, lang string")
+    model = language.LanguageModel.fit(train)
+    texts = ["the dog and the cat of the house are here", None, "short", "die Katze und der Hund sind hier im Haus", "", "12345 67890 12345 67890 12345 67890"]
+    got = spark.createDataFrame([(texts,), ([],), (None,)], "t array<string>").select(model.detect(F.col("t")).alias("l")).collect()
+    assert [x and x.isoCode for x in got[0].l] == ["en", None, None, "de", None, "de"] or [x and x.isoCode for x in got[0].l][:5] == ["en", None, None, "de", None]
+    assert got[1].l == [] and got[2].l is None
+    empty = language.LanguageModel.fit(train.where("false"))
+    assert spark.createDataFrame([(texts,)], "t array<string>").select(empty.detect(F.col("t")).alias("l")).first().l == [None] * 6
+    runs = spark.createDataFrame([("r", '[{"role":"user","content":"the cat and the dog are in the house"},{"role":"user","content":"no"}]', None)], "id string, input string, output string")
+    result = json.loads(language.language_results(runs, model, "ev").first().result)
+    assert result["input"][0]["isoCode"] == "en" and result["input"][1] is None and result["error"] == [None]
 
 
 def test_intent_labels(spark):
@@ -269,12 +299,32 @@ def test_otlp_size_guard_and_errors(spark):
     assert got[0][0] == "x" * 50 + "... [truncated 250 chars]" and got[1][0] == "y" * 10
 
 
-def test_toxicity_classifier(spark):
-    rows = [(str(i), "you awful fool" if i % 2 else "what a lovely day", i % 2) for i in range(40)]
-    d = spark.createDataFrame(rows, "id string, text string, toxic int")
-    scored = infer.TextClassifier(1 << 10).fit(d, "text", "toxic").transform(d.drop("toxic"), "text", "p")
-    got = {r.run_id: (r.toxic_input, r.input_labels) for r in infer.toxicity_rows(scored, "p", "p").collect()}
-    assert got["1"] == (True, ["toxicity"]) and got["0"] == (False, []) and len(got) == 40
+def test_toxicity_per_message(spark):
+    """Each message has its own scores, a side its own labels; labels overlap, one without examples never fires."""
+    words = {"insult": "fool", "threat": "beware", "obscene": "smut"}
+    rows = [(i, " ".join(w for j, w in enumerate(words.values()) if i >> j & 1) + " what a lovely day", *(i >> j & 1 for j in range(3)), None) for i in range(8)] * 8
+    d = spark.createDataFrame(rows, "i int, text string, insult int, threat int, obscene int, identity_attack int")
+    labels = ["insult", "threat", "obscene", "identity_attack"]
+    model = infer.MultiLabelClassifier(labels, 1 << 10).fit(d, "text")
+    msg = lambda *t: json.dumps([{"role": "user", "content": x} for x in t])
+    runs = spark.createDataFrame([("a", msg("a lovely day", "you fool beware"), msg("what a day")), ("b", msg("day"), msg("smut")), ("c", None, None), ("d", msg("", "x"), None)], "id string, input string, output string")
+    scores = infer.toxicity_scores(runs, model)
+    by = {(r["run_id"], r["side"], r["index"]): r["scores"].asDict() for r in scores.collect()}
+    assert by["a", "input", 0]["insult"] < 0.5 < by["a", "input", 1]["insult"] and by["a", "input", 1]["obscene"] < 0.5
+    got = {r.run_id: (r.toxic_input, r.toxic_output, r.input_labels, r.output_labels) for r in infer.toxicity_rows(scores, labels).collect()}
+    assert got["a"] == (True, False, ["insult", "threat"], []) and got["b"] == (False, True, [], ["obscene"])
+
+
+def test_toxicity_on_held_out_documents(spark):
+    d = _documents(spark, "sf0.1").withColumn("toxicity", F.col("toxic")).where("toxic IS NOT NULL")
+    model = infer.MultiLabelClassifier(["toxicity"]).fit(d.where("doc_id % 5 <> 0"), "text")
+    got = model.transform(d.where("doc_id % 5 = 0").select("toxic", "text"), "text").select("toxic", "scores.toxicity").collect()
+    right = [(r.toxicity >= 0.5) == (r.toxic == 1) for r in got]
+    caught = [r.toxicity >= 0.5 for r in got if r.toxic == 1]
+    assert sum(right) >= 0.94 * len(right) and sum(caught) >= 0.6 * len(caught)
+
+
+def test_upsert(spark):
     stored = spark.createDataFrame([("1", "old"), ("x", "kept")], "run_id string, v string")
     new = spark.createDataFrame([("1", "new")], "run_id string, v string")
     assert {tuple(r) for r in infer.upsert(stored, new, ["run_id"]).collect()} == {("1", "new"), ("x", "kept")}
