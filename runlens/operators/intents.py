@@ -11,6 +11,8 @@ from .facets import raw_intents
 
 OTHER = "Other"
 FALLBACK_SHARE = 0.85
+#: Jaccard similarity of the words of two labels of one group.
+SIMILARITY = 0.75
 
 
 def alias_key(label: Column | str) -> Column:
@@ -36,16 +38,43 @@ def _shortenings(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.when(F.length(text) > 3, cut).otherwise(F.array().cast("array<string>"))))
 
 
-def grouped_labels(stats: DataFrame) -> DataFrame:
-    """(label, occurrences, cluster): labels with one fingerprint, or fingerprints one edit apart, form a
-    cluster named after its most frequent label.
+def similar_prints(prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v), u < v: distinct fingerprints ``fp`` whose sets of words have a Jaccard similarity of ``similarity`` at least.
 
-    Shared shortenings link fingerprints; the smallest member travels along the links until nothing
-    changes. A shared key is reduced to one row per round, so no pair of labels is ever built.
+    A prefix-filtered self join: words are ordered by rarity, and two sets can only be that alike if they share one of the
+    rarest n - ceil(similarity * n) + 1 words of each. Frequent words are at the end of that order, so a word that a third
+    of all labels hold joins none but labels made of such words alone. Sizes and positions bound what a pair can share
+    before the words themselves are compared.
+    """
+    sets = cut_lineage(prints.select("fp").where("fp <> ''").distinct().withColumn("words", F.split("fp", " ")).withColumn("n", F.size("words")))
+    said = sets.select("fp", "n", F.explode("words").alias("word"))
+    known = cut_lineage(said.groupBy("word").agg(F.count(F.lit(1)).alias("f")))
+    place = F.row_number().over(W.partitionBy("fp").orderBy("f", "word"))
+    first = said.join(known, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1)
+    first = cut_lineage(first.select("word", "fp", "n", "place"))
+    x, y = first.alias("x"), first.alias("y")
+    # From this word on, both have at most as many words in common as the one with fewer left.
+    most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
+    met = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.fp") < F.col("y.fp")) & (most >= similarity * (F.col("x.n") + F.col("y.n") - most)))
+    asked = met.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
+    own = lambda name: sets.select(F.col("fp").alias(name), F.col("words").alias(f"{name}_words"))
+    shared = F.size(F.array_intersect("u_words", "v_words"))
+    return asked.join(own("u"), "u").join(own("v"), "v").where(shared >= similarity * (F.size("u_words") + F.size("v_words") - shared)).select("u", "v")
+
+
+def grouped_labels(stats: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(label, occurrences, cluster): labels with one fingerprint, with fingerprints that share a shortening (one edit apart), or
+    with similar sets of words form a cluster named after its most frequent label.
+
+    Shared keys link fingerprints: a shortening, or a pair of similar ones; the smallest member travels along the links until
+    nothing changes. A shared key is reduced to one row per round.
     """
     prints = stats.withColumn("fp", fingerprint(F.col("label")))
     nodes = cut_lineage(prints.select("fp").distinct().withColumn("comp", F.col("fp")))
-    links = cut_lineage(nodes.select("fp", F.explode(_shortenings(F.col("fp"))).alias("k")))
+    pairs = cut_lineage(similar_prints(nodes, similarity))
+    key = F.concat(F.lit("\u0000"), "u", F.lit("\u0000"), "v").alias("k")
+    links = nodes.select("fp", F.explode(_shortenings(F.col("fp"))).alias("k"))
+    links = cut_lineage(links.unionByName(pairs.select(F.col("u").alias("fp"), key)).unionByName(pairs.select(F.col("v").alias("fp"), key)))
     changed = True
     while changed:
         least = links.join(nodes, "fp").groupBy("k").agg(F.min("comp").alias("low"))

@@ -144,12 +144,13 @@ def p4(spark, d):
 
 
 def resolved(spark, d):
-    prompts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("prompt_id"), F.concat(L("{{role}} says {{text}} about {{nothing}}: "), "text").alias("template"))
-    variations = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("prompt_id"), F.col("turn").alias("variation_id"), F.create_map(L("role"), "role", L("text"), "text").alias("variables"), F.col("role").alias("ideal_output"))
+    items, said = fx.table(spark, d, "benchmark"), fx.table(spark, d, "conversations")
+    prompts = items.select(F.col("item_id").alias("prompt_id"), F.concat(L("{{role}} says {{text}} about {{nothing}}: "), "text").alias("template"))
+    variations = said.select((F.col("conv_id") % items.count()).alias("prompt_id"), F.concat_ws("-", "conv_id", "turn").alias("variation_id"), F.create_map(L("role"), "role", L("text"), "text").alias("variables"), F.col("role").alias("ideal_output"))
     return ds.resolve(prompts, variations)
 
 
-@query("p5_dataset_resolve", "SELECT b.item_id AS prompt_id, c.turn AS variation_id, c.role || ' says ' || c.text || ' about : ' || b.text AS input, c.role AS ideal_output FROM benchmark b JOIN conversations c ON c.conv_id = b.item_id")
+@query("p5_dataset_resolve", "SELECT b.item_id AS prompt_id, c.conv_id || '-' || c.turn AS variation_id, c.role || ' says ' || c.text || ' about : ' || b.text AS input, c.role AS ideal_output FROM benchmark b JOIN conversations c ON c.conv_id % (SELECT count(*) FROM benchmark) = b.item_id")
 def p5(spark, d):
     return resolved(spark, d)
 
@@ -227,7 +228,8 @@ def grid_results(spark, d):
     return ds.run_grid(grid, answer, checks, run_checks)
 
 
-GRID = """grid AS (SELECT b.item_id AS prompt_id, c.turn AS variation_id, p.name AS provider, c.role || ' says ' || c.text || ' about : ' || b.text AS input FROM benchmark b JOIN conversations c ON c.conv_id = b.item_id
+GRID = """grid AS (SELECT b.item_id AS prompt_id, c.conv_id || '-' || c.turn AS variation_id, p.name AS provider, c.role || ' says ' || c.text || ' about : ' || b.text AS input
+  FROM benchmark b JOIN conversations c ON c.conv_id % (SELECT count(*) FROM benchmark) = b.item_id
   CROSS JOIN (SELECT DISTINCT p_type AS name FROM part) p),
  res AS (SELECT *, contains(CASE WHEN length(provider) % 2 = 0 THEN upper(input) ELSE input END, 'says') AND length(input) > 400 AS passed FROM grid)"""
 
@@ -248,10 +250,15 @@ def p11(spark, d):
 
 @query(
     "a16_evaluation_matrix_csv",
-    f"WITH {GRID} SELECT variation_id, count(*) FILTER (passed AND provider = 'ECONOMY') AS \"ECONOMY\", count(*) FILTER (passed AND provider = 'PROMO') AS \"PROMO\" FROM res GROUP BY 1",
+    f"WITH {GRID} SELECT variation_id, provider, count(*) FILTER (passed) AS passed FROM res GROUP BY 1, 2",
 )
 def a16(spark, d):
-    return export.evaluation_matrix(grid_results(spark, d), ["ECONOMY", "PROMO"])
+    """The CSV has a column per provider, read back as rows."""
+    wide = export.evaluation_matrix(grid_results(spark, d))
+    path = shared_folder(spark, "matrix")
+    wide.write.option("header", True).csv(path)
+    read = spark.read.option("header", True).csv(path)
+    return read.unpivot("variation_id", [F.col(f"`{c}`") for c in read.columns[1:]], "provider", "passed").withColumn("passed", F.col("passed").cast("long"))
 
 
 @query(

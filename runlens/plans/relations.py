@@ -143,11 +143,11 @@ def e14(spark, d):
 
 @query(
     "e15_evaluation_grid",
-    "SELECT b.item_id AS prompt_id, o.turn AS variation_id, p.name AS provider FROM benchmark b JOIN (SELECT conv_id, turn FROM conversations) o ON o.conv_id = b.item_id CROSS JOIN (SELECT DISTINCT p_type AS name FROM part) p",
+    "SELECT b.item_id AS prompt_id, o.conv_id || '-' || o.turn AS variation_id, p.name AS provider FROM benchmark b JOIN conversations o ON o.conv_id % (SELECT count(*) FROM benchmark) = b.item_id CROSS JOIN (SELECT DISTINCT p_type AS name FROM part) p",
 )
 def e15(spark, d):
     prompts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("prompt_id"))
-    variations = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("prompt_id"), F.col("turn").alias("variation_id"))
+    variations = fx.table(spark, d, "conversations").select((F.col("conv_id") % prompts.count()).alias("prompt_id"), F.concat_ws("-", "conv_id", "turn").alias("variation_id"))
     providers = fx.table(spark, d, "part").select(F.col("p_type").alias("provider")).distinct()
     return enrich.evaluation_grid(prompts, variations, providers)
 

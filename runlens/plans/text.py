@@ -313,19 +313,33 @@ def o1(spark, d):
 
 
 def part_labels(spark, d):
-    """Part names as intent labels: spelled three ways."""
+    """Part names as intent labels: spelled three ways, and in two longer requests."""
     p = fx.table(spark, d, "part")
-    way = F.col("p_partkey") % 3
-    label = F.when(way == 0, F.col("p_name")).when(way == 1, F.upper(F.replace("p_name", L(" "), L("_")))).otherwise(F.concat("p_name", L("s")))
+    way = F.col("p_partkey") % 5
+    label = (
+        F.when(way == 0, F.col("p_name")).when(way == 1, F.upper(F.replace("p_name", L(" "), L("_")))).when(way == 2, F.concat("p_name", L("s")))
+        .when(way == 3, F.concat(L("show "), "p_name", L(" parts"))).otherwise(F.concat(L("Show all parts: "), "p_name"))
+    )
     return p.groupBy(label.alias("label")).agg(F.count(L(1)).alias("occurrences"))
 
 
+#: Every pair of fingerprints is compared: shared shortenings, or three quarters of all words in common.
+O2 = """WITH RECURSIVE s AS (SELECT CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '_')) WHEN 2 THEN p_name || 's' WHEN 3 THEN 'show ' || p_name || ' parts' ELSE 'Show all parts: ' || p_name END AS label,
+   count(*) AS occurrences FROM part GROUP BY 1),
+ f AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(label), '[^\\pL\\pN]+'), lambda w: w <> ''))) AS words FROM s),
+ n AS (SELECT DISTINCT array_to_string(words, ' ') AS fp, words FROM f),
+ c AS (SELECT fp, words, CASE WHEN length(fp) > 3 THEN list_append(list_transform(range(1, length(fp) + 1), lambda i: left(fp, i - 1) || substr(fp, i + 1)), fp) ELSE [fp] END AS cuts FROM n),
+ e AS (SELECT a.fp AS u, b.fp AS v FROM c a JOIN c b ON list_has_any(a.cuts, b.cuts) OR len(list_intersect(a.words, b.words)) >= 0.75 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)))),
+ r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+ g AS (SELECT u AS fp, min(v) AS comp FROM r GROUP BY u),
+ m AS (SELECT label, occurrences, comp FROM f JOIN g ON g.fp = array_to_string(words, ' ')),
+ t AS (SELECT comp, arg_max(label, (occurrences, label)) AS cluster FROM m GROUP BY comp)
+ SELECT label, occurrences, cluster FROM m JOIN t USING (comp)"""
 
 
-
-@query("o2_label_grouping")
+@query("o2_label_grouping", O2)
 def o2(spark, d):
-    """Clusters of near-equal labels; connected components, tested on hand-written labels."""
+    """Clusters of near-equal labels."""
     return intents.grouped_labels(part_labels(spark, d))
 
 

@@ -61,7 +61,12 @@ def export_runs(runs: DataFrame, path: str, kind: str = "csv", run_type: str = "
         raise ValueError(f"unknown export kind {kind}")
 
 
-def evaluation_matrix(results: DataFrame, providers: list[str]) -> DataFrame:
-    """One row per variation, one pass-count column per provider."""
+def evaluation_matrix(results: DataFrame, providers: list[str] | None = None, most: int = 1_000) -> DataFrame:
+    """One row per variation, one pass-count column per provider: those named, or all of them in order. A table has a column
+    for each, so more than ``most`` are refused; ``results_matrix`` has them as rows."""
     m = results_matrix(results)
+    if providers is None:
+        providers = [r[0] for r in m.select("provider").distinct().orderBy("provider").limit(most + 1).collect()]
+        if len(providers) > most:
+            raise ValueError(f"more than {most} providers: use results_matrix, which has a row for each")
     return m.groupBy("variation_id").pivot("provider", providers).agg(F.first("passed")).na.fill(0)

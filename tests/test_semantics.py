@@ -214,6 +214,21 @@ def test_intent_labels(spark):
     assert got["cancel"] == got["cancels"] == "cancel" and got["refund"] == "refund"
 
 
+def test_labels_by_similar_words(spark):
+    """All pairs of random labels, a third of which share one word; and labels made of frequent words alone."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(14)]
+    prints = {" ".join(sorted({*rng.sample(words, rng.randrange(1, 7)), *(["hot"] if i % 3 == 0 else [])})) for i in range(300)} | {"hot", "hot w0", ""}
+    df = spark.createDataFrame([(p,) for p in prints] * 2, "fp string").repartition(3)
+    for t in (0.5, 0.75, 1.0):
+        got = {(r.u, r.v) for r in intents.similar_prints(df, t).collect()}
+        sets = {p: set(p.split()) for p in prints if p}
+        assert got == {(u, v) for u in sets for v in sets if u < v and len(sets[u] & sets[v]) >= t * len(sets[u] | sets[v])}
+    labels = [("show all open orders", 3), ("orders: show all", 2), ("show open orders all now", 1), ("close orders", 9)]
+    grouped = {r.label: r.cluster for r in intents.grouped_labels(spark.createDataFrame(labels, "label string, occurrences long")).collect()}
+    assert set(grouped.values()) == {"show all open orders", "close orders"} and grouped["orders: show all"] == "show all open orders"
+
+
 def test_run_summary(spark):
     o = spark.createDataFrame([(1, x) for x in ["pass"] * 3 + ["fail", "unknown"]], "slot int, outcome string")
     r = datasets.run_summary(o, spark.createDataFrame([(1, 10)], "slot int, items long"), ["slot"]).collect()[0]
