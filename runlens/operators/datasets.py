@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import valid_messages
 from ..functions.templates import render
+from .infer import RETRIES, OnBatches, infer_rows
 from .ordering import item_numbers
 from .topk import item_counts
 
@@ -77,13 +79,35 @@ def resolve(prompts: DataFrame, variations: DataFrame) -> DataFrame:
     )
 
 
-def sweep(items: DataFrame, slots: dict[int, tuple[str, Callable[[DataFrame], Column]]]) -> DataFrame:
-    """(item_id, slot, evaluator_id, result): every item under every attached evaluator, in one scan."""
-    built = [
-        F.struct(F.lit(slot).alias("slot"), F.lit(evaluator).alias("evaluator_id"), F.to_json(F.struct(make(items).alias("value"))).alias("result"))
-        for slot, (evaluator, make) in slots.items()
-    ]
-    return items.select(F.col("id").alias("item_id"), "dataset_id", F.explode(F.array(*built)).alias("r")).select("item_id", "dataset_id", "r.*")
+def _value(items: DataFrame, make: Callable[[DataFrame], Column]) -> Column:
+    """The evaluator's value as JSON, or its error where Spark can't resolve it."""
+    try:
+        value = F.to_json(F.struct(make(items).alias("value")))
+        items.select(value)  # resolved here, so one evaluator's mistake is its own
+        return value
+    except Exception as e:
+        return F.lit(json.dumps({"error": str(e).splitlines()[0]}))
+
+
+def sweep(items: DataFrame, slots: dict[int, tuple[str, Callable[[DataFrame], Column] | OnBatches]], batch: int = 100) -> DataFrame:
+    """(item_id, slot, evaluator_id, result): every item under every attached evaluator.
+
+    Evaluators that are Columns share one scan; they must not raise on a row (the ``try_`` functions give null). Those that
+    run on batches have a scan each, and a row that fails after its retries has an ``{"error": message}`` result, as has every
+    row of an evaluator that can't be resolved; no failure reaches the other results.
+    """
+    columns = {k: v for k, v in slots.items() if not isinstance(v[1], OnBatches)}
+    built = [F.struct(F.lit(slot).alias("slot"), F.lit(evaluator).alias("evaluator_id"), _value(items, make).alias("result")) for slot, (evaluator, make) in columns.items()]
+    parts = [items.select(F.col("id").alias("item_id"), "dataset_id", F.explode(F.array(*built)).alias("r")).select("item_id", "dataset_id", "r.*")] if built else []
+    for slot, (evaluator, model) in slots.items():
+        if slot not in columns:
+            own = OnBatches(lambda part, fn=model.fn: [None if r is None else {"value": r} for r in fn(part)], model.columns)
+            found = infer_rows(items, ["id", "dataset_id"], own, batch).withColumnRenamed("id", "item_id")
+            parts.append(found.select("item_id", "dataset_id", F.lit(slot).alias("slot"), F.lit(evaluator).alias("evaluator_id"), "result"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def labeler_outcome(label: Column, pass_labels: list[str]) -> Column:
@@ -124,9 +148,22 @@ def summary_across(summaries: DataFrame) -> DataFrame:
     return out.withColumn("pass_rate", _percent(F.col("passed"), F.col("passed") + F.col("failed")))
 
 
+def answered(grid: DataFrame, model: OnBatches, batch: int = 100, retries: int = RETRIES) -> DataFrame:
+    """The grid with output, duration_s, cost and error. ``model`` gives a dict of the first three for every cell; a cell that
+    still fails after its retries has the error alone."""
+    said = F.from_json("result", "output string, duration_s double, cost double, error string")
+    return infer_rows(grid, grid.columns, model, batch, retries).select(*grid.columns, said.alias("a")).select(*grid.columns, "a.*")
+
+
 def run_grid(grid: DataFrame, answer: Callable[[DataFrame], DataFrame], checks, check_runner) -> DataFrame:
-    """Answers for every cell of the grid, then the checklist; a cell that failed keeps its error."""
-    return check_runner(answer(grid), checks)
+    """Answers for every cell of the grid, then the checklist: with ``status``; a cell with an ``error`` is not checked, its
+    ``passed`` is null."""
+    cells = answer(grid)
+    if "error" not in cells.columns:
+        return check_runner(cells, checks).withColumn("status", F.lit("success"))
+    failed = F.col("error").isNotNull()
+    done = check_runner(cells, checks)
+    return done.withColumn("passed", F.when(~failed, F.col("passed"))).withColumn("status", F.when(failed, "error").otherwise("success"))
 
 
 def results_matrix(results: DataFrame) -> DataFrame:

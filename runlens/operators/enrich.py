@@ -86,6 +86,16 @@ def message_stats(messages: DataFrame) -> DataFrame:
     )
 
 
+def thread_stats(runs: DataFrame) -> DataFrame:
+    """(thread_id, messages_count, first_message) over the input and output messages of a thread's chat runs."""
+    from ..functions.messages import parse
+
+    chats = runs.where("type = 'chat' and parent_run_id is not null")
+    side = lambda name, n: chats.select(F.col("parent_run_id").alias("thread_id"), "created_at", "id", F.lit(n).alias("side"), F.posexplode(parse(name)).alias("pos", "m"))
+    said = side("input", 0).unionByName(side("output", 1))
+    return said.groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages_count"), F.min_by("m.content", F.struct("created_at", "id", "side", "pos")).alias("first_message"))
+
+
 def enriched(
     runs: DataFrame,
     start=None,

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions.similarity import tokens
-from ..schemas import EVALUATION_RESULT
 from ..session import cut_lineage
 from .filters import Tables, filter_runs
 from .skew import numbered, running_sum, with_neighbour
@@ -34,31 +34,57 @@ def register_evaluator(name: str):
     return put
 
 
-def batch_infer(
-    runs: DataFrame, evaluator_id: str, fn: Callable[[pd.DataFrame], list], columns: list[str], batch: int = 100
-) -> DataFrame:
-    """(run_id, evaluator_id, result). None is not stored; a failing batch is retried row by row and
-    only the failing rows are skipped. Only the named columns travel to Python."""
+class OnBatches(NamedTuple):
+    """A model as a function: pandas batch of the named columns → one result per row."""
+
+    fn: Callable[[pd.DataFrame], list]
+    columns: list[str]
+
+
+#: Further tries of a row that fails alone.
+RETRIES = 2
+
+
+def isolated(fn: Callable[[pd.DataFrame], list], part: pd.DataFrame, retries: int = RETRIES) -> list:
+    """One result per row of the batch. A batch that fails is halved until the failing rows are alone; those are tried
+    ``retries`` times more and then give ``{"error": message}``, so k bad rows of n cost about k log2(n) further calls."""
+    failure: Exception | None = None
+    for _ in range(1 + retries if len(part) == 1 else 1):
+        try:
+            found = list(fn(part))
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} results for {len(part)} rows")
+            return found
+        except Exception as e:
+            failure = e
+    if len(part) == 1:
+        return [{"error": str(failure) or type(failure).__name__}]
+    half = len(part) // 2
+    return isolated(fn, part.iloc[:half], retries) + isolated(fn, part.iloc[half:], retries)
+
+
+def infer_rows(df: DataFrame, keep: Sequence[str], model: OnBatches, batch: int = 100, retries: int = RETRIES) -> DataFrame:
+    """The kept columns and ``result``: the model's answer for every row as JSON text, null where it has none,
+    ``{"error": message}`` where it fails. Only the named columns travel to Python."""
+    picked = list(dict.fromkeys([*keep, *model.columns]))
 
     def per_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                try:
-                    results = list(fn(part))
-                except Exception:
-                    results = []
-                    for i in range(len(part)):
-                        try:
-                            results.extend(fn(part.iloc[i : i + 1]))
-                        except Exception:
-                            results.append(None)
-                kept = [(i, evaluator_id, json.dumps(r, ensure_ascii=False)) for i, r in zip(part["id"], results) if r is not None]
-                if kept:
-                    yield pd.DataFrame(kept, columns=["run_id", "evaluator_id", "result"])
-
-    picked = list(dict.fromkeys(["id", *columns]))
-    return runs.select(*picked).mapInPandas(per_partition, EVALUATION_RESULT)
+                results = [None if r is None else json.dumps(r, ensure_ascii=False) for r in isolated(model.fn, part, retries)]
+                yield part[list(keep)].assign(result=pd.Series(results, index=part.index, dtype=object))
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*picked).mapInPandas(per_partition, f"{schema}, result string")
+
+
+def batch_infer(
+    runs: DataFrame, evaluator_id: str, fn: Callable[[pd.DataFrame], list], columns: list[str], batch: int = 100, retries: int = RETRIES
+) -> DataFrame:
+    """(run_id, evaluator_id, result). None is not stored; a row that fails has an ``{"error": message}`` result."""
+    found = infer_rows(runs, ["id"], OnBatches(fn, columns), batch, retries).where("result IS NOT NULL")
+    return found.select(F.col("id").cast("string").alias("run_id"), F.lit(evaluator_id).alias("evaluator_id"), "result")
 
 
 def as_results(runs: DataFrame, evaluator_id: str, result: Column, kind: str | None = None) -> DataFrame:
@@ -281,5 +307,24 @@ def backlog(runs: DataFrame, results: DataFrame, evaluator_id: str, kind: str, l
     has_type = any(isinstance(n, dict) and n["id"] == "type" for n in rest)
     tree = ["AND", *([] if has_type else base[1:]), *rest]
     todo = filter_runs(runs, tree, tables)
+    if "is_deleted" in runs.columns:
+        todo = todo.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
     done = results.where(F.col("evaluator_id") == evaluator_id).select(F.col("run_id").alias("id"))
-    return todo.join(done, "id", "left_anti")
+    left = todo.join(done, "id", "left_anti")
+    if kind == "toxicity" and tables is not None and tables.toxicity is not None:
+        left = left.join(tables.toxicity.select(F.col("run_id").alias("id")), "id", "left_anti")
+    return left
+
+
+#: Runs of one evaluator in one round.
+ROUND = 100
+
+
+def next_round(runs: DataFrame, results: DataFrame, evaluators: Sequence[dict], tables: Tables | None = None, size: int = ROUND) -> DataFrame:
+    """Runs with ``evaluator_id``: of every evaluator (id, type, filters) the newest ``size`` of its backlog, ties by id. Each is
+    a bounded top list, so no backlog is sorted whole."""
+    rounds = None
+    for e in evaluators:
+        newest = backlog(runs, results, e["id"], e["type"], e.get("filters"), tables).orderBy(F.desc("created_at"), "id").limit(size).withColumn("evaluator_id", F.lit(e["id"]))
+        rounds = newest if rounds is None else rounds.unionByName(newest)
+    return rounds if rounds is not None else runs.where("false").withColumn("evaluator_id", F.lit(None).cast("string"))

@@ -200,8 +200,8 @@ def trace_lines(runs: DataFrame, fields: tuple[str, ...] = ("type", "name", "sta
 
 
 def transcript(runs: DataFrame) -> DataFrame:
-    """Long form (thread_id, position, role, content): messages of all runs below a thread,
-    in run order, input before output. Positions come from a chunked scan."""
+    """Long form (thread_id, position, role, content, tool_calls, created_at): messages of all runs below a thread,
+    in run order, input before output. Positions come from a scan in ranges."""
     from ..functions.messages import parse
 
     below = runs.where("type != 'thread'").join(roots(runs), "id")
@@ -209,4 +209,4 @@ def transcript(runs: DataFrame) -> DataFrame:
         below.select(F.col("root_id").alias("thread_id"), "created_at", "id", F.lit(1).alias("side"), F.posexplode(parse("output")).alias("pos", "m"))
     )
     out = numbered(msgs, ["thread_id"], ["created_at", "id", "side", "pos"], "position")
-    return out.select("thread_id", "position", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    return out.select("thread_id", "position", F.col("m.role").alias("role"), F.col("m.content").alias("content"), F.coalesce("m.tool_calls", "m.toolCalls").alias("tool_calls"), "created_at")

@@ -87,6 +87,13 @@ def e6(spark, d):
     return enrich.message_stats(fx.messages(spark, d))
 
 
+@query("e6_thread_stats_of_chats", """WITH m AS (SELECT parent_run_id AS thread_id, created_at, id, 0 AS side, json_extract_string(input, '$[0].content') AS content FROM run WHERE type = 'chat' AND parent_run_id IS NOT NULL
+   UNION ALL SELECT parent_run_id, created_at, id, 1, json_extract_string(output, '$[0].content') FROM run WHERE type = 'chat' AND parent_run_id IS NOT NULL AND output IS NOT NULL)
+ SELECT thread_id, count(*) AS messages_count, arg_min(content, (created_at, id, side)) AS first_message FROM m GROUP BY 1""")
+def e6c(spark, d):
+    return enrich.thread_stats(fx.runs(spark, d))
+
+
 @query("e7_bucket_join", f"SELECT s.date, r.id FROM ({spine_sql(DAILY)}) s LEFT JOIN run r ON {bucket_sql(DAILY, 'r.created_at')} = s.date")
 def e7(spark, d):
     s = buckets.bucket_spine(spark, DAILY.start, DAILY.end, NY, "daily")
@@ -462,13 +469,15 @@ def k6(spark, d):
 
 @query(
     "k7_thread_transcript",
-    """SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS position, role, content FROM chat_msg""",
+    """SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY turn) AS position, role, content, CASE WHEN turn % 3 = 1 THEN '[{"id":"c' || turn || '"}]' END AS tool_calls, timestamp AS created_at FROM chat_msg""",
 )
 def k7(spark, d):
+    """Every third message calls a tool."""
     m = fx.messages(spark, d)
-    one = F.to_json(F.array(F.struct("role", "content")))
+    calls = F.when(F.col("turn") % 3 == 1, F.concat(L('[{"id":"c'), F.col("turn").cast("string"), L('"}]')))
+    one = F.to_json(F.array(F.struct("role", "content", calls.alias("tool_calls"))))
     chats = m.select("id", F.col("thread_id").alias("parent_run_id"), L("chat").alias("type"), F.col("timestamp").alias("created_at"),
                      F.when(F.col("role") != "assistant", one).alias("input"), F.when(F.col("role") == "assistant", one).alias("output"))
     threads = m.groupBy(F.col("thread_id").alias("id")).agg(F.min("timestamp").alias("created_at")).select(
         "id", L(None).cast("string").alias("parent_run_id"), L("thread").alias("type"), "created_at", L(None).cast("string").alias("input"), L(None).cast("string").alias("output"))
-    return trees.transcript(threads.unionByName(chats))
+    return trees.transcript(threads.unionByName(chats)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))

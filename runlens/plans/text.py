@@ -297,6 +297,15 @@ def n10(spark, d):
     return infer.judge(fx.doc_runs(spark, d), "assertion", says_the).select("run_id", "result")
 
 
+@query("n11_backlog_round", f"""SELECT id, evaluator_id FROM (SELECT id, 'ev-sentiment' AS evaluator_id, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM doc_run WHERE quality IS NULL
+   UNION ALL SELECT id, 'ev-new', row_number() OVER (ORDER BY created_at DESC, id) FROM doc_run WHERE length(CAST(to_json([{{'role': 'user', 'content': text}}]) AS VARCHAR)) > 100) WHERE n <= 100""")
+def n11r(spark, d):
+    """The newest hundred of two evaluators' backlogs."""
+    longer = ["AND", {"id": "length", "params": {"field": "input", "operator": "gt", "length": 100}}]
+    evaluators = [{"id": "ev-sentiment", "type": "sentiment"}, {"id": "ev-new", "type": "length", "filters": longer}]
+    return infer.next_round(fx.doc_runs(spark, d), fx.doc_results(spark, d), evaluators).select("id", "evaluator_id")
+
+
 @query("n11_backlog", "SELECT id FROM doc_run WHERE quality IS NULL AND length(CAST(to_json([{'role': 'user', 'content': text}]) AS VARCHAR)) > 100")
 def n11(spark, d):
     logic = ["AND", {"id": "length", "params": {"field": "input", "operator": "gt", "length": 100}}]

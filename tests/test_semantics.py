@@ -170,7 +170,34 @@ def test_enrichers_and_registries(spark):
         return [{"n": len(t)} for t in batch["text"]]
 
     got = infer.batch_infer(d, "len", infer.EVALUATORS["len"], ["text"]).collect()
-    assert [(r.run_id, json.loads(r.result)) for r in got] == [("1", {"n": 40})]
+    assert {r.run_id: json.loads(r.result) for r in got} == {"1": {"n": 40}, "2": {"error": "no"}}
+
+
+def test_one_bad_row_in_a_thousand(spark, tmp_path):
+    """One row fails always, one the first time: one error row, 999 results, and few further calls."""
+    calls, seen = tmp_path / "calls", tmp_path / "seen"
+
+    def fn(batch):
+        with open(calls, "a") as f:
+            f.write("x")
+        if (batch["n"] == 501).any():
+            raise ValueError("bad cell")
+        if (batch["n"] == 7).any() and len(batch) == 1 and not seen.exists():
+            seen.write_text("")
+            raise ValueError("try again")
+        if (batch["n"] == 7).any() and len(batch) > 1:
+            raise ValueError("too many")
+        return [{"n": int(n)} for n in batch["n"]]
+
+    rows = spark.range(1000).selectExpr("cast(id as string) as id", "id as n").coalesce(1)
+    got = {r.run_id: json.loads(r.result) for r in infer.batch_infer(rows, "e", fn, ["n"]).collect()}
+    assert got == {str(i): {"error": "bad cell"} if i == 501 else {"n": i} for i in range(1000)}
+    assert len(calls.read_text()) <= 10 + 2 * 16 + 3
+    short = infer.batch_infer(rows.limit(3), "e", lambda b: [1], ["n"], batch=3).collect()
+    assert len(short) == 3 and all(json.loads(r.result) == 1 for r in short)  # a wrong number of results is a failure of the batch
+    swept = datasets.sweep(rows.limit(4).withColumn("dataset_id", F.lit("d")), {1: ("ok", lambda i: F.col("n")), 2: ("lost", lambda i: F.col("gone")), 3: ("mine", infer.OnBatches(fn, ["n"]))}).collect()
+    by = {(r.item_id, r.slot): json.loads(r.result) for r in swept}
+    assert by["2", 1] == {"value": 2} and "gone" in by["2", 2]["error"] and by["2", 3] == {"value": {"n": 2}} and len(by) == 12
 
 
 def _documents(spark, sf="sf0.01"):
