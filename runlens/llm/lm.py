@@ -15,7 +15,11 @@ weights stay in as ``PRIOR`` further counts.
 Every distinct word goes through the lattice once a round and once for its score. The ``HOT`` most frequent words, a table of fixed size, go to all tasks,
 the other words of each document are joined by a 64-bit code.
 
-Nulls: a null text is empty (its end is one token); a null id is not held out. Repeated documents count each time. Empty tables give no rows.
+``score`` is this mixture; ``lattice_score`` is the lattice alone, with the vocabulary's weights unfitted.
+
+Nulls: a null text is empty (its end is one token); a null id is not held out. Repeated documents count each time. Ties: words of one
+frequency are broadcast together or not at all. Very long texts are read whole, in slices; very long words go through the lattice alone.
+Extra columns go, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -199,22 +203,26 @@ def fitted(lattice: Lattice, words: DataFrame, rounds: int) -> Lattice:
     return lattice
 
 
-def weighed(words: DataFrame, lattice: Lattice) -> DataFrame:
-    """Rows (code, seen, c, lattice): ``words`` with their natural log probability in the lattice."""
-    now = words.sparkSession.sparkContext.broadcast(lattice)
+def weighed(words: DataFrame, lattice: Lattice, plain: Lattice) -> DataFrame:
+    """Rows (code, seen, c, lattice, plain): ``words`` with their natural log probability in the fitted lattice, and in that of
+    the vocabulary's own scores."""
+    now = words.sparkSession.sparkContext.broadcast((lattice, plain))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(now.value.many(*_binary(batch.column(0))))], ["code", "seen", "c", "lattice"])
+            logs = [pa.array(x.many(*_binary(batch.column(0)))) for x in now.value]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *logs], ["code", "seen", "c", "lattice", "plain"])
 
-    return words.mapInArrow(weigh, "code long, seen long, c long, lattice double")
+    return words.mapInArrow(weigh, "code long, seen long, c long, lattice double, plain double")
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 5, vocabulary: str = VOCABULARY, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, and lattice_score: the marginal log10
+    probability over all segmentations under the vocabulary's scores as they are, with the same end."""
     held = L.held_out(F.col(doc_id), modulus)
     counted = C.cut(word_counts(docs.select((~held).alias("train"), F.col(text).alias("text")), "text", "train"))
-    table = C.cut(weighed(counted, fitted(Lattice.load(vocabulary), counted.where("c > 0"), rounds)))
+    own_scores = Lattice.load(vocabulary)
+    table = C.cut(weighed(counted, fitted(own_scores, counted.where("c > 0"), rounds), own_scores))
     words, kinds, once, twice = table.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = docs.where(~held).count()
     tokens, distinct = words + ends, kinds + (ends > 0)
@@ -230,6 +238,10 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
         unseen = math.log(discount * kinds / words) + logs
         return (math.log1p(-end) + np.where(c > 0, np.logaddexp(seen, unseen), unseen)) / math.log(10)
 
+    def whole(logs: np.ndarray) -> np.ndarray:
+        """log10 of P(word) by the lattice alone."""
+        return (math.log1p(-end) + logs) / math.log(10)
+
     # The most frequent words, down to a frequency that at most `hot` of them reach.
     octave = F.floor(F.log2("seen") * 8)
     reached, least = 0, 0
@@ -238,17 +250,17 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
         if reached > hot:
             break
         least = r["seen"]
-    top = table.where((F.col("seen") >= least) & F.lit(least > 0)).select("code", "c", "lattice").toArrow()
+    top = table.where((F.col("seen") >= least) & F.lit(least > 0)).select("code", "c", "lattice", "plain").toArrow()
     code = top.column("code").to_numpy().view(np.uint64)
     order = np.argsort(code)
-    own = (code[order], top.column("c").to_numpy()[order], top.column("lattice").to_numpy()[order])
+    own = (code[order], top.column("c").to_numpy()[order], top.column("lattice").to_numpy()[order], top.column("plain").to_numpy()[order])
     shared = docs.sparkSession.sparkContext.broadcast(own)
-    names = ["id", "rid", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"]
+    names = ["id", "rid", "held_out", "n_tokens", "n_known", "base_score", "score", "lattice_score", "rest"]
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_code, hot_c, hot_logs = shared.value
-        hot_base, hot_model = base(hot_c), model(hot_c, hot_logs)
+        hot_code, hot_c, hot_logs, hot_plain = shared.value
+        hot_base, hot_model, hot_whole = base(hot_c), model(hot_c, hot_logs), whole(hot_plain)
         for batch in batches:
             for first, data, offsets in C.slices(batch.column(3)):
                 w, n = C.Words(data, offsets, C.VISIBLE), len(offsets) - 1
@@ -260,23 +272,23 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[c.slice(first, n) for c in batch.columns[:3]], pa.array(np.diff(w.first) + 1), pa.array(add(hot_c > 0).astype(np.int64) + (ends > 0)),
-                        pa.array(add(hot_base) + base(ends)), pa.array(add(hot_model) + math.log10(end)), C.lists(C.signed(rest[by]), C.row_counts(row, n)),
+                        pa.array(add(hot_base) + base(ends)), pa.array(add(hot_model) + math.log10(end)), pa.array(add(hot_whole) + math.log10(end)), C.lists(C.signed(rest[by]), C.row_counts(row, n)),
                     ],
                     names,
                 )
 
     source = docs.select(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("rid"), held.alias("held"), F.col(text).alias("text"))
-    judged = C.cut(source.mapInArrow(judge, f"id {kind}, rid long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>"))
+    judged = C.cut(source.mapInArrow(judge, f"id {kind}, rid long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double, rest array<long>"))
 
     @F.arrow_udf("double")
     def chance(c: pa.Array, logs: pa.Array) -> pa.Array:
         return pa.array(model(c.to_numpy(), logs.to_numpy()))
 
     rare = judged.select("rid", F.explode("rest").alias("code")).groupBy("rid", "code").agg(F.count(F.lit(1)).alias("n")).join(
-        table.select("code", "c", F.log10((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1))).alias("b"), chance("c", "lattice").alias("m")), "code"
+        table.select("code", "c", F.log10((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1))).alias("b"), chance("c", "lattice").alias("m"), ((F.col("plain") + math.log1p(-end)) / math.log(10)).alias("l")), "code"
     )
-    more = rare.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("k"), F.sum(F.col("n") * F.col("b")).alias("b"), F.sum(F.col("n") * F.col("m")).alias("m"))
+    more = rare.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("k"), F.sum(F.col("n") * F.col("b")).alias("b"), F.sum(F.col("n") * F.col("m")).alias("m"), F.sum(F.col("n") * F.col("l")).alias("l"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return judged.join(more, "rid", "left").select(
-        "id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), plus("base_score", "b").alias("base_score"), plus("score", "m").alias("score")
+        "id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), plus("base_score", "b").alias("base_score"), plus("score", "m").alias("score"), plus("lattice_score", "l").alias("lattice_score")
     )

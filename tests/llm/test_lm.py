@@ -83,6 +83,28 @@ def test_scores_do_not_depend_on_the_table_of_frequent_words(spark):
     assert all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
+@pytest.mark.parametrize("hot", [1, 1 << 17])
+def test_lattice_score_against_all_segmentations(spark, hot):
+    """The marginal of the whole text: every segmentation of every word, summed, by the vocabulary's own scores."""
+    lattice = lm.Lattice.load()
+    weight = {k: math.exp(v) for k, v in lattice.pieces.items()}
+
+    def ways(word: bytes) -> float:
+        if not word:
+            return 1.0
+        return sum(weight[word[:i]] * ways(word[i:]) for i in range(1, min(len(word), lattice.longest) + 1) if word[:i] in weight and b" " not in word[1:i])
+
+    docs = [(i, t) for i, t in enumerate(["the cat sat", "Zq", "", None, "\u00e9 the\tthe", "cat unseenword"] * 2)]
+    learn = [t or "" for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
+    tokens = sum(len(t.split()) + 1 for t in learn)
+    end = (len(learn) + 0.5) / (tokens + 1)
+    got = {r["id"]: r["lattice_score"] for r in lm.scores(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot).collect()}
+    for i, t in docs:
+        words = (t or "").lower().split()
+        want = sum(math.log10((1 - end) * ways(b" " + w.encode())) for w in words) + math.log10(end)
+        assert math.isclose(got[i], want, rel_tol=1e-9), (t, got[i], want)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert lm.scores(d.where("false")).count() == 0
