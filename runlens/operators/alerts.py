@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.json import get_text
-from .skew import exact_percentiles, with_neighbour
+from .skew import sliding_percentiles, with_neighbour
 
 PERCENTILES = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -77,9 +77,7 @@ def metric(runs: DataFrame, keys: list[str], name: str, minutes: int) -> DataFra
 def latency(runs: DataFrame, keys: list[str], minutes: int, slide: int = 1, points: list[str] | None = None) -> DataFrame:
     """Percentiles of duration over sliding windows: (keys, window_end, name, value)."""
     names = points or list(PERCENTILES)
-    w = F.window("created_at", f"{minutes} minutes", f"{slide} minutes")
-    rows = runs.select(*keys, "duration_s", w.alias("w")).select(*keys, F.col("w.end").alias("window_end"), "duration_s")
-    out = exact_percentiles(rows, [*keys, "window_end"], "duration_s", [PERCENTILES[n] for n in names])
+    out = sliding_percentiles(runs, keys, "created_at", "duration_s", [PERCENTILES[n] for n in names], minutes, slide)
     label = F.coalesce(*[F.when(F.col("p") == PERCENTILES[n], F.lit(n)) for n in names])
     return out.select(*keys, "window_end", label.alias("name"), "value")
 

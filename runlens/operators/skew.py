@@ -174,11 +174,16 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Se
         .groupBy(*keys, "_v", "_raw")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    bins = counted.groupBy(*keys, "_raw").agg(F.sum("_n").alias("_bn"))
+    wanted = _wanted_bins(counted.groupBy(*keys, "_raw").agg(F.sum("_n").alias("_bn")), keys, points)
+    return _at_ranks(counted.join(wanted, [*keys, "_raw"]), keys)
+
+
+def _wanted_bins(bins: DataFrame, keys: list[str], points: Sequence[float]) -> DataFrame:
+    """Of (keys, _raw, _bn) the bins that hold a rank some point asks for: with _before, _total and _targets (point, rank)."""
     up_to = W.partitionBy(*keys).orderBy("_raw").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys)
     pos = F.col("p") * (F.col("_total") - 1)
-    wanted = (
+    return (
         bins.withColumn("_upto", F.sum("_bn").over(up_to))
         .withColumn("_total", F.sum("_bn").over(whole))
         .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
@@ -191,19 +196,49 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Se
             F.collect_set(F.struct("p", "_rank")).alias("_targets"),  # at most 2 per point
         )
     )
+
+
+def _at_ranks(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, value) from the counted values (_v, _n) of the wanted bins."""
     inside = W.partitionBy(*keys, "_raw").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        counted.join(wanted, [*keys, "_raw"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+        found.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_start", F.col("_end") - F.col("_n"))
         .withColumn("_t", F.explode("_targets"))
         .where((F.col("_t._rank") >= F.col("_start")) & (F.col("_t._rank") < F.col("_end")))
-        .select(*keys, F.col("_t.p").alias("p"), F.col("_t._rank").alias("_rank"), "_v", "_total")
-    )
-    lo, hi = F.min("_v"), F.max("_v")
-    grouped = ranked.groupBy(*keys, "p").agg(
-        lo.alias("_lo"), hi.alias("_hi"), F.max("_total").alias("_total")
+        .select(*keys, F.col("_t.p").alias("p"), "_v", "_total")
     )
+    grouped = ranked.groupBy(*keys, "p").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_total").alias("_total"))
     exact_pos = F.col("p") * (F.col("_total") - 1)
     frac = exact_pos - F.floor(exact_pos)
     return grouped.select(*keys, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("value"))
+
+
+def sliding_percentiles(df: DataFrame, keys: Sequence[str], ts: str, value: str, points: Sequence[float], minutes: int, slide: int) -> DataFrame:
+    """(keys, window_end, p, value): exact percentiles over windows of ``minutes`` every ``slide`` minutes.
+
+    Rows are counted once per pane of ``slide`` minutes, by value and by magnitude bin. A bin's histogram over the windows
+    is the running sum of what a pane adds when it comes in and takes away when it leaves: two rows for each pane and bin,
+    however long the window. Only the bins that hold a wanted rank are refined, from the panes' counted values, which a
+    window finds in the two blocks of panes it touches.
+    """
+    if minutes % slide:
+        raise ValueError("a window is a whole number of slides")
+    keys, k = list(keys), minutes // slide
+    v, pane = F.col(value).cast("double"), F.floor(F.unix_seconds(ts) / F.lit(slide * 60))
+    rows = df.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*keys, pane.alias("_pane"), v.alias("_v"), value_chunk(v).alias("_raw"))
+    counted = cut_lineage(rows.groupBy(*keys, "_pane", "_v", "_raw").agg(F.count(F.lit(1)).alias("_n")))
+    panes = counted.groupBy(*keys, "_raw", "_pane").agg(F.sum("_n").alias("_d"))
+    change = lambda at, d: F.struct(at.alias("at"), d.alias("d"))
+    steps = panes.select(*keys, "_raw", F.explode(F.array(change(F.col("_pane") + 1, F.col("_d")), change(F.col("_pane") + 1 + k, -F.col("_d")))).alias("s"))
+    steps = steps.groupBy(*keys, "_raw", F.col("s.at").alias("_at")).agg(F.sum("s.d").alias("_d"))
+    over = W.partitionBy(*keys, "_raw").orderBy("_at")
+    levels = steps.select(*keys, "_raw", "_at", F.lead("_at").over(over).alias("_next"), F.sum("_d").over(over.rowsBetween(W.unboundedPreceding, 0)).alias("_bn"))
+    bins = levels.where("_bn > 0").withColumn("_e", F.explode(F.sequence("_at", F.col("_next") - 1))).select(*keys, "_e", "_raw", "_bn")
+    wanted = _wanted_bins(bins, [*keys, "_e"], points)
+    block = lambda c: F.floor(c / F.lit(k))
+    wanted = wanted.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("_e") - k), block(F.col("_e") - 1)))))
+    met = counted.withColumn("_block", block(F.col("_pane"))).join(wanted, [*keys, "_raw", "_block"]).where((F.col("_pane") >= F.col("_e") - k) & (F.col("_pane") < F.col("_e")))
+    found = met.groupBy(*keys, "_e", "_raw", "_v").agg(F.sum("_n").alias("_n"), F.first("_before").alias("_before"), F.first("_total").alias("_total"), F.first("_targets").alias("_targets"))
+    out = _at_ranks(found, [*keys, "_e"])
+    return out.select(*keys, F.timestamp_seconds(F.col("_e") * (slide * 60)).alias("window_end"), "p", "value")

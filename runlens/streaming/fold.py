@@ -1,10 +1,10 @@
 """Streaming run fold by micro-batches.
 
-Every batch is added to an event log in the shared folder, and the runs it touches are folded again by the
-batch operator from all their events so far. So a late start does not replace a finished run, a late end or
+Every batch is added to an event log in the shared folder (``streaming.log``), and the runs it touches are folded again by
+the batch operator from all their events so far, of which only the buckets of those runs are read. So a late start does not replace a finished run, a late end or
 feedback finds its run however long it took, and the first of several starts wins, as in the batch fold. An
-end without a start stays in the log and gives no row until its start comes. Work stays inside the JVM;
-earlier batches are only read, never rewritten, and a retried batch overwrites its own folders.
+end without a start stays in the log and gives no row until its start comes. Work stays inside the JVM, and a
+retried batch overwrites its own folders.
 (``streaming.stateful`` holds the per-key state variant.)
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.fold import fold_feedback, fold_runs, with_feedback
+from ..session import cut_lineage
+from .log import EventLog
 from .sinks import per_batch, versioned_write
 
 
@@ -23,10 +25,9 @@ def fold_job(events: DataFrame, out_path: str, log_path: str, checkpoint: str, e
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        versioned_write(batch, log_path, batch_id)
-        log = spark.read.schema(batch.schema.add("batch", "long")).parquet(log_path).where(F.col("batch") <= batch_id)
-        ids = log.where(F.col("batch") == batch_id).select("run_id").distinct()
-        touched = log.drop("batch").join(ids, "run_id", "left_semi")
+        log = EventLog(spark, log_path, "run_id", batch.schema)
+        log.append(batch, batch_id)
+        touched = cut_lineage(log.events_of(log.batch(batch_id).select("run_id").distinct(), batch_id + 1))
         versioned_write(with_feedback(fold_runs(touched), fold_feedback(touched)), out_path, batch_id)
 
     return per_batch(events, checkpoint, work, every)

@@ -171,6 +171,49 @@ def test_a_trace_of_a_third_of_all_runs(spark, monkeypatch):
     assert trees.trace_lines(runs.where("false")).count() == 0
 
 
+def test_event_log_reads_what_a_batch_touches(spark, tmp_path):
+    """A long history: the same small batch reads about as much after 60 batches as after 4, and every event of its keys."""
+    from pyspark.sql import types as T
+
+    from runlens.streaming.log import EventLog
+
+    schema = T.StructType().add("run_id", "string").add("n", "long")
+    log = EventLog(spark, str(tmp_path / "log"), "run_id", schema, fan=2, buckets=8)
+    rows, read, all_bytes = [], {}, {}
+    ids = spark.createDataFrame([("r3",), ("r17",)], "run_id string")
+    for i in range(33):
+        new = [(f"r{(i * 977 + j * 13) % 5000}", i * 100 + j) for j in range(100)] + ([("r3", -i)] if i % 5 == 0 else [])
+        rows += new
+        log.append(spark.createDataFrame(new, schema), i)
+        if i == 9:
+            log.append(spark.createDataFrame(new, schema), i)  # a retried batch
+        if i + 1 in (4, 8, 16, 32, 33):
+            got = sorted(tuple(r) for r in log.events_of(ids, i + 1).collect())
+            assert got == sorted(r for r in rows if r[0] in ("r3", "r17"))
+            read[i + 1] = log.bytes_for(ids, i + 1)
+            all_bytes[i + 1] = sum(n for s in log.segments(i + 1) for _, n in log.paths(s, None))
+    assert all_bytes[32] > 5 * all_bytes[4] and read[32] < 1.5 * read[4] and read[33] < 3 * read[4]
+    assert log.segments(33) == [(5, 0), (0, 32)] and EventLog(spark, "", "k", schema).segments(27) == [(2, 0), (1, 16), (1, 20), (0, 24), (0, 25), (0, 26)]
+
+
+@pytest.mark.parametrize(("minutes", "slide"), [(60, 1), (30, 30), (6, 2)])
+def test_sliding_percentiles(spark, minutes, slide):
+    rng = random.Random(12)
+    data = [(rng.choice("ab"), rng.randrange(0, 90 * 60), rng.choice([0.0, 1.0, rng.uniform(-3, 50)])) for _ in range(400)] + [("a", -50, 2.0), ("a", 30, None), ("c", 86_400, 7.0)]
+    df = spark.createDataFrame(data, "k string, s long, v double").withColumn("at", F.timestamp_seconds("s"))
+    points = [0.0, 0.5, 0.9, 1.0]
+    got = {(r.k, int(r.window_end.timestamp()), r.p): r.value for r in skew.sliding_percentiles(df, ["k"], "at", "v", points, minutes, slide).collect()}
+    want = {}
+    for key in "abc":
+        own = [(s, v) for k, s, v in data if k == key and v is not None]
+        for end in {(s // (slide * 60) + 1 + i) * slide * 60 for s, _ in own for i in range(minutes // slide)}:
+            values = [v for s, v in own if end - minutes * 60 <= s < end]
+            want.update({(key, end, p): float(np.quantile(values, p)) for p in points})
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-9, abs=1e-12) for x in want)
+    with pytest.raises(ValueError, match="whole number"):
+        skew.sliding_percentiles(df, ["k"], "at", "v", points, 5, 2)
+
+
 class _Cluster:
     """A session on a master that is no local one."""
 
