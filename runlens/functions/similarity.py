@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -25,23 +25,31 @@ OVERLAP = StructType(
 )
 
 
-@pandas_udf(OVERLAP)
-def _overlap(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = []
-    for r, h in zip(ref, hyp):
-        a, b = Counter((r or "").split()), Counter((h or "").split())
-        shared = a.keys() & b.keys()
-        rows.append((
-            sum(b[t] for t in shared), a.total(), b.total(), float(sum(a[t] * b[t] for t in shared)),
-            float(sum(n * n for n in a.values())), float(sum(n * n for n in b.values())),
-        ))
-    return pd.DataFrame(rows, columns=["hits", "ref_size", "hyp_size", "dot", "ref_sq", "hyp_sq"])
+@F.arrow_udf(OVERLAP)
+def _overlap(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Counts of a batch's pairs at once: terms are numbered over the batch, and (pair, term) counts of both sides are met."""
+    sides = [x.fill_null([]) if x.null_count else x for x in (ref, hyp)]
+    term = pa.concat_arrays([x.flatten().cast(pa.string()) for x in sides]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    n, terms = len(ref), int(term.max(initial=0)) + 1
+    keys, counts, sizes, squares, at = [], [], [], [], 0
+    for x in sides:
+        length = np.diff(x.offsets.to_numpy())
+        row = np.repeat(np.arange(n), length)
+        found, count = np.unique(row * terms + term[at : at + len(row)], return_counts=True)
+        at += len(row)
+        keys.append(found), counts.append(count), sizes.append(length.astype(np.int64))
+        squares.append(np.bincount(found // terms, weights=count.astype(float) ** 2, minlength=n))
+    shared, i, j = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+    row = shared // terms
+    hits = np.bincount(row, weights=counts[1][j], minlength=n).astype(np.int64)
+    dot = np.bincount(row, weights=(counts[0][i] * counts[1][j]).astype(float), minlength=n)
+    return pa.StructArray.from_arrays([pa.array(c) for c in (hits, *sizes, dot, *squares)], [f.name for f in OVERLAP.fields])
 
 
 def overlap(ref: Column, hyp: Column) -> Column:
     """struct of token counts of a text pair, linear in its length: hits (hypothesis tokens known to
     the reference, with repeats), sizes, and the dot product and squares of the term counts."""
-    return _overlap(ref, hyp)
+    return _overlap(tokens(ref), tokens(hyp))
 
 
 def bleu_of(o: Column) -> Column:

@@ -95,15 +95,39 @@ def valid_mappings(mappings: DataFrame) -> DataFrame:
     return mappings.where(F.col("pattern").isNotNull() & compiled.isNotNull())
 
 
+#: Letters of a pattern's beginning that are compared before the pattern is tried.
+PREFIX = 32
+
+
+def _lowered(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def literal_prefix(pattern: Column) -> Column:
+    """The plain characters that every name matching an anchored pattern begins with, in lower case, ``PREFIX`` of them at most; '' where
+    the pattern has alternatives, is not anchored or begins otherwise."""
+    shape = r"^(?:\(\?i\))?\^\(?((?:[A-Za-z0-9 _:/@#-]|\\[.+/_:-])*)([*?{]?)"
+    said, follows = F.regexp_extract(pattern, shape, 1), F.regexp_extract(pattern, shape, 2)
+    # A quantifier may take the last character away, and one in the group could take all of it.
+    plain = F.regexp_replace(F.when(follows != "", F.regexp_replace(said, r"(?:\\.|[^\\])$", "")).otherwise(said), r"\\(.)", "$1")
+    loose = pattern.contains("|") | pattern.rlike(r"\)[*?{]")
+    return F.when(loose, F.lit("")).otherwise(F.substring(_lowered(plain), 1, PREFIX))
+
+
 def match_names(runs: DataFrame, mappings: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(name, mapping columns): every distinct name with every mapping whose pattern finds it.
 
     Patterns are matched as distinct values, so a pattern shared by many mappings is tried once.
     """
-    names = runs.where("name is not null").select("name").distinct()
+    names = cut_lineage(runs.where("name is not null").select("name").distinct())
     valid = valid_mappings(mappings)
-    patterns = cut_lineage(valid.select("pattern").distinct())  # its size is known from here on
-    pairs = names.join(patterns, F.rlike("name", F.col("pattern")))
+    patterns = cut_lineage(valid.select("pattern").distinct().withColumn("_p", literal_prefix(F.col("pattern"))))
+    # Names meet the patterns that ask for their beginning; only patterns that ask for none meet every name.
+    lengths = [r[0] for r in patterns.where("_p <> ''").select(F.char_length("_p")).distinct().collect()]  # at most PREFIX numbers
+    begun = names.select("name", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_n")).where(F.char_length("name") >= F.col("_n"))
+    begun = begun.withColumn("_p", _lowered(F.substring("name", F.lit(1), F.col("_n"))))
+    pairs = begun.join(patterns.where("_p <> ''"), "_p").where(F.rlike("name", F.col("pattern"))).select("name", "pattern")
+    pairs = pairs.unionByName(names.join(patterns.where("_p = ''").select("pattern"), F.rlike("name", F.col("pattern"))))
     cols = ["pattern", *(keep or [c for c in mappings.columns if c not in ("name", "pattern")])]
     return pairs.join(valid.select(*cols), "pattern")
 

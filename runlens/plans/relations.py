@@ -292,6 +292,12 @@ def h7(spark, d):
     return ordering.page_of_runs(fx.runs(spark, d), "tokens", page=2).select("id", F.col("total_tokens").cast("long").alias("total_tokens"))
 
 
+@query("h7_far_page", "SELECT id, created_at FROM run ORDER BY created_at DESC NULLS LAST, id LIMIT 50 OFFSET 4000")
+def h7f(spark, d):
+    """A page that is sought by key, whatever lies before it."""
+    return ordering.page_of_runs(fx.runs(spark, d), "created_at", page=80, near=1_000).select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
 @query("h8_filtered_count", "SELECT count(*) AS count FROM run WHERE status = 'error'")
 def h8(spark, d):
     return ordering.filtered_count(fx.runs(spark, d).where("status = 'error'"))

@@ -187,6 +187,18 @@ def a14(spark, d):
     return spark.read.parquet(f"{work}/out").select("id", "project_id", "date")
 
 
+@query("stream_a14_replicated_changes", """SELECT CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 50 AS VARCHAR) AS id, max(event_id) AS updated_at, arg_max(event_type, event_id) AS name
+ FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'""")
+def stream_changes(spark, d):
+    """Events as changes of 50 rows per user: the latest event of each, and its row is gone where that is an error."""
+    work = _work(spark)
+    e = stream(spark, d, "events")
+    key = F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 50).cast("string"))
+    rows = e.select(key.alias("id"), F.col("event_id").alias("updated_at"), (F.col("event_type") == "error").alias("is_deleted"), F.col("event_type").alias("name"))
+    sinks.replicate_changes(rows, f"{work}/table", f"{work}/ckpt", buckets=8).awaitTermination()
+    return sinks.current(spark, f"{work}/table").select("id", "updated_at", "name")
+
+
 @query("stream_n11_evaluator_backlog", """SELECT id AS run_id, '{"length": ' || length(text) || '}' AS result FROM doc_run WHERE quality IS NULL""")
 def stream_backlog(spark, d):
     work = _work(spark)

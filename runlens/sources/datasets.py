@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import running_sum
+
 # fixed values: accepted column names
 ALIASES = {
     "input": ["input"],
@@ -27,11 +32,45 @@ def items_from_rows(df: DataFrame) -> DataFrame:
     return df.select(*[_aliased(df, c).alias(c) for c in ALIASES])
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, pos, record) of CSV files, in order of their places; a record may span lines, and a file is many tasks.
+
+    Files are read as lines in splits. A line begins inside a quoted field if the quotes before it in its file are odd in number:
+    counts are summed per split, the splits' sums are scanned per file, and a scan within each split does the rest. Most
+    lines are whole records; only the others are shuffled, to be joined to one. Quotes are doubled inside quoted fields and
+    don't occur in others; blank lines between records go.
+    """
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("pos"))
+    lines = own.withColumn("n", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    splits = lines.groupBy("file", "at").agg(F.sum("n").alias("all"))
+    ahead = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select("file", "at", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("before"))
+    inside = W.partitionBy("file", "at").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    placed = lines.withColumn("here", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(splits, ["file", "at"])
+    placed = placed.withColumn("opens", (F.col("before") + F.col("here")) % 2 == 0)
+    whole = F.col("opens") & (F.col("n") % 2 == 0)
+    single = placed.where(whole & (F.trim("value") != "")).select("file", "at", "pos", F.col("value").alias("record"))
+    broken = placed.where(~whole).select("file", "at", "pos", "value", F.col("opens").cast("long").alias("opens"))
+    broken = running_sum(broken, ["file"], ["at", "pos"], {"nth": F.col("opens")})
+    joined = broken.groupBy("file", "nth").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "value"))).alias("l"))
+    return single.unionByName(joined.select("file", F.col("l")[0]["at"].alias("at"), F.col("l")[0]["pos"].alias("pos"), F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("record")))
+
+
 def read_csv_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Quotes are doubled inside quoted fields. Fields that span lines need ``multi_line``, which makes a file one task;
-    without it a large file is split."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST")
-    return items_from_rows(raw)
+    """Every file begins with the same header. Quotes are doubled inside quoted fields. With ``multi_line``, fields may span
+    lines; a large file is split either way. Items come in the order of the files."""
+    if not multi_line:
+        return items_from_rows(spark.read.csv(path, header=True, quote='"', escape='"', mode="FAILFAST"))
+    records = csv_records(spark, path)
+    place = F.struct("at", "pos")
+    heads = records.groupBy("file").agg(F.min(place).alias("first"), F.min_by("record", place).alias("head"))  # a row per file
+    head = heads.orderBy("file").select("head").first()
+    if head is None:
+        raise ValueError("column input is required")
+    names = next(csv.reader([head[0]]))
+    fields = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(names))), {"quote": '"', "escape": '"', "mode": "FAILFAST"})
+    body = records.join(heads.select("file", "first"), "file").where(place != F.col("first")).orderBy("file", "at", "pos").select(fields.alias("f"))
+    return items_from_rows(body.select(*[F.col(f"f.c{i}").alias(name) for i, name in enumerate(names)]))
 
 
 JSONL_SCHEMA = T.StructType([T.StructField(a, T.StringType()) for names in ALIASES.values() for a in names])

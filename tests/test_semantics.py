@@ -256,6 +256,37 @@ def test_labels_by_similar_words(spark):
     assert set(grouped.values()) == {"show all open orders", "close orders"} and grouped["orders: show all"] == "show all open orders"
 
 
+def test_patterns_by_their_beginning(spark):
+    """The beginning that a pattern asks for never loses a name that the pattern finds."""
+    shapes = {
+        "^(gpt-4)$": "gpt-4", "(?i)^(GPT-4o)$": "gpt-4o", "^gpt-3.5": "gpt-3", r"^gpt-3\.5-turbo": "gpt-3.5-turbo", "^(ab?c)": "a", "^a*": "", "^(abc)?x": "", "^(abc){0,1}x": "", "abc": "",
+        "^abc|def": "", "^(a|b)c": "", "^[ab]c": "", "^ab{2}c": "a", "^ab+": "ab", r"^ab\.?c": "ab", r"^\d+": "", "^": "", "": "",
+    }
+    got = {r.p: r.x for r in spark.createDataFrame([(p,) for p in shapes], "p string").select("p", pricing.literal_prefix(F.col("p")).alias("x")).collect()}
+    assert got == shapes
+    names = ["gpt-4", "GPT-4o", "gpt-4o", "gpt-3.5-turbo", "gpt-3x5", "ac", "abc", "abbc", "x", "abcx", "ab.c", "def", "bc", "7b", "ABC", ""]
+    runs = spark.createDataFrame([(n,) for n in names * 2], "name string")
+    mappings = spark.createDataFrame([(i, p) for i, p in enumerate(shapes)], "id int, pattern string")
+    found = {(r.name, r.pattern) for r in pricing.match_names(runs, mappings).collect()}
+    plain = runs.distinct().join(mappings, F.rlike("name", F.col("pattern"))).select("name", "pattern")
+    assert found == {tuple(r) for r in plain.collect()}
+
+
+def test_overlap_of_odd_pairs(spark):
+    from collections import Counter
+
+    rng = random.Random(1)
+    said = lambda: rng.choice([None, "", " \n", " ".join(rng.choice(["a", "b", "b,", "é", "c"]) for _ in range(rng.randrange(9)))])
+    rows = [(i, said(), said()) for i in range(200)]
+    got = {r.i: r.o for r in spark.createDataFrame(rows, "i int, r string, h string").repartition(3).select("i", S.overlap(F.col("r"), F.col("h")).alias("o")).collect()}
+    for i, r, h in rows:
+        a, b = Counter((r or "").split()), Counter((h or "").split())
+        assert got[i].asDict() == {
+            "hits": sum(b[t] for t in a.keys() & b.keys()), "ref_size": a.total(), "hyp_size": b.total(), "dot": sum(a[t] * b[t] for t in a),
+            "ref_sq": sum(n * n for n in a.values()), "hyp_sq": sum(n * n for n in b.values()),
+        }
+
+
 def test_run_summary(spark):
     o = spark.createDataFrame([(1, x) for x in ["pass"] * 3 + ["fail", "unknown"]], "slot int, outcome string")
     r = datasets.run_summary(o, spark.createDataFrame([(1, 10)], "slot int, items long"), ["slot"]).collect()[0]

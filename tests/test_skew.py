@@ -214,6 +214,81 @@ def test_sliding_percentiles(spark, minutes, slide):
         skew.sliding_percentiles(df, ["k"], "at", "v", points, 5, 2)
 
 
+def test_csv_records_over_many_splits(spark, tmp_path):
+    """Fields with quotes, separators and line breaks, in splits of a few hundred bytes: as one task reads them."""
+    import csv as plain
+
+    from runlens.sources import datasets as imports
+
+    rng = random.Random(3)
+    said = lambda: "".join(rng.choice(["a", "b ", '"', ",", "\n", "é", "\n\n", "x" * 30]) for _ in range(rng.randrange(1, 14))).strip() or "z"
+    for name in ("one", "two"):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            w = plain.writer(f, lineterminator="\n")
+            w.writerow(["Input", "expected_output", "other"])
+            w.writerows([said(), said() if i % 3 else "", i] for i in range(300))
+            f.write("\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = imports.csv_records(spark, str(tmp_path))
+        assert records.select("at").distinct().count() > 20
+        got = sorted((tuple(r) for r in imports.read_csv_items(spark, str(tmp_path)).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = imports.items_from_rows(spark.read.csv(str(tmp_path), header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST"))
+    assert got == sorted((tuple(r) for r in whole.collect()), key=str) and len(got) == 600
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_far_pages(spark, ascending):
+    """Every page sought by key is that of a whole sort: frequent values, nulls, ties, the end and beyond."""
+    from runlens.operators import ordering
+
+    rng = random.Random(5)
+    data = [(f"r{i:04}", None if i % 11 == 0 else 5.0 if i % 3 == 0 else round(rng.uniform(0, 9), 1)) for i in range(900)]
+    df = spark.createDataFrame(data, "id string, cost double").repartition(5)
+    some = sorted((r for r in data if r[1] is not None), key=lambda r: (r[1] if ascending else -r[1], r[0]))
+    want = [r[0] for r in some + sorted(r for r in data if r[1] is None)]
+    for page in (0, 3, 7, 12, 17, 18, 40):
+        for near in (0, 100, 10_000):
+            got = [r.id for r in ordering.page_of_runs(df, "cost", ascending, page, 50, near=near, bins=8).collect()]
+            assert got == want[page * 50 : page * 50 + 50], (page, near)
+    assert ordering.page_of_runs(df.where("false"), "cost", ascending, 3, 50, near=0).count() == 0
+
+
+def test_replicated_changes(spark, tmp_path):
+    """Updates, deletions and late old versions over many batches; a batch that runs twice changes nothing."""
+    from runlens.streaming import sinks
+
+    rng = random.Random(8)
+    schema = "id string, updated_at long, is_deleted boolean, v string"
+    batches = [[(f"k{rng.randrange(30)}", rng.randrange(50), rng.random() < 0.2, f"b{b}r{i}") for i in range(25)] for b in range(6)]
+    source = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+    files = sorted((tmp_path / "in").glob("part-*"), key=lambda f: f.stat().st_mtime_ns)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+    path, check = str(tmp_path / "table"), str(tmp_path / "check")
+    sinks.replicate_changes(stream, path, check, buckets=4).awaitTermination()
+    assert len(files) == 6
+    latest = {}
+    for rows in batches:
+        for k, at, gone, v in rows:
+            latest.setdefault(k, []).append((at, gone, v))
+    got = {r.id: (r.updated_at, r.v) for r in sinks.current(spark, path).collect()}
+    want = {k: max((at, gone) for at, gone, _ in rows) for k, rows in latest.items()}
+    assert {k: at for k, (at, _) in got.items()} == {k: at for k, (at, gone) in want.items() if not gone}
+    assert all((got[k][0], False, got[k][1]) in latest[k] for k in got)
+    before = sorted(map(tuple, sinks.current(spark, path).collect()))
+    last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for f in (last, last.with_name(f".{last.name}.crc")):
+        f.unlink(missing_ok=True)  # as if the job had died before its last commit
+    sinks.replicate_changes(stream, path, check, buckets=4).awaitTermination()
+    assert sorted(map(tuple, sinks.current(spark, path).collect())) == before
+
+
 class _Cluster:
     """A session on a master that is no local one."""
 
