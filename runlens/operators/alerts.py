@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.json import get_text
+from ..session import cut_lineage
 from .skew import sliding_percentiles, with_neighbour
 
 PERCENTILES = {"p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -26,14 +27,17 @@ def per_minute(runs: DataFrame, keys: list[str], ts: str = "created_at") -> Data
 
 
 def minute_spine(minutes: DataFrame, keys: list[str], tail_minutes: int) -> DataFrame:
-    """Every minute per key from its first to its last run plus the window, so that alerts can also resolve."""
-    ends = minutes.groupBy(*keys).agg(F.min("minute").alias("lo"), (F.max("minute") + F.make_dt_interval(mins=F.lit(tail_minutes))).alias("hi"))
-    return ends.select(*keys, F.explode(F.sequence("lo", "hi", F.expr("interval 1 minute"))).alias("minute"))
+    """Every minute per key from a run to a window's length after it, where its window is empty again, so that alerts can also
+    resolve. A longer gap has no further rows, so one run far off in time costs no more than a window."""
+    followed = with_neighbour(minutes.select(*keys, "minute"), keys, ["minute"], {"_next": F.col("minute")}, following=True)
+    last = F.col("minute") + F.make_dt_interval(mins=F.lit(tail_minutes))
+    upto = F.least(F.coalesce(F.col("_next") - F.expr("interval 1 minute"), last), last)
+    return followed.select(*keys, F.explode(F.sequence("minute", upto, F.expr("interval 1 minute"))).alias("minute"))
 
 
 def trailing(runs: DataFrame, keys: list[str], minutes: int, fill: bool = True) -> DataFrame:
     """(keys, window_end, runs, errors, cost, up, down) of the last ``minutes`` before every minute's end."""
-    sums = per_minute(runs, keys)
+    sums = cut_lineage(per_minute(runs, keys))  # read by the spine and by the windows
     base = minute_spine(sums, keys, minutes).join(sums, [*keys, "minute"], "left") if fill else sums
     secs = F.unix_seconds("minute")
     # a day's chunk keeps long histories of one key in separate tasks; each chunk brings the minutes before it

@@ -23,9 +23,10 @@ L = F.lit
 def trailing_sql(minutes: int, value: str, extra: str = "") -> str:
     return f"""WITH m AS (SELECT project_id, date_trunc('minute', created_at) AS minute, count(*) AS runs, count(error) AS errors, sum(cost) AS cost, count(*) FILTER (thumb = 'up') AS up, count(*) FILTER (thumb = 'down') AS down FROM run GROUP BY 1, 2),
      b AS (SELECT project_id, unnest(generate_series(min(minute), max(minute) + INTERVAL {minutes} MINUTE, INTERVAL 1 MINUTE)) AS minute FROM m GROUP BY 1),
-     t AS (SELECT b.project_id, b.minute + INTERVAL 1 MINUTE AS window_end, coalesce(sum(runs) OVER w, 0) AS runs, coalesce(sum(errors) OVER w, 0) AS errors, coalesce(sum(cost) OVER w, 0) AS cost, coalesce(sum(up) OVER w, 0) AS up
-       FROM b LEFT JOIN m ON m.project_id = b.project_id AND m.minute = b.minute WINDOW w AS (PARTITION BY b.project_id ORDER BY b.minute RANGE BETWEEN INTERVAL {minutes - 1} MINUTE PRECEDING AND CURRENT ROW)){extra}
-     SELECT project_id, window_end, round({value}, 4)::DOUBLE AS value FROM t"""
+     t AS (SELECT b.project_id, b.minute + INTERVAL 1 MINUTE AS window_end, coalesce(sum(runs) OVER w, 0) AS runs, coalesce(sum(errors) OVER w, 0) AS errors, coalesce(sum(cost) OVER w, 0) AS cost, coalesce(sum(up) OVER w, 0) AS up, sum(runs) OVER longer AS near
+       FROM b LEFT JOIN m ON m.project_id = b.project_id AND m.minute = b.minute WINDOW w AS (PARTITION BY b.project_id ORDER BY b.minute RANGE BETWEEN INTERVAL {minutes - 1} MINUTE PRECEDING AND CURRENT ROW),
+       longer AS (PARTITION BY b.project_id ORDER BY b.minute RANGE BETWEEN INTERVAL {minutes} MINUTE PRECEDING AND CURRENT ROW)){extra}
+     SELECT project_id, window_end, round({value}, 4)::DOUBLE AS value FROM t WHERE near > 0"""
 
 
 def shown(df):
