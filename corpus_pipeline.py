@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All
 but the last return the columns of docs; the last one returns the mix, a row per document that is left.
 
-Rows are told apart by id and text, so null and repeated ids and extra columns pass through. Empty tables give no rows.
+Rows are told apart by id (any integer type) and text, so null and repeated ids pass through, as do extra columns, whatever
+their names. Of equal texts the row with the least id stays; a row that occurs several times as a whole stays once. Very long
+texts are worked on whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
