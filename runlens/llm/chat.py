@@ -11,7 +11,8 @@ escaping adds a backslash to every run before a name and the parser takes one aw
 fails if a turn should differ even then.
 
 Nulls: a null text or role is empty; null conversation ids form one conversation; a null turn comes first. Ties in turn are
-ordered by role and rendered text; repeated rows are repeated turns. Empty tables give no rows.
+ordered by role and rendered text; repeated rows are repeated turns. A very long text is one value, as is its conversation; ``format_turns`` has no more than the
+text. Extra columns go, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations

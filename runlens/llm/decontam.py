@@ -7,6 +7,8 @@ bound), the document's word count bounds its end (length bound), and the words t
 
 Nulls: a null text has no words; a null item id counts as the id ''. Empty tables: no item, no hit; no document, no row.
 Ties in rarity are broken by the gram's code. Repeated documents get a row each; repeated items count once per id.
+Very long texts are read whole, in slices of words; a text longer than a slice is a slice of its own. Extra columns go unless kept,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@
 The table of sources is taken to be small (it is sorted as one list); no other step holds a source together.
 
 Nulls: a null text has no words; null sources form one source, sorted last; a null id counts as ''. Ties in the hash are
-ordered by size. Repeated documents are taken each on its own. Empty tables give no rows.
+ordered by size. Repeated documents are taken each on its own. A very long text counts by its words like any other, and blocks may begin and end
+inside it. Extra columns go unless kept, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations

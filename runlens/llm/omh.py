@@ -10,7 +10,8 @@ range before it. Rows with a null id are one range.
 
 Nulls: a null text is empty; its fingerprint is ''. Texts shorter than k are one k-mer. Two empty texts are alike (1), an
 empty and another one are not (0). Rows with a null id come last in order; rows of equal id are ordered by the hash of
-their text, then the text. A single document is its own next one. Empty tables give no rows.
+their text, then the text. A single document is its own next one. Equal minima are ordered by their place. A very long
+text is hashed whole. Extra columns go, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ telling ones are chosen by a score test over the sample, in Spark. Models are fi
 ``sample`` labelled documents; scoring reads every text whole.
 
 Nulls: a null text is empty and scores by the intercepts. Without labels of both kinds all scores are the prior (0 without
-labels). Repeated documents score alike. Ties among features are broken by code. Empty tables give no rows.
+labels). Repeated documents score alike; a repeated labelled id is one row of the sample. Ties among features are broken by code. Very
+long texts are scored whole, in slices. Extra columns stay; one named like the result is refused. Empty tables give no rows.
 """
 
 from __future__ import annotations
