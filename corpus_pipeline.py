@@ -34,7 +34,9 @@ def _rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         return pa.array(C.may_hold(C.unpacked(packed), code.to_numpy().view(np.uint64)))
 
     asked = maybe(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    met = docs.where(asked).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id").cast("long")) & (F.xxhash64("text") == F.col("_hash")), how)
+    i, h = C.fresh(docs, "_id"), C.fresh(docs, "_hash")
+    own = keys.select(F.col("_id").cast("long").alias(i), F.col("_hash").alias(h))
+    met = docs.where(asked).join(own, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), how)
     return met if how == "left_semi" else met.unionByName(docs.where(~asked))
 
 
