@@ -85,3 +85,13 @@ def test_empty_tables(spark, folder, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
     for name, stage in P.STAGES[:2]:
         assert stage(spark, docs, str(tmp_path)).count() == docs.count(), name
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "smallint"])
+def test_contaminated_rows_go_whatever_the_type_of_ids(spark, folder, kind):
+    docs = spark.createDataFrame([(i, f"{ITEM} {i}" if i % 2 else f"nothing of that kind {i}", i) for i in range(40)] + [(None, ITEM, 1), (None, None, 2)], "doc_id long, text string, _id int")
+    docs = docs.withColumn("doc_id", docs["doc_id"].cast(kind))
+    left = P.drop_contaminated(spark, docs, folder)
+    assert left.schema == docs.schema and sorted(str(r["doc_id"]) for r in left.collect()) == sorted([*(str(i) for i in range(0, 40, 2)), "None"])
+    empty = P.drop_contaminated(spark, docs.where("false"), folder)
+    assert empty.count() == 0
