@@ -27,12 +27,12 @@ def per_minute(runs: DataFrame, keys: list[str], ts: str = "created_at") -> Data
 
 
 def minute_spine(minutes: DataFrame, keys: list[str], tail_minutes: int) -> DataFrame:
-    """Every minute per key from a run to a window's length after it, where its window is empty again, so that alerts can also
-    resolve. A longer gap has no further rows, so one run far off in time costs no more than a window."""
-    followed = with_neighbour(minutes.select(*keys, "minute"), keys, ["minute"], {"_next": F.col("minute")}, following=True)
-    last = F.col("minute") + F.make_dt_interval(mins=F.lit(tail_minutes))
-    upto = F.least(F.coalesce(F.col("_next") - F.expr("interval 1 minute"), last), last)
-    return followed.select(*keys, F.explode(F.sequence("minute", upto, F.expr("interval 1 minute"))).alias("minute"))
+    """Every minute per key from its first to its last run plus the window, so that alerts can also resolve. Days come first,
+    then their minutes, so a long history of a key is many rows, not one long list."""
+    ends = minutes.groupBy(*keys).agg(F.unix_seconds(F.min("minute")).alias("_lo"), (F.unix_seconds(F.max("minute")) + 60 * tail_minutes).alias("_hi"))
+    days = ends.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / 86400), F.floor(F.col("_hi") / 86400))).alias("_day"))
+    of_day = F.sequence(F.greatest("_lo", F.col("_day") * 86400), F.least("_hi", F.col("_day") * 86400 + 86340), F.lit(60).cast("long"))
+    return days.select(*keys, F.explode(of_day).alias("_s")).select(*keys, F.timestamp_seconds("_s").alias("minute"))
 
 
 def trailing(runs: DataFrame, keys: list[str], minutes: int, fill: bool = True) -> DataFrame:
