@@ -155,10 +155,12 @@ def stream_late(spark, d):
 def _streamed_fold(spark, d, deal, batches=6):
     work = _work(spark)
     lines = ingest.log_lines(fx.table(spark, d, "events")).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
-    dealt = lines.withColumn("batch", F.pmod(deal, L(batches)))
+    lines.withColumn("batch", F.pmod(deal, L(batches))).write.partitionBy("batch").parquet(f"{work}/dealt")
+    dealt = spark.read.schema("value string, batch int").parquet(f"{work}/dealt")
+    files = max(1, spark.read.parquet(f"{work}/dealt").where("batch = 0").rdd.getNumPartitions())
     for i in range(batches):  # files that arrive one after the other
-        dealt.where(F.col("batch") == i).select("value").coalesce(1).write.mode("append").text(f"{work}/in")
-    source = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{work}/in")
+        dealt.where(F.col("batch") == i).select("value").repartition(files).write.mode("append").option("compression", "gzip").text(f"{work}/in")
+    source = spark.readStream.option("maxFilesPerTrigger", files).text(f"{work}/in")
     fold_job(clean.clean(ev.parse_events(source), "p0"), f"{work}/out", f"{work}/log", f"{work}/ckpt").awaitTermination()
     last = latest_rows(spark.read.parquet(f"{work}/out"))
     last = last.withColumn("metadata", F.to_json(F.parse_json("metadata")))

@@ -27,7 +27,8 @@ def fold_job(events: DataFrame, out_path: str, log_path: str, checkpoint: str, e
         spark = batch.sparkSession
         log = EventLog(spark, log_path, "run_id", batch.schema)
         log.append(batch, batch_id)
-        touched = cut_lineage(log.events_of(log.batch(batch_id).select("run_id").distinct(), batch_id + 1))
+        # the join deals events by run, as both folds need them: nothing is written or shuffled between
+        touched = log.events_of(cut_lineage(log.batch(batch_id).select("run_id").distinct()), batch_id + 1)
         versioned_write(with_feedback(fold_runs(touched), fold_feedback(touched)), out_path, batch_id)
 
     return per_batch(events, checkpoint, work, every)
