@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 
@@ -25,12 +23,23 @@ OVERLAP = StructType(
 )
 
 
+#: Tokens that are counted at a time, unless one pair has more.
+SLICE_TOKENS = 1 << 18
+
+
 @F.arrow_udf(OVERLAP)
 def _overlap(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    """Counts of a batch's pairs at once: terms are numbered over the batch, and (pair, term) counts of both sides are met."""
+    """Counts of a batch's pairs, in slices of a bounded number of tokens."""
     sides = [x.fill_null([]) if x.null_count else x for x in (ref, hyp)]
+    upto = np.cumsum(sum(np.diff(x.offsets.to_numpy()).astype(np.int64) for x in sides))
+    cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE_TOKENS)) + 1).tolist(), len(ref)]
+    return pa.concat_arrays([_counts([x.slice(a, b - a) for x in sides]) for a, b in zip(cuts, cuts[1:])])
+
+
+def _counts(sides: list[pa.Array]) -> pa.Array:
+    """Counts of the pairs of a slice at once: terms are numbered over the slice, and (pair, term) counts of both sides are met."""
     term = pa.concat_arrays([x.flatten().cast(pa.string()) for x in sides]).dictionary_encode().indices.to_numpy().astype(np.int64)
-    n, terms = len(ref), int(term.max(initial=0)) + 1
+    n, terms = len(sides[0]), int(term.max(initial=0)) + 1
     keys, counts, sizes, squares, at = [], [], [], [], 0
     for x in sides:
         length = np.diff(x.offsets.to_numpy())
@@ -96,9 +105,10 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - row.bit_count()
 
 
-@pandas_udf(IntegerType())
-def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length((x or "").split(), (y or "").split()) for x, y in zip(a, b)])
+@F.arrow_udf(IntegerType())
+def _lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    """One pair of texts at a time is taken out of the batch."""
+    return pa.array([lcs_length((x.as_py() or "").split(), (y.as_py() or "").split()) for x, y in zip(a, b)], pa.int32())
 
 
 def rouge_l(hyp: Column, ref: Column, beta: float = 0.5) -> Column:
