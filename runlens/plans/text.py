@@ -10,6 +10,7 @@ from ..functions import similarity as S
 from ..functions import templates as T
 from ..functions.time import local_bucket, seconds_between
 from ..operators import infer, intents, language, similarity as sim
+from ..session import cut_lineage
 from . import fixtures as fx
 from .registry import query
 
@@ -242,7 +243,7 @@ def n6(spark, d):
     r = fx.doc_runs(spark, d).withColumn("toxicity", F.col("toxic")).withColumn("junk", 1 - F.col("quality"))
     model = infer.MultiLabelClassifier(["toxicity", "junk"]).fit(r.where(F.col("doc_id") % 5 != 0), "text")
     asked = r.withColumn("output", F.to_json(F.array(F.struct(L("assistant").alias("role"), F.reverse(F.col("text")).alias("content")))))
-    scores = infer.toxicity_scores(asked, model)
+    scores = cut_lineage(infer.toxicity_scores(asked, model))  # read twice, scored once
     wide = lambda side: F.max(F.when(F.col("side") == side, F.round("scores.toxicity", 6))).alias(f"{side}_toxicity")
     by_message = scores.groupBy("run_id").agg(wide("input"), wide("output"))
     rows = infer.toxicity_rows(scores, model.labels)
