@@ -241,6 +241,25 @@ def test_csv_records_over_many_splits(spark, tmp_path):
     assert got == sorted((tuple(r) for r in whole.collect()), key=str) and len(got) == 600
 
 
+def test_csv_records_shuffle_no_text(spark, tmp_path):
+    """Records that lie in one split, over lines or not, are read in place; one that crosses splits, whole ones too, is joined."""
+    from runlens.sources import datasets as imports
+
+    long = "\n".join(["", '""', "x" * 900, " ", "", "y" * 900, ",", ""])
+    (tmp_path / "one.csv").write_text("\n  \ninput,output\n" + f'a,"b\n\n""c"""\n\n"{long}",d\n \n' + "e,f\n" * 40 + '"' + "\n" * 700 + '"' + ",g")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = imports.csv_records(spark, str(tmp_path))
+        got = [tuple(r) for r in imports.read_csv_items(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "Exchange" not in records._jdf.queryExecution().executedPlan().toString()
+    said = long.replace('""', '"')
+    assert [(r[0], r[2]) for r in got] == [("a", 'b\n\n"c"'), (said, "d"), *[("e", "f")] * 40, ("\n" * 700, "g")]
+
+
 @pytest.mark.parametrize("ascending", [True, False])
 def test_far_pages(spark, ascending):
     """Every page sought by key is that of a whole sort: frequent values, nulls, ties, the end and beyond."""
