@@ -92,8 +92,10 @@ def a2(spark, d):
 
 
 def spans(spark, d):
-    """Decoded spans of the event runs."""
-    e = fx.table(spark, d, "events")
+    """Decoded spans of the event runs. A row gets much longer and dearer here than it is in the table, whose files may be few
+    row groups; so the rows are dealt to all tasks first."""
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    e = fx.table(spark, d, "events").select("event_id", "event_type", "ts", "props").repartition(tasks)
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.col("event_type")
     null = lambda t: L(None).cast(t)

@@ -202,3 +202,17 @@ def test_redaction_by_user_and_by_leaf(spark):
     hidden = {(r.run_id, r.event) for r in got if clean.REDACTED in (r.input or r.output)}
     assert hidden == {("r0", "start"), ("r0", "end"), ("r2", "start"), ("r3", "start")} and len(got) == 6
     assert clean.redact(e, {}, users).count() == 6
+
+
+def test_spans_of_one_row_group_are_many_tasks(spark, tmp_path):
+    """Events in one file with one row group: the spans, which cost more than a read, are dealt out."""
+    from runlens.plans import ingest
+
+    kinds = ["view", "click", "purchase", "signup", "error"]
+    data = [(None if i == 7 else i % 300, 5, kinds[i % 5], 1.5, '{"k": %d}' % i) for i in range(400)]
+    events = spark.createDataFrame(data, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    dealt = ingest.spans(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 1 and sum(r["count"] for r in dealt) == 400
+    got = ingest.a5(spark, str(tmp_path)).collect()
+    assert sorted((r.event_id is None, r.event_id or 0, r.prompt, r.name) for r in got) == sorted((e[0] is None, e[0] or 0, i, f"m-{e[2]}") for i, e in enumerate(data))
