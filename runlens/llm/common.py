@@ -181,7 +181,8 @@ def code_filter(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
     cores = codes.sparkSession.sparkContext.defaultParallelism
     marked = codes.coalesce(max(cores, 8)).mapInArrow(mark, "slice long, bits binary")
     total = np.zeros((bits // 8 // width, width), np.uint8)
-    for i, part in marked.repartition("slice").mapInArrow(merge, "slice long, bits binary").toLocalIterator():  # FILTER_SLICES rows
+    # At most FILTER_SLICES rows, in one job; an iterator would start a job for each partition.
+    for i, part in marked.repartition("slice").mapInArrow(merge, "slice long, bits binary").collect():
         total[i] = np.frombuffer(zlib.decompress(part), np.uint8)
     return zlib.compress(total.tobytes(), 1)
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+
 from runlens.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -42,3 +44,23 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert [r["contaminated"] for r in decontam.contamination(docs, items.where("false")).collect()] == [False]
     assert decontam.contamination(docs.where("false"), items).count() == 0
+
+
+def test_code_filter_is_not_a_job_per_partition(spark):
+    """However many partitions hold the filter's slices, the driver starts a few jobs."""
+    from runlens.llm import common as C
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("code filter", "")
+    try:
+        packed = C.code_filter(spark.range(1000).selectExpr("xxhash64(id) AS code"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("code filter"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    codes = np.array([r[0] for r in spark.range(1000).selectExpr("xxhash64(id)").collect()], np.int64).view(np.uint64)
+    assert C.may_hold(C.unpacked(packed), codes).all() and not C.may_hold(C.unpacked(packed), codes + np.uint64(1)).all()
+    assert jobs < 20
