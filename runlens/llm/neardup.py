@@ -177,26 +177,28 @@ def _alike(percent: int, minima: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Rows (c, component) for every end of ``edges`` (u, v): alternating large-star and small-star to the fixed point."""
+    """Rows (c, component) for every end of ``edges`` (u, v): alternating large-star and small-star until all are stars.
 
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    An edge leads from its larger end u to its smaller end v throughout, so edges that are stars already take no round."""
+
+    def stars(e: DataFrame) -> bool:
+        """Whether every end has a single smaller neighbour, which has none."""
+        ends = e.select(F.col("u").alias("c"), F.lit(1).alias("leaf")).unionByName(e.select(F.col("v").alias("c"), F.lit(0).alias("leaf")))
+        other = ends.groupBy("c").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least")).where("n > 1 OR (n = 1 AND least = 0)")
+        return other.agg(F.count(F.lit(1))).first()[0] == 0
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        side = both if large else both.where("v < u")
+        back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        side, far = (e.unionByName(back), back) if large else (e, e)
         least = side.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        far = side.where("v > u") if large else side
         out = far.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             out = out.unionByName(least.select("u", F.col("m").alias("v")))
         return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     edges = C.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before, now = None, mark(edges)
-    while before != now:
-        edges = C.cut(star(star(edges, True), False))
-        before, now = now, mark(edges)
+    while not stars(edges):
+        edges = C.cut(star(C.cut(star(edges, True)), False))
     ends = edges.select(F.col("u").alias("c"), F.col("v").alias("component"))
     return ends.unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component"))).distinct()
 
@@ -240,7 +242,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = C.cut(shared.join(signs.select("c", (1 - F.col("r") / F.col("n")).alias("own")), "c"))
     pivots = C.cut(shared.groupBy("key").agg(F.min(F.struct("own", "c")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("p.c").alias("p")))
 
+    # Pairs are tables before they meet the full sets, so no plan holds both joins.
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = C.cut(pairs)
         both = F.size(F.array_intersect("x.codes", "y.codes"))
         return C.cut(
             pairs.join(sets.alias("x"), F.col("u") == F.col("x.c")).join(sets.alias("y"), F.col("v") == F.col("y.c"))
@@ -267,8 +271,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = C.cut(open_.select("key", "c", "g", F.when(F.size("few") <= 64, F.col("few")).alias("few")))
     largest = C.cut(open_.groupBy("key", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("g", F.struct("m", "g")).alias("main")))
     longer = C.cut(_long_signatures(sets.join(open_.select("c").distinct(), "c", "left_semi")))
-    signed = open_.join(signs.select("c", "n", "r"), "c").join(longer, "c")
-    x, y = signed.join(largest, "key").where("g <> main").alias("x"), signed.alias("y")
+    signed = C.cut(open_.join(largest, "key").join(signs.select("c", "n", "r"), "c").join(longer, "c"))
+    x, y = signed.where("g <> main").alias("x"), signed.alias("y")
     # Of a pair of two such classes one order is enough: outside the main component the smaller one asks.
     once = (F.col("y.g") == F.col("x.main")) | (F.col("x.c") < F.col("y.c"))
     here = F.coalesce(F.array_min(F.array_intersect("x.few", "y.few")) == F.col("x.key"), F.lit(True))
@@ -276,9 +280,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & once & _alike(percent, LONG) & here)
         .select(F.least("x.c", "y.c").alias("u"), F.greatest("x.c", "y.c").alias("v")).distinct()
     )
-    links = C.cut(first.unionByName(confirmed(more)).distinct())
-    named = components(links.unionByName(same_id))
-    of = classes.select("c", "rep", "h", *of_class).join(named, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    more = confirmed(more)
+    links = C.cut(first.unionByName(more).distinct())
+    # The components so far stand for the links they came from.
+    named = components(named.select(F.col("c").alias("u"), F.col("component").alias("v")).unionByName(more).unionByName(same_id))
+    of = C.cut(classes.select("c", "rep", "h", *of_class).join(named, "c", "left").withColumn("component", F.coalesce("component", "c")))
     # The least id of a component whose name is none.
     least = of.where("component < 0").groupBy("component").agg(F.min("rep").alias("least"))
     of = of.join(least, "component", "left").withColumn("component", F.coalesce("least", "component")).drop("least")

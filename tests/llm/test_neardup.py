@@ -77,6 +77,29 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(n + 1), 0), 200: 200, 201: 200}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """One table of edges; a round would write others."""
+    made, cut = [], neardup.C.cut
+    monkeypatch.setattr(neardup.C, "cut", lambda df: made.append(1) or cut(df))
+    edges = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(70 + i, 60) for i in range(20)] + [(60, 70), (5, 5)], "u long, v long")
+    got = {r["c"]: r["component"] for r in neardup.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(1, 40), 1), 60: 60, **dict.fromkeys(range(70, 90), 60)}
+    assert len(made) == 1
+    assert neardup.components(edges.where("false")).count() == 0
+
+
+def test_components_of_a_random_graph(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(170)]
+    least = {c: c for e in edges if e[0] != e[1] for c in e}
+    for _ in least:
+        for u, v in edges:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    got = [(r["c"], r["component"]) for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert sorted(got) == sorted(least.items())
+
+
 def test_bands_reach_the_threshold():
     for s in (0.7, 0.8, 0.85, 0.9):
         assert (1 - s**5) ** neardup.bands(s) <= 1e-6
